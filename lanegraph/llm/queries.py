@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanegraph.llm import host_reputation, quality_rules
+from lanegraph.llm import decontamination, host_reputation, quality_rules
 from lanegraph.tables import table
 
 
@@ -55,6 +55,45 @@ FROM b
 """
 
 
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document against every ten-word window of the benchmark."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontamination.decontaminate(docs, table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        decontamination.n_hit().alias("n_hit"),
+        F.size("item_ids").cast("long").alias("n_items"),
+        decontamination.digest().alias("items_sha256"),
+        (F.size("hit_spans") > 0).alias("contaminated"),
+    )
+
+
+_OP8_SQL = r"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+iw AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+ig AS (
+  SELECT DISTINCT item_id, l, array_to_string(w[i:i + l - 1], ' ') AS g
+  FROM (SELECT *, unnest(range(1, len(w) - l + 2)) AS i FROM (SELECT *, least(10, len(w)) AS l FROM iw WHERE len(w) > 0))),
+ls AS (SELECT DISTINCT l FROM ig),
+dg AS (
+  SELECT doc_id, l, i, array_to_string(w[i:i + l - 1], ' ') AS g
+  FROM (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM dw, ls WHERE len(w) >= l)),
+hits AS (SELECT doc_id, item_id, l, i FROM dg JOIN ig USING (l, g)),
+hw AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + l)) AS p FROM hits) GROUP BY doc_id),
+hi AS (
+  SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS s
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hw.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(hi.n, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(hi.s, '')) AS items_sha256, coalesce(hw.n, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
+"""
+
+
 def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Rules and host reputation over every page; labels.quality = 0 is a bad outcome."""
     pages = table(spark, folder, "pages").select("page_id", "url")
@@ -108,10 +147,11 @@ FROM r LEFT JOIN v ON r.host = v.host
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_rules": op7_quality_rules,
+    "op8_decontamination": op8_decontamination,
     "op10_url_filter": op10_url_filter,
 }
 
-_SQL = {"op7_quality_rules": _OP7_SQL, "op10_url_filter": _OP10_SQL}
+_SQL = {"op7_quality_rules": _OP7_SQL, "op8_decontamination": _OP8_SQL, "op10_url_filter": _OP10_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
