@@ -7,10 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanegraph.llm import decontamination, host_reputation, quality_rules
+from lanegraph.llm import decontamination, host_reputation, quality_rules, warc
+from lanegraph.llm.common import fresh_path
 from lanegraph.tables import table
 
 
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page into WARC archives and back."""
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    path = fresh_path(spark, "warc")
+    warc.write(warc.plan_records(pages), path)
+    return warc.read(spark, path).select(
+        warc.key_of(F.col("record_id")).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        warc.key_of(F.col("refers_to")).alias("refers_to"),
+    )
+
+
+_OP4_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first < page_id THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND payload_bytes >= 100
+"""
+
+
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Rule ledger of every document under the policy web/1."""
     book = quality_rules.ledger(table(spark, folder, "documents").select("doc_id", "text"))
@@ -146,12 +171,13 @@ FROM r LEFT JOIN v ON r.host = v.host
 """
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_warc": op4_warc,
     "op7_quality_rules": op7_quality_rules,
     "op8_decontamination": op8_decontamination,
     "op10_url_filter": op10_url_filter,
 }
 
-_SQL = {"op7_quality_rules": _OP7_SQL, "op8_decontamination": _OP8_SQL, "op10_url_filter": _OP10_SQL}
+_SQL = {"op4_warc": _OP4_SQL, "op7_quality_rules": _OP7_SQL, "op8_decontamination": _OP8_SQL, "op10_url_filter": _OP10_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
