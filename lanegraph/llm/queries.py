@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanegraph.llm import decontamination, host_reputation, quality_rules, warc
+from lanegraph.llm import decontamination, host_reputation, packing, quality_rules, warc
 from lanegraph.llm.common import fresh_path
 from lanegraph.tables import table
 
@@ -36,6 +36,12 @@ FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND payload_bytes >= 1
 """
 
 
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document, tokenized and packed into sequences of 2048 ids."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, keep_ids=False).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Rule ledger of every document under the policy web/1."""
     book = quality_rules.ledger(table(spark, folder, "documents").select("doc_id", "text"))
@@ -172,6 +178,7 @@ FROM r LEFT JOIN v ON r.host = v.host
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
+    "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
     "op8_decontamination": op8_decontamination,
     "op10_url_filter": op10_url_filter,
