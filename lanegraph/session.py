@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -21,3 +25,15 @@ def local_session(cpus: int = 8, partitions: int = 8) -> SparkSession:
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the executors once per application, wherever the driver found it."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        root = Path(__file__).resolve().parent
+        sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/lanegraph", "zip", root.parent, root.name))
+        _shipped.add(sc.applicationId)
