@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanegraph.llm import decontamination, host_reputation, packing, quality_rules, warc
+from lanegraph.llm import decontamination, host_reputation, packing, pu_quality, quality_rules, toxicity, warc
 from lanegraph.llm.common import fresh_path
 from lanegraph.tables import table
 
@@ -36,6 +36,26 @@ FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND payload_bytes >= 1
 """
 
 
+def _remainder(base: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % base
+
+
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document; every fifth is held out of training."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").select("doc_id", "toxic").filter(_remainder(5) != 0)
+    scored = toxicity.toxicity(docs, labels)
+    return scored.select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_pu_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document; every third is held out of training."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").select("doc_id", "quality").filter(_remainder(3) != 1)
+    scored = pu_quality.quality(docs, labels)
+    return scored.select("doc_id", F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document, tokenized and packed into sequences of 2048 ids."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -178,9 +198,11 @@ FROM r LEFT JOIN v ON r.host = v.host
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
+    "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
     "op8_decontamination": op8_decontamination,
+    "op9_pu_quality": op9_pu_quality,
     "op10_url_filter": op10_url_filter,
 }
 
