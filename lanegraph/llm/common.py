@@ -1,12 +1,9 @@
-"""What several corpus operators share: the shared folder, stage tables, text helpers."""
+"""What several corpus operators share: text and Arrow helpers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -14,44 +11,6 @@ from pyspark.sql.types import StructType
 #: White space that separates words (0x20 and 0x09 to 0x0D).
 SPACES = " \t\n\x0b\x0c\r"
 
-_own: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session sets none (tests, a single machine) a local one is made.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    return _own.setdefault("folder", "file://" + tempfile.mkdtemp(prefix="lanegraph-"))
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    Cuts the lineage: a lost executor costs a re-read, not a recomputation.
-    """
-    path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    stage = df.sparkSession.read.schema(df.schema).parquet(path)
-    stage._lanegraph_path = path
-    return stage
-
-
-def discard(df: DataFrame) -> None:
-    """Delete what materialize() wrote, once no later plan reads it."""
-    path = getattr(df, "_lanegraph_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
-
 
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, as a lambda variable."""

@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanegraph.llm.common import byte_texts, map_rows, materialize
+from lanegraph.llm.common import byte_texts, map_rows
+from lanegraph.stage import materialize
 
 #: A-Z lower-cased bytes of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]``.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")

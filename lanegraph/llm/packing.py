@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from lanegraph.llm.common import map_rows, materialize
+from lanegraph.llm.common import map_rows
+from lanegraph.stage import materialize
 
 CAPACITY = 2048
 END_ID = 0

@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanegraph.llm.common import byte_texts, discard, map_rows, materialize
+from lanegraph.llm.common import byte_texts, map_rows
+from lanegraph.stage import discard, materialize
 
 BINS = 16
 

@@ -7,11 +7,39 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanegraph.llm import decontamination, host_reputation, packing, pu_quality, quality_rules, toxicity, warc
-from lanegraph.llm.common import fresh_path
+from lanegraph.llm import decontamination, host_reputation, near_dedup, packing, pu_quality, quality_rules, toxicity, warc
+from lanegraph.stage import fresh_path
 from lanegraph.tables import table
 
 
+def op2_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of every document's near duplicates."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return near_dedup.near_duplicates(docs).withColumnRenamed("id", "doc_id")
+
+
+_OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+e AS (
+  SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+r AS (
+  SELECT doc_id AS node, doc_id AS seen FROM documents
+  UNION
+  SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen),
+k AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents JOIN k ON node = doc_id LEFT JOIN n USING (doc_id)
+"""
+
+
 def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Every page into WARC archives and back."""
     pages = table(spark, folder, "pages").select("page_id", "url", "html")
@@ -197,6 +225,7 @@ FROM r LEFT JOIN v ON r.host = v.host
 """
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_near_dedup": op2_near_dedup,
     "op4_warc": op4_warc,
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
@@ -206,7 +235,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": op10_url_filter,
 }
 
-_SQL = {"op4_warc": _OP4_SQL, "op7_quality_rules": _OP7_SQL, "op8_decontamination": _OP8_SQL, "op10_url_filter": _OP10_SQL}
+_SQL = {"op2_near_dedup": _OP2_SQL, "op4_warc": _OP4_SQL, "op7_quality_rules": _OP7_SQL, "op8_decontamination": _OP8_SQL, "op10_url_filter": _OP10_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanegraph.llm.common import discard, map_rows, materialize
+from lanegraph.llm.common import map_rows
+from lanegraph.stage import discard, materialize
 
 WORD = re.compile(r"[^\W_]+")
 BEGINNINGS = (4, 5, 6)
