@@ -7,11 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanegraph.llm import decontamination, host_reputation, near_dedup, packing, pu_quality, quality_rules, toxicity, warc
+from lanegraph.llm import decontamination, host_reputation, near_dedup, packing, pu_quality, quality_rules, suffix_dedup, toxicity, warc
 from lanegraph.stage import fresh_path
 from lanegraph.tables import table
 
 
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every byte of every document that lies in a repeated string of 400 bytes goes."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = suffix_dedup.deduplicate(docs, keep="none", whole_characters=False)
+    return found.select(
+        "doc_id", "n_bytes", suffix_dedup.n_removed().alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256")
+    )
+
+
 def op2_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Components of every document's near duplicates."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -225,6 +234,7 @@ FROM r LEFT JOIN v ON r.host = v.host
 """
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_near_dedup": op2_near_dedup,
     "op4_warc": op4_warc,
     "op5_toxicity": op5_toxicity,
