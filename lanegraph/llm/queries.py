@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lanegraph.llm import decontamination, host_reputation, near_dedup, packing, pu_quality, quality_rules, suffix_dedup, toxicity, warc
 from lanegraph.stage import fresh_path
 from lanegraph.tables import table
@@ -243,11 +244,17 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_pu_quality": op9_pu_quality,
     "op10_url_filter": op10_url_filter,
+    "pipeline": lambda spark, folder: pipeline(spark, folder),
 }
 
 _SQL = {"op2_near_dedup": _OP2_SQL, "op4_warc": _OP4_SQL, "op7_quality_rules": _OP7_SQL, "op8_decontamination": _OP8_SQL, "op10_url_filter": _OP10_SQL}
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """All stages of corpus_pipeline over documents."""
+    return corpus_pipeline.run(spark, folder)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
