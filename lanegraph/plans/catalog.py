@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lanegraph.plans import scalars
+
 Plan = Callable[[SparkSession, str], DataFrame]
 
+#: name: (plan, SQL or None where SQL cannot express it)
+_PLANS: dict[str, tuple[Plan, str | None]] = scalars.PLANS
+
 
 def queries() -> dict[str, Plan]:
-    return {}
+    return {name: plan for name, (plan, _) in _PLANS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _PLANS.items() if sql}
