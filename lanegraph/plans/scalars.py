@@ -28,11 +28,11 @@ GEODESY = ctes("seg") + """,
 s AS (SELECT *, radians(blat)-radians(alat) dy, radians(blon)-radians(alon) dx FROM seg),
 h AS (SELECT *, 2*asin(sqrt(pow(sin(dy/2),2)+cos(radians(alat))*cos(radians(blat))*pow(sin(dx/2),2))) arc,
   degrees(atan2(sin(dx)*cos(radians(blat)), cos(radians(alat))*sin(radians(blat))-sin(radians(alat))*cos(radians(blat))*cos(dx)))+360 b0 FROM s),
-g AS (SELECT *, round(b0 - 360*floor(b0/360), 4) b FROM h)
+g AS (SELECT *, round(b0 - 360*floor(b0/360), 4) brg FROM h)
 SELECT seg_id, round(6371000e0*arc*3.28084e0, 3) metric_ft, round(20902231e0*arc, 3) profile_ft,
-  round(sqrt(pow((blon-alon)*245000e0,2)+pow((blat-alat)*364000e0,2)), 3) planar_ft, b bearing,
-  (['north','northeast','east','southeast','south','southwest','west','northwest'])[1 + CAST(floor(b/45+0.5) AS INT) % 8] heading,
-  (['north','northeast','east','southeast','south','southwest','west','northwest'])[1 + CAST(floor((b+22.5)/45) AS INT) % 8] sector
+  round(sqrt(pow((blon-alon)*245000e0,2)+pow((blat-alat)*364000e0,2)), 3) planar_ft, brg bearing,
+  (['north','northeast','east','southeast','south','southwest','west','northwest'])[1 + CAST(floor(brg/45+0.5) AS INT) % 8] heading,
+  (['north','northeast','east','southeast','south','southwest','west','northwest'])[1 + CAST(floor((brg+22.5)/45) AS INT) % 8] sector
 FROM g"""
 
 
