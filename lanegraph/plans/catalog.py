@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanegraph.plans import scalars, spatial
+from lanegraph.plans import graphs, routes, scalars, spatial
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
 #: name: (plan, SQL or None where SQL cannot express it)
-_PLANS: dict[str, tuple[Plan, str | None]] = scalars.PLANS | spatial.PLANS
+_PLANS: dict[str, tuple[Plan, str | None]] = scalars.PLANS | spatial.PLANS | routes.PLANS | graphs.PLANS
 
 
 def queries() -> dict[str, Plan]:
