@@ -57,7 +57,7 @@ def encoder(path: str):
     pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     ids = [vocab[a + b] for a, b in pairs]
-    if spec["pre_tokenizer"]["type"] == "ByteLevel" and ids == sorted(ids) and len(vocab) == 256 + len(ids) + len(special):
+    if spec["pre_tokenizer"]["type"] == "ByteLevel" and ids == sorted(ids) and len(vocab.keys() - special.keys()) == 256 + len(ids):
         import public_tokenizers
         import tiktoken
 
