@@ -92,7 +92,7 @@ def small_rings(spark: SparkSession, folder: str) -> DataFrame:
     s = relation(spark, folder, "seg").filter(square).select("a", "b", (geo.planar_ft(F.col("alon"), F.col("alat"), F.col("blon"), F.col("blat")) / 10).alias("len_ft"))
     tenth = lambda a, b, c, d: geo.planar_ft(a, b, c, d) / 10
     found = propagation.rings(s, connected_components(s, "a", "b"), relation(spark, folder, "nodes"), tenth)
-    return found.select("component", "n", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+    return found.select("component", "n", F.round("lon", 8).alias("lon"), F.round("lat", 8).alias("lat"))
 
 
 SMALL_RINGS = ctes("seg") + """,
@@ -105,7 +105,7 @@ dg AS (SELECT x node, count(*) g, sum(l) l FROM (SELECT a x, l FROM s UNION ALL
 k AS (SELECT component FROM c JOIN dg USING (node) GROUP BY component HAVING count(*) BETWEEN 3 AND 6 AND min(g) = 2 AND max(g) = 2 AND sum(l)/2 <= 200),
 p AS (SELECT component, lon, lat FROM c JOIN k USING (component) JOIN nodes ON node_id = node),
 w AS (SELECT x.component FROM p x JOIN p y USING (component) GROUP BY 1 HAVING max(sqrt(pow((y.lon-x.lon)*245000e0,2)+pow((y.lat-x.lat)*364000e0,2))/10) <= 60)
-SELECT component, count(*) n, round(avg(lon), 6) lon, round(avg(lat), 6) lat FROM p JOIN w USING (component) GROUP BY component"""
+SELECT component, count(*) n, round(avg(lon), 8) lon, round(avg(lat), 8) lat FROM p JOIN w USING (component) GROUP BY component"""
 
 
 def _flagged(spark: SparkSession, folder: str) -> DataFrame:
