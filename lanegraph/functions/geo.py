@@ -166,3 +166,19 @@ def point_at_distance(points: Column, along: Column, target: Column) -> Column:
     p, q, a, b = F.element_at(points, k), F.element_at(points, k + 1), F.element_at(along, k), F.element_at(along, k + 1)
     t = F.least(F.greatest(F.when(b > a, (target - a) / (b - a)).otherwise(F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
     return F.struct((p["lon"] + t * (q["lon"] - p["lon"])).alias("lon"), (p["lat"] + t * (q["lat"] - p["lat"])).alias("lat"))
+
+
+def inside_parts(x0: Column, y0: Column, x1: Column, y1: Column, rings: Column) -> Column:
+    """Shares [t0, t1] of a segment that lie in a polygon: cut where it crosses an edge, kept where the middle is inside."""
+
+    def cut(p, q):
+        den = (x1 - x0) * (q["lat"] - p["lat"]) - (y1 - y0) * (q["lon"] - p["lon"])
+        t = ((p["lon"] - x0) * (q["lat"] - p["lat"]) - (p["lat"] - y0) * (q["lon"] - p["lon"])) / den
+        u = ((p["lon"] - x0) * (y1 - y0) - (p["lat"] - y0) * (x1 - x0)) / den
+        return F.when((den != 0) & (t > 0) & (t < 1) & (u >= 0) & (u <= 1), t)
+
+    ends = lambda ring: F.transform(ring, lambda p, i: cut(p, F.get(ring, F.when(i == F.size(ring) - 1, 0).otherwise(i + 1))))
+    cuts = F.array_sort(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.array_compact(F.flatten(F.transform(rings, ends)))))
+    spans = F.zip_with(F.slice(cuts, 1, F.size(cuts) - 1), F.slice(cuts, 2, F.size(cuts)), lambda a, b: F.struct(a.alias("t0"), b.alias("t1")))
+    middle = lambda s, a, b: a + (s["t0"] + s["t1"]) / 2 * (b - a)
+    return F.filter(spans, lambda s: (s["t1"] > s["t0"]) & in_rings(middle(s, x0, x1), middle(s, y0, y1), rings))

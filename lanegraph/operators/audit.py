@@ -112,3 +112,19 @@ def first_by_place(rows: DataFrame, label: list[Column], order: str, digits: int
 def shared_geometries(rows: DataFrame, points: str = "points") -> DataFrame:
     """One row per line whatever its direction: the lesser of the two orders, and how many rows have it."""
     return rows.groupBy(F.least(points, F.reverse(points)).alias(points)).agg(F.count("*").alias("n"))
+
+
+def overshoot(edges: DataFrame, reach: DataFrame, limit: float) -> DataFrame:
+    """Of approach edges with one end in reach: how many, their feet, and the feet beyond the limit, by category."""
+    a = reach.select(F.col("node_id").alias("src"), F.struct("dist", "category").alias("x"))
+    b = reach.select(F.col("node_id").alias("dst"), F.struct("dist", "category").alias("y"))
+    e = edges.join(a, "src", "left").join(b, "dst", "left").filter(F.col("x").isNull() != F.col("y").isNull())
+    near = F.coalesce("x", "y")
+    beyond = F.col("len_ft") - F.least(F.col("len_ft"), F.greatest(F.lit(limit) - near["dist"], F.lit(0.0)))
+    return e.groupBy(near["category"].alias("category")).agg(F.count("*").alias("n"), F.sum("len_ft").alias("feet"), F.sum(beyond).alias("beyond_ft"))
+
+
+def orderable(pairs: DataFrame) -> DataFrame:
+    """Crossing pairs (ra, rb: ranks or null) counted by what is known: both, one or neither."""
+    kind = F.when(F.col("ra").isNull() & F.col("rb").isNull(), "unknown").when(F.col("ra").isNotNull() & F.col("rb").isNotNull() & (F.col("ra") != F.col("rb")), "both").otherwise("one")
+    return pairs.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.count_if(kind != "unknown").alias("n_orderable"))

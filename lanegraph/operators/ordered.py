@@ -189,3 +189,12 @@ def longest_run(rows: DataFrame, flag: str, by: str, pos: str, feet: str) -> Dat
     runs = rows.withColumn("_run", F.sum(start.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter(flag)
     sums = runs.groupBy(by, "_run").agg(F.min(pos).alias("from_pos"), F.max(pos).alias("to_pos"), F.sum(feet).alias("feet"))
     return sums.groupBy(by).agg(F.max(F.struct("feet", -F.col("_run"), "from_pos", "to_pos")).alias("m")).select(by, "m.from_pos", "m.to_pos", "m.feet")
+
+
+def with_flat_ends(series: DataFrame, ends: DataFrame, route: str = "route_id", seq: str = "seq") -> DataFrame:
+    """The profile (route, seq, along, elev_ft) between a flat prefix and suffix of ``prefix_ft`` and ``suffix_ft`` feet."""
+    moved = series.join(ends, route).select(route, seq, (F.col("along") + F.col("prefix_ft")).alias("along"), "elev_ft", "prefix_ft", "suffix_ft")
+    edge = moved.groupBy(route, "prefix_ft", "suffix_ft").agg(F.min(F.struct(seq, "along", "elev_ft")).alias("a"), F.max(F.struct(seq, "along", "elev_ft")).alias("b"))
+    first = edge.filter("prefix_ft > 0").select(route, (F.col(f"a.{seq}") - 1).alias(seq), F.lit(0.0).alias("along"), "a.elev_ft")
+    last = edge.filter("suffix_ft > 0").select(route, (F.col(f"b.{seq}") + 1).alias(seq), (F.col("b.along") + F.col("suffix_ft")).alias("along"), "b.elev_ft")
+    return moved.select(route, seq, "along", "elev_ft").unionByName(first).unionByName(last)

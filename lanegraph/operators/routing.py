@@ -200,3 +200,26 @@ def slope_layer(edges: DataFrame) -> DataFrame:
     """One row per street, its forward edge if there is one: signed slope in percent and its class."""
     w = Window.partitionBy("seg_id").orderBy("is_reverse", "edge_id")
     return edges.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("seg_id", "edge_id", F.when(F.col("len_ft") > 0, F.round((F.col("to_elev") - F.col("from_elev")) / F.col("len_ft") * 100, 2)).otherwise(F.lit(0.0)).alias("slope_pct"), "is_sidewalk")
+
+
+def with_reverse(projections: DataFrame, edges: DataFrame) -> DataFrame:
+    """Adds ``back_id``, the edge between the same nodes on the same street the other way, if there is one."""
+    own = edges.select("edge_id", "seg_id", "src", "dst")
+    back = edges.select(F.col("seg_id"), F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("edge_id").alias("back_id"))
+    return projections.join(own, "edge_id").join(back, ["seg_id", "src", "dst"], "left")
+
+
+def mid_edge_ends(projections: DataFrame, edges: DataFrame, starting: bool) -> DataFrame:
+    """Ways into (or, not starting, out of) the graph from points on edges: point_id, node_id, cost, feet.
+
+    ``projections``: point_id, edge_id, back_id, src, dst, from_ft, to_ft. A start runs to the
+    edge's end, or back to its beginning where the street has the other direction; a goal is
+    reached from the beginning, or from the end. Parts of no length and blocked edges give none.
+    """
+    rate = edges.select("edge_id", (F.col("cost") / F.col("len_ft")).alias("rate")).filter("rate is not null")
+    ahead = (F.col("dst"), F.col("to_ft")) if starting else (F.col("src"), F.col("from_ft"))
+    behind = (F.col("src"), F.col("from_ft")) if starting else (F.col("dst"), F.col("to_ft"))
+    way = lambda edge, end: F.struct(edge.alias("way"), end[0].alias("node_id"), end[1].alias("feet"))
+    both = projections.select("point_id", F.inline(F.array(way(F.col("edge_id"), ahead), way(F.col("back_id"), behind))))
+    open_ = both.filter("way is not null and feet > 0").join(rate, F.col("way") == F.col("edge_id"))
+    return open_.groupBy("point_id", "node_id").agg(F.min(F.struct((F.col("feet") * F.col("rate")).alias("cost"), "feet")).alias("m")).select("point_id", "node_id", "m.cost", "m.feet")
