@@ -11,9 +11,10 @@ Join. Documents with equal sets are one class and only its smallest id goes on.
 filed as (key, id) rows. First every bucket links its members to its smallest member (as many
 pairs as rows); these pairs are checked on full sets, and the confirmed links give components.
 Only buckets that still hold several components go on: small ones give their pairs across
-components, larger ones are compared in blocks of signatures inside tasks, which emit the
-pairs across components within the signature distance alone. No bucket, block or partner is
-capped. Every link is confirmed on full shingle sets.
+components as rows; larger ones are dealt in pairs of blocks with their sets, and tasks
+confirm the pairs across components within the signature distance on the spot, so what they
+emit is one link per merge of components, not pairs. No bucket, block or partner is capped.
+Every link is confirmed on full shingle sets.
 
 Defined cases: null, empty or wordless text has an empty set, links with nothing and is its
 own component; fewer than five words are one shingle; repeated rows of one id share its
@@ -41,7 +42,7 @@ SIZE, CHUNKS, WIDTH, ERRORS = 128, 9, 4, 1
 FAR = 54
 #: Buckets up to this size give their pairs as rows; larger ones are compared in blocks.
 SMALL = 32
-BLOCK = 16_384
+BLOCK = 8192
 #: Ids up to this many are broadcast to filter the texts whose sets are needed.
 SENT_IDS = 1_000_000
 
@@ -159,23 +160,36 @@ def _sets(docs: DataFrame, needed: DataFrame, key: str, text: str) -> DataFrame:
     return materialize(rows, "near-sets")
 
 
-def _across(batch, far: int = FAR) -> list[tuple[int, int]]:
-    """Pairs of a block pair's rows across components and within the distance."""
+def _links(batch, percent: int) -> list[tuple[int, int]]:
+    """Confirmed links across components of a block pair's rows, one for each merge of two components."""
     one, two = batch[batch.side != 1], batch[batch.side != 0]
+    same = len(batch) and batch.side.iloc[0] == 2
     x, y = (np.frombuffer(b"".join(t.sig), np.uint8).reshape(-1, SIZE) for t in (one, two))
+    n, m, ids = one.n_shingles.to_numpy(), two.n_shingles.to_numpy(), two.id.to_numpy()
+    sets, others = ([np.asarray(v, np.int64).view(np.uint64) for v in t.shingles] for t in (one, two))
+    codes = np.unique(batch.component.to_numpy(), return_inverse=True)[1]
+    top, c, e = np.arange(codes.max(initial=0) + 1), codes[(batch.side != 1).to_numpy()], codes[(batch.side != 0).to_numpy()]
     out = []
     for k in range(len(one)):
-        row = one.iloc[k]
-        size = np.minimum(two.n_shingles, row.n_shingles) * 4 >= np.maximum(two.n_shingles, row.n_shingles) * 3
-        at = np.flatnonzero(((two.component != row.component) & size).to_numpy())
-        if len(at):
-            at = at[(y[at] != x[k]).sum(axis=1) <= far]
-            out += [(min(row.id, o), max(row.id, o)) for o in two.id.to_numpy()[at]]
+        at = np.flatnonzero((top[e] != top[c[k]]) & (4 * np.minimum(m, n[k]) >= 3 * np.maximum(m, n[k])))
+        at = at[at > k] if same else at
+        at = at[(y[at] != x[k]).sum(axis=1) <= FAR]
+        for part in np.array_split(at, -(-len(at) // 256) or 1):
+            if not len(part):
+                continue
+            values = np.concatenate([others[o] for o in part])
+            place = np.searchsorted(sets[k], values)
+            place[place == len(sets[k])] = 0
+            common = np.add.reduceat((sets[k][place] == values).astype(np.int64), np.concatenate(([0], np.cumsum(m[part])[:-1])))
+            for o in part[100 * common >= percent * (n[k] + m[part] - common)]:
+                if top[c[k]] != top[e[o]]:
+                    top[top == top[e[o]]] = top[c[k]]
+                    out.append((one.id.iloc[k], ids[o]))
     return out
 
 
-def _rest(buckets: DataFrame, sigs: DataFrame, components: DataFrame) -> DataFrame:
-    """Pairs (a, b) across components of the buckets (key, id, n) that hold several."""
+def _rest(buckets: DataFrame, sigs: DataFrame, sets: DataFrame, components: DataFrame, percent: int) -> DataFrame:
+    """Links across components of the buckets (key, id, n) that hold several."""
     own = components.select(F.col("node").alias("id"), "component")
     placed = buckets.join(own, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
@@ -184,8 +198,9 @@ def _rest(buckets: DataFrame, sigs: DataFrame, components: DataFrame) -> DataFra
     pair = lambda x: F.transform(F.filter("m", lambda y: (y["id"] > x["id"]) & (y["component"] != x["component"])), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))
     few = groups.select(F.inline(F.flatten(F.transform("m", pair))))
     hot = open_.filter(F.col("n") > SMALL)
+    links = _confirm(_near(few.distinct(), sigs), sets, percent)
     if hot.isEmpty():
-        return few.distinct()
+        return links
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
     spread = (
@@ -197,15 +212,15 @@ def _rest(buckets: DataFrame, sigs: DataFrame, components: DataFrame) -> DataFra
         .withColumn("side", F.when(F.col("i") == F.col("j"), 2).when(F.col("mine") == F.col("i"), 0).otherwise(1))
         .select("key", "i", "j", "side", "id", "component")
         .join(sigs.select("id", "n_shingles", "sig"), "id")
+        .join(sets, "id")
     )
 
     def run(batch):
         import pandas as pd
 
-        return pd.DataFrame(_across(batch), columns=["a", "b"]).drop_duplicates()
+        return pd.DataFrame(_links(batch, percent), columns=["src", "dst"])
 
-    many = spread.groupBy("key", "i", "j").applyInPandas(run, "a bigint, b bigint")
-    return few.union(many.filter("a <> b")).distinct()
+    return links.union(spread.groupBy("key", "i", "j").applyInPandas(run, "src bigint, dst bigint")).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
@@ -223,13 +238,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     stars = buckets.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     links = materialize(_confirm(_near(stars, lone), sets, percent), "near-links")
     components = connected_components(links)
-    rest = materialize(_rest(buckets.select("key", "id", "n"), lone, components), "near-rest")
-    more = materialize(_confirm(_near(rest, lone), sets, percent), "near-links")
+    more = materialize(_rest(buckets.select("key", "id", "n"), lone, sets, components, percent), "near-links")
     # Classes and links together: a document joins its class's first, that its component.
     same = filled.join(classes.filter("copies > 1"), "set_id").filter("id <> rep").select(F.col("id").alias("src"), F.col("rep").alias("dst"))
     final = connected_components(links.union(more).union(same))
     out = sigs.select("id", "n_shingles").join(final.select(F.col("node").alias("id"), "component"), "id", "left")
-    discard(firsts, buckets, needed, rest)
+    discard(firsts, buckets, needed)
     component = F.coalesce("component", "id")
     return out.select("id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
