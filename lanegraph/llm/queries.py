@@ -234,6 +234,11 @@ SELECT page_id, coalesce(r.host, '') AS host, coalesce(path, '') AS path, rule,
 FROM r LEFT JOIN v ON r.host = v.host
 """
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """All stages of corpus_pipeline over documents."""
+    return corpus_pipeline.run(spark, folder)
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_near_dedup": op2_near_dedup,
@@ -244,17 +249,12 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_pu_quality": op9_pu_quality,
     "op10_url_filter": op10_url_filter,
-    "pipeline": lambda spark, folder: pipeline(spark, folder),
+    "pipeline": pipeline,
 }
 
 _SQL = {"op2_near_dedup": _OP2_SQL, "op4_warc": _OP4_SQL, "op7_quality_rules": _OP7_SQL, "op8_decontamination": _OP8_SQL, "op10_url_filter": _OP10_SQL}
 
 
-def pipeline(spark: SparkSession, folder: str) -> DataFrame:
-    """All stages of corpus_pipeline over documents."""
-    return corpus_pipeline.run(spark, folder)
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
