@@ -40,13 +40,13 @@ from lanegraph.stage import discard, materialize
 
 LENGTH = 400
 GRAM = 96
-GROUP = 2048
-#: Bytes of contexts in one suffix array, unless a single group has more (GROUP contexts at most).
-BATCH = 2_000_000
+GROUP = 1024
+#: Bytes of contexts after which a suffix array is built; it holds at most one group more.
+BATCH = 300_000
 #: Texts are anchored in pieces of this many bytes, which overlap by a window.
 PIECE = 4_000_000
-#: Rows up to this many are broadcast to the documents; more are joined by a shuffle.
-SENT_ROWS = 300_000
+#: Array elements up to this many (of at most 56 bytes) are broadcast to the documents; more are joined by a shuffle.
+SENT_ITEMS = 200_000
 
 _BYTE = np.random.default_rng(11).integers(0, 2**63, 256).astype(np.uint64)
 _BASE = np.uint64(0xD1342543DE82EF95)
@@ -118,41 +118,48 @@ def _hash(data: bytes, seed: int = 0) -> int:
     return xxhash.xxh3_64_intdigest(data, seed=seed) - (1 << 63)
 
 
+def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the keys and their dense ranks from 1. Keys of 43 bits with places of 20 are sorted as one number."""
+    n = len(keys)
+    if n < 1 << 20 and keys[keys.argmax()] < 1 << 43:
+        both = np.sort((keys << np.uint64(20)) | np.arange(n, dtype=np.uint64))
+        order, found = (both & np.uint64((1 << 20) - 1)).astype(np.int32), both >> np.uint64(20)
+    else:
+        order = np.argsort(keys).astype(np.int32)
+        found = keys[order]
+    rank = np.empty(n, np.int32)
+    rank[order] = np.cumsum(np.concatenate(([1], found[1:] != found[:-1])))
+    return order, rank
+
+
 def suffix_array(data: np.ndarray, groups: np.ndarray, length: int) -> tuple[np.ndarray, list[np.ndarray], int]:
     """Suffix order up to ``length`` bytes or more by prefix doubling; the ranks of each doubling; the first one's size.
 
     Suffixes end with their group (a number per place). The first size is the largest power of
-    two that divides ``length``, 8 at most, so LCPs in steps of it decide about ``length``.
+    two that divides ``length``, 4 at most, so LCPs in steps of it decide about ``length``.
     """
     n = len(data)
-    size = next(k for k in (8, 4, 2, 1) if length % k == 0)
-    packed, whole = np.zeros(n, np.uint64), np.ones(n, np.uint64)
+    size = next(k for k in (4, 2, 1) if length % k == 0)
+    packed, whole = np.zeros(n, np.uint64), np.ones(n, bool)
     for k in range(size):
+        m = max(n - k, 0)
         inside = np.zeros(n, bool)
-        inside[: max(n - k, 0)] = groups[k:] == groups[: max(n - k, 0)]
+        inside[:m] = groups[k:] == groups[:m]
         ahead = np.zeros(n, np.uint64)
-        ahead[: max(n - k, 0)] = data[k:]
-        packed = (packed << np.uint64(8)) | np.where(inside, ahead, 0)
+        ahead[:m] = data[k:]
+        packed = (packed << np.uint64(8)) | np.where(inside, ahead, np.uint64(0))
         whole &= inside
-    order = np.argsort(packed)
-    rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(np.concatenate(([1], packed[order][1:] != packed[order][:-1])))
-    rank, first = 2 * rank + whole.astype(np.int64), size
-    ranks = [rank]
-    order = np.argsort(rank)
-    while size < length:
-        ahead = np.zeros(n, np.int64)
+    order, rank = _ranked((packed << np.uint64(1)) | whole)
+    ranks, first = [rank], size
+    while size < length and (n == 0 or rank[order[-1]] < n):
+        ahead = np.zeros(n, np.uint64)
         if size < n:
             same = groups[size:] == groups[:-size]
             ahead[: n - size][same] = rank[size:][same]
-        pair = (rank << 32) | ahead
-        order = np.argsort(pair)
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate(([1], pair[order][1:] != pair[order][:-1])))
+        bits = np.uint64(max(n, 1).bit_length())
+        order, rank = _ranked((rank.astype(np.uint64) << bits) | ahead)
         size *= 2
         ranks.append(rank)
-        if rank[order[-1]] == n:
-            break
     return order, ranks, first
 
 
@@ -162,7 +169,7 @@ def adjacent_lcp(order: np.ndarray, ranks: list[np.ndarray], first: int, groups:
     lcp = np.zeros(n, np.int64)
     bounds = np.append(np.flatnonzero(np.diff(groups)) + 1, n)
     ends = bounds[np.searchsorted(bounds, np.arange(n), side="right")]
-    x, y = order[1:], order[:-1]
+    x, y = order[1:].astype(np.int64), order[:-1].astype(np.int64)
     end_x, end_y = ends[x], ends[y]
     for k in range(len(ranks) - 1, -1, -1):
         size = first << k
@@ -177,6 +184,7 @@ def longest_factors(order: np.ndarray, lcp: np.ndarray, earlier: bool = True) ->
     """Per position, the longest match with an earlier (or later) one: previous and next smaller
     (greater) positions in suffix order, found by pointer jumping, with the LCP minimum on the way."""
     n = len(order)
+    order = order.astype(np.int64)
     value = order if earlier else n - 1 - order
     best = np.zeros(n, np.int64)
     for step in (-1, 1):
@@ -293,9 +301,10 @@ def _halve(contexts: DataFrame, length: int, keep: str) -> DataFrame:
             return found.groupBy("anchor", "body").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    """Broadcast only what is known to be small."""
-    return F.broadcast(df) if df.count() <= SENT_ROWS else df
+def _sized(df: DataFrame, items: str) -> DataFrame:
+    """Broadcast only what is known to be small; else the smaller side of a hash join."""
+    n = df.agg(F.sum(F.size(items))).first()[0] or 0
+    return F.broadcast(df) if n <= SENT_ITEMS else df.hint("shuffle_hash")
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, keep: str = "first") -> DataFrame:
@@ -329,7 +338,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 def _cut(docs: DataFrame, per_id: DataFrame, key: str, text: str) -> DataFrame:
     """The wanted contexts with their bytes."""
     own = docs.select(F.col(key).alias("id"), text)
-    chosen = own.join(_sized(per_id.withColumnRenamed("id", "_id")), F.col("id").eqNullSafe(F.col("_id"))).drop("_id")
+    chosen = own.join(_sized(per_id.withColumnRenamed("id", "_id"), "w"), F.col("id").eqNullSafe(F.col("_id"))).drop("_id")
 
     def run(batches):
         for b in batches:
@@ -367,15 +376,17 @@ def _whole_characters(text: bytes, s: int, e: int) -> tuple[int, int]:
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, keep: str = "first", whole_characters: bool = True) -> DataFrame:
     """``docs`` with n_bytes, removed (merged byte runs) and kept_bytes, the text without them."""
     spans = repeated_spans(docs, key, text, length, keep)
-    per_id = spans.groupBy("id").agg(F.collect_list(F.struct("tid", "spans")).alias("_spans")).withColumnRenamed("id", "_id")
-    placed = docs.join(_sized(per_id), F.col(key).eqNullSafe(F.col("_id")), "left").drop("_id")
+    one = F.inline("spans")
+    flat = spans.select("id", "tid", one)
+    per_id = flat.groupBy("id").agg(F.collect_list(F.struct("tid", "start", "end")).alias("_spans")).withColumnRenamed("id", "_id")
+    placed = docs.join(_sized(per_id, "_spans"), F.col(key).eqNullSafe(F.col("_id")), "left").drop("_id")
 
     def run(batches):
         for b in batches:
             made = {"n_bytes": [], "removed": [], "kept_bytes": []}
             for t, found in zip(byte_texts(b, text), b.column(b.schema.get_field_index("_spans")).to_pylist(), strict=True):
                 tid = _hash(t) if found else None
-                runs = merge([x for f in found or () if f["tid"] == tid for x in f["spans"]])
+                runs = merge([x for x in found or () if x["tid"] == tid])
                 if whole_characters:
                     runs = [(x, y) for x, y in (_whole_characters(t, x, y) for x, y in runs) if y > x]
                 edges = [0, *(v for r in runs for v in r), len(t)]
