@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lanegraph.llm import decontamination, host_reputation, near_dedup, packing, pu_quality, quality_rules, suffix_dedup, toxicity, warc
+from lanegraph.llm import decontamination, host_reputation, near_dedup, packing, pu_quality, quality_rules, sentence_dedup, suffix_dedup, toxicity, warc
 from lanegraph.stage import fresh_path
 from lanegraph.tables import table
 
@@ -50,6 +50,37 @@ FROM documents JOIN k ON node = doc_id LEFT JOIN n USING (doc_id)
 """
 
 
+def op3_sentence_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every sentence of every document that lies in a run of three sentences found before goes."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = sentence_dedup.deduplicate(docs)
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return found.select("doc_id", "n_sentences", "n_cut", n_bytes.alias("n_bytes"), (n_bytes - F.octet_length("kept_text")).alias("n_removed"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+_OP3_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''),
+    '(?s)[\x20\x09-\x0D]*[^\x20\x09-\x0D].*?(?:[.!?]["''”’»)\]]*[\x20\x09-\x0D]+|[。！？]["''”’»)\]]*[\x20\x09-\x0D]*|\n[\x20\x09-\x0D]*|\z)') AS s
+  FROM documents),
+w AS (
+  SELECT doc_id, i, list_transform(s[i:i + 2], lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS g
+  FROM (SELECT doc_id, s, unnest(range(1, len(s) - 1)) AS i FROM t)),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM w),
+c AS (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r WHERE k > 1),
+k AS (
+  SELECT doc_id, string_agg(x, '' ORDER BY p) AS kept, count(*) AS n
+  FROM (SELECT doc_id, unnest(s) AS x, unnest(range(1, len(s) + 1)) AS p FROM t) ANTI JOIN c USING (doc_id, p) GROUP BY doc_id),
+o AS (
+  SELECT doc_id, text, CAST(len(s) AS BIGINT) AS n_sentences, CAST(len(s) - coalesce(n, 0) AS BIGINT) AS n_cut,
+    CASE WHEN len(s) = 0 THEN text ELSE coalesce(kept, '') END AS kept
+  FROM t LEFT JOIN k USING (doc_id))
+SELECT doc_id, n_sentences, n_cut, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes,
+  CAST(octet_length(encode(text)) - octet_length(encode(kept)) AS BIGINT) AS n_removed, sha256(kept) AS kept_sha256
+FROM o
+"""
+
+
 def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Every page into WARC archives and back."""
     pages = table(spark, folder, "pages").select("page_id", "url", "html")
@@ -242,6 +273,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_near_dedup": op2_near_dedup,
+    "op3_sentence_dedup": op3_sentence_dedup,
     "op4_warc": op4_warc,
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
@@ -252,7 +284,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-_SQL = {"op2_near_dedup": _OP2_SQL, "op4_warc": _OP4_SQL, "op7_quality_rules": _OP7_SQL, "op8_decontamination": _OP8_SQL, "op10_url_filter": _OP10_SQL}
+_SQL = {"op2_near_dedup": _OP2_SQL, "op3_sentence_dedup": _OP3_SQL, "op4_warc": _OP4_SQL, "op7_quality_rules": _OP7_SQL, "op8_decontamination": _OP8_SQL, "op10_url_filter": _OP10_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
