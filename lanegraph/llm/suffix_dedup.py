@@ -17,7 +17,7 @@ each half keyed by the bytes its windows share; counts of equal and of single ke
 half, so no task holds a hot anchor's contexts.
 
 ``keep="first"`` removes later copies (longest previous factor) and leaves the earliest in
-the order of (key, position); ``keep="none"`` removes every copy.
+the order of (key, position, text hash); ``keep="none"`` removes every copy.
 
 Defined cases: null text is empty; texts shorter than ``length`` keep everything; a row
 repeated with its id is a copy of itself for ``keep="none"``, and one place in the order for
@@ -230,10 +230,10 @@ _SPANS = "anchor bigint, body bigint, spans array<struct<start:bigint,end:bigint
 
 
 def _compare_groups(contexts: DataFrame, length: int, keep: str) -> DataFrame:
-    """_SPANS of contexts (anchor, body, id, start, bytes), batched by anchor."""
+    """_SPANS of contexts (anchor, body, id, at, tid, bytes), batched by anchor; a body comes once, however often its row is repeated."""
 
     def flush(rows):
-        rows.sort(key=lambda r: r[2])
+        rows = sorted({r[:2]: r for r in rows}.values(), key=lambda r: r[2])
         found = compare([r[3] for r in rows], length, keep)
         rows = [(r, s) for r, s in zip(rows, found, strict=True) if s]
         return pa.RecordBatch.from_arrays(
@@ -248,17 +248,17 @@ def _compare_groups(contexts: DataFrame, length: int, keep: str) -> DataFrame:
     def run(batches):
         rows, size, last = [], 0, None
         for b in batches:
-            for row in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("anchor", "body", "id", "start", "bytes")), strict=True):
+            for row in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("anchor", "body", "id", "at", "tid", "bytes")), strict=True):
                 if size >= BATCH and row[0] != last:
                     yield flush(rows)
                     rows, size = [], 0
                 last = row[0]
-                rows.append((row[0], row[1], (row[2] is not None, row[2] or 0, row[3]), row[4]))
-                size += len(row[4])
+                rows.append((row[0], row[1], (row[2] is not None, row[2] or 0, row[3], row[4]), row[5]))
+                size += len(row[5])
         if rows:
             yield flush(rows)
 
-    dealt = contexts.select("anchor", "body", "id", "start", "bytes").repartition("anchor").sortWithinPartitions("anchor")
+    dealt = contexts.select("anchor", "body", "id", "at", "tid", "bytes").repartition("anchor").sortWithinPartitions("anchor")
     return dealt.mapInArrow(run, _SPANS)
 
 
@@ -284,10 +284,10 @@ def _halve(contexts: DataFrame, length: int, keep: str) -> DataFrame:
                 yield {"core": core, "own": body, "has": has}
 
         live = materialize(map_rows(node, shared, "core bigint, own bigint, has boolean").filter("has").drop("has"), "halves")
-        order = F.struct("id", "start")
+        order = F.struct("id", "at", "tid")
         sums = live.groupBy("anchor", "lo", "hi", "core").agg(F.count("*").alias("n"), F.min("own").alias("a"), F.max("own").alias("b"), F.min(order).alias("first")).filter("n > 1")
         both = live.join(sums, ["anchor", "lo", "hi", "core"])
-        settled = both.filter("a = b" if keep == "none" else (F.col("a") == F.col("b")) & (order != F.col("first")))
+        settled = both.filter("a = b" if keep == "none" else (F.col("a") == F.col("b")) & ~order.eqNullSafe(F.col("first")))
         a, last = F.col("at") - F.col("start"), F.octet_length("bytes") - length
         spans = settled.select("anchor", "body", F.array(F.struct((a - F.least("hi", a)).alias("start"), (a - F.greatest("lo", a - last) + length).alias("end"))).alias("spans"))
         spans = materialize(spans, "halves-found")
@@ -336,19 +336,21 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
 
 def _cut(docs: DataFrame, per_id: DataFrame, key: str, text: str) -> DataFrame:
-    """The wanted contexts with their bytes."""
+    """The wanted contexts with their bytes; a row repeated in a task gives them once."""
     own = docs.select(F.col(key).alias("id"), text)
     chosen = own.join(_sized(per_id.withColumnRenamed("id", "_id"), "w"), F.col("id").eqNullSafe(F.col("_id"))).drop("_id")
 
     def run(batches):
+        done = set()
         for b in batches:
             made = []
-            for t, w in zip(byte_texts(b, text), b.column(b.schema.get_field_index("w")).to_pylist(), strict=True):
+            for key, t, w in zip(b.column(b.schema.get_field_index("id")).to_pylist(), byte_texts(b, text), b.column(b.schema.get_field_index("w")).to_pylist(), strict=True):
                 tid = _hash(t)
-                made.append([x | {"bytes": t[x["start"] : x["stop"]]} for x in w if x["tid"] == tid])
+                made.append([x | {"bytes": t[x["start"] : x["stop"]]} for x in w if x["tid"] == tid] if (key, tid) not in done else [])
+                done.add((key, tid))
             yield {"c": made}
 
-    kind = "array<struct<anchor:bigint,body:bigint,m:bigint,start:bigint,at:bigint,bytes:binary>>"
+    kind = "array<struct<tid:bigint,anchor:bigint,body:bigint,m:bigint,start:bigint,at:bigint,bytes:binary>>"
     rows = map_rows(chosen, run, f"c {kind}", drop=(text, "w"))
     return rows.select("id", F.inline("c"))
 

@@ -3,8 +3,10 @@ import random
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+import corpus_pipeline
 from lanegraph.llm import suffix_dedup as s
 
 
@@ -71,6 +73,50 @@ def test_hot_groups_are_halved(spark, monkeypatch):
     run(spark, planted(5), "first", monkeypatch, group=2)
 
 
+def repeated(spark, texts, cut):
+    """Rows repeated with their id and text are one place in the order, and are cut alike."""
+    rows = [(k, t) for k, t in enumerate(texts) for _ in range(1 + k % 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted((r["doc_id"], bytes(r["kept"])) for r in cut(docs).collect())
+    data = [(t or "").encode() for t in texts]
+    want = [bytes(np.frombuffer(d, np.uint8)[~gone]) for d, gone in zip(data, covered(data, s.LENGTH, "first"), strict=True)]
+    assert got == [(k, want[k]) for k, t in rows if want[k] or not data[k]]
+
+
+def sharing():
+    r = random.Random(8)
+    word = lambda n: "".join(r.choices("abcdefghij", k=n))
+    shared = word(900)
+    return [word(500), word(700) + shared + word(600), word(600) + shared + word(700), word(600) + shared[50:] + word(500), None, word(650) + shared[:600] + word(300)]
+
+
+def test_repeated_rows_keep_their_own(spark, monkeypatch):
+    cut = lambda docs: s.deduplicate(docs, keep="first", whole_characters=False).filter("n_bytes = 0 or octet_length(kept_bytes) > 0").select("doc_id", F.col("kept_bytes").alias("kept"))
+    repeated(spark, sharing(), cut)
+    monkeypatch.setattr(s, "GROUP", 1)
+    repeated(spark, sharing(), cut)
+
+
+def test_repeated_rows_through_the_stages(spark):
+    def cut(docs):
+        near = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+        return corpus_pipeline.cut_repeated_strings(spark, near, "").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("kept"))
+
+    repeated(spark, sharing(), lambda docs: cut(docs.withColumn("n_chars", F.length("text").cast("long"))))
+
+
+def test_texts_of_one_id_keep_one_copy(spark, monkeypatch):
+    r = random.Random(9)
+    word = lambda n: "".join(r.choices("abcdefghij", k=n))
+    shared = word(1500)
+    texts = [word(299) + x + shared + x + word(299) for x in "XYZ"]
+    for group in (1024, 1):
+        monkeypatch.setattr(s, "GROUP", group)
+        out = s.deduplicate(spark.createDataFrame([(7, t) for t in texts], "doc_id long, text string"), keep="first", whole_characters=False)
+        kept = sorted(bytes(x["kept_bytes"]) for x in out.collect())
+        assert sum(shared.encode() in x for x in kept) == 1 and sum(len(x) for x in kept) == 3 * 600 + 1500
+
+
 def test_shuffled_instead_of_broadcast(spark, monkeypatch):
     monkeypatch.setattr(s, "SENT_ITEMS", 0)
     run(spark, planted(6), "none")
