@@ -40,3 +40,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         labels, live = relabelled, rest
     discard(live)
     return labels
+
+
+def main_component(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """The nodes (node) of the component with most nodes; of equals, of the lowest id."""
+    labels = connected_components(edges, src, dst)
+    top = labels.groupBy("component").agg(F.count("*").alias("n")).agg(F.min(F.struct(-F.col("n"), "component")).alias("t")).select("t.component")
+    return labels.join(F.broadcast(top), "component", "left_semi").select("node")

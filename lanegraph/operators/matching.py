@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lanegraph.functions import geo, tags
 from lanegraph.operators import grid
+from lanegraph.operators.components import main_component
 
 #: Search radii in degrees.
 STREET_DEG, FACILITY_DEG, CONTROL_DEG, CIRCLE_DEG, ADDRESS_DEG = 0.00015, 0.00012, 0.0002, 0.00018, 0.0012
@@ -125,7 +126,10 @@ def snap_to_nodes(points: DataFrame, nodes: DataFrame, radius: float, point: str
 
 
 def snap(points: DataFrame, edges: DataFrame, nodes: DataFrame, radius_ft: float = 200.0, node_radius: float = 0.0024, point: str = "point_id") -> DataFrame:
-    """Edge projection where one is in reach, else the nearest node, else nothing."""
+    """Edge projection where one is in reach, else the nearest node, else nothing; only the main component counts."""
+    main = main_component(edges)
+    edges = edges.join(main.withColumnRenamed("node", "src"), "src", "left_semi")
+    nodes = nodes.join(main.withColumnRenamed("node", "node_id"), "node_id", "left_semi")
     e = snap_to_edges(points, edges, radius_ft, point).select(point, "edge_id", "t", "from_ft", "to_ft")
     n = snap_to_nodes(points, nodes, node_radius, point).select(point, "node_id")
     kind = F.when(F.col("edge_id").isNotNull(), "edge").when(F.col("node_id").isNotNull(), "node")

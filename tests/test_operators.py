@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lanegraph.functions import geo, tags, text
-from lanegraph.operators import audit, elevation, ordered, propagation, routing
+from lanegraph.operators import audit, elevation, matching, ordered, propagation, routing
 from lanegraph.operators.components import connected_components
 from lanegraph.plans import travel
 
@@ -162,3 +162,13 @@ def test_levels_from_tags(spark):
     df = spark.createDataFrame([(4, None), (0, 1), (0, 0), (256, 2), (64, None)], "f int, l int")
     got = [tuple(r) for r in df.select(tags.needs_correction(F.col("f"), F.col("l")), tags.edge_category(F.col("f"), F.col("l"))).collect()]
     assert got == [(True, "bridge"), (True, "layered(+1)"), (False, "other"), (False, "layered(+2)"), (True, "untagged-crossing")]
+
+
+def test_points_snap_to_the_main_component(spark):
+    at = {1: (0.0, 0.0), 2: (0.001, 0.0), 3: (0.002, 0.0), 8: (0.0, 0.0002), 9: (0.001, 0.0002), 10: (0.0022, 0.0002)}
+    nodes = spark.createDataFrame([(k, *v) for k, v in at.items()], "node_id long, lon double, lat double")
+    pairs = [(1, 1, 2), (2, 2, 3), (3, 8, 9)]
+    edges = spark.createDataFrame([(k, a, b, 245.0, False, *at[a], *at[b]) for k, a, b in pairs], "edge_id long, src long, dst long, len_ft double, is_sidewalk boolean, slon double, slat double, dlon double, dlat double")
+    points = spark.createDataFrame([(1, 0.0005, 0.0002), (2, 0.0032, 0.0004)], "point_id long, px double, py double")
+    got = {r["point_id"]: (r["kind"], r["edge_id"], r["node_id"]) for r in matching.snap(points, edges, nodes).collect()}
+    assert got == {1: ("edge", 1, None), 2: ("node", None, 3)}
