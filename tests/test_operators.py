@@ -23,6 +23,25 @@ def test_components_of_a_chain_and_a_star(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_components_by_rounds_and_at_once(spark):
+    r = np.random.default_rng(4)
+    rows = [(int(a), int(b)) for a, b in zip(r.integers(0, 900, 500), r.integers(0, 900, 500), strict=True)] + [(5000 + k, 5001 + k) for k in range(300)] + [(7000, 7100 + k) for k in range(200)] + [(None, 3), (9000, 9000)]
+    up = {x: x for e in rows if e[0] is not None for x in e}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in rows:
+        if a is not None:
+            a, b = sorted((root(a), root(b)))
+            up[b] = a
+    edges = spark.createDataFrame(rows, "src long, dst long").repartition(3)
+    for last in (500_000, 10, 0):
+        assert {x["node"]: x["component"] for x in connected_components(edges, last_edges=last).collect()} == {x: root(x) for x in up}
+
+
 def test_paths_are_dijkstra(spark):
     w = routing.Weights.of(routing.PRESETS["comfort"], sidewalks=True)
     edges = travel._edges(spark, FOLDER)
