@@ -32,16 +32,27 @@ def spaced_words(text: Column) -> Column:
     return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
 
 
+def spare_names(taken: list[str], *names: str) -> list[str]:
+    """The names for columns of our own, each with as many underscores before it as keep it off ``taken`` (letters' case aside)."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def map_rows(df: DataFrame, make, fields: str, drop: tuple[str, ...] = ()) -> DataFrame:
     """Add columns computed by Python from whole Arrow batches; a narrow step.
 
     ``make(batches)`` takes an iterator of record batches and yields, per batch, a dict of the
     new columns (lists or Arrow arrays); ``fields`` is their DDL. Other columns pass through
-    as they are, those in ``drop`` and those that a new one replaces do not.
+    as they are, those in ``drop`` and those that a new one replaces (letters' case aside) do not.
     """
     new = StructType.fromDDL(fields)
-    gone = set(drop) | set(new.names)
-    keep = [f for f in df.schema.fields if f.name not in gone]
+    gone = {n.lower() for n in (*drop, *new.names)}
+    keep = [f for f in df.schema.fields if f.name.lower() not in gone]
     schema = StructType(keep + new.fields)
     arrow = to_arrow_schema(new)
     names = [f.name for f in keep]

@@ -12,10 +12,12 @@ The benchmark is taken in blocks of at most ``block_words`` words: what is sent
 executors is bounded by that, not by the benchmark. Documents are never shuffled; the corpus
 counts are added per task and then per shingle. More blocks mean more narrow passes.
 
-Defined cases: null or empty text, or one without words, has no words, no hits; null or
-wordless items, and items with a null id, have no windows; an item repeated under several
-ids names them all; repeated documents are judged each; an empty benchmark hits nothing;
-other columns pass through, and clashing ones are replaced.
+Defined cases: null or empty text, or one without words, has no words, no hits; texts of any
+length are read whole; null or wordless items, and items with a null id, have no windows;
+item ids may be of any type that sorts; an item repeated under several ids names them all;
+of equally rare shingles the first in hash order is taken; repeated documents are judged
+each; an empty benchmark hits nothing, an empty table gives no rows; other columns pass
+through, but n_words, hit_spans and item_ids are replaced.
 """
 
 from __future__ import annotations
@@ -175,12 +177,14 @@ def _count(docs: DataFrame, index, text: str) -> dict[tuple[int, int], int]:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: str = "text", block_words: int = 1_000_000) -> DataFrame:
     """``docs`` with n_words, hit_spans (word positions, end exclusive) and item_ids (sorted)."""
     sc = docs.sparkSession.sparkContext
-    out, fields = docs, "n_words long, hit_spans array<struct<start:int,end:int>>, item_ids array<bigint>"
+    out, fields = docs, f"n_words long, hit_spans array<struct<start:int,end:int>>, item_ids array<{benchmark.schema['item_id'].dataType.simpleString()}>"
     blocks = _blocks(benchmark, block_words)
     block, earlier = next(blocks, []), None
     while block is not None:
         index = build_index(block, size)
-        file_by_rarest(index, _count(docs, sc.broadcast(index), text))
+        counted = sc.broadcast(index)
+        file_by_rarest(index, _count(docs, counted, text))
+        counted.destroy()
         sent, more = sc.broadcast(index), earlier is not None
 
         def run(batches, sent=sent, more=more):

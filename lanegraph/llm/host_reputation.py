@@ -9,9 +9,11 @@ Only counts per host are joined back to pages, so the pages are shuffled once, b
 hot host is pre-aggregated before its shuffle and its join partition can be split.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, no rule, and is
-allowed; hosts without labelled pages take the posterior of their domain, suffix or the
-whole; with no labels at all every host is allowed; repeated pages count as often as they
-are labelled; other columns are carried through.
+allowed; urls of any length are read whole; hosts without labelled pages take the posterior
+of their domain, suffix or the whole; with no labels at all every host is allowed; of rules
+of equal length the first listed wins; repeated pages are judged alike and count as often as
+they are there; a page's several outcomes all count; an empty table gives no rows; other
+columns are carried through, but host, path, rule, verdict, mean and sd are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanegraph.llm.common import ascii_lower
+from lanegraph.llm.common import ascii_lower, spare_names
 
 #: Rules (verdict, host, path); the longest that fits wins.
 RULES = (
@@ -123,8 +125,9 @@ def filter_urls(
     ``outcomes`` has (key, bad 0/1). Blocks where mean - z * sd > limit; a rule goes first.
     """
     host, path = url_parts(F.col("url"))
-    own = ("host", "path", "rule", "verdict", "mean", "sd", "_ruled")
-    parts = pages.select(*[c for c in pages.columns if c not in own], host.alias("host"), path.alias("path"))
+    own = ("host", "path", "rule", "verdict", "mean", "sd")
+    (by_rule,) = spare_names([*pages.columns, *own], "ruled")
+    parts = pages.select(*[c for c in pages.columns if c.lower() not in own], host.alias("host"), path.alias("path"))
     seen = outcomes.filter(F.col(key).isNotNull() & F.col("bad").isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
     hosts = (
         parts.select(key, "host")
@@ -137,8 +140,8 @@ def filter_urls(
     bad = F.coalesce(F.col("mean") - F.lit(z) * F.col("sd") > F.lit(limit), F.lit(False))
     return (
         parts.withColumn("rule", rule)
-        .withColumn("_ruled", ruled)
+        .withColumn(by_rule, ruled)
         .join(known.select("host", "mean", "sd"), "host", "left")
-        .withColumn("verdict", F.coalesce("_ruled", F.when(bad, "block").otherwise("allow")))
-        .drop("_ruled")
+        .withColumn("verdict", F.coalesce(by_rule, F.when(bad, "block").otherwise("allow")))
+        .drop(by_rule)
     )

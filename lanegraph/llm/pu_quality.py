@@ -4,14 +4,17 @@ Trusted positives and unlabelled web text (bounded samples, chosen by a hash of
 train a linear model over binned shape statistics of a text. The risk is the non-negative
 unbiased one: prior * E_pos[loss(+)] + max(0, E_unl[loss(-)] - prior * E_pos[loss(-)]), with
 the gradient of the negative part reversed where it falls below zero. The class prior is
-estimated from the share of positives among labelled training rows.
+estimated from the same two samples, labels of negatives are never used: where positives
+are dense and negatives rare, the share of unlabelled over the share of positives comes down
+to the prior, so the least such ratio over the tops of cross-fitted scores is taken.
 
 Scoring reads every document once, in place; the model is a few hundred numbers.
 
 Defined cases: null or empty text has the statistics of no words and is scored like any
-other; without positives every score is the prior; repeated documents are scored alike;
-repeated labels of one key count once, positive only if all say so; other columns pass
-through, and clashing ones are replaced.
+other; texts of any length are read whole; without positives or documents every score is
+0.5; repeated and equal documents are scored alike; repeated labels of one key count once,
+positive only if all say so, and null ones not at all; an empty table gives no rows; other
+columns pass through, but score is replaced.
 """
 
 from __future__ import annotations
@@ -69,14 +72,13 @@ class Model:
         return self.weights[np.arange(place.shape[1]), place].sum(axis=1) + self.bias
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, positives: int, unlabelled: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Statistics of the sampled positives and unlabelled documents, and the class prior.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, positives: int, unlabelled: int) -> tuple[np.ndarray, np.ndarray]:
+    """Statistics of the sampled positives and of unlabelled documents.
 
     The samples' keys are broadcast (at most positives + unlabelled rows of two numbers); what
     reaches the driver is the samples' statistics, a bounded number of short rows.
     """
     one = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.min(label).cast("int").alias("y"))
-    share = one.agg(F.avg("y").alias("p")).first()["p"]
     order = [F.xxhash64(F.lit("pu"), key), F.col(key)]
     pos = one.filter("y = 1").orderBy(*order).limit(positives).select(key, F.lit(1).alias("kind"))
     # The unlabelled are drawn from all documents, positives among them, as the risk assumes.
@@ -93,7 +95,33 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, key: str, text
     discard(found)
     width = len(statistics(b""))
     x = {k: np.array([list(r) for r in got["x"][got["kind"] == k]], float).reshape(-1, width) for k in (0, 1)}
-    return x[1], x[0], 0.5 if share is None else float(share)
+    return x[1], x[0]
+
+
+def estimate_prior(pos: np.ndarray, web: np.ndarray, guess: float = 0.9, seed: int = 5) -> float:
+    """Share of positives among the unlabelled, from positives and unlabelled alone.
+
+    Each half is scored by a model of the other halves. Of the unlabelled above a score, as
+    many as prior times the positives above it are positive, the rest negative; the least
+    ratio of the two shares, over tops that hold 30 to 98 % of the positives, has fewest of
+    these (a mean of five neighbouring tops is taken). The guess only orders the scores; what
+    is found with it is the guess of a second pass.
+    """
+    if min(len(pos), len(web)) < 4:
+        return 0.5
+    rng = np.random.default_rng(seed)
+    halves = [np.array_split(rng.permutation(len(x)), 2) for x in (pos, web)]
+    for _ in range(2):
+        scores = [np.zeros(len(pos)), np.zeros(len(web))]
+        for k in (0, 1):
+            model = fit(pos[halves[0][k]], web[halves[1][k]], guess, epochs=300)
+            for own, x, at in zip(scores, (pos, web), (halves[0][1 - k], halves[1][1 - k]), strict=True):
+                own[at] = model.logits(x[at])
+        tops = np.quantile(scores[0], 1 - np.arange(0.30, 0.99, 0.02))
+        above = [1 - np.searchsorted(np.sort(s), tops, side="right") / len(s) for s in scores]
+        ratios = above[1][above[0] > 0] / above[0][above[0] > 0]
+        guess = min(1.0, float(np.convolve(ratios, np.full(5, 0.2), "valid").min())) if len(ratios) >= 5 else 0.5
+    return guess
 
 
 def fit(pos: np.ndarray, web: np.ndarray, prior: float, epochs: int = 1000, rate: float = 0.05, decay: float = 1e-4, seed: int = 7) -> Model:
@@ -145,4 +173,5 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", positives: int = 10_000, unlabelled: int = 20_000) -> DataFrame:
     """Fit on bounded samples and score every document."""
-    return score(docs, fit(*training_rows(docs, labels, label, key, text, positives, unlabelled)), text)
+    pos, web = training_rows(docs, labels, label, key, text, positives, unlabelled)
+    return score(docs, fit(pos, web, estimate_prior(pos, web)), text)

@@ -8,9 +8,10 @@ over the distinct bit patterns (at most 2^rules rows, whatever the corpus).
 All in DataFrame functions; nothing shuffles but the ablation's counts.
 
 Defined cases: null or empty text has no words, so every count is 0 and it fails
-``few_words``; repeated rows are judged alike and stay as many as they were; columns of
-the input other than the text are carried through, and one that clashes with a measurement
-is replaced by it.
+``few_words``; texts of any length are measured whole; repeated and equal rows are judged
+alike and stay as many as they were; an empty table gives an empty ledger; columns of the
+input other than the text are carried through whatever their names, but those of MEASURES,
+fail_bits and kept are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanegraph.llm.common import SPACES, let, spaced_words, whole_text
+from lanegraph.llm.common import SPACES, let, spare_names, spaced_words, whole_text
 
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -96,13 +97,14 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the text, with MEASURES (all long)."""
     body = whole_text(text)
     lines = F.filter(F.split(body, "\n"), lambda line: F.btrim(line, F.lit(SPACES)) != "")
-    kept = [c for c in docs.columns if c != text and c not in MEASURES]
+    kept = [c for c in docs.columns if c != text and c.lower() not in MEASURES]
+    per_word, lined = spare_names(docs.columns, "words", "lines")
     words = let(spaced_words(body), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).cast("long").alias("again")))
     per_line = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")))
     return docs.select(
         *kept,
-        words.alias("_w"),
-        per_line.alias("_l"),
+        words.alias(per_word),
+        per_line.alias(lined),
         F.length(F.translate(body, SPACES, "")).cast("long").alias("word_chars"),
         (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         _count(body, r"[^\p{L}]+").alias("n_letters"),
@@ -110,12 +112,12 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         (F.length(body) - F.length(F.translate(body, "!", ""))).cast("long").alias("n_marks"),
     ).select(
         *kept,
-        F.col("_w.n").alias("n_words"),
+        F.col(f"{per_word}.n").alias("n_words"),
         "word_chars",
         "n_symbols",
-        F.col("_l.n").alias("n_lines"),
-        F.col("_l.dup").alias("n_dup_lines"),
-        F.col("_w.again").alias("n_repeat_words"),
+        F.col(f"{lined}.n").alias("n_lines"),
+        F.col(f"{lined}.dup").alias("n_dup_lines"),
+        F.col(f"{per_word}.again").alias("n_repeat_words"),
         "n_letters",
         "n_upper",
         "n_marks",

@@ -12,10 +12,12 @@ scoring segments are found in one pass over the positive words (each is looked a
 number of times); every segment with E < 1 is a passage, and a document's statistic adds the
 -ln E of its passages. Documents are read once, in place, and never shuffled.
 
-Defined cases: null, empty or wordless text has no segment and takes the score of that; a
-sample without both labels gives every document the observed rate; repeated documents are
-scored alike; labelled rows repeated under one key count once, toxic if any says so; other
-columns pass through, and clashing ones are replaced.
+Defined cases: null, empty or wordless text has no segment and takes the score of that; texts
+of any length are scanned whole; a sample of one label alone gives every document a score on
+its side, an empty one a low score; repeated and equal documents are scored alike; of features
+tied at the end of the model the first by name stay; labelled rows repeated under one key
+count once, toxic if any says so; an empty table gives no rows; other columns pass through,
+but score and passages are replaced.
 """
 
 from __future__ import annotations

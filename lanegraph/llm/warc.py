@@ -12,8 +12,8 @@ reached candidates are records. A record whose payload holds the magic is put to
 from its pieces. Pieces are located by running sums of their lengths, per split and then per
 file, so a file may be read by many tasks.
 
-Defined cases: null payload is empty; null keys and urls are written empty or left out;
-payloads under ``least`` bytes are always responses; rows repeated with the same key and
+Defined cases: null payload is empty; payloads of any length up to what one row can hold are
+written and read whole; null keys and urls are written empty or left out; payloads under ``least`` bytes are always responses; rows repeated with the same key and
 payload are alike (both responses where the key is the smallest); an empty table gives no
 records; carriage returns and line feeds in urls are percent-encoded; columns other than
 key, url and payload are not archived.
