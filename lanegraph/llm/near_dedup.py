@@ -1,29 +1,35 @@
 """MinHash near-deduplication by a multi-index Hamming join.
 
 Signature. A document's set is its distinct shingles of five words; its signature holds
-``SIZE`` b-bit minimum hashes. The first CHUNKS x WIDTH of them, 16 bits each, are split into
-chunks. Two signatures that differ in at most ``CHUNKS * (ERRORS + 1) - 1`` of these places
+b-bit minimum hashes. The first chunks x WIDTH of them, 16 bits each, are split into chunks.
+Two signatures that differ in at most ``bound`` = chunks * (ERRORS + 1) - 1 of these places
 have, by pigeonhole, a chunk with at most ERRORS differing places; each chunk is filed once
-for every choice of ERRORS places left out, so such a pair always shares a key. (At a
-similarity of 0.75 a pair shares one with probability 0.999994, within the bound or not.)
+for every choice of ERRORS places left out, so every pair within the bound shares a key, and
+every such pair is confirmed on full sets. Pairs beyond the bound that share a key all the
+same are confirmed too unless they differ in more than ``far`` of all places. The number of
+chunks, ``far`` and the bound on set sizes follow from ``percent`` (see Scheme): a pair at
+exactly that similarity is missed with a probability of about 1e-5, more alike ones less.
 
 Join. Documents with equal sets are one class and only its smallest id goes on. Keys are
 filed as (key, id) rows. First every bucket links its members to its smallest member (as many
 pairs as rows); these pairs are checked on full sets, and the confirmed links give components.
 Only buckets that still hold several components go on: small ones give their pairs across
-components as rows; larger ones are dealt in pairs of blocks with their sets, and tasks
+components as rows; larger ones are dealt in pairs of blocks of BLOCK_BYTES of sets, and tasks
 confirm the pairs across components within the signature distance on the spot, so what they
 emit is one link per merge of components, not pairs. No bucket, block or partner is capped.
 Every link is confirmed on full shingle sets.
 
 Defined cases: null, empty or wordless text has an empty set, links with nothing and is its
-own component; fewer than five words are one shingle; repeated rows of one id share its
-component and are all judged alike; rows with a null id are left unlinked, with a null
-component, and kept; other columns pass through, and clashing ones are replaced.
+own component; fewer than five words are one shingle; texts of any length are read whole;
+repeated rows of one id share its component and are all judged alike; rows with a null id are
+left unlinked, with a null component, and kept; ids are whole numbers; an empty table gives
+no rows; near_duplicates() returns its own columns alone, keep_firsts() those of ``docs``.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -37,18 +43,57 @@ from lanegraph.operators.components import connected_components
 from lanegraph.stage import discard, materialize
 
 SHINGLE = 5
-SIZE, CHUNKS, WIDTH, ERRORS = 128, 9, 4, 1
-#: Differing places, of SIZE, above which a pair is not looked at: 4.5 deviations from the mean at 0.75.
-FAR = 54
+WIDTH, ERRORS = 4, 1
+#: Places of the longest signature, and of the shortest.
+MOST, LEAST = 400, 128
 #: Buckets up to this size give their pairs as rows; larger ones are compared in blocks.
 SMALL = 32
-BLOCK = 8192
+#: Bytes of sets (8 a shingle) that a block holds on average; its rows are dealt by a hash.
+BLOCK_BYTES = 16_000_000
+
+
+@dataclass(frozen=True)
+class Scheme:
+    """Signature and thresholds for a similarity of ``percent`` or more."""
+
+    percent: int
+    chunks: int
+    size: int
+    far: int
+
+    @property
+    def bound(self) -> int:
+        """Differing places, of the first chunks x WIDTH, up to which a shared key is certain."""
+        return self.chunks * (ERRORS + 1) - 1
+
+    def near(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether signatures are within the bound, or not too far in all places."""
+        apart = x != y
+        return (apart.sum(axis=-1) <= self.far) | (apart[..., : self.chunks * WIDTH].sum(axis=-1) <= self.bound)
+
+
+@cache
+def scheme(percent: int) -> Scheme:
+    """Fewest chunks that miss a pair at the similarity with at most 1e-5; ``far`` is 4.5 deviations from its mean distance."""
+    p = percent / 100
+    one = p**WIDTH + WIDTH * p ** (WIDTH - 1) * (1 - p)
+    chunks = MOST // WIDTH
+    if one >= 1:
+        chunks = 1
+    elif one > 0:
+        chunks = min(chunks, int(np.ceil(np.log(1e-5) / np.log1p(-one))))
+    if not 0 < percent <= 100 or (1 - one) ** chunks > 1.1e-5:
+        raise ValueError(f"no signature of {MOST} places finds pairs at {percent} %")
+    size = max(LEAST, chunks * WIDTH)
+    return Scheme(percent, chunks, size, int(size * (1 - p) + 4.5 * np.sqrt(size * p * (1 - p))))
+
+
 #: Ids up to this many are broadcast to filter the texts whose sets are needed.
 SENT_IDS = 1_000_000
 
 _rng = np.random.default_rng(20240501)
-_FACTOR = _rng.integers(1, 2**63, SIZE).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_TERM = _rng.integers(0, 2**63, SIZE).astype(np.uint64)
+_FACTOR = _rng.integers(1, 2**63, MOST).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_TERM = _rng.integers(0, 2**63, MOST).astype(np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LEFT = [c for c in combinations(range(WIDTH), WIDTH - ERRORS)]
 
@@ -78,57 +123,56 @@ def shingle_set(text: bytes, words: _Words) -> np.ndarray:
     return np.unique(h)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """SIZE minimum hashes, 16 bits each."""
-    low = np.full(SIZE, np.iinfo(np.uint64).max, np.uint64)
+def signature(shingles: np.ndarray, size: int) -> np.ndarray:
+    """``size`` minimum hashes, 16 bits each."""
+    low = np.full(size, np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(shingles), 1024):
-        low = np.minimum(low, (shingles[k : k + 1024, None] * _FACTOR + _TERM).min(axis=0))
+        low = np.minimum(low, (shingles[k : k + 1024, None] * _FACTOR[:size] + _TERM[:size]).min(axis=0))
     low = (low ^ (low >> np.uint64(31))) * _STEP
     return (low >> np.uint64(48)).astype(np.uint16)
 
 
-def keys_of(sig: np.ndarray) -> list[int]:
-    """One key for every chunk and every choice of places left out."""
-    chunks = sig[: CHUNKS * WIDTH].astype(np.int64).reshape(CHUNKS, WIDTH)
+def keys_of(sig: np.ndarray, count: int) -> list[int]:
+    """One key for each of ``count`` chunks and every choice of places left out."""
+    chunks = sig[: count * WIDTH].astype(np.int64).reshape(count, WIDTH)
     out = []
     for j, left in enumerate(_LEFT):
-        key = np.arange(CHUNKS, dtype=np.int64) * len(_LEFT) + j
+        key = np.arange(count, dtype=np.int64) * len(_LEFT) + j
         for k in left:
             key = (key << 16) | chunks[:, k]
         out += key.tolist()
     return out
 
 
-def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles, set_id (a 128-bit hash of the set), sig, keys."""
+def signatures(docs: DataFrame, key: str, text: str, plan: Scheme) -> DataFrame:
+    """id, n_shingles, set_id (a 128-bit hash of the set), sig, keys."""
 
     def run(batches):
         words = _Words()
         for b in batches:
             made = {"n_shingles": [], "set_id": [], "sig": [], "keys": []}
-            for t in byte_texts(b, text):
+            for t in byte_texts(b, "text"):
                 s = shingle_set(t, words)
-                sig = signature(s)
+                sig = signature(s, plan.size)
                 made["n_shingles"].append(len(s))
                 made["set_id"].append(xxhash.xxh3_128_digest(s.tobytes()))
                 made["sig"].append((sig & np.uint16(255)).astype(np.uint8).tobytes())
-                made["keys"].append(keys_of(sig) if len(s) else [])
+                made["keys"].append(keys_of(sig, plan.chunks) if len(s) else [])
             yield made
 
-    return map_rows(docs.select(F.col(key).alias("id"), text), run, "n_shingles long, set_id binary, sig binary, keys array<bigint>", drop=(text,))
+    return map_rows(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), run, "n_shingles long, set_id binary, sig binary, keys array<bigint>", drop=("text",))
 
 
-def _near(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Of pairs (a, b), those within the signature distance and the bound on set sizes."""
+def _near(pairs: DataFrame, sigs: DataFrame, plan: Scheme) -> DataFrame:
+    """Of pairs (a, b), those near by signature and by the bound on set sizes."""
     one = sigs.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"))
     two = sigs.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"))
-    both = pairs.join(one, "a").join(two, "b").filter("4 * least(na, nb) >= 3 * greatest(na, nb)")
+    both = pairs.join(one, "a").join(two, "b").filter(100 * F.least("na", "nb") >= plan.percent * F.greatest("na", "nb"))
 
     def run(batches):
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(b.schema.get_field_index(c)).to_pylist()), np.uint8).reshape(-1, SIZE) for c in ("sa", "sb"))
-            keep = pa.array((x != y).sum(axis=1) <= FAR)
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in ("a", "b", "na", "nb")], names=["a", "b", "na", "nb"]).filter(keep)
+            x, y = (np.frombuffer(b"".join(b.column(b.schema.get_field_index(c)).to_pylist()), np.uint8).reshape(-1, plan.size) for c in ("sa", "sb"))
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in ("a", "b", "na", "nb")], names=["a", "b", "na", "nb"]).filter(pa.array(plan.near(x, y)))
 
     return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint, na bigint, nb bigint")
 
@@ -148,32 +192,32 @@ def _confirm(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, needed: DataFrame, key: str, text: str) -> DataFrame:
-    ids = needed.select(F.col("id").alias(key))
-    chosen = docs.select(key, text).join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, key, "left_semi")
+    ids = needed.select("id")
+    own = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("id is not null")
+    chosen = own.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "id", "left_semi")
 
     def run(batches):
         words = _Words()
         for b in batches:
-            yield {"shingles": [shingle_set(t, words).view(np.int64) for t in byte_texts(b, text)]}
+            yield {"shingles": [shingle_set(t, words).view(np.int64) for t in byte_texts(b, "text")]}
 
-    rows = map_rows(chosen.withColumnRenamed(key, "id"), run, "shingles array<bigint>", drop=(text,))
-    return materialize(rows, "near-sets")
+    return materialize(map_rows(chosen, run, "shingles array<bigint>", drop=("text",)), "near-sets")
 
 
-def _links(batch, percent: int) -> list[tuple[int, int]]:
+def _links(batch, plan: Scheme) -> list[tuple[int, int]]:
     """Confirmed links across components of a block pair's rows, one for each merge of two components."""
     one, two = batch[batch.side != 1], batch[batch.side != 0]
     same = len(batch) and batch.side.iloc[0] == 2
-    x, y = (np.frombuffer(b"".join(t.sig), np.uint8).reshape(-1, SIZE) for t in (one, two))
+    x, y = (np.frombuffer(b"".join(t.sig), np.uint8).reshape(-1, plan.size) for t in (one, two))
     n, m, ids = one.n_shingles.to_numpy(), two.n_shingles.to_numpy(), two.id.to_numpy()
     sets, others = ([np.asarray(v, np.int64).view(np.uint64) for v in t.shingles] for t in (one, two))
     codes = np.unique(batch.component.to_numpy(), return_inverse=True)[1]
     top, c, e = np.arange(codes.max(initial=0) + 1), codes[(batch.side != 1).to_numpy()], codes[(batch.side != 0).to_numpy()]
     out = []
     for k in range(len(one)):
-        at = np.flatnonzero((top[e] != top[c[k]]) & (4 * np.minimum(m, n[k]) >= 3 * np.maximum(m, n[k])))
+        at = np.flatnonzero((top[e] != top[c[k]]) & (100 * np.minimum(m, n[k]) >= plan.percent * np.maximum(m, n[k])))
         at = at[at > k] if same else at
-        at = at[(y[at] != x[k]).sum(axis=1) <= FAR]
+        at = at[plan.near(y[at], x[k])]
         for part in np.array_split(at, -(-len(at) // 256) or 1):
             if not len(part):
                 continue
@@ -181,74 +225,77 @@ def _links(batch, percent: int) -> list[tuple[int, int]]:
             place = np.searchsorted(sets[k], values)
             place[place == len(sets[k])] = 0
             common = np.add.reduceat((sets[k][place] == values).astype(np.int64), np.concatenate(([0], np.cumsum(m[part])[:-1])))
-            for o in part[100 * common >= percent * (n[k] + m[part] - common)]:
+            for o in part[100 * common >= plan.percent * (n[k] + m[part] - common)]:
                 if top[c[k]] != top[e[o]]:
                     top[top == top[e[o]]] = top[c[k]]
                     out.append((one.id.iloc[k], ids[o]))
     return out
 
 
-def _rest(buckets: DataFrame, sigs: DataFrame, sets: DataFrame, components: DataFrame, percent: int) -> DataFrame:
+def _rest(buckets: DataFrame, sigs: DataFrame, sets: DataFrame, components: DataFrame, plan: Scheme) -> DataFrame:
     """Links across components of the buckets (key, id, n) that hold several."""
     own = components.select(F.col("node").alias("id"), "component")
-    placed = buckets.join(own, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+    placed = materialize(buckets.join(own, "id", "left").withColumn("component", F.coalesce("component", "id")), "near-placed")
+    mixed = materialize(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key"), "near-mixed")
     open_ = materialize(placed.join(mixed, "key", "left_semi"), "near-open")
+    discard(placed, mixed)
     groups = open_.filter(F.col("n") <= SMALL).groupBy("key").agg(F.collect_set(F.struct("id", "component")).alias("m"))
     pair = lambda x: F.transform(F.filter("m", lambda y: (y["id"] > x["id"]) & (y["component"] != x["component"])), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))
     few = groups.select(F.inline(F.flatten(F.transform("m", pair))))
     hot = open_.filter(F.col("n") > SMALL)
-    links = _confirm(_near(few.distinct(), sigs), sets, percent)
+    links = _confirm(_near(few.distinct(), sigs, plan), sets, plan.percent)
     if hot.isEmpty():
         return links
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    known = materialize(hot.join(sigs.select("id", "n_shingles", "sig"), "id"), "near-hot")
+    blocks = materialize(known.groupBy("key").agg(F.ceil(8 * F.sum("n_shingles") / BLOCK_BYTES).cast("int").alias("blocks")), "near-blocks")
     spread = (
-        hot.withColumn("blocks", blocks)
-        .withColumn("mine", mine)
+        known.join(blocks, "key")
+        .withColumn("mine", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("i", F.least("mine", "other"))
         .withColumn("j", F.greatest("mine", "other"))
         .withColumn("side", F.when(F.col("i") == F.col("j"), 2).when(F.col("mine") == F.col("i"), 0).otherwise(1))
-        .select("key", "i", "j", "side", "id", "component")
-        .join(sigs.select("id", "n_shingles", "sig"), "id")
+        .select("key", "i", "j", "side", "id", "component", "n_shingles", "sig")
         .join(sets, "id")
     )
 
     def run(batch):
         import pandas as pd
 
-        return pd.DataFrame(_links(batch, percent), columns=["src", "dst"])
+        return pd.DataFrame(_links(batch, plan), columns=["src", "dst"])
 
     return links.union(spread.groupBy("key", "i", "j").applyInPandas(run, "src bigint, dst bigint")).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """id, n_shingles, component_id, kept: one row per row of ``docs``."""
-    sigs = materialize(signatures(docs, key, text), "near-signatures")
+    plan = scheme(percent)
+    sigs = materialize(signatures(docs, key, text, plan), "near-signatures")
     filled = sigs.filter("n_shingles > 0 and id is not null")
     classes = materialize(filled.groupBy("set_id").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "near-classes")
     firsts = materialize(filled.join(classes.select("set_id", F.col("rep").alias("id")), ["set_id", "id"], "left_semi").dropDuplicates(["set_id"]).select("id", "n_shingles", "sig", "keys"), "near-firsts")
     filed = firsts.select(F.explode("keys").alias("key"), "id")
-    shared = filed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("hub")).filter("n > 1")
+    # A stage table of its own, so that the join with it is of two plain shuffles and a hot key can be split.
+    shared = materialize(filed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("hub")).filter("n > 1"), "near-shared")
     buckets = materialize(filed.join(shared, "key"), "near-buckets")
     needed = materialize(buckets.select("id").distinct(), "near-needed")
-    lone = firsts.select("id", "n_shingles", "sig").join(needed, "id", "left_semi")
-    sets = _sets(docs.filter(F.col(key).isNotNull()), needed, key, text).dropDuplicates(["id"])
+    lone = materialize(firsts.select("id", "n_shingles", "sig").join(needed, "id", "left_semi"), "near-lone")
+    discard(shared, firsts)
+    sets = _sets(docs, needed, key, text).dropDuplicates(["id"])
     stars = buckets.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    links = materialize(_confirm(_near(stars, lone), sets, percent), "near-links")
+    links = materialize(_confirm(_near(stars, lone, plan), sets, percent), "near-links")
     components = connected_components(links)
-    more = materialize(_rest(buckets.select("key", "id", "n"), lone, sets, components, percent), "near-links")
+    more = materialize(_rest(buckets.select("key", "id", "n"), lone, sets, components, plan), "near-links")
     # Classes and links together: a document joins its class's first, that its component.
     same = filled.join(classes.filter("copies > 1"), "set_id").filter("id <> rep").select(F.col("id").alias("src"), F.col("rep").alias("dst"))
     final = connected_components(links.union(more).union(same))
     out = sigs.select("id", "n_shingles").join(final.select(F.col("node").alias("id"), "component"), "id", "left")
-    discard(firsts, buckets, needed)
+    discard(buckets, needed, lone, classes, links, more, components)
     component = F.coalesce("component", "id")
     return out.select("id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def keep_firsts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_firsts(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """``docs`` without the rows whose component has a smaller id."""
-    gone = near_duplicates(docs, key, text).filter("not kept").select(F.col("id").alias(key)).distinct()
+    gone = near_duplicates(docs, key, text, percent).filter("not kept").select(F.col("id").alias(key)).distinct()
     return docs.join(gone, key, "left_anti")

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 
 from lanegraph.llm import near_dedup as n
 
@@ -13,7 +14,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
 
 
-def brute(rows):
+def brute(rows, percent=75):
     sets = {k: shingles(t) for k, t in rows}
     up = {k: k for k in sets}
 
@@ -24,7 +25,7 @@ def brute(rows):
 
     for a, b in itertools.combinations(sorted(sets), 2):
         x, y = sets[a], sets[b]
-        if x and y and 100 * len(x & y) >= 75 * len(x | y):
+        if x and y and 100 * len(x & y) >= percent * len(x | y):
             a, b = sorted((root(a), root(b)))
             up[b] = a
     return {k: root(k) for k in sets}
@@ -46,9 +47,9 @@ def near_copies(seed=3):
     return list(enumerate(rows))
 
 
-def found(spark, rows):
+def found(spark, rows, percent=75):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    return {r["id"]: r["component_id"] for r in n.near_duplicates(docs).collect()}
+    return {r["id"]: r["component_id"] for r in n.near_duplicates(docs, percent=percent).collect()}
 
 
 def test_components_are_brute_force(spark):
@@ -59,18 +60,45 @@ def test_components_are_brute_force(spark):
 def test_blocks_and_pairs_agree(spark, monkeypatch):
     rows = near_copies(8)
     monkeypatch.setattr(n, "SMALL", 2)
-    monkeypatch.setattr(n, "BLOCK", 8)
+    monkeypatch.setattr(n, "BLOCK_BYTES", 8000)
     assert found(spark, rows) == brute(rows)
 
 
-def test_pairs_within_the_bound_share_a_key():
-    r = np.random.default_rng(5)
+def test_other_percent(spark):
+    rows = near_copies(9)
+    r = random.Random(2)
+    for g in range(20):
+        base = prose(500 + g, 120).split()
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base[: r.randint(70, 110)] + prose(600 + g, 20).split()))]
+    assert brute(rows, 50) != brute(rows)
+    assert found(spark, rows, 50) == brute(rows, 50)
+
+
+@pytest.mark.parametrize("percent", [75, 50, 90])
+def test_pairs_within_the_bound_share_a_key_and_are_near(percent):
+    r, s = np.random.default_rng(5), n.scheme(percent)
     for _ in range(300):
-        a = r.integers(0, 65536, n.SIZE).astype(np.uint16)
+        a = r.integers(0, 65536, s.size).astype(np.uint16)
         b = a.copy()
-        at = r.choice(n.CHUNKS * n.WIDTH, n.CHUNKS * (n.ERRORS + 1) - 1, replace=False)
+        at = r.choice(s.chunks * n.WIDTH, s.bound, replace=False)
         b[at] = r.integers(0, 65536, len(at))
-        assert set(n.keys_of(a)) & set(n.keys_of(b))
+        b[s.chunks * n.WIDTH :] = r.integers(0, 65536, s.size - s.chunks * n.WIDTH)
+        assert set(n.keys_of(a, s.chunks)) & set(n.keys_of(b, s.chunks))
+        assert s.near((a & 255).astype(np.uint8), (b & 255).astype(np.uint8))
+
+
+@pytest.mark.parametrize("percent", [75, 50])
+def test_recall_at_the_limit(percent):
+    """Pairs at exactly the similarity: all of 2000 share a key and are near."""
+    r, s = np.random.default_rng(11), n.scheme(percent)
+    for _ in range(2000):
+        every = r.integers(0, 2**63, 200).astype(np.uint64)
+        cut = (200 - 2 * percent) // 2
+        one, two = every[: 200 - cut], every[cut:]
+        assert 100 * (200 - 2 * cut) == percent * 200
+        x, y = n.signature(one, s.size), n.signature(two, s.size)
+        assert set(n.keys_of(x, s.chunks)) & set(n.keys_of(y, s.chunks))
+        assert s.near((x & 255).astype(np.uint8), (y & 255).astype(np.uint8))
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
