@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanegraph.stage import discard, materialize
@@ -31,9 +31,21 @@ def sample_raster(points: DataFrame, raster: DataFrame, width: int, height: int,
 
 
 def raster_stats(raster: DataFrame) -> DataFrame:
-    """Range, spread and 99th percentile of the values."""
-    v = raster.filter("v is not null and not isnan(v)")
-    return v.agg(F.min("v").alias("min_v"), F.max("v").alias("max_v"), F.stddev_pop("v").alias("std_v"), F.percentile("v", 0.99).alias("p99_v"))
+    """Range, spread and 99th percentile (interpolated, exact) of the values.
+
+    The percentile's two neighbours by rank are found among counts of equal values, ranked in
+    ranges by value; only the ranges' counts meet in one task.
+    """
+    v = raster.filter("v is not null and not isnan(v)").select(F.col("v").cast("double").alias("v"))
+    counts = materialize(v.groupBy("v").agg(F.count("*").alias("n")).repartitionByRange("v").withColumn("part", F.spark_partition_id()), "raster-counts")
+    sizes = counts.groupBy("part").agg(F.sum("n").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.sum("n").over(Window.partitionBy("part").orderBy("v"))
+    ranked = counts.withColumn("upto", inside).join(sizes.select("part", before.alias("before")), "part").select("v", (F.col("before") + F.col("upto")).alias("upto"))
+    at = 0.99 * max((counts.agg(F.sum("n")).first()[0] or 0) - 1, 0)
+    low, high = ranked.agg(F.min(F.when(F.col("upto") > int(at), F.col("v"))), F.min(F.when(F.col("upto") >= at + 1, F.col("v")))).first()
+    p99 = None if low is None else low + (at - int(at)) * (high - low)
+    return v.agg(F.min("v").alias("min_v"), F.max("v").alias("max_v"), F.stddev_pop("v").alias("std_v"), F.lit(p99).cast("double").alias("p99_v"))
 
 
 def _at(profile: Column, target: Column) -> Column:
@@ -70,52 +82,101 @@ def even_metrics(rise: Column, feet: Column) -> tuple[Column, Column, Column]:
     return F.when(up, F.round(rise, 2)).otherwise(zero), F.when(up, F.round(rise / feet, 4)).otherwise(zero), F.when(up, F.round(feet * over * over, 2)).otherwise(zero)
 
 
-def level_groups(segs: DataFrame, nodes: DataFrame, most: int = 2000, tolerance: float = 1e-3, rounds: int = 500) -> DataFrame:
+#: Inner nodes of a group that one task solves; MEETING: neighbours of a node that is eliminated, at first.
+MOST, MEETING = 2000, 6
+
+
+def level_groups(segs: DataFrame, nodes: DataFrame, most: int = MOST) -> DataFrame:
     """Elevation of the inner nodes of every group of segments (grp, u, v, len_ft): the weighted mean of their neighbours'.
 
     ``nodes``: node, elev_ft, boundary; boundary nodes keep their elevation, groups without one
-    are left out. Groups of at most ``most`` inner nodes are solved directly, one group to a
-    call; larger ones are relaxed by joins until no node moves by ``tolerance``, so no task
-    holds a group beyond the bound.
+    are left out. The equations are solved exactly at every size. Groups of at most ``most``
+    inner nodes are solved in one call each. In larger ones, nodes that have few neighbours and
+    are not next to one another are eliminated by joins (a chain's segments add up, a star
+    becomes the mesh of its ends), round by round, until the rest fits; then they are put back
+    in reverse order. A street graph shrinks by a factor per round. One that does not, because
+    all its nodes meet hundreds of others, raises an error; nothing unfinished is returned.
     """
-    links = segs.select("grp", F.col("u").alias("node"), F.col("v").alias("other"), (1 / F.greatest("len_ft", F.lit(1e-6))).alias("w"))
+    fixed = nodes.filter("boundary").select(F.col("node").alias("other"), "elev_ft")
+    links = segs.filter("u <> v").select("grp", F.col("u").alias("node"), F.col("v").alias("other"), (1 / F.greatest("len_ft", F.lit(1e-6))).alias("w"))
     links = links.unionByName(links.select("grp", F.col("other").alias("node"), F.col("node").alias("other"), "w"))
-    at = nodes.select("node", "elev_ft", "boundary")
-    rows = links.join(at, "node").join(at.select(F.col("node").alias("other"), F.col("elev_ft").alias("other_ft"), F.col("boundary").alias("other_fixed")), "other")
-    inner = rows.filter("not boundary")
-    sizes = rows.groupBy("grp").agg(F.count_distinct(F.when(~F.col("boundary"), F.col("node"))).alias("n"), F.bool_or(F.col("boundary") | F.col("other_fixed")).alias("fixed")).filter("fixed and n > 0")
+    rows = links.join(nodes.filter("not boundary").select("node"), "node", "left_semi").join(fixed, "other", "left")
+    # A node's ties to the boundary are one conductance ``wf`` and its current ``bf``; the rest are links between inner nodes.
+    held = F.col("elev_ft").isNotNull()
+    ground = materialize(rows.groupBy("grp", "node").agg(F.sum(F.when(held, F.col("w")).otherwise(0.0)).alias("wf"), F.sum(F.when(held, F.col("w") * F.col("elev_ft")).otherwise(0.0)).alias("bf")), "level-ground")
+    inner = materialize(rows.filter(~held).groupBy("grp", "node", "other").agg(F.sum("w").alias("w")), "level-links")
+    sizes = ground.groupBy("grp").agg(F.count("*").alias("n"), F.max("wf").alias("tied"))
+    good = materialize(sizes.filter("tied > 0").select("grp", "n"), "level-sizes")
+    ground, inner = ground.join(good.select("grp"), "grp", "left_semi"), inner.join(good.select("grp"), "grp", "left_semi")
+    large = good.filter(F.col("n") > most).select("grp")
+    stars, meeting, n_before = [], MEETING, None
+    if not large.isEmpty():
+        todo_g, todo_l = (materialize(x.join(large, "grp", "left_semi"), "level-todo") for x in (ground, inner))
+        ground, inner = ground.join(large, "grp", "left_anti"), inner.join(large, "grp", "left_anti")
+        while True:
+            star, todo_g, todo_l = _eliminate(todo_g, todo_l, meeting)
+            stars.append(star)
+            left = todo_g.groupBy("grp").agg(F.count("*").alias("n"))
+            n, widest = left.agg(F.sum("n").alias("n"), F.max("n").alias("m")).first()
+            if not n or widest <= most:
+                break
+            if n_before is not None and n > 0.98 * n_before:
+                meeting *= 2
+                if meeting > 400:
+                    raise ValueError(f"a group keeps {widest} nodes that all meet hundreds of others; raise most (now {most}) to solve it at once")
+            n_before = n
+        ground, inner = ground.unionByName(todo_g), inner.unionByName(todo_l)
+    level = materialize(_solved(ground, inner), "level")
+    for star in reversed(stars):
+        level = materialize(level.unionByName(_put_back(star, level)), "level")
+    return level
+
+
+def _eliminate(ground: DataFrame, links: DataFrame, meeting: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One round: the eliminated nodes as stars (grp, node, arms, wf, bf, s), and what is left of ground and links."""
+    ends = links.groupBy("grp", "node").agg(F.count("*").alias("deg"))
+    few = ground.select("grp", "node").join(ends, ["grp", "node"], "left").filter(F.coalesce("deg", F.lit(0)) <= meeting).select("grp", "node", F.xxhash64("node").alias("h"))
+    few = materialize(few, "level-few")
+    rival = links.join(few, ["grp", "node"]).join(few.select("grp", F.col("node").alias("other"), F.struct("h", F.col("node").alias("n")).alias("o")), ["grp", "other"]).groupBy("grp", "node").agg(F.min("o").alias("o"))
+    chosen = materialize(few.join(rival, ["grp", "node"], "left").filter(F.col("o").isNull() | (F.struct("h", F.col("node").alias("n")) < F.col("o"))).select("grp", "node"), "level-chosen")
+    arms = links.join(chosen, ["grp", "node"], "left_semi").groupBy("grp", "node").agg(F.collect_list(F.struct("other", "w")).alias("arms"))
+    total = F.aggregate("arms", F.col("wf"), lambda acc, x: acc + x["w"])
+    star = ground.join(chosen, ["grp", "node"], "left_semi").join(arms, ["grp", "node"], "left").withColumn("arms", F.coalesce("arms", F.array().cast("array<struct<other:bigint,w:double>>")))
+    star = materialize(star.withColumn("s", total), "level-stars")
+    spread = star.select("grp", "s", "wf", "bf", "arms", F.inline("arms"))
+    share = F.col("w") / F.col("s")
+    g = ground.join(chosen, ["grp", "node"], "left_anti").unionByName(spread.select("grp", F.col("other").alias("node"), (share * F.col("wf")).alias("wf"), (share * F.col("bf")).alias("bf")))
+    mesh = spread.select("grp", F.col("other").alias("node"), share.alias("share"), F.explode("arms").alias("arm")).select("grp", "node", F.col("arm.other").alias("other"), (F.col("share") * F.col("arm.w")).alias("w")).filter("node <> other")
+    gone = chosen.withColumnRenamed("node", "other")
+    kept = links.join(chosen, ["grp", "node"], "left_anti").join(gone, ["grp", "other"], "left_anti").unionByName(mesh)
+    left_g = materialize(g.groupBy("grp", "node").agg(F.sum("wf").alias("wf"), F.sum("bf").alias("bf")), "level-todo")
+    left_l = materialize(kept.groupBy("grp", "node", "other").agg(F.sum("w").alias("w")), "level-todo")
+    discard(few, chosen, ground, links)
+    return star, left_g, left_l
+
+
+def _solved(ground: DataFrame, links: DataFrame) -> DataFrame:
+    """grp, node, elev_ft of groups small enough for one call each."""
+    out = links.groupBy("grp", "node").agg(F.sum("w").alias("ws"), F.collect_list(F.struct("other", "w")).alias("arms"))
+    rows = ground.join(out, ["grp", "node"], "left")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = np.unique(pdf.node.to_numpy())
-        i = np.searchsorted(names, pdf.node.to_numpy())
-        fixed, w = pdf.other_fixed.to_numpy(bool), pdf.w.to_numpy()
-        a, b = np.zeros((len(names), len(names))), np.zeros(len(names))
-        np.add.at(a, (i, i), w)
-        np.add.at(b, i[fixed], (w * pdf.other_ft.to_numpy())[fixed])
-        np.add.at(a, (i[~fixed], np.searchsorted(names, pdf.other.to_numpy()[~fixed])), -w[~fixed])
-        try:
-            x = np.linalg.solve(a, b)
-        except np.linalg.LinAlgError:
-            return pd.DataFrame({"grp": [], "node": [], "elev_ft": []})
-        return pd.DataFrame({"grp": pdf.grp.iloc[0], "node": names, "elev_ft": x})
-
-    small = inner.join(sizes.filter(F.col("n") <= most).select("grp"), "grp", "left_semi").groupBy("grp").applyInPandas(solve, "grp bigint, node bigint, elev_ft double")
-    large = inner.join(sizes.filter(F.col("n") > most).select("grp"), "grp", "left_semi")
-    if large.isEmpty():
-        return small
-    large = materialize(large, "relax-links")
-    now = materialize(large.groupBy("grp", "node").agg(F.first("elev_ft").alias("elev_ft")), "relax")
-    for _ in range(rounds):
-        value = F.when(F.col("other_fixed"), F.col("other_ft")).otherwise(F.col("now"))
-        mean = large.join(now.select("grp", F.col("node").alias("other"), F.col("elev_ft").alias("now")), ["grp", "other"], "left").groupBy("grp", "node").agg((F.sum(F.col("w") * value) / F.sum("w")).alias("new"))
-        moved = materialize(now.join(mean, ["grp", "node"]).select("grp", "node", F.col("new").alias("elev_ft"), F.abs(F.col("new") - F.col("elev_ft")).alias("d")), "relax")
-        done = moved.filter(F.col("d") > tolerance).isEmpty()
-        discard(now)
-        now = moved.drop("d")
-        now._lanegraph_path = moved._lanegraph_path
-        if done:
-            break
-    return small.unionByName(now)
+        pdf = pdf.sort_values("node")
+        names = pdf.node.to_numpy()
+        a = np.diag(pdf.wf.to_numpy() + pdf.ws.fillna(0.0).to_numpy())
+        for k, arms in enumerate(pdf.arms):
+            for x in arms if arms is not None else ():
+                a[k, np.searchsorted(names, x["other"])] -= x["w"]
+        return pd.DataFrame({"grp": pdf.grp.iloc[0], "node": names, "elev_ft": np.linalg.solve(a, pdf.bf.to_numpy())})
+
+    return rows.groupBy("grp").applyInPandas(solve, "grp bigint, node bigint, elev_ft double")
+
+
+def _put_back(star: DataFrame, level: DataFrame) -> DataFrame:
+    """The eliminated nodes at the weighted mean of their arms' ends."""
+    ends = star.select("grp", "node", F.inline("arms")).join(level.select("grp", F.col("node").alias("other"), "elev_ft"), ["grp", "other"])
+    sums = ends.groupBy("grp", "node").agg(F.sum(F.col("w") * F.col("elev_ft")).alias("in"))
+    return star.join(sums, ["grp", "node"], "left").select("grp", "node", ((F.coalesce("in", F.lit(0.0)) + F.col("bf")) / F.col("s")).alias("elev_ft"))
 
 
 def contour_crossings(raster: DataFrame, levels: list[float]) -> DataFrame:

@@ -178,15 +178,15 @@ GROUP_STACKS = "SELECT l_partkey point, count(DISTINCT l_suppkey % 7) n_groups F
 
 
 def route_overlap(spark: SparkSession, folder: str) -> DataFrame:
-    sets = relation(spark, folder, "lineitem").filter("l_orderkey % 50 < 2").groupBy("l_orderkey").agg(F.collect_set(F.col("l_partkey") % 9).alias("s"))
-    a = sets.filter("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("a"), F.col("s").alias("x"))
-    b = sets.filter("l_orderkey % 50 = 1").select((F.col("l_orderkey") - 1).alias("a"), F.col("s").alias("y"))
+    sets = relation(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.col("l_partkey") % 9).alias("s"))
+    a = sets.select(F.col("l_orderkey").alias("a"), F.col("s").alias("x"))
+    b = sets.select((F.col("l_orderkey") - 1).alias("a"), F.col("s").alias("y"))
     return a.join(b, "a").select("a", F.round(audit.overlap(F.col("x"), F.col("y")), 6).alias("overlap"))
 
 
 ROUTE_OVERLAP = """
-WITH s AS (SELECT l_orderkey k, list_distinct(array_agg(l_partkey % 9)) s FROM lineitem WHERE l_orderkey % 50 < 2 GROUP BY 1)
-SELECT x.k a, round(len(list_intersect(x.s, y.s)) / least(len(x.s), len(y.s)), 6) overlap FROM s x JOIN s y ON y.k = x.k + 1 AND x.k % 50 = 0"""
+WITH s AS (SELECT l_orderkey k, list_distinct(array_agg(l_partkey % 9)) s FROM lineitem GROUP BY 1)
+SELECT x.k a, round(len(list_intersect(x.s, y.s)) / least(len(x.s), len(y.s)), 6) overlap FROM s x JOIN s y ON y.k = x.k + 1"""
 
 
 def _manifest(spark: SparkSession, folder: str, version: int) -> DataFrame:

@@ -56,7 +56,7 @@ SELECT seg_id, round(t0, 4) t0, round(t1, 4) t1 FROM i"""
 
 
 def _projections(spark: SparkSession, folder: str) -> DataFrame:
-    d = relation(spark, folder, "dir").filter("edge_id % 5 = 0")
+    d = relation(spark, folder, "dir")
     p = d.select(F.col("edge_id").alias("point_id"), "edge_id", (F.col("len_ft") * (F.col("edge_id") % 11) / 10).alias("from_ft"), (F.col("len_ft") * (10 - F.col("edge_id") % 11) / 10).alias("to_ft"))
     return routing.with_reverse(p, relation(spark, folder, "dir"))
 
@@ -71,7 +71,7 @@ def route_ends(spark: SparkSession, folder: str) -> DataFrame:
 ROUTE_ENDS = ctes("dir") + f""",
 e AS (SELECT *, {_COST} cost FROM dir),
 p AS (SELECT a.edge_id point_id, a.src, a.dst, a.cost/a.len_ft ra, b.cost/b.len_ft rb, b.edge_id back, a.len_ft*(a.edge_id % 11)/10 f, a.len_ft*(10 - a.edge_id % 11)/10 t
-  FROM e a LEFT JOIN e b ON b.seg_id = a.seg_id AND b.src = a.dst AND b.dst = a.src WHERE a.edge_id % 5 = 0),
+  FROM e a LEFT JOIN e b ON b.seg_id = a.seg_id AND b.src = a.dst AND b.dst = a.src),
 u AS (SELECT point_id, 'start' kind, dst node_id, t*ra cost, t feet FROM p UNION ALL SELECT point_id, 'start', src, f*rb, f FROM p UNION ALL
   SELECT point_id, 'goal', src, f*ra, f FROM p UNION ALL SELECT point_id, 'goal', dst, t*rb, t FROM p)
 SELECT point_id, kind, node_id, round(cost, 2) cost, round(feet, 2) feet FROM u WHERE feet > 0 AND cost IS NOT NULL"""
@@ -115,11 +115,14 @@ SELECT kind, count(*) n, count(CASE WHEN kind <> 'unknown' THEN 1 END) n_orderab
 
 
 def bundle_hash(spark: SparkSession, folder: str) -> DataFrame:
-    n = relation(spark, folder, "nation")
-    return manifest.folder_hash(n.select(F.col("n_name").alias("name"), F.concat("n_name", F.col("n_regionkey").cast("string")).cast("binary").alias("content")))
+    """One hash of all documents, as files named by their ids."""
+    d = relation(spark, folder, "documents")
+    return manifest.folder_hash(d.select(F.col("doc_id").cast("string").alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("content")))
 
 
-BUNDLE_HASH = "SELECT substr(sha256(string_agg(n_name || chr(0) || sha256(n_name || n_regionkey), chr(10) ORDER BY n_name)), 1, 16) hash FROM nation"
+BUNDLE_HASH = """
+WITH p AS (SELECT substr(sha256(CAST(doc_id AS VARCHAR)), 1, 3) part, sha256(string_agg(doc_id || chr(0) || sha256(coalesce(text, '')), chr(10) ORDER BY CAST(doc_id AS VARCHAR))) h FROM documents GROUP BY 1)
+SELECT substr(sha256(string_agg(part || chr(0) || h, chr(10) ORDER BY part)), 1, 16) hash FROM p"""
 
 PLANS = {
     "tagged_features": (tagged_features, TAGGED_FEATURES), "clipped_streets": (clipped_streets, CLIPPED_STREETS), "route_ends": (route_ends, ROUTE_ENDS), "flat_ended_profiles": (flat_ended_profiles, FLAT_ENDED_PROFILES),

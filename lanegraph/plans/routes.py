@@ -99,13 +99,13 @@ SELECT route_id, CAST(n_signs AS BIGINT) n_signs, round(u, 6) uncovered, round(u
 
 
 def split_streets(spark: SparkSession, folder: str) -> DataFrame:
-    ways = relation(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("way_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", (F.col("l_partkey") % 500).alias("n")))), lambda x: x["n"]).alias("nodes"))
-    parts = ordered.split_ways(ways.filter("way_id % 20 = 0")).withColumnRenamed("nodes", "path")
+    ways = relation(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("way_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_partkey").alias("n")))), lambda x: x["n"]).alias("nodes"))
+    parts = ordered.split_ways(ways).withColumnRenamed("nodes", "path")
     return parts.select("way_id", "part", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("nodes"), F.array_join(F.transform(ordered.without_repeats(F.transform("path", lambda x: F.floor(x / 100))), lambda x: x.cast("string")), ",").alias("cells"))
 
 
 SPLIT_STREETS = """
-WITH p AS (SELECT l_orderkey way_id, l_partkey % 500 node, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey % 500) - 1 pos, count(*) OVER (PARTITION BY l_orderkey) n FROM lineitem WHERE l_orderkey % 20 = 0),
+WITH p AS (SELECT l_orderkey way_id, l_partkey node, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 pos, count(*) OVER (PARTITION BY l_orderkey) n FROM lineitem),
 o AS (SELECT node, sum(1 + (pos = 0 OR pos = n-1)::INT) times FROM p GROUP BY node),
 c AS (SELECT p.*, pos > 0 AND (times >= 2 OR pos = n-1) cut FROM p JOIN o USING (node)),
 k AS (SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY way_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) part FROM c),

@@ -156,19 +156,19 @@ FROM q LEFT JOIN h ON h.point_id = q.point_id AND h.r = 1 LEFT JOIN n ON n.point
 
 
 def racks(spark: SparkSession, folder: str) -> DataFrame:
-    places = relation(spark, folder, "pois").filter("poi_id % 3 = 0").select(F.col("poi_id").alias("place_id"), F.col("lon").alias("ax"), F.col("lat").alias("ay"))
+    places = relation(spark, folder, "pois").select(F.col("poi_id").alias("place_id"), F.col("lon").alias("ax"), F.col("lat").alias("ay"))
     return matching.rack_tier(places, relation(spark, folder, "signs").select(F.col("sign_id").alias("rack_id"), "lon", "lat"))
 
 
 RACKS = ctes("pois", "signs") + """,
 d AS (SELECT poi_id, sign_id, p.lon ax, p.lat ay, s.lon bx, s.lat by_, 2*6371000e0*asin(sqrt(pow(sin((radians(s.lat)-radians(p.lat))/2),2)+cos(radians(p.lat))*cos(radians(s.lat))*pow(sin((radians(s.lon)-radians(p.lon))/2),2)))*3.28084e0 ft
-  FROM pois p JOIN signs s ON abs(p.lon-s.lon) <= 1000/247000e0 AND abs(p.lat-s.lat) <= 1000/364000e0 WHERE poi_id % 3 = 0),
+  FROM pois p JOIN signs s ON abs(p.lon-s.lon) <= 1000/247000e0 AND abs(p.lat-s.lat) <= 1000/364000e0),
 m AS (SELECT *, count(CASE WHEN ft <= 300 THEN 1 END) OVER (PARTITION BY poi_id) n, row_number() OVER (PARTITION BY poi_id ORDER BY ft, sign_id) r FROM d),
 z AS (SELECT *, round(degrees(atan2(sin(radians(bx)-radians(ax))*cos(radians(by_)), cos(radians(ay))*sin(radians(by_))-sin(radians(ay))*cos(radians(by_))*cos(radians(bx)-radians(ax)))), 6) + 360 b FROM m WHERE r = 1)
 SELECT p.poi_id place_id, CASE WHEN n > 0 THEN 'green' WHEN ft <= 1000 THEN 'yellow' ELSE 'red' END tier, CASE WHEN n > 0 THEN n END n_racks,
   CASE WHEN n = 0 AND ft <= 1000 THEN CAST(round(ft) AS BIGINT) END distance_ft,
   CASE WHEN n = 0 AND ft <= 1000 THEN (['north','northeast','east','southeast','south','southwest','west','northwest'])[1 + CAST(floor((b+22.5)/45) AS INT) % 8] END direction
-FROM pois p LEFT JOIN z USING (poi_id) WHERE p.poi_id % 3 = 0"""
+FROM pois p LEFT JOIN z USING (poi_id)"""
 
 
 def crossings(spark: SparkSession, folder: str) -> DataFrame:

@@ -84,8 +84,9 @@ SELECT pe prev_edge, ne next_edge, round(cost, 2) cost FROM kk WHERE cost IS NOT
 
 
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
-    n = relation(spark, folder, "nodes").filter("node_id % 197 = 5 and node_id % 40 < 37")
-    return n.select(F.col("node_id").alias("pair_id"), F.col("node_id").alias("start"), (F.col("node_id") + 42).alias("goal"))
+    """Every node whose id is divisible by 50, to a goal one to eight rows further on."""
+    n = relation(spark, folder, "nodes").filter("node_id % 50 = 0")
+    return n.select(F.col("node_id").alias("pair_id"), F.col("node_id").alias("start"), (F.col("node_id") + 40 * (1 + F.floor(F.col("node_id") / 50) % 8) + F.floor(F.col("node_id") / 50) % 5).alias("goal"))
 
 
 def _paths(spark: SparkSession, folder: str, runs: list[routing.Weights]) -> DataFrame:
@@ -148,25 +149,27 @@ SELECT seg_id, edge_id, round((n1.elev_ft - n0.elev_ft)/len_ft*100, 2) slope_pct
 
 
 def _raster(spark: SparkSession, folder: str) -> DataFrame:
-    o = relation(spark, folder, "orders").filter("o_orderkey <= 1600")
     k = F.col("o_orderkey") - 1
-    return o.select(F.floor(k / 40).alias("row"), (k % 40).alias("col"), ((k * 37) % 211 + F.floor(k / 40)).cast("double").alias("v"))
+    return relation(spark, folder, "orders").select(F.floor(k / 40).alias("row"), (k % 40).alias("col"), ((k * 37) % 211 + F.floor(k / 40)).cast("double").alias("v"))
 
 
-_RASTER = "ra AS (SELECT CAST(floor((o_orderkey-1)/40) AS BIGINT) \"row\", (o_orderkey-1) % 40 col, CAST(((o_orderkey-1)*37) % 211 + floor((o_orderkey-1)/40) AS DOUBLE) v FROM orders WHERE o_orderkey <= 1600)"
+_RASTER = "ra AS (SELECT CAST(floor((o_orderkey-1)/40) AS BIGINT) \"row\", (o_orderkey-1) % 40 col, CAST(((o_orderkey-1)*37) % 211 + floor((o_orderkey-1)/40) AS DOUBLE) v FROM orders)"
 
 
 def raster_samples(spark: SparkSession, folder: str) -> DataFrame:
-    s = elevation.sample_raster(relation(spark, folder, "nodes"), _raster(spark, folder), 40, 40, (-122.4402, 47.4998), (0.00107, 0.00109))
+    raster = _raster(spark, folder)
+    height = raster.agg(F.max("row")).first()[0] + 1
+    s = elevation.sample_raster(relation(spark, folder, "nodes"), raster, 40, height, (-122.4402, 47.4998), (0.00107, 0.00109))
     return s.select("node_id", F.floor(F.col("elev_ft") + 0.05).alias("elev_ft"))
 
 
 RASTER_SAMPLES = ctes("nodes") + f""",
 {_RASTER},
 p AS (SELECT node_id, (lon - -122.4402e0)/0.00107e0 x, (lat - 47.4998e0)/0.00109e0 y FROM nodes),
-q AS (SELECT *, greatest(least(CAST(floor(x) AS BIGINT), 38), 0) c0, greatest(least(CAST(floor(y) AS BIGINT), 38), 0) r0 FROM p),
+hh AS (SELECT max("row") + 1 h FROM ra),
+q AS (SELECT *, greatest(least(CAST(floor(x) AS BIGINT), 38), 0) c0, greatest(least(CAST(floor(y) AS BIGINT), h - 2), 0) r0 FROM p, hh),
 s AS (SELECT node_id, round(a.v*(1-(x-c0))*(1-(y-r0)) + b.v*(x-c0)*(1-(y-r0)) + c.v*(1-(x-c0))*(y-r0) + d.v*(x-c0)*(y-r0), 1) e FROM q JOIN ra a ON a."row"=r0 AND a.col=c0 JOIN ra b ON b."row"=r0 AND b.col=c0+1
-  JOIN ra c ON c."row"=r0+1 AND c.col=c0 JOIN ra d ON d."row"=r0+1 AND d.col=c0+1 WHERE x >= 0 AND x < 40 AND y >= 0 AND y < 40)
+  JOIN ra c ON c."row"=r0+1 AND c.col=c0 JOIN ra d ON d."row"=r0+1 AND d.col=c0+1 WHERE x >= 0 AND x < 40 AND y >= 0 AND y < h)
 SELECT n.node_id, CAST(floor(coalesce(e, 0) + 0.05e0) AS BIGINT) elev_ft FROM nodes n LEFT JOIN s USING (node_id)"""
 
 
@@ -210,18 +213,18 @@ def _all_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def search_hits(spark: SparkSession, folder: str) -> DataFrame:
-    """Best six labels for a hundred queries."""
+    """Best six labels for a query at every node whose id is divisible by 50."""
     found = nearest_address(relation(spark, folder, "pois"), relation(spark, folder, "addresses"))
     a = relation(spark, folder, "addresses")
     pois = relation(spark, folder, "pois").join(found.select("poi_id", "addr_id", "address"), "poi_id").join(a.select("addr_id", F.col("lon").alias("addr_lon"), F.col("lat").alias("addr_lat")), "addr_id", "left")
     index = search.search_index(pois, a)
-    q = relation(spark, folder, "nodes").filter("node_id <= 100").select(F.col("node_id").alias("query_id"), F.concat((100 + F.col("node_id") * 2).cast("string"), F.when(F.col("node_id") % 2 == 0, " oa").otherwise(" northeast p")).alias("q"), "lon", "lat")
+    q = relation(spark, folder, "nodes").filter("node_id % 50 = 0").select(F.col("node_id").alias("query_id"), F.concat((100 + F.col("node_id") * 2 % 900).cast("string"), F.when(F.col("node_id") % 100 == 0, " oa").otherwise(" northeast p")).alias("q"), "lon", "lat")
     return search.search(index, q).select("query_id", "rank", "kind", "label", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
 SEARCH_HITS = ctes("addresses", "pois") + """,
 ad AS (SELECT *, list_distinct(regexp_extract_all(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(label, '\\bNortheast\\b', 'NE', 'gi'), '\\bNorth\\b', 'N', 'gi'), '\\bAvenue\\b', 'Ave', 'gi'), '\\bStreet\\b', 'St', 'gi')), '[a-z0-9]+')) ws FROM addresses),
-qs AS (SELECT node_id query_id, CASE WHEN node_id % 2 = 0 THEN [CAST(100+node_id*2 AS VARCHAR), 'oa'] ELSE [CAST(100+node_id*2 AS VARCHAR), 'ne', 'p'] END ts, lon ql, lat qa FROM nodes WHERE node_id <= 100),
+qs AS (SELECT node_id query_id, CASE WHEN node_id % 100 = 0 THEN [CAST(100+node_id*2%900 AS VARCHAR), 'oa'] ELSE [CAST(100+node_id*2%900 AS VARCHAR), 'ne', 'p'] END ts, lon ql, lat qa FROM nodes WHERE node_id % 50 = 0),
 h AS (SELECT query_id, label, lon, lat, row_number() OVER (PARTITION BY query_id ORDER BY ((lon-ql)*0.7e0)*((lon-ql)*0.7e0)+(lat-qa)*(lat-qa), addr_id) rank FROM qs JOIN ad ON len(list_filter(ts, lambda t: len(list_filter(ws, lambda w: starts_with(w, t))) > 0)) = len(ts))
 SELECT query_id, CAST(rank AS INT) AS rank, 'a' kind, label, round(lon, 6) lon, round(lat, 6) lat FROM h WHERE rank <= 6"""
 

@@ -36,7 +36,15 @@ def byte_range(content: Column, first: Column, last: Column) -> Column:
     return F.when((first >= 0) & (first <= last) & (first < n), F.substring(content, first.cast("int") + 1, (F.least(last, n - 1) - first + 1).cast("int")))
 
 
-def folder_hash(entries: DataFrame) -> DataFrame:
-    """One hash over (name, content) in the order of names: of the names and content hashes."""
+def folder_hash(entries: DataFrame, hexes: int = 3) -> DataFrame:
+    """One hash over (name, content), whatever the order of rows.
+
+    Entries fall into 16 ** hexes parts by the first digits of their name's hash; each part is
+    hashed in the order of names, and then the parts' hashes in their order. So no task holds
+    more than a part's names and content hashes, and one those of the parts (4096 lines).
+    """
     line = F.concat_ws("\0", "name", F.sha2("content", 256))
-    return entries.agg(F.substring(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("name", line.alias("l")))), lambda x: x["l"]), "\n"), 256), 1, 16).alias("hash"))
+    part = F.substring(F.sha2(F.col("name").cast("binary"), 256), 1, hexes)
+    joined = lambda key, value: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, value.alias("l")))), lambda x: x["l"]), "\n"), 256)
+    parts = entries.groupBy(part.alias("part")).agg(joined("name", line).alias("h"))
+    return parts.agg(F.substring(joined("part", F.concat_ws("\0", "part", "h")), 1, 16).alias("hash"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,11 +14,15 @@ _own: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session sets none (tests, a single machine) a local one is made.
+    Only where the session sets none and runs on this machine alone a local one is made; on a
+    cluster other machines would not see it, so there the setting is asked for.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not re.match(r"local(\[|$)", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share (the master is {master!r})")
     return _own.setdefault("folder", "file://" + tempfile.mkdtemp(prefix="lanegraph-"))
 
 

@@ -86,14 +86,42 @@ def test_spread_prefers_the_nearer_then_the_higher_source(spark):
 def test_inner_nodes_are_weighted_means(spark):
     segs = spark.createDataFrame([(1, 10, 11, 50.0), (1, 11, 12, 100.0), (1, 11, 13, 25.0), (1, 13, 14, 10.0), (2, 20, 21, 5.0)], "grp long, u long, v long, len_ft double")
     nodes = spark.createDataFrame([(10, 0.0, True), (11, 5.0, False), (12, 90.0, True), (13, 1.0, False), (14, 40.0, True), (20, 1.0, False), (21, 2.0, False)], "node long, elev_ft double, boundary boolean")
-    for most in (2000, 0):
-        got = {r["node"]: r["elev_ft"] for r in elevation.level_groups(segs, nodes, most=most, tolerance=1e-7).collect()}
+    for most in (2000, 1, 0):
+        got = {r["node"]: r["elev_ft"] for r in elevation.level_groups(segs, nodes, most=most).collect()}
         assert set(got) == {11, 13}
         assert got[11] == pytest.approx((0 / 50 + 90 / 100 + got[13] / 25) / (1 / 50 + 1 / 100 + 1 / 25), abs=1e-4)
         assert got[13] == pytest.approx((got[11] / 25 + 40 / 10) / (1 / 25 + 1 / 10), abs=1e-4)
         assert 0 <= min(got.values()) and max(got.values()) <= 90
 
 
+def test_large_groups_are_solved_exactly(spark):
+    """A chain and a lattice of 5000 inner nodes each, above ``most``, against a direct solve."""
+    r = np.random.default_rng(2)
+    chain = [(1, k, k + 1, float(r.integers(5, 50))) for k in range(5001)]
+    tall, wide = 50, 101
+    at = lambda i, j: 100_000 + i * wide + j
+    lattice = [(2, at(i, j), at(i + a, j + b), float(r.integers(5, 50))) for i in range(tall) for j in range(wide) for a, b in ((0, 1), (1, 0)) if i + a < tall and j + b < wide]
+    fixed = {0: 0.0, 5001: 100.0} | {at(0, j): float(r.integers(0, 90)) for j in range(0, wide, 3)} | {at(tall - 1, j): float(r.integers(0, 90)) for j in range(0, wide, 5)}
+    names = sorted({x for _, u, v, _ in chain + lattice for x in (u, v)})
+    nodes = spark.createDataFrame([(x, fixed.get(x, 7.0), x in fixed) for x in names], "node long, elev_ft double, boundary boolean")
+    got = {x["node"]: x["elev_ft"] for x in elevation.level_groups(spark.createDataFrame(chain + lattice, "grp long, u long, v long, len_ft double"), nodes).collect()}
+    assert set(got) == set(names) - set(fixed)
+    along = np.cumsum([0.0] + [x[3] for x in chain])
+    assert all(got[k] == pytest.approx(100 * along[k] / along[-1], abs=1e-6) for k in range(1, 5001))
+    inner = [x for x in names if x >= 100_000 and x not in fixed]
+    place = {x: k for k, x in enumerate(inner)}
+    a, b = np.zeros((len(inner),) * 2), np.zeros(len(inner))
+    for _, u, v, feet in lattice:
+        for x, y in ((u, v), (v, u)):
+            if x in place:
+                a[place[x], place[x]] += 1 / feet
+                if y in place:
+                    a[place[x], place[y]] -= 1 / feet
+                else:
+                    b[place[x]] += fixed[y] / feet
+    assert np.allclose([got[x] for x in inner], np.linalg.solve(a, b), atol=1e-6)
+
+
 def test_smoothing_is_numpy(spark):
     a = np.random.default_rng(3).integers(0, 50, (12, 9)).astype(float)
     raster = spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i in range(12) for j in range(9)], "row long, col long, v double")
