@@ -168,6 +168,12 @@ def point_at_distance(points: Column, along: Column, target: Column) -> Column:
     return F.struct((p["lon"] + t * (q["lon"] - p["lon"])).alias("lon"), (p["lat"] + t * (q["lat"] - p["lat"])).alias("lat"))
 
 
+def slice_to_end(points: Column, place: Column, leg: Column, forward: bool) -> Column:
+    """The line from ``place``, a point on its ``leg``-th piece (from 1), on to its end, or back to its beginning."""
+    rest = F.slice(points, leg + 1, F.size(points)) if forward else F.reverse(F.slice(points, 1, leg))
+    return F.concat(F.array(place), rest)
+
+
 def inside_parts(x0: Column, y0: Column, x1: Column, y1: Column, rings: Column) -> Column:
     """Shares [t0, t1] of a segment that lie in a polygon: cut where it crosses an edge, kept where the middle is inside."""
 

@@ -45,6 +45,50 @@ def group_signals(grouped: DataFrame) -> DataFrame:
     return out.withColumn("rank", rank)
 
 
+def segment_rank(bridge: Column, tunnel: Column, layer: Column) -> Column:
+    """Height of a segment: its layer where that fits its structure, else 1 for bridges and -1 for tunnels; null if unknown."""
+    return F.when(bridge, F.when(layer > 0, layer).otherwise(1)).when(tunnel, F.when(layer < 0, layer).otherwise(-1)).otherwise(F.when(layer != 0, layer))
+
+
+def layer_distribution(segs: DataFrame) -> DataFrame:
+    """Segments (is_bridge, is_tunnel, is_crossing, is_approach, layer) per kind and layer."""
+    layered = F.coalesce(F.col("layer") != 0, F.lit(False))
+    kind = F.when(F.col("is_bridge"), "bridge").when(F.col("is_tunnel"), "tunnel")
+    plain = F.when(kind.isNotNull(), F.concat(kind, F.lit("-no-layer"))).when(F.col("is_crossing"), "untagged-crossing").when(F.col("is_approach"), "approach")
+    label = F.when(layered, F.format_string("%s L=%+d", F.coalesce(kind, F.lit("plain-layered")), F.col("layer"))).otherwise(plain)
+    return segs.groupBy(label.alias("label")).agg(F.count("*").alias("n")).filter("label is not null")
+
+
+def group_ranks(grouped: DataFrame) -> DataFrame:
+    """Per group: its segments' commonest rank (of equals, the first), and how many ranks they have."""
+    ranked = grouped.withColumn("_rank", segment_rank(F.col("is_bridge"), F.col("is_tunnel"), F.col("layer")))
+    sets = ranked.groupBy("grp").agg(F.count_distinct("_rank").alias("n_ranks"))
+    return sets.join(mode_first(ranked, "grp", "_rank", "edge_id").withColumnRenamed("_rank", "rank"), "grp", "left")
+
+
+def mix(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """Per ``by``: how often each value occurs, as ``value=count`` joined by bars, in the order of values; nulls as <none>."""
+    n = rows.groupBy(by, F.coalesce(F.col(value).cast("string"), F.lit("<none>")).alias("v")).agg(F.count("*").alias("n"))
+    return n.groupBy(by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("v", "n"))), lambda x: F.concat_ws("=", x["v"], x["n"].cast("string"))), "|").alias(value))
+
+
+def group_places(grouped: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Per group: the mean of its segments' ends, and its extent in degrees."""
+    ends = grouped.select("grp", F.explode(F.array("u", "v")).alias("node_id")).join(nodes.select("node_id", "lon", "lat"), "node_id")
+    span = lambda c: F.max(c) - F.min(c)
+    return ends.groupBy("grp").agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"), span("lon").alias("dlon"), span("lat").alias("dlat"))
+
+
+def counts(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows per combination of values, nulls among them."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n"))
+
+
+def unlisted(rows: DataFrame, listed: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is not listed; each key once."""
+    return rows.select(key).distinct().join(listed.select(key), key, "left_anti")
+
+
 def size_histogram(grouped: DataFrame) -> DataFrame:
     """How many groups have each size."""
     return grouped.groupBy("grp").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n_groups"))

@@ -38,6 +38,33 @@ def street_attributes(edges: DataFrame, streets: DataFrame, attributes: list[str
     return out
 
 
+def all_facilities(streets: DataFrame, trails: DataFrame, regional: DataFrame, network: DataFrame) -> DataFrame:
+    """Facilities of the four sources with their class; what has none is left out: source, fac_id, category, model and the geometry's columns.
+
+    ``streets``: status, category, model; ``network``: category; every line of the trails and the
+    regional trails is off-street.
+    """
+    off = F.lit("BKF-OFFST")
+    kinds = {
+        "streets": (streets, tags.facility_class(F.col("status"), F.col("category")), F.col("model") if "model" in streets.columns else F.lit(None)),
+        "trails": (trails, off, F.lit(None)),
+        "regional": (regional, off, F.lit(None)),
+        "network": (network, tags.network_class(F.col("category")), F.lit(None)),
+    }
+    out = None
+    for name, (rows, kind, model) in kinds.items():
+        ends = [c for c in ("x0", "y0", "x1", "y1") if c in rows.columns]
+        one = rows.select(F.lit(name).alias("source"), "fac_id", kind.alias("category"), model.cast("string").alias("model"), *ends).filter("category is not null")
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
+def circle_points(tagged: DataFrame, layer: DataFrame, rings: DataFrame) -> DataFrame:
+    """Points of traffic circles by tag, from the layer, and found as small rings: source, circle_id, lon, lat."""
+    own = lambda rows, name, key: rows.select(F.lit(name).alias("source"), F.col(key).alias("circle_id"), "lon", "lat")
+    return own(layer, "layer", "circle_id").unionByName(own(tagged, "tag", "node_id")).unionByName(own(rings, "ring", "component"))
+
+
 def best_facility(edges: DataFrame, facilities: DataFrame, key: str = "edge_id", facility: str = "fac_id") -> DataFrame:
     """Each edge's best-ranked facility within reach of three samples; of equals, the first sample's, then the lowest id."""
     near = grid.points_near_segments(samples(edges, 3, key), facilities, FACILITY_DEG, cell=0.0003)

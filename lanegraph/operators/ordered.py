@@ -182,6 +182,13 @@ def steps(path: DataFrame, route: str = "route_id", pos: str = "pos") -> DataFra
     )
 
 
+def arrivals(path: DataFrame, route: str = "route_id", pos: str = "pos") -> DataFrame:
+    """The last step of each route: step (one beyond the last edge), instruction, name of the last street."""
+    last = path.groupBy(route).agg(F.max(F.struct(pos, "name")).alias("m"))
+    name = F.coalesce(text.normalize_address(F.col("m.name")), F.lit(""))
+    return last.select(route, (F.col(f"m.{pos}") + 1).alias("step"), F.lit("Arrive at destination").alias("instruction"), name.alias("name"), F.lit(0.0).alias("feet"))
+
+
 def longest_run(rows: DataFrame, flag: str, by: str, pos: str, feet: str) -> DataFrame:
     """The longest stretch of consecutive flagged rows of each ``by``; of equals, the first."""
     w = Window.partitionBy(by).orderBy(pos)

@@ -124,39 +124,79 @@ def transitions(edges: DataFrame, nodes: DataFrame, w: Weights) -> DataFrame:
     return both.select("prev_edge", "next_edge", total.alias("cost")).filter("cost is not null")
 
 
-def shortest_paths(edges: DataFrame, steps: DataFrame, pairs: DataFrame) -> DataFrame:
+def shortest_paths(edges: DataFrame, steps: DataFrame, pairs: DataFrame, by: str = "edge") -> DataFrame:
     """Cheapest path of every pair (pair_id, start, goal: nodes): cost, feet, path (edge ids).
 
-    ``edges``: edge_id, src, dst, cost, len_ft, dlon, dlat; ``steps``: transitions(). Pairs
-    without a path, or from a node to itself, have no row.
+    Pairs without a path, or from a node to itself, have no row. See search() for the rest.
     """
-    open_edges = edges.filter("cost is not null")
-    goals = pairs.join(edges.groupBy(F.col("dst").alias("goal")).agg(F.first("dlon").alias("glon"), F.first("dlat").alias("glat")), "goal").filter("start <> goal")
-    front = goals.join(open_edges.withColumnRenamed("src", "start"), "start").select("pair_id", "goal", "glon", "glat", "edge_id", "dst", "dlon", "dlat", F.col("cost").alias("g"), F.array("edge_id").alias("path"))
+    place = edges.groupBy(F.col("dst").alias("node_id")).agg(F.min(F.struct(F.col("dlon").alias("lon"), F.col("dlat").alias("lat"))).alias("p"))
+    asked = pairs.filter("start <> goal")
+    exits = asked.select("pair_id", F.col("goal").alias("node_id"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("feet")).join(place, "node_id").select("pair_id", "node_id", "cost", "feet", "p.lon", "p.lat")
+    out = edges.filter("cost is not null").select("edge_id", F.col("src").alias("start"), "cost")
+    entries = asked.join(out, "start").select("pair_id", "edge_id", F.col("cost").alias("g"), F.lit(0.0).alias("feet"), F.array("edge_id").alias("path"))
+    return search(edges, steps, entries, exits, by)
+
+
+def paths_between(edges: DataFrame, steps: DataFrame, projections: DataFrame, pairs: DataFrame, by: str = "edge") -> DataFrame:
+    """Cheapest path of every pair (pair_id, start, goal: points on edges) by their projections (see with_reverse).
+
+    Cost and feet hold the parts of the first and last edge; ``path`` the whole edges between,
+    none where both points are next to one node. Points on one edge are joined by way of its ends.
+    """
+    ways = {starting: mid_edge_ends(projections, edges, starting) for starting in (True, False)}
+    entries = pairs.join(ways[True].withColumnRenamed("point_id", "start"), "start").select("pair_id", F.col("way").alias("edge_id"), F.col("cost").alias("g"), "feet", F.array().cast("array<bigint>").alias("path"))
+    own = edges.select("edge_id", "slon", "slat", "dlon", "dlat")
+    share = F.col("from_ft") / (F.col("from_ft") + F.col("to_ft"))
+    place = projections.join(own, "edge_id").select(F.col("point_id").alias("goal"), (F.col("slon") + share * (F.col("dlon") - F.col("slon"))).alias("lon"), (F.col("slat") + share * (F.col("dlat") - F.col("slat"))).alias("lat"))
+    exits = pairs.join(ways[False].withColumnRenamed("point_id", "goal"), "goal").join(place, "goal").select("pair_id", "node_id", "cost", "feet", "lon", "lat")
+    return search(edges, steps, entries, exits, by)
+
+
+def search(edges: DataFrame, steps: DataFrame, entries: DataFrame, exits: DataFrame, by: str = "edge") -> DataFrame:
+    """Cheapest way from any entry to any exit of every pair: cost, feet, path (edge ids).
+
+    ``entries``: pair_id, edge_id (the edge taken so far, whole or in part), g, feet (of a part),
+    path; ``exits``: pair_id, node_id, cost, feet, lon, lat (of the goal); ``edges``: edge_id,
+    dst, cost, len_ft, dlon, dlat; ``steps``: transitions(). With ``by="edge"`` the state is the
+    edge last taken, so costs are exact; with ``by="node"`` every node keeps one way to it, the
+    cheapest found, as the single interactive search does, and penalties behind it follow from that.
+    """
+    if by not in ("edge", "node"):
+        raise ValueError(by)
+    key = "edge_id" if by == "edge" else "dst"
+    goals = exits.groupBy("pair_id").agg(F.first("lon").alias("glon"), F.first("lat").alias("glat"))
     table = materialize(steps.join(edges.select(F.col("edge_id").alias("next_edge"), "dst", "dlon", "dlat"), "next_edge").withColumnRenamed("cost", "step"), "steps")
-    front = materialize(front, "front")
-    best = materialize(front.select("pair_id", "edge_id", "g"), "best")
-    arrived = materialize(front.filter("dst = goal").select("pair_id", "g", "path"), "arrived")
+    rest = ["g", "edge_id", "dst", "dlon", "dlat", "glon", "glat", "feet", "path"]
+
+    def least(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("pair_id", F.col(key).alias("_key")).agg(F.min(F.struct(*rest)).alias("m")).select("pair_id", "_key", "m.*")
+
+    def ends(rows: DataFrame) -> DataFrame:
+        out = exits.select("pair_id", F.col("node_id").alias("dst"), F.col("cost").alias("out_cost"), F.col("feet").alias("out_ft"))
+        return rows.join(out, ["pair_id", "dst"]).select("pair_id", (F.col("g") + F.col("out_cost")).alias("g"), (F.col("feet") + F.col("out_ft")).alias("feet"), "path")
+
+    first = entries.join(edges.select("edge_id", "dst", "dlon", "dlat"), "edge_id").join(goals, "pair_id").select("pair_id", *rest)
+    front = materialize(least(first), "front")
+    best = materialize(front.select("pair_id", "_key", "g"), "best")
+    arrived = materialize(ends(front), "arrived")
     while True:
         bound = arrived.groupBy("pair_id").agg(F.min("g").alias("bound"))
         ahead = geo.haversine_ft(F.col("dlon"), F.col("dlat"), F.col("glon"), F.col("glat"))
-        live = front.filter("dst <> goal").join(bound, "pair_id", "left").filter(F.col("bound").isNull() | (F.col("g") + ahead < F.col("bound")))
-        moved = live.drop("dst", "dlon", "dlat", "bound").join(table, live["edge_id"] == table["prev_edge"]).select(
-            "pair_id", "goal", "glon", "glat", F.col("next_edge").alias("edge_id"), "dst", "dlon", "dlat", (F.col("g") + F.col("step")).alias("g"), F.concat("path", F.array("next_edge")).alias("path")
+        live = front.join(bound, "pair_id", "left").filter(F.col("bound").isNull() | (F.col("g") + ahead < F.col("bound")))
+        moved = live.drop("dst", "dlon", "dlat", "bound", "_key").join(table, live["edge_id"] == table["prev_edge"]).select(
+            "pair_id", "glon", "glat", "feet", F.col("next_edge").alias("edge_id"), "dst", "dlon", "dlat", (F.col("g") + F.col("step")).alias("g"), F.concat("path", F.array("next_edge")).alias("path")
         )
-        rest = [c for c in moved.columns if c not in ("pair_id", "edge_id")]
-        least = moved.groupBy("pair_id", "edge_id").agg(F.min(F.struct("g", *[c for c in rest if c != "g"])).alias("m")).select("pair_id", "edge_id", "m.*")
-        known = best.groupBy("pair_id", "edge_id").agg(F.min("g").alias("old"))
-        fresh = materialize(least.join(known, ["pair_id", "edge_id"], "left").filter("old is null or g < old").drop("old"), "front")
+        known = best.groupBy("pair_id", "_key").agg(F.min("g").alias("old"))
+        fresh = materialize(least(moved).join(known, ["pair_id", "_key"], "left").filter("old is null or g < old").drop("old"), "front")
         if fresh.isEmpty():
             break
-        grown = materialize(known.withColumnRenamed("old", "g").union(fresh.select("pair_id", "edge_id", "g")), "best")
-        more = materialize(arrived.union(fresh.filter("dst = goal").select("pair_id", "g", "path")).groupBy("pair_id").agg(F.min(F.struct("g", "path")).alias("m")).select("pair_id", "m.*"), "arrived")
+        grown = materialize(known.withColumnRenamed("old", "g").union(fresh.select("pair_id", "_key", "g")), "best")
+        more = materialize(arrived.union(ends(fresh)).groupBy("pair_id").agg(F.min(F.struct("g", "path", "feet")).alias("m")).select("pair_id", "m.g", "m.feet", "m.path"), "arrived")
         discard(best, arrived, front)
         best, arrived, front = grown, more, fresh
-    feet = arrived.select("pair_id", F.explode("path").alias("edge_id")).join(edges.select("edge_id", "len_ft"), "edge_id").groupBy("pair_id").agg(F.sum("len_ft").alias("feet"))
-    found = arrived.groupBy("pair_id").agg(F.min(F.struct("g", "path")).alias("m")).select("pair_id", F.col("m.g").alias("cost"), "m.path")
-    return found.join(feet, "pair_id")
+    found = arrived.groupBy("pair_id").agg(F.min(F.struct("g", "path", "feet")).alias("m")).select("pair_id", F.col("m.g").alias("cost"), "m.path", F.col("m.feet").alias("part_ft"))
+    between = found.select("pair_id", F.explode("path").alias("edge_id")).join(edges.select("edge_id", "len_ft"), "edge_id").groupBy("pair_id").agg(F.sum("len_ft").alias("whole_ft"))
+    return found.join(between, "pair_id", "left").select("pair_id", "cost", "path", (F.col("part_ft") + F.coalesce("whole_ft", F.lit(0.0))).alias("feet"))
 
 
 def distinct_alternates(primary: DataFrame, alternates: DataFrame, most: float = 0.8) -> DataFrame:
@@ -190,12 +230,6 @@ def travel_minutes(paths: DataFrame, mph: float = 10.0) -> DataFrame:
     return s.select("path_id", F.round(total, 3).alias("seconds"), F.greatest(F.lit(1), F.round(total / 60)).cast("bigint").alias("minutes"))
 
 
-def ordered_path(paths: DataFrame) -> DataFrame:
-    """Path edges as rows: pair_id, pos, edge_id, last."""
-    rows = paths.select("pair_id", F.size("path").alias("n"), F.posexplode("path").alias("pos", "edge_id"))
-    return rows.select("pair_id", "pos", "edge_id", (F.col("pos") == F.col("n") - 1).alias("last"))
-
-
 def slope_layer(edges: DataFrame) -> DataFrame:
     """One row per street, its forward edge if there is one: signed slope in percent and its class."""
     w = Window.partitionBy("seg_id").orderBy("is_reverse", "edge_id")
@@ -222,4 +256,22 @@ def mid_edge_ends(projections: DataFrame, edges: DataFrame, starting: bool) -> D
     way = lambda edge, end: F.struct(edge.alias("way"), end[0].alias("node_id"), end[1].alias("feet"))
     both = projections.select("point_id", F.inline(F.array(way(F.col("edge_id"), ahead), way(F.col("back_id"), behind))))
     open_ = both.filter("way is not null and feet > 0").join(rate, F.col("way") == F.col("edge_id"))
-    return open_.groupBy("point_id", "node_id").agg(F.min(F.struct((F.col("feet") * F.col("rate")).alias("cost"), "feet")).alias("m")).select("point_id", "node_id", "m.cost", "m.feet")
+    return open_.groupBy("point_id", "node_id").agg(F.min(F.struct((F.col("feet") * F.col("rate")).alias("cost"), "feet", "way")).alias("m")).select("point_id", "node_id", "m.cost", "m.feet", "m.way")
+
+
+def directed(streets: DataFrame) -> DataFrame:
+    """Both directions of every street, or one of a one-way street: edge_id, is_reverse, src, dst, b0, b1 and the street's columns.
+
+    ``streets``: seg_id, a, b, alon, alat, blon, blat, one_way (1 along the street, -1 against
+    it, 0 both ways). The way back has the street's bearings mirrored: it begins where the
+    street ends, turned about.
+    """
+    b = F.round(geo.bearing(F.col("alon"), F.col("alat"), F.col("blon"), F.col("blat")), 1)
+    back = F.round(F.pmod(b + 180, F.lit(360.0)), 1)
+    end = lambda name, node, lon, lat: [F.col(node).alias(name), F.col(lon).alias(f"{name[0]}lon"), F.col(lat).alias(f"{name[0]}lat")]
+    there = F.struct(F.lit(False).alias("is_reverse"), *end("src", "a", "alon", "alat"), *end("dst", "b", "blon", "blat"), b.alias("b0"), b.alias("b1"))
+    again = F.struct(F.lit(True).alias("is_reverse"), *end("src", "b", "blon", "blat"), *end("dst", "a", "alon", "alat"), back.alias("b0"), back.alias("b1"))
+    ways = F.array_compact(F.array(F.when(F.col("one_way") >= 0, there), F.when(F.col("one_way") <= 0, again)))
+    rest = [c for c in streets.columns if c not in ("a", "b", "alon", "alat", "blon", "blat", "one_way")]
+    rows = streets.select(*rest, F.inline(ways))
+    return rows.select((2 * F.col("seg_id") + F.col("is_reverse").cast("int")).alias("edge_id"), "*")

@@ -109,6 +109,30 @@ def paths(spark: SparkSession, folder: str) -> DataFrame:
     return p.select("pair_id", F.round("cost", 3).alias("cost"), F.round("feet", 3).alias("feet"), F.size("path").alias("n_edges"))
 
 
+def point_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """Cheapest paths between points inside edges, from every edge whose id is divisible by 50; tests hold them against Dijkstra."""
+    e = _edges(spark, folder)
+    d = relation(spark, folder, "dir")
+    at = d.select(F.col("edge_id").alias("point_id"), "edge_id", (F.col("len_ft") * (1 + F.col("edge_id") % 9) / 10).alias("from_ft"), (F.col("len_ft") * (9 - F.col("edge_id") % 9) / 10).alias("to_ft"))
+    pairs = d.filter("edge_id % 50 = 0").select(F.col("edge_id").alias("pair_id"), F.col("edge_id").alias("start"), (F.col("edge_id") + 4 * (40 * (1 + F.floor(F.col("edge_id") / 50) % 4) + F.floor(F.col("edge_id") / 50) % 5)).alias("goal"))
+    w = routing.Weights.of(routing.PRESETS["comfort"], sidewalks=True)
+    found = routing.paths_between(e, routing.transitions(e, _nodes(spark, folder), w), routing.with_reverse(at, d), pairs)
+    return found.select("pair_id", F.round("cost", 3).alias("cost"), F.round("feet", 3).alias("feet"), F.size("path").alias("n_edges"))
+
+
+def directed_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """Both directions of every street, bearings mirrored."""
+    s = relation(spark, folder, "seg").withColumn("one_way", F.when(F.col("seg_id") % 5 == 1, 1).when(F.col("seg_id") % 5 == 2, -1).otherwise(0))
+    return routing.directed(s).select("edge_id", "seg_id", "is_reverse", "src", "dst", F.floor("b0").alias("b0"), F.floor("b1").alias("b1"))
+
+
+DIRECTED_EDGES = ctes("seg") + """,
+bb AS (SELECT seg_id, a n0, b n1, round(dd - 360*floor(dd/360), 1) brg FROM (SELECT *, degrees(atan2(sin(radians(blon)-radians(alon))*cos(radians(blat)), cos(radians(alat))*sin(radians(blat))-sin(radians(alat))*cos(radians(blat))*cos(radians(blon)-radians(alon)))) + 360 dd FROM seg) q),
+rr AS (SELECT *, round(brg+180-360*floor((brg+180)/360), 1) rev FROM bb)
+SELECT 2*seg_id edge_id, seg_id, false is_reverse, n0 src, n1 dst, CAST(floor(brg) AS BIGINT) b0, CAST(floor(brg) AS BIGINT) b1 FROM rr WHERE seg_id % 5 <> 2
+UNION ALL SELECT 2*seg_id+1, seg_id, true, n1, n0, CAST(floor(rev) AS BIGINT), CAST(floor(rev) AS BIGINT) FROM rr WHERE seg_id % 5 <> 1"""
+
+
 def alternates(spark: SparkSession, folder: str) -> DataFrame:
     """Twists' paths that differ from the preset's."""
     w = routing.Weights.of(routing.PRESETS["comfort"], sidewalks=True)
@@ -267,7 +291,7 @@ def hourly_events(spark: SparkSession, folder: str) -> DataFrame:
 HOURLY_EVENTS = "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, event_type, count(*) n, round(sum(value), 4) total FROM events GROUP BY 1, 2"
 
 PLANS = {
-    "cost_by_tier": (cost_by_tier, COST_BY_TIER), "twist_costs": (twist_costs, TWIST_COSTS), "transitions": (transitions, TRANSITIONS), "paths": (paths, None), "alternates": (alternates, None),
+    "cost_by_tier": (cost_by_tier, COST_BY_TIER), "twist_costs": (twist_costs, TWIST_COSTS), "transitions": (transitions, TRANSITIONS), "paths": (paths, None), "point_paths": (point_paths, None), "directed_edges": (directed_edges, DIRECTED_EDGES), "alternates": (alternates, None),
     "travel_times": (travel_times, TRAVEL_TIMES), "slopes": (slopes, SLOPES), "raster_samples": (raster_samples, RASTER_SAMPLES), "raster_summary": (raster_summary, RASTER_SUMMARY), "contours": (contours, None),
     "smoothed": (smoothed, None), "climb_profile": (climb_profile, None), "level_structures": (level_structures, None), "search_hits": (search_hits, SEARCH_HITS), "layer_round_trip": (layer_round_trip, LAYER_ROUND_TRIP),
     "file_manifest": (file_manifest, FILE_MANIFEST), "last_fixes": (last_fixes, LAST_FIXES), "hourly_events": (hourly_events, HOURLY_EVENTS),

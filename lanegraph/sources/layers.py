@@ -37,6 +37,30 @@ def optional_features(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([], "properties map<string,string>, kind string, coordinates string")
 
 
+def cached_features(spark: SparkSession, path: str, build) -> DataFrame:
+    """The layer at ``path``; where there is none yet, ``build()`` (properties, kind, coordinates as an array) is written there first."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        write_lines(build(), path)
+    return read_lines(spark, path)
+
+
+def read_lines(spark: SparkSession, path: str, where: str | None = None) -> DataFrame:
+    """Features of line-delimited GeoJSON, one to a line: files of any size are split among tasks."""
+    rows = spark.read.text(path).select(F.from_json("value", FEATURE).alias("f"))
+    out = rows.select(F.col("f.properties").alias("properties"), F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("coordinates"))
+    return out.filter(where) if where else out
+
+
+def write_lines(rows: DataFrame, path: str) -> None:
+    """Write (properties, kind, coordinates as an array) as line-delimited GeoJSON."""
+    rows.select(_feature().alias("value")).write.text(path)
+
+
+def _feature() -> F.Column:
+    return F.to_json(F.struct(F.lit("Feature").alias("type"), "properties", F.struct(F.col("kind").alias("type"), "coordinates").alias("geometry")))
+
+
 def read_pages(spark: SparkSession, paths: Iterable[str], where: str | None = None) -> DataFrame:
     """A layer fetched page by page, as one."""
     return read_features(spark, ",".join(paths) if isinstance(paths, str) else list(paths), where)
@@ -69,7 +93,6 @@ def write_features(rows: DataFrame, path: str) -> None:
 
     Files are bounded by their partition; no row passes through the driver.
     """
-    feature = F.to_json(F.struct(F.lit("Feature").alias("type"), "properties", F.struct(F.col("kind").alias("type"), "coordinates").alias("geometry")))
-    dealt = rows.select(feature.alias("f")).withColumn("_part", F.spark_partition_id()).withColumn("_chunk", F.floor(F.monotonically_increasing_id() / 5000))
+    dealt = rows.select(_feature().alias("f")).withColumn("_part", F.spark_partition_id()).withColumn("_chunk", F.floor(F.monotonically_increasing_id() / 5000))
     packed = dealt.groupBy("_part", "_chunk").agg(F.array_join(F.collect_list("f"), ",").alias("fs"))
     packed.select(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.col("fs"), F.lit("]}")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)

@@ -1,16 +1,23 @@
 """Operators without SQL, and small cases worked by hand."""
 
+import gzip
+import hashlib
 import heapq
 import math
+import os
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lanegraph import stage
 from lanegraph.functions import geo, tags, text
 from lanegraph.operators import audit, elevation, matching, ordered, propagation, routing
 from lanegraph.operators.components import connected_components
 from lanegraph.plans import travel
+from lanegraph.sources import manifest
+from lanegraph.streaming import last_fix
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -76,6 +83,73 @@ def test_paths_are_dijkstra(spark):
     assert 4 not in got and 5 not in got
 
 
+def _ways(edges, steps):
+    after = {}
+    for r in steps:
+        after.setdefault(r["prev_edge"], []).append((r["next_edge"], r["cost"]))
+    return {r["edge_id"]: r for r in edges}, after
+
+
+def test_paths_between_points_on_edges(spark):
+    """Against Dijkstra over edge states that begins and ends inside edges."""
+    w = routing.Weights.of(routing.PRESETS["comfort"], sidewalks=True)
+    edges = travel._edges(spark, FOLDER)
+    steps = routing.transitions(edges, travel._nodes(spark, FOLDER), w)
+    e, after = _ways(edges.collect(), steps.collect())
+    back = {(r["seg_id"], r["src"]): k for k, r in e.items()}
+    ids = sorted(k for k, r in e.items() if r["cost"] is not None)
+    asked = [(1, ids[10], ids[180]), (2, ids[33], ids[34]), (3, ids[90], ids[5]), (4, ids[200], ids[120]), (5, ids[7], ids[7])]
+    share = {k: (1 + k % 9) / 10 for _, a, b in asked for k in (a, b)}
+    points = spark.createDataFrame([(k, k, e[k]["len_ft"] * t, e[k]["len_ft"] * (1 - t)) for k, t in share.items()], "point_id long, edge_id long, from_ft double, to_ft double")
+    pairs = spark.createDataFrame(asked, "pair_id long, start long, goal long")
+    got = {r["pair_id"]: r for r in routing.paths_between(edges, steps, routing.with_reverse(points, edges), pairs).collect()}
+
+    def parts(k):
+        r = e[k]
+        other = back.get((r["seg_id"], r["dst"]))
+        return r, e[other] if other is not None and e[other]["cost"] is not None else None, r["len_ft"] * share[k]
+
+    for pair, a, b in asked:
+        r, other, at = parts(a)
+        heap = [(r["cost"] * (1 - share[a]), a, r["len_ft"] - at)] + ([(other["cost"] * share[a], other["edge_id"], at)] if other else [])
+        goal, reverse, along = parts(b)
+        exits = {goal["src"]: (goal["cost"] * share[b], along)}
+        if reverse:
+            exits[goal["dst"]] = (reverse["cost"] * (1 - share[b]), goal["len_ft"] - along)
+        heapq.heapify(heap)
+        done, best = set(), (math.inf, 0)
+        while heap:
+            g, k, feet = heapq.heappop(heap)
+            if k in done:
+                continue
+            done.add(k)
+            if e[k]["dst"] in exits:
+                best = min(best, (g + exits[e[k]["dst"]][0], feet + exits[e[k]["dst"]][1]))
+            for n, c in after.get(k, ()):
+                if n in e and n not in done:
+                    heapq.heappush(heap, (g + c, n, feet + e[n]["len_ft"]))
+        assert (pair in got) == (best[0] < math.inf)
+        if pair in got:
+            assert got[pair]["cost"] == pytest.approx(best[0]) and got[pair]["feet"] == pytest.approx(best[1])
+    assert len(got) >= 3
+
+
+def test_one_way_per_node_is_no_cheaper(spark):
+    w = routing.Weights.of(routing.PRESETS["comfort"], sidewalks=True)
+    edges = travel._edges(spark, FOLDER)
+    steps = routing.transitions(edges, travel._nodes(spark, FOLDER), w)
+    pairs = spark.createDataFrame([(1, 5, 47), (2, 60, 21), (3, 10, 92)], "pair_id long, start long, goal long")
+    exact, node = ({r["pair_id"]: r["cost"] for r in routing.shortest_paths(edges, steps, pairs, by=by).collect()} for by in ("edge", "node"))
+    assert set(exact) == set(node) and all(node[k] >= exact[k] - 1e-6 for k in exact)
+
+
+def test_slices_of_a_line(spark):
+    p = lambda x: F.struct(F.lit(float(x)).alias("lon"), F.lit(0.0).alias("lat"))
+    line = F.array(*[p(x) for x in (0, 1, 2, 3)])
+    r = spark.range(1).select(geo.slice_to_end(line, p(1.5), F.lit(2), True).alias("a"), geo.slice_to_end(line, p(1.5), F.lit(2), False).alias("b")).first()
+    assert [x["lon"] for x in r["a"]] == [1.5, 2, 3] and [x["lon"] for x in r["b"]] == [1.5, 1, 0]
+
+
 def test_spread_prefers_the_nearer_then_the_higher_source(spark):
     edges = spark.createDataFrame([(1, 2, 100.0), (2, 3, 100.0), (3, 4, 100.0), (4, 5, 100.0)], "u long, v long, len double")
     seeds = spark.createDataFrame([(1, "cutting"), (5, "bridge")], "node_id long, category string")
@@ -219,3 +293,41 @@ def test_points_snap_to_the_main_component(spark):
     points = spark.createDataFrame([(1, 0.0005, 0.0002), (2, 0.0032, 0.0004)], "point_id long, px double, py double")
     got = {r["point_id"]: (r["kind"], r["edge_id"], r["node_id"]) for r in matching.snap(points, edges, nodes).collect()}
     assert got == {1: ("edge", 1, None), 2: ("node", None, 3)}
+
+
+def test_streams_of_several_batches(spark, tmp_path):
+    """One file a batch: state is carried on; the watermark of the first batch drops late rows from the third on (event 6)."""
+    folder = tmp_path / "tables"
+    day = lambda d, h: f"timestamp'2024-01-{d:02d} {h:02d}:10:00'"
+    batches = [[(1, 10, day(10, 5), 1.0), (2, 11, day(10, 5), 2.0)], [(3, 10, day(11, 7), 4.0), (4, 12, day(1, 1), 9.0)], [(5, 11, day(11, 8), 8.0), (6, 10, day(5, 1), 16.0), (7, 12, day(11, 7), 32.0)]]
+    for k, rows in enumerate(batches):
+        values = ", ".join(f"({e}L, {t}, {u}L, 'view', {v}D, '')" for e, u, t, v in rows)
+        spark.sql(f"select * from values {values} as t(event_id, ts, user_id, event_type, value, props)").coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+        for p in (folder / "events.parquet").glob("part-*.parquet"):
+            new = p.with_name(f"seen-{k}-{p.name}")
+            p.rename(new)
+            os.utime(new, (1_700_000_000 + 60 * k,) * 2)
+    got = {r["user_id"]: r["event_id"] for r in last_fix.last_fixes(spark, str(folder), 1).collect()}
+    assert got == {10: 3, 11: 5, 12: 7}
+    hours = {(r["hour"], r["n"], r["total"]) for r in last_fix.hourly_counts(spark, str(folder), 1).collect()}
+    assert hours == {("2024-01-01 01", 1, 9.0), ("2024-01-10 05", 2, 3.0), ("2024-01-11 07", 2, 36.0), ("2024-01-11 08", 1, 8.0)}
+
+
+def test_files_of_a_folder(spark):
+    got = {r["url"]: r for r in manifest.files(spark, f"{FOLDER}/*.parquet").collect()}
+    paths = sorted(Path(FOLDER).glob("*.parquet"))
+    assert set(got) == {p.name for p in paths}
+    for p in paths:
+        data = p.read_bytes()
+        r = got[p.name]
+        assert (r["size"], r["hash"]) == (len(data), hashlib.sha256(data).hexdigest()[:16]) and gzip.decompress(gzip.compress(data, 6)) == data and 0 < r["zipped"] < len(data) * 1.1
+    t = manifest.totals(manifest.files(spark, f"{FOLDER}/*.parquet")).first()
+    assert t["n_files"] == len(paths) and t["size"] == sum(p.stat().st_size for p in paths) and t["fetched"] == sum(r["zipped"] for r in got.values())
+
+
+def test_stages_ask_for_a_shared_folder_on_a_cluster():
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: "spark://host:7077" if key == "spark.master" else default)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        stage.shared_folder(Session)
