@@ -11,18 +11,23 @@ Anchors seen once are dropped. Contexts equal in full are counted, not compared:
 members repeat one another. Where an anchor has several distinct contexts, one copy of each
 goes, with its bytes, to a task that builds the suffix array of a batch of anchor groups by
 prefix doubling, its LCP array, and the previous and next smaller (greater) positions in
-suffix order, hence the longest previous (next) factor of each position. Groups of more than
-GROUP contexts are not gathered at all: their ranges of offsets are halved, round by round,
-each half keyed by the bytes its windows share; counts of equal and of single keys settle a
-half, so no task holds a hot anchor's contexts.
+suffix order, hence the longest previous (next) factor of each position.
+
+A group of more than GROUP contexts is dealt out before its arrays are built: by ranges of
+suffixes (offsets before the anchor) and the bytes that all windows of a range share, which
+equal windows have in common. Dealt groups of at most GROUP members get their arrays; those
+whose members are all equal in the range are one repeat, as large as they are; what is larger
+and unequal is dealt again in narrower ranges, down to single suffixes, which are equal. So
+no task holds a hot anchor's contexts, and no size goes without arrays that needs them.
 
 ``keep="first"`` removes later copies (longest previous factor) and leaves the earliest in
 the order of (key, position, text hash); ``keep="none"`` removes every copy.
 
-Defined cases: null text is empty; texts shorter than ``length`` keep everything; a row
-repeated with its id is a copy of itself for ``keep="none"``, and one place in the order for
-``keep="first"``; null ids come first; matches never cross documents; other columns pass
-through, and clashing ones are replaced.
+Defined cases: null text is empty; texts shorter than ``length`` keep everything; texts of any
+length are read whole, anchored in pieces that overlap by a window; a row repeated with its id
+is a copy of itself for ``keep="none"``, and one place in the order for ``keep="first"``; null
+ids come first; matches never cross documents; an empty table gives no rows; other columns
+pass through whatever their names, but n_bytes, removed and kept_bytes are replaced.
 """
 
 from __future__ import annotations
@@ -35,12 +40,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanegraph.llm.common import byte_texts, map_rows
+from lanegraph.llm.common import byte_texts, map_rows, spare_names, whole_text
 from lanegraph.stage import discard, materialize
 
 LENGTH = 400
+#: Bytes of an anchor, a third of a window at most.
 GRAM = 96
+#: Contexts of a group whose arrays are built in one task; PARTS: ranges into which larger groups are dealt.
 GROUP = 1024
+PARTS = 4
 #: Bytes of contexts after which a suffix array is built; it holds at most one group more.
 BATCH = 300_000
 #: Texts are anchored in pieces of this many bytes, which overlap by a window.
@@ -55,6 +63,10 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << 23) - 1)
 
 
+def _gram(length: int) -> int:
+    return max(1, min(GRAM, length // 3))
+
+
 class _Powers:
     """Powers of the hash base and of its inverse, grown on demand."""
 
@@ -76,7 +88,7 @@ def anchors(text: bytes, length: int, powers: _Powers) -> Iterator[tuple[int, in
 
 
 def _anchors(text: bytes, length: int, powers: _Powers) -> Iterator[tuple[int, int, int, int]]:
-    n, gram = len(text), min(GRAM, length)
+    n, gram = len(text), _gram(length)
     up, down = powers.get(n)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[np.frombuffer(text, np.uint8)] * up)))
     h = (total[gram:] - total[:-gram]) * down[: n - gram + 1]
@@ -99,18 +111,23 @@ def _anchors(text: bytes, length: int, powers: _Powers) -> Iterator[tuple[int, i
     yield from zip(h[at].view(np.int64).tolist(), first.tolist(), last.tolist(), at.tolist(), strict=True)
 
 
-def _contexts(docs: DataFrame, key: str, text: str, length: int) -> DataFrame:
-    """id, tid (text hash), anchor, body (hash of the context's bytes), start, stop (of the context), at (of the anchor)."""
+def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """id, tid (a hash of the text), text."""
+    return docs.select(F.col(key).alias("id"), F.xxhash64(whole_text(text)).alias("tid"), F.col(text).alias("text"))
+
+
+def _contexts(docs: DataFrame, length: int) -> DataFrame:
+    """id, tid, anchor, body (hash of the context's bytes), start, stop (of the context), at (of the anchor)."""
 
     def run(batches):
         powers = _Powers()
         for b in batches:
             made = []
-            for t in byte_texts(b, text):
+            for t in byte_texts(b, "text"):
                 made.append([{"anchor": h, "body": _hash(t[s : e + length], a - s), "start": s, "stop": e + length, "at": a} for h, s, e, a in anchors(t, length, powers)] if len(t) >= length else [])
-            yield {"tid": [_hash(t) for t in byte_texts(b, text)], "c": made}
+            yield {"c": made}
 
-    rows = map_rows(docs.select(F.col(key).alias("id"), text), run, "tid bigint, c array<struct<anchor:bigint,body:bigint,start:bigint,stop:bigint,at:bigint>>", drop=(text,))
+    rows = map_rows(docs, run, "c array<struct<anchor:bigint,body:bigint,start:bigint,stop:bigint,at:bigint>>", drop=("text",))
     return rows.select("id", "tid", F.inline("c"))
 
 
@@ -229,18 +246,23 @@ def compare(bodies: list[bytes], length: int, keep: str) -> list[list[tuple[int,
 _SPANS = "anchor bigint, body bigint, spans array<struct<start:bigint,end:bigint>>"
 
 
-def _compare_groups(contexts: DataFrame, length: int, keep: str) -> DataFrame:
-    """_SPANS of contexts (anchor, body, id, at, tid, bytes), batched by anchor; a body comes once, however often its row is repeated."""
+def _compare_groups(members: DataFrame, length: int, keep: str) -> DataFrame:
+    """_SPANS of members (grp, anchor, body, id, at, tid, shift, bytes), batched by group.
+
+    ``bytes`` begin ``shift`` bytes into the context. A context comes once in a group, however
+    often its row is repeated.
+    """
+    columns = ("grp", "anchor", "body", "id", "at", "tid", "shift", "bytes")
 
     def flush(rows):
-        rows = sorted({r[:2]: r for r in rows}.values(), key=lambda r: r[2])
-        found = compare([r[3] for r in rows], length, keep)
+        rows = sorted({r[:3]: r for r in rows}.values(), key=lambda r: r[3])
+        found = compare([r[5] for r in rows], length, keep)
         rows = [(r, s) for r, s in zip(rows, found, strict=True) if s]
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([r[0] for r, _ in rows], pa.int64()),
                 pa.array([r[1] for r, _ in rows], pa.int64()),
-                pa.array([[{"start": a, "end": e} for a, e in s] for _, s in rows], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                pa.array([r[2] for r, _ in rows], pa.int64()),
+                pa.array([[{"start": a + r[4], "end": e + r[4]} for a, e in s] for r, s in rows], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
             ],
             names=["anchor", "body", "spans"],
         )
@@ -248,111 +270,105 @@ def _compare_groups(contexts: DataFrame, length: int, keep: str) -> DataFrame:
     def run(batches):
         rows, size, last = [], 0, None
         for b in batches:
-            for row in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("anchor", "body", "id", "at", "tid", "bytes")), strict=True):
-                if size >= BATCH and row[0] != last:
+            for grp, anchor, body, own, at, tid, shift, data in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in columns), strict=True):
+                if size >= BATCH and grp != last:
                     yield flush(rows)
                     rows, size = [], 0
-                last = row[0]
-                rows.append((row[0], row[1], (row[2] is not None, row[2] or 0, row[3], row[4]), row[5]))
-                size += len(row[5])
+                last = grp
+                rows.append((grp, anchor, body, (own is not None, own or 0, at, tid), shift, data))
+                size += len(data)
         if rows:
             yield flush(rows)
 
-    dealt = contexts.select("anchor", "body", "id", "at", "tid", "bytes").repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(run, _SPANS)
+    return members.select(*columns).repartition("grp").sortWithinPartitions("grp").mapInArrow(run, _SPANS)
 
 
-def _halve(contexts: DataFrame, length: int, keep: str) -> DataFrame:
-    """_SPANS of hot groups, by halving their ranges of windows; no group is gathered."""
-    width = length - min(GRAM, length)
-    node = contexts.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(width))
-    found = None
+def _deal(contexts: DataFrame, length: int, keep: str) -> DataFrame:
+    """_SPANS of hot groups, dealt by ranges of windows and the bytes that a range's windows share."""
+    a, last = F.col("a"), F.octet_length("bytes") - length
+    node = contexts.select("anchor", "body", "id", "at", "tid", "bytes", (F.col("at") - F.col("start")).cast("int").alias("a"), F.lit(0).alias("lo"), F.lit(length - _gram(length)).alias("hi"))
+    order, found = F.struct("id", "at", "tid"), None
+    # Windows of a range begin low to top bytes before the anchor, as far as the context has them.
+    mine = F.substring("bytes", a - F.col("top") + 1, F.col("top") - F.col("low") + length)
+    core = F.substring("bytes", a - F.col("lo") + 1, length - F.col("hi") + F.col("lo"))
+    keys = ["anchor", "lo", "hi", "core"]
     while True:
-
-        # Windows of a half begin lo to hi bytes before the anchor, as far as the context has them;
-        # every one of them holds the bytes that key the half.
-        def shared(batches):
-            for b in batches:
-                cols = {c: b.column(b.schema.get_field_index(c)).to_pylist() for c in ("bytes", "at", "start", "lo", "hi")}
-                core, body, has = [], [], []
-                for data, at, start, lo, hi in zip(*cols.values(), strict=True):
-                    a, last = at - start, len(data) - length
-                    top, low = min(hi, a), max(lo, a - last)
-                    has.append(low <= top)
-                    core.append(_hash(data[a - lo : a - hi + length]) if low <= top else 0)
-                    body.append(_hash(data[a - top : a - low + length], low * 1000 + top) if low <= top else 0)
-                yield {"core": core, "own": body, "has": has}
-
-        live = materialize(map_rows(node, shared, "core bigint, own bigint, has boolean").filter("has").drop("has"), "halves")
-        order = F.struct("id", "at", "tid")
-        sums = live.groupBy("anchor", "lo", "hi", "core").agg(F.count("*").alias("n"), F.min("own").alias("a"), F.max("own").alias("b"), F.min(order).alias("first")).filter("n > 1")
-        both = live.join(sums, ["anchor", "lo", "hi", "core"])
-        settled = both.filter("a = b" if keep == "none" else (F.col("a") == F.col("b")) & ~order.eqNullSafe(F.col("first")))
-        a, last = F.col("at") - F.col("start"), F.octet_length("bytes") - length
-        spans = settled.select("anchor", "body", F.array(F.struct((a - F.least("hi", a)).alias("start"), (a - F.greatest("lo", a - last) + length).alias("end"))).alias("spans"))
-        spans = materialize(spans, "halves-found")
+        ranged = node.withColumn("low", F.greatest("lo", a - last)).withColumn("top", F.least("hi", "a")).filter("low <= top")
+        ranged = ranged.withColumn("core", F.xxhash64(core)).withColumn("own", F.xxhash64(mine, "low", "top"))
+        sums = materialize(ranged.groupBy(*keys).agg(F.count("*").alias("n"), (F.min("own") == F.max("own")).alias("equal"), F.min(order).alias("first")).filter("n > 1"), "dealt-sums")
+        both = ranged.join(sums, keys)
+        again = F.lit(True) if keep == "none" else ~order.eqNullSafe(F.col("first"))
+        span = F.struct((a - F.col("top")).cast("bigint").alias("start"), (a - F.col("low") + length).cast("bigint").alias("end"))
+        whole = both.filter(F.col("equal") & again).select("anchor", "body", F.array(span).alias("spans"))
+        few = both.filter(~F.col("equal") & (F.col("n") <= GROUP)).select(F.xxhash64(*keys).alias("grp"), "anchor", "body", "id", "at", "tid", (a - F.col("top")).alias("shift"), mine.alias("bytes"))
+        spans = materialize(whole.union(_compare_groups(few, length, keep)), "dealt-found")
         found = spans if found is None else found.union(spans)
-        half = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
-        parts = F.array(F.struct(F.col("lo"), half.alias("hi")), F.struct((half + 1).alias("lo"), F.col("hi")))
-        node = both.filter("a <> b and lo < hi").drop("core", "own", "n", "a", "b", "first").withColumn("p", F.explode(parts)).withColumn("lo", F.col("p.lo")).withColumn("hi", F.col("p.hi")).drop("p")
-        node = materialize(node, "halves-next")
-        discard(live)
+        step = F.ceil((F.col("hi") - F.col("lo") + 1) / PARTS).cast("int")
+        parts = F.transform(F.sequence("lo", "hi", step), lambda p: F.struct(p.alias("lo"), F.least(p + step - 1, F.col("hi")).alias("hi")))
+        rest = both.filter(~F.col("equal") & (F.col("n") > GROUP)).select("anchor", "body", "id", "at", "tid", "bytes", "a", F.inline(parts))
+        node = materialize(rest, "dealt-next")
         if node.isEmpty():
             return found.groupBy("anchor", "body").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def _sized(df: DataFrame, items: str) -> DataFrame:
-    """Broadcast only what is known to be small; else the smaller side of a hash join."""
+    """Broadcast only what is known to be small."""
     n = df.agg(F.sum(F.size(items))).first()[0] or 0
-    return F.broadcast(df) if n <= SENT_ITEMS else df.hint("shuffle_hash")
+    return F.broadcast(df) if n <= SENT_ITEMS else df
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, keep: str = "first") -> DataFrame:
-    """id, tid, spans: byte runs to remove of each text that has any (not yet merged)."""
-    every = materialize(_contexts(docs, key, text, length), "contexts")
-    often = every.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    """id, tid, spans: byte runs to remove of each text that has any (not yet merged).
+
+    Counts and other facts of a key are stage tables of their own before they are joined to
+    the rows of the key, so that both sides of such a join are plain shuffles and adaptive
+    execution can split a hot key.
+    """
+    own = _identified(docs, key, text)
+    every = materialize(_contexts(own, length), "contexts")
+    often = materialize(every.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "anchors-repeated")
     seen = materialize(every.join(often, "anchor", "left_semi"), "contexts-repeated")
-    discard(every)
+    discard(every, often)
     member = F.struct("id", "start", "tid", "stop", "at")
     distinct = materialize(seen.groupBy("anchor", "body").agg(F.count("*").alias("n"), F.min(member).alias("first")), "contexts-distinct")
-    several = distinct.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1")
-    wanted = materialize(distinct.join(several, "anchor").select("anchor", "body", "m", "first.*"), "contexts-wanted")
-    per_id = materialize(wanted.groupBy("id").agg(F.collect_list(F.struct("tid", "anchor", "body", "m", "start", "stop", "at")).alias("w")), "contexts-per-id")
-    bodies = materialize(_cut(docs, per_id, key, text), "contexts-bytes")
-    found = _compare_groups(bodies.filter(F.col("m") <= GROUP), length, keep)
+    several = materialize(distinct.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1"), "anchors-several")
+    wanted = distinct.join(several, "anchor").select("anchor", "body", "m", "first.*")
+    per_text = materialize(wanted.groupBy("id", "tid").agg(F.collect_list(F.struct("anchor", "body", "m", "start", "stop", "at")).alias("w")), "contexts-wanted")
+    bodies = materialize(_cut(own, per_text), "contexts-bytes")
+    found = _compare_groups(bodies.filter(F.col("m") <= GROUP).withColumns({"grp": F.col("anchor"), "shift": F.lit(0)}), length, keep)
     hot = bodies.filter(F.col("m") > GROUP)
     if not hot.isEmpty():
-        found = found.unionByName(_halve(hot.drop("m"), length, keep))
+        found = found.unionByName(_deal(hot, length, keep))
     found = materialize(found, "contexts-found")
     span = F.struct(F.col("start"), F.col("stop").alias("end"))
-    known = distinct.select("anchor", "body", "n", F.struct("first.id", "first.start", "first.tid").alias("first")).join(found, ["anchor", "body"], "left").filter("n > 1 or spans is not null")
+    first = F.struct("first.id", "first.start", "first.tid").alias("first")
+    known = materialize(distinct.select("anchor", "body", "n", first).join(found, ["anchor", "body"], "left").filter("n > 1 or spans is not null"), "contexts-known")
     rows = seen.join(known, ["anchor", "body"])
     copied = F.col("n") > 1 if keep == "none" else ~F.struct("id", "start", "tid").eqNullSafe(F.col("first"))
     moved = F.transform("spans", lambda s: F.struct((s["start"] + F.col("start")).alias("start"), (s["end"] + F.col("start")).alias("end")))
     spans = rows.select("id", "tid", F.when(copied, F.array(span)).otherwise(moved).alias("spans")).filter("spans is not null")
     out = materialize(spans.groupBy("id", "tid").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans")), "spans")
-    discard(seen, distinct, wanted, per_id, bodies, found)
+    discard(seen, distinct, several, per_text, bodies, found, known)
     return out
 
 
-def _cut(docs: DataFrame, per_id: DataFrame, key: str, text: str) -> DataFrame:
+def _cut(own: DataFrame, per_text: DataFrame) -> DataFrame:
     """The wanted contexts with their bytes; a row repeated in a task gives them once."""
-    own = docs.select(F.col(key).alias("id"), text)
-    chosen = own.join(_sized(per_id.withColumnRenamed("id", "_id"), "w"), F.col("id").eqNullSafe(F.col("_id"))).drop("_id")
+    wanted = _sized(per_text.toDF("id2", "tid2", "w"), "w")
+    chosen = own.join(wanted, F.col("id").eqNullSafe(F.col("id2")) & (F.col("tid") == F.col("tid2"))).drop("id2", "tid2")
 
     def run(batches):
         done = set()
         for b in batches:
             made = []
-            for key, t, w in zip(b.column(b.schema.get_field_index("id")).to_pylist(), byte_texts(b, text), b.column(b.schema.get_field_index("w")).to_pylist(), strict=True):
-                tid = _hash(t)
-                made.append([x | {"bytes": t[x["start"] : x["stop"]]} for x in w if x["tid"] == tid] if (key, tid) not in done else [])
+            for key, tid, t, w in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("id", "tid")), byte_texts(b, "text"), b.column(b.schema.get_field_index("w")).to_pylist(), strict=True):
+                made.append([x | {"bytes": t[x["start"] : x["stop"]]} for x in w] if (key, tid) not in done else [])
                 done.add((key, tid))
             yield {"c": made}
 
-    kind = "array<struct<tid:bigint,anchor:bigint,body:bigint,m:bigint,start:bigint,at:bigint,bytes:binary>>"
-    rows = map_rows(chosen, run, f"c {kind}", drop=(text, "w"))
-    return rows.select("id", F.inline("c"))
+    kind = "array<struct<anchor:bigint,body:bigint,m:bigint,start:bigint,at:bigint,bytes:binary>>"
+    rows = map_rows(chosen, run, f"c {kind}", drop=("text", "w"))
+    return rows.select("id", "tid", F.inline("c"))
 
 
 def merge(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -377,18 +393,15 @@ def _whole_characters(text: bytes, s: int, e: int) -> tuple[int, int]:
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, keep: str = "first", whole_characters: bool = True) -> DataFrame:
     """``docs`` with n_bytes, removed (merged byte runs) and kept_bytes, the text without them."""
-    spans = repeated_spans(docs, key, text, length, keep)
-    one = F.inline("spans")
-    flat = spans.select("id", "tid", one)
-    per_id = flat.groupBy("id").agg(F.collect_list(F.struct("tid", "start", "end")).alias("_spans")).withColumnRenamed("id", "_id")
-    placed = docs.join(_sized(per_id, "_spans"), F.col(key).eqNullSafe(F.col("_id")), "left").drop("_id")
+    own, tid, found = spare_names(docs.columns, "id", "tid", "spans")
+    spans = _sized(repeated_spans(docs, key, text, length, keep).toDF(own, tid, found), found)
+    placed = docs.join(spans, F.col(key).eqNullSafe(F.col(own)) & (F.xxhash64(whole_text(text)) == F.col(tid)), "left")
 
     def run(batches):
         for b in batches:
             made = {"n_bytes": [], "removed": [], "kept_bytes": []}
-            for t, found in zip(byte_texts(b, text), b.column(b.schema.get_field_index("_spans")).to_pylist(), strict=True):
-                tid = _hash(t) if found else None
-                runs = merge([x for x in found or () if x["tid"] == tid])
+            for t, own in zip(byte_texts(b, text), b.column(b.schema.get_field_index(found)).to_pylist(), strict=True):
+                runs = merge(own)
                 if whole_characters:
                     runs = [(x, y) for x, y in (_whole_characters(t, x, y) for x, y in runs) if y > x]
                 edges = [0, *(v for r in runs for v in r), len(t)]
@@ -397,7 +410,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", length
                 made["kept_bytes"].append(b"".join(t[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2)))
             yield made
 
-    return map_rows(placed, run, "n_bytes bigint, removed array<struct<start:bigint,end:bigint>>, kept_bytes binary", drop=("_spans",))
+    return map_rows(placed, run, "n_bytes bigint, removed array<struct<start:bigint,end:bigint>>, kept_bytes binary", drop=(own, tid, found))
 
 
 def n_removed() -> Column:
