@@ -16,8 +16,9 @@ is never cut: a run may go in parts, a sentence is never lost.
 
 Defined cases: null text is empty; white space alone has no sentence and stays; texts of fewer
 sentences than ``run`` keep everything; runs never cross documents, but may be repeated in one;
-a row repeated with its id and text is one place in the order; null ids come first; other
-columns pass through, and clashing ones are replaced.
+a row repeated with its id and text is one place in the order; null ids come first; texts of
+any length are split whole; an empty table gives no rows; other columns pass through whatever
+their names, but n_sentences, n_cut and kept_text are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanegraph.llm.common import SPACES, let, whole_text
+from lanegraph.llm.common import SPACES, let, spare_names, whole_text
 from lanegraph.stage import discard, materialize
 
 RUN = 3
@@ -60,27 +61,28 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", run:
     """id, tid, at: positions of the runs of each text that have an earlier copy."""
     runs = materialize(_runs(docs, key, text, run), "sentence-runs")
     place = F.struct("id", "tid", "pos")
-    first = runs.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n")
+    first = materialize(runs.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n"), "sentence-runs-first")
     later = runs.join(first, ["h", "g"]).filter(~place.eqNullSafe(F.col("first")))
     out = materialize(later.groupBy("id", "tid").agg(F.collect_set("pos").alias("at")), "sentence-runs-repeated")
-    discard(runs)
+    discard(runs, first)
     return out
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", run: int = RUN) -> DataFrame:
     """``docs`` with n_sentences, n_cut (sentences) and kept_text, the text without the cut ones."""
-    found = repeated_runs(docs, key, text, run).withColumnsRenamed({"id": "_id", "tid": "_tid", "at": "_at"})
-    few = (found.agg(F.sum(F.size("_at"))).first()[0] or 0) <= SENT_ITEMS
-    found = F.broadcast(found) if few else found.hint("shuffle_hash")
-    same = F.col(key).eqNullSafe(F.col("_id")) & (F.xxhash64(whole_text(text)) == F.col("_tid"))
+    own, tid, at, new = spare_names(docs.columns, "id", "tid", "at", "made")
+    found = repeated_runs(docs, key, text, run).toDF(own, tid, at)
+    few = (found.agg(F.sum(F.size(at))).first()[0] or 0) <= SENT_ITEMS
+    found = F.broadcast(found) if few else found
+    same = F.col(key).eqNullSafe(F.col(own)) & (F.xxhash64(whole_text(text)) == F.col(tid))
     placed = docs.join(found, same, "left")
-    covered = F.flatten(F.transform("_at", lambda p: F.sequence(p, p + run - 1)))
+    covered = F.flatten(F.transform(at, lambda p: F.sequence(p, p + run - 1)))
 
     def cut(s: Column) -> Column:
         left = F.when(F.size(s) > 0, F.array_except(F.sequence(F.lit(0), F.size(s) - 1), covered))
-        kept = F.when(F.col("_at").isNull(), whole_text(text)).otherwise(F.array_join(F.transform(left, lambda i: F.get(s, i)), ""))
+        kept = F.when(F.col(at).isNull(), whole_text(text)).otherwise(F.array_join(F.transform(left, lambda i: F.get(s, i)), ""))
         n = F.size(s).cast("long")
-        return F.struct(n.alias("n_sentences"), F.when(F.col("_at").isNull(), F.lit(0)).otherwise(n - F.size(left)).cast("long").alias("n_cut"), kept.alias("kept_text"))
+        return F.struct(n.alias("n_sentences"), F.when(F.col(at).isNull(), F.lit(0)).otherwise(n - F.size(left)).cast("long").alias("n_cut"), kept.alias("kept_text"))
 
     made = ("n_sentences", "n_cut", "kept_text")
-    return placed.select(*[c for c in docs.columns if c not in made], let(sentences(whole_text(text)), cut).alias("_made")).select("*", "_made.*").drop("_made")
+    return placed.select(*[c for c in docs.columns if c.lower() not in made], let(sentences(whole_text(text)), cut).alias(new)).select("*", f"{new}.*").drop(new)

@@ -1,4 +1,5 @@
 import itertools
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -58,6 +59,24 @@ def test_quality_held_out(spark):
     assert right > 0.95 and kept > 0.97 and junk > 0.75
 
 
+@pytest.mark.parametrize("prior", [0.3, 0.6, 0.85])
+def test_prior_without_negatives(prior):
+    """Two overlapping clouds: the share of one among the mixture, from it and the mixture alone."""
+    r = np.random.default_rng(3)
+    cloud = lambda n, at: r.normal(at, 1, (n, 4))
+    pos = cloud(3000, 1.2)
+    web = np.concatenate([cloud(int(6000 * prior), 1.2), cloud(6000 - int(6000 * prior), -1.2)])
+    assert abs(q.estimate_prior(pos, web) - prior) < 0.06
+
+
+def test_negatives_are_not_used(spark):
+    """Labels of 0 say nothing to the learner: the same scores without them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    score = lambda x: sorted((r["doc_id"], round(r["score"], 9)) for r in q.quality(docs, x).select("doc_id", "score").collect())
+    assert score(labels) == score(labels.filter("quality = 1"))
+
+
 def test_models_take_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(3, 1, 1), (4, 0, 0), (4, 1, 1), (None, 1, 1), (5, None, None)], "doc_id long, toxic int, quality int")
     none = labels.limit(0)
@@ -101,6 +120,64 @@ def gapless(rows):
         assert at <= 2048
 
 
+def test_search_is_bounded_in_memory():
+    """2047 lengths and 300,000 pieces, as the widest histogram has them."""
+    r = np.random.default_rng(1)
+    hist = dict(zip(*(x.tolist() for x in np.unique(r.integers(1, 2048, 300_000), return_counts=True)), strict=True))
+    tracemalloc.start()
+    got = p.complete_bins(hist)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6
+    used = {}
+    for filling, n in got:
+        assert sum(x * c for x, c in filling.items()) <= 2048
+        for x, c in filling.items():
+            used[x] = used.get(x, 0) + c * n
+    assert used == hist
+
+
+def test_fillings_are_all_the_undominated():
+    counts = {1: 1, 2: 1, 3: 3, 4: 2, 9: 2}
+    got = [f for _, f in p._fillings(counts, 20)]
+    want = set()
+    for a, b, c, d in itertools.product(range(2), range(2), range(4), range(3)):
+        for e in (1, 2):
+            f = {1: a, 2: b, 3: c, 4: d, 9: e}
+            room = 20 - sum(x * n for x, n in f.items())
+            if room >= 0 and not any(n < counts[x] and x <= room for x, n in f.items()):
+                want.add(tuple(sorted((x, n) for x, n in f.items() if n)))
+    assert len(got) == len(want) and {tuple(sorted(f.items())) for f in got} == want
+    assert [sum(x * n for x, n in f.items()) for f in got] == sorted((sum(x * n for x, n in f.items()) for f in got), reverse=True)
+
+
+def test_ids_of_a_whole_table_are_the_tokenizers(spark):
+    from tokenizers import Tokenizer
+
+    slow, quick = Tokenizer.from_file(p.vocabulary_path()), p.encoder(p.vocabulary_path())
+    for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        assert list(quick(x["text"] or "")) == slow.encode(x["text"] or "", add_special_tokens=False).ids
+
+
+def test_packing_query_is_whole(spark):
+    """The query's digests against texts encoded anew; places gapless; as few sequences as the lower bound."""
+    import __spark_entry__ as entry
+
+    quick = p.encoder(p.vocabulary_path())
+    out = entry.queries()["op6_packing"](spark, SMALL).collect()
+    by = {}
+    for x in out:
+        by.setdefault(x["doc_id"], []).append(x)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    assert len(docs) == len(by)
+    for d in docs:
+        ids = np.array([*quick(d["text"] or ""), 0], "<u4")
+        assert sum(x["length"] for x in by[d["doc_id"]]) == len(ids)
+        assert all(zlib.crc32(ids[x["start"] : x["start"] + x["length"]].tobytes()) == x["ids_crc32"] for x in by[d["doc_id"]])
+    gapless(out)
+    assert len({x["sequence_id"] for x in out}) == max(-(-sum(x["length"] for x in out) // 2048), sum(x["length"] > 1024 for x in out))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 10), min_size=1, max_size=9))
 def test_bins_are_optimal(sizes):
@@ -155,6 +232,12 @@ def test_windows_are_brute_force(spark, block):
         assert {i for s in x["hit_spans"] for i in range(s["start"], s["end"])} == hit and x["item_ids"] == named and x["n"] == len(hit)
 
 
+def test_item_ids_of_any_type(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "x y")], "doc_id long, text string")
+    out = d.decontaminate(docs, spark.createDataFrame([("k10", "b c"), ("k9", "c d"), (None, "x y")], "item_id string, text string"), block_words=2)
+    assert {x["doc_id"]: x["item_ids"] for x in out.collect()} == {1: ["k10", "k9"], 2: []}
+
+
 def test_no_benchmark(spark, odd_docs, no_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert d.decontaminate(odd_docs, none).filter("size(hit_spans) > 0").count() == 0
@@ -194,6 +277,7 @@ def test_urls_odd_rows(spark):
     many = pages.unionByName(spark.createDataFrame([(100 + k, f"http://{'bad' if k < 48 else 'ok'}.net/{k}", None) for k in range(50)], pages.schema))
     said = {x["host"]: x["verdict"] for x in h.filter_urls(many, bad).collect()}
     assert said["bad.net"] == "block" and said["ok.net"] == "allow"
+    assert h.filter_urls(pages.limit(0), bad).count() == 0
 
 
 # the pipeline
