@@ -5,7 +5,7 @@ the last return the columns of ``documents``:
 
 1. toxicity: documents scored 0.5 or more go (labels of every fifth document are not learnt);
 2. near_dedup: one document, the smallest id, stays of each group of near duplicates;
-3. suffix_dedup: strings of 400 bytes that occurred earlier in the corpus are cut out, in whole
+3. suffix_dedup: strings of 200 bytes (a passage of some 40 words) that occurred earlier in the corpus are cut out, in whole
    characters; a document of which nothing is left goes; n_chars follows the text;
 4. decontamination: documents that hold a ten-word window of the benchmark go;
 5. packing: what is left is tokenized and packed into sequences of 2048 ids.
@@ -21,6 +21,9 @@ from lanegraph.session import ship
 from lanegraph.stage import materialize
 from lanegraph.tables import table
 
+#: Strings of this many bytes that were found before are cut.
+REPEATED_BYTES = 200
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
@@ -36,7 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    cut = suffix_dedup.deduplicate(docs, keep="first").filter("n_bytes = 0 or octet_length(kept_bytes) > 0")
+    cut = suffix_dedup.deduplicate(docs, length=REPEATED_BYTES, keep="first").filter("n_bytes = 0 or octet_length(kept_bytes) > 0")
     text = F.when(F.col("text").isNotNull(), F.col("kept_bytes").cast("string"))
     return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
 
