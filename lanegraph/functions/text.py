@@ -19,31 +19,25 @@ FACILITY_ENDINGS = ("protected bike lane", "bike lane", "bike path", "cycle trac
 
 def normalize_address(s: Column) -> Column:
     """Abbreviate direction and street words anywhere, in any case."""
-    for full, short in DIRECTIONS + STREET_WORDS:
-        s = F.regexp_replace(s, rf"(?i)\b{full}\b", short)
-    return s
+    short = _map({k.lower(): v for k, v in DIRECTIONS + STREET_WORDS})
+    return F.array_join(F.transform(F.regexp_extract_all(s, F.lit(r"\w+|\W+"), 0), lambda w: F.coalesce(short[F.lower(w)], w)), "")
+
+
+def _map(table: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
 
 
 def abbreviate_label(s: Column) -> Column:
     """Abbreviate a leading direction, the street word at the end (also before a direction), then a trailing direction; case matters."""
-    lead = None
-    for full, short in DIRECTIONS:
-        new = F.concat(F.lit(f"{short} "), F.substring(s, len(full) + 2, F.length(s)))
-        lead = F.when(s.startswith(f"{full} "), new) if lead is None else lead.when(s.startswith(f"{full} "), new)
-    s = lead.otherwise(s)
-    names = "|".join(full for full, _ in DIRECTIONS)
-    word = None
-    for full, short in STREET_WORDS:
-        hit = s.rlike(rf" {full}( ({names}))?$")
-        new = F.regexp_replace(s, rf" {full}(( ({names}))?)$", f" {short}$1")
-        word = F.when(hit, new) if word is None else word.when(hit, new)
-    s = word.otherwise(s)
-    tail = None
-    for full, short in DIRECTIONS:
-        hit = s.endswith(f" {full}")
-        new = F.regexp_replace(s, rf" {full}$", f" {short}")
-        tail = F.when(hit, new) if tail is None else tail.when(hit, new)
-    return tail.otherwise(s)
+    way, street = _map(dict(DIRECTIONS)), _map(dict(STREET_WORDS))
+    ways, streets = ("|".join(full for full, _ in words) for words in (DIRECTIONS, STREET_WORDS))
+    part = lambda pattern, k: F.regexp_extract(s, pattern, k)
+    lead = rf"(?s)^({ways}) (.*)$"
+    s = F.when(s.rlike(lead), F.concat(way[part(lead, 1)], F.lit(" "), part(lead, 2))).otherwise(s)
+    word = rf"(?s)^(.*) ({streets})((?: (?:{ways}))?)$"
+    s = F.when(s.rlike(word), F.concat(part(word, 1), F.lit(" "), street[part(word, 2)], part(word, 3))).otherwise(s)
+    tail = rf"(?s)^(.*) ({ways})$"
+    return F.when(s.rlike(tail), F.concat(part(tail, 1), F.lit(" "), way[part(tail, 2)])).otherwise(s)
 
 
 def base_name(s: Column) -> Column:

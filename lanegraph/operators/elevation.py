@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lanegraph.operators.components import connected_components
 from lanegraph.stage import discard, materialize
 
 #: Grade that costs nothing, and feet between resampled points.
@@ -201,6 +202,61 @@ def contour_crossings(raster: DataFrame, levels: list[float]) -> DataFrame:
     return out.select("level", "row", "col", F.col("p.x").alias("x0"), F.col("p.y").alias("y0"), F.col("q.x").alias("x1"), F.col("q.y").alias("y1"))
 
 
+def contour_lines(pieces: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """Pieces (level, x0, y0, x1, y1) joined to lines: level, line, closed, points (x, y), simplified to ``tolerance``.
+
+    Pieces of neighbouring cells meet in equal coordinates, so a line is a component of their
+    ends, found by joins; the pieces of one line are put in order in one call, as the line is
+    one row of the result. A closed line begins and ends with its least point.
+    """
+    end = lambda x, y: F.xxhash64("level", x, y)
+    ends = materialize(pieces.select("level", "x0", "y0", "x1", "y1", end("x0", "y0").alias("a"), end("x1", "y1").alias("b")).filter("a <> b"), "contour-pieces")
+    lines = connected_components(ends, "a", "b").select(F.col("node").alias("a"), F.col("component").alias("line"))
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        at, near = {}, {}
+        for r in pdf.itertuples():
+            at[r.a], at[r.b] = (r.x0, r.y0), (r.x1, r.y1)
+            near.setdefault(r.a, []).append(r.b)
+            near.setdefault(r.b, []).append(r.a)
+        free = [k for k, v in near.items() if len(v) == 1]
+        start = min(free or near, key=at.get)
+        path, before, here = [at[start]], None, start
+        while True:
+            ahead = list(near[here])
+            if before in ahead:
+                ahead.remove(before)
+            if not ahead:
+                break
+            before, here = here, min(ahead, key=at.get)
+            path.append(at[here])
+            if here == start:
+                break
+        kept = _simplified(path, tolerance)
+        return pd.DataFrame({"level": [pdf.level.iloc[0]], "line": [pdf.line.iloc[0]], "closed": [not free], "points": [[{"x": x, "y": y} for x, y in kept]]})
+
+    return ends.join(lines, "a").groupBy("level", "line").applyInPandas(chain, "level double, line bigint, closed boolean, points array<struct<x:double,y:double>>")
+
+
+def _simplified(path: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
+    """The path without points closer than ``tolerance`` to the line between those that stay, farthest points first."""
+    p = np.array(path)
+    keep, todo = np.zeros(len(p), bool), [(0, len(p) - 1)]
+    keep[[0, -1]] = True
+    while todo:
+        i, j = todo.pop()
+        if j - i < 2:
+            continue
+        (x, y), d = p[i], p[j] - p[i]
+        inner, size = p[i + 1 : j], float(np.hypot(*d))
+        off = np.abs(d[0] * (inner[:, 1] - y) - d[1] * (inner[:, 0] - x)) / size if size else np.hypot(inner[:, 0] - x, inner[:, 1] - y)
+        k = int(off.argmax())
+        if off[k] > tolerance:
+            keep[i + 1 + k] = True
+            todo += [(i, i + 1 + k), (i + 1 + k, j)]
+    return [tuple(x) for x in p[keep].tolist()]
+
+
 def smooth_raster(raster: DataFrame, window: int = 5, sigma: float = 2.0) -> DataFrame:
     """Median over window x window cells, then a Gaussian of ``sigma`` cells (4 sigma wide), edges cut off and reweighted.
 

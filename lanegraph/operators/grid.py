@@ -22,20 +22,20 @@ def _cells(lo: Column, hi: Column, size: float, pad: float) -> Column:
     return F.sequence(_cell(lo - pad, size), _cell(hi + pad, size))
 
 
-def _filed(df: DataFrame, x: tuple[Column, Column], y: tuple[Column, Column], size: float, pad: float) -> DataFrame:
+def filed(df: DataFrame, x: tuple[Column, Column], y: tuple[Column, Column], size: float, pad: float) -> DataFrame:
     """Rows in every cell their padded box covers, as _cx, _cy."""
     return df.withColumn("_cx", F.explode(_cells(*x, size, pad))).withColumn("_cy", F.explode(_cells(*y, size, pad)))
 
 
-def _placed(df: DataFrame, x: Column, y: Column, size: float) -> DataFrame:
+def placed(df: DataFrame, x: Column, y: Column, size: float) -> DataFrame:
     return df.withColumn("_cx", _cell(x, size)).withColumn("_cy", _cell(y, size))
 
 
 def points_near_points(a: DataFrame, b: DataFrame, radius: float, ax="ax", ay="ay", bx="bx", by="by", box: bool = False) -> DataFrame:
     """Pairs within ``radius`` (in the columns' unit), or within its box; adds ``d2``, the squared distance."""
     at = (F.col(bx), F.col(by))
-    left = _placed(a, F.col(ax), F.col(ay), radius)
-    right = _filed(b, (at[0], at[0]), (at[1], at[1]), radius, radius)
+    left = placed(a, F.col(ax), F.col(ay), radius)
+    right = filed(b, (at[0], at[0]), (at[1], at[1]), radius, radius)
     dx, dy = F.col(ax) - F.col(bx), F.col(ay) - F.col(by)
     near = (F.abs(dx) <= radius) & (F.abs(dy) <= radius) if box else dx * dx + dy * dy <= radius * radius
     return left.join(right, ["_cx", "_cy"]).drop("_cx", "_cy").filter(near).withColumn("d2", dx * dx + dy * dy)
@@ -47,8 +47,8 @@ def points_near_segments(
     """Pairs of points and segments within ``radius`` degrees (or ``limit`` in scaled units), with ``t`` and ``dist``."""
     size = max(cell or radius, radius)
     x0, y0, x1, y1 = (F.col(c) for c in ends)
-    left = _placed(points, F.col(px), F.col(py), size)
-    right = _filed(segs, (F.least(x0, x1), F.greatest(x0, x1)), (F.least(y0, y1), F.greatest(y0, y1)), size, radius)
+    left = placed(points, F.col(px), F.col(py), size)
+    right = filed(segs, (F.least(x0, x1), F.greatest(x0, x1)), (F.least(y0, y1), F.greatest(y0, y1)), size, radius)
     t, dist = geo.project(F.col(px), F.col(py), x0, y0, x1, y1, sx, sy)
     return left.join(right, ["_cx", "_cy"]).drop("_cx", "_cy").withColumn("t", t).withColumn("dist", dist).filter(F.col("dist") <= (radius if limit is None else limit))
 
@@ -58,8 +58,8 @@ def segments_meeting(a: DataFrame, b: DataFrame, size: float, a_ends=("ax0", "ay
     p, q = [F.col(c) for c in a_ends], [F.col(c) for c in b_ends]
     lo = lambda e, k: F.least(e[k], e[k + 2])
     hi = lambda e, k: F.greatest(e[k], e[k + 2])
-    left = _filed(a, (lo(p, 0), hi(p, 0)), (lo(p, 1), hi(p, 1)), size, 0.0)
-    right = _filed(b, (lo(q, 0), hi(q, 0)), (lo(q, 1), hi(q, 1)), size, 0.0)
+    left = filed(a, (lo(p, 0), hi(p, 0)), (lo(p, 1), hi(p, 1)), size, 0.0)
+    right = filed(b, (lo(q, 0), hi(q, 0)), (lo(q, 1), hi(q, 1)), size, 0.0)
     first = (F.col("_cx") == _cell(F.greatest(lo(p, 0), lo(q, 0)), size)) & (F.col("_cy") == _cell(F.greatest(lo(p, 1), lo(q, 1)), size))
     test = (geo.segments_cross if strict else geo.segments_meet)((p[0], p[1]), (p[2], p[3]), (q[0], q[1]), (q[2], q[3]))
     return left.join(right, ["_cx", "_cy"]).filter(first & test).drop("_cx", "_cy")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanegraph.functions import geo, text
+from lanegraph.operators import grid
 
 
 def running_distance(points: DataFrame, route: str = "route_id", seq: str = "seq", length=geo.planar_ft) -> DataFrame:
@@ -71,12 +72,19 @@ def slope_at(series: DataFrame, targets: DataFrame, window_ft: float = 100.0, ro
     return low.join(high, [route, "target"]).select(route, "target", F.when(dx > 0, (F.col("_e1") - F.col("_e0")) / dx).otherwise(F.lit(0.0)).alias("slope"))
 
 
-def distance_of(series: DataFrame, points: DataFrame, route: str = "route_id", seq: str = "seq", point: str = "point_id") -> DataFrame:
-    """Feet along the point's route (points carry its id) at the place nearest to it."""
+def distance_of(series: DataFrame, points: DataFrame, route: str = "route_id", seq: str = "seq", point: str = "point_id", reach_ft: float = 50.0, cell: float = 0.001) -> DataFrame:
+    """Feet along the point's route (points carry its id) at the place nearest to it, for points within reach_ft of it.
+
+    Legs are filed in the grid cells they may reach and points in their own, so a point meets
+    the legs of its route near it, not all of them.
+    """
     w = Window.partitionBy(route).orderBy(seq)
     legs = series.select(route, seq, F.lag("lon").over(w).alias("x0"), F.lag("lat").over(w).alias("y0"), F.col("lon").alias("x1"), F.col("lat").alias("y1"), F.lag("along").over(w).alias("d0"), F.col("along").alias("d1")).filter("x0 is not null")
     t, dist = geo.project(F.col("px"), F.col("py"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), geo.FT_PER_LON, geo.FT_PER_LAT)
-    near = points.join(legs, route).select(point, route, dist.alias("off_ft"), seq, (F.col("d0") + (F.col("d1") - F.col("d0")) * t).alias("at_ft"))
+    size, pad = max(cell, reach_ft / geo.FT_PER_LON), reach_ft / geo.FT_PER_LON
+    x, y = ((F.least(f"{c}0", f"{c}1"), F.greatest(f"{c}0", f"{c}1")) for c in "xy")
+    met = grid.placed(points, F.col("px"), F.col("py"), size).join(grid.filed(legs, x, y, size, pad), [route, "_cx", "_cy"])
+    near = met.select(point, route, dist.alias("off_ft"), seq, (F.col("d0") + (F.col("d1") - F.col("d0")) * t).alias("at_ft")).filter(F.col("off_ft") <= reach_ft)
     return near.groupBy(point, route).agg(F.min(F.struct("off_ft", seq, "at_ft")).alias("m")).select(point, route, F.col("m.off_ft").alias("off_ft"), F.col("m.at_ft").alias("at_ft"))
 
 

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from lanegraph.functions import text
 from lanegraph.operators.ordered import dense_ids
+from lanegraph.stage import materialize
 
 #: Shortest query, and how much a degree of longitude counts.
 LEAST, LON_SHARE = 2, 0.7
+#: Letters of a word under whose beginnings a label is filed.
+STEM = 6
 
 
 def search_index(pois: DataFrame, addresses: DataFrame) -> DataFrame:
@@ -27,15 +30,19 @@ def _tokens(label) -> F.Column:
 def search(index: DataFrame, queries: DataFrame, limit: int = 6) -> DataFrame:
     """Hits of each query (query_id, q, lon, lat): every query word begins a label's word.
 
-    Points of interest come first, then by distance, then by id. Labels are filed under their
-    words' first two letters, queries join there.
+    Points of interest come first, then by distance, then by id. Labels are filed under the
+    beginnings of their words, up to STEM letters; a query joins under that one of its words
+    that fewest labels have, and its other words are looked for in the labels found there.
     """
-    words = index.select("id", F.explode(_tokens(F.col("label"))).alias("word")).withColumn("head", F.substring("word", 1, LEAST))
-    q = queries.filter(F.length(F.trim("q")) >= LEAST).withColumn("ts", _tokens(F.col("q"))).withColumn("n", F.size("ts")).filter("n > 0")
-    asked = q.select("query_id", "n", F.explode("ts").alias("t"))
-    long = asked.filter(F.length("t") >= LEAST).withColumn("head", F.substring("t", 1, LEAST)).join(words, "head").filter(F.col("word").startswith(F.col("t")))
-    single = asked.filter(F.length("t") < LEAST).withColumn("head", F.col("t")).join(words.withColumn("head", F.substring("word", 1, 1)), "head")
-    hits = long.select("query_id", "n", "t", "id").union(single.select("query_id", "n", "t", "id")).groupBy("query_id", "n", "id").agg(F.count_distinct("t").alias("m")).filter("m = n")
+    index = materialize(index.withColumn("ws", _tokens(F.col("label"))), "search-index")
+    words = index.select("id", "ws")
+    begun = lambda w: F.transform(F.sequence(F.lit(1), F.least(F.length(w), F.lit(STEM))), lambda n: F.substring(w, F.lit(1), n))
+    filed = words.filter(F.size("ws") > 0).select("id", "ws", F.explode(F.array_distinct(F.flatten(F.transform("ws", begun)))).alias("stem"))
+    q = materialize(queries.filter(F.length(F.trim("q")) >= LEAST).withColumn("ts", _tokens(F.col("q"))).filter(F.size("ts") > 0), "search-queries")
+    asked = q.select("query_id", "ts", F.explode("ts").alias("t")).withColumn("stem", F.substring("t", 1, STEM))
+    often = filed.join(asked.select("stem").distinct(), "stem", "left_semi").groupBy("stem").agg(F.count("*").alias("n"))
+    rare = asked.join(often, "stem").groupBy("query_id").agg(F.min(F.struct("n", "stem")).alias("m"), F.first("ts").alias("ts"), F.count_distinct("t").alias("known")).filter(F.col("known") == F.size("ts"))
+    hits = rare.select("query_id", "ts", "m.stem").join(filed, "stem").filter(F.forall("ts", lambda t: F.exists("ws", lambda w: w.startswith(t)))).select("query_id", "id")
     at = hits.join(index, "id").join(q.select("query_id", F.col("lon").alias("qlon"), F.col("lat").alias("qlat")), "query_id")
     dx, dy = (F.col("lon") - F.col("qlon")) * LON_SHARE, F.col("lat") - F.col("qlat")
     d2 = F.coalesce(dx * dx + dy * dy, F.lit(0.0))

@@ -81,11 +81,11 @@ u AS (SELECT sign_id, sg.route_id, seq, d0, d1, (x1-x0)*245000e0 bx, (y1-y0)*364
 v AS (SELECT *, least(greatest((qx*bx+qy*by_)/(bx*bx+by_*by_), 0), 1) t FROM u),
 z AS (SELECT *, sqrt(pow(qx-t*bx,2)+pow(qy-t*by_,2)) off, d0+(d1-d0)*t at_ft FROM v),
 sn AS (SELECT sign_id point_id, route_id, off off_ft, at_ft FROM (SELECT *, row_number() OVER (PARTITION BY sign_id, route_id ORDER BY off, seq) n FROM z) WHERE n = 1)"""
-ROUTE_SIGNS = _SNAPPED + " SELECT point_id, route_id, round(off_ft, 3) off_ft, round(at_ft, 3) at_ft FROM sn"
+ROUTE_SIGNS = _SNAPPED + " SELECT point_id, route_id, round(off_ft, 3) off_ft, round(at_ft, 3) at_ft FROM sn WHERE off_ft <= 50"
 
 
 def route_coverage(spark: SparkSession, folder: str) -> DataFrame:
-    c = ordered.sign_coverage(_series(spark, folder), _snapped(spark, folder).filter("off_ft <= 50"), 700.0)
+    c = ordered.sign_coverage(_series(spark, folder), _snapped(spark, folder), 700.0)
     return c.select("route_id", "n_signs", F.round("uncovered", 6).alias("uncovered"), F.round("multiplier", 6).alias("multiplier"))
 
 

@@ -209,6 +209,16 @@ def contours(spark: SparkSession, folder: str) -> DataFrame:
     return c.groupBy("level").agg(F.count("*").alias("n_pieces"), F.round(F.sum(F.abs(F.col("x1") - F.col("x0")) + F.abs(F.col("y1") - F.col("y0"))), 4).alias("size"))
 
 
+def contour_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Contours as simplified lines, written as a layer and read back; tests hold the joining against the pieces."""
+    lines = elevation.contour_lines(elevation.contour_crossings(_raster(spark, folder), [50.0, 100.0, 150.0]), 0.05)
+    path = fresh_path(spark, "contours")
+    tags = F.create_map(F.lit("elev_ft"), F.col("level").cast("string"), F.lit("line"), F.col("line").cast("string"), F.lit("index"), (F.col("level") % 100 == 0).cast("int").cast("string"))
+    layers.write_lines(lines.select(tags.alias("properties"), F.lit("LineString").alias("kind"), F.transform("points", lambda p: F.array(p["x"], p["y"])).alias("coordinates")), path)
+    back = layers.line_parts(layers.read_lines(spark, path))
+    return back.select(F.col("properties")["elev_ft"].cast("double").alias("level"), F.col("properties")["line"].cast("long").alias("line"), F.col("properties")["index"].alias("is_index"), F.size("points").alias("n_points"))
+
+
 def smoothed(spark: SparkSession, folder: str) -> DataFrame:
     """Raster after median and Gaussian; tests hold it against numpy."""
     return elevation.smooth_raster(_raster(spark, folder)).withColumn("v", F.round("v", 6))
@@ -293,6 +303,6 @@ HOURLY_EVENTS = "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, event_type, count(*
 PLANS = {
     "cost_by_tier": (cost_by_tier, COST_BY_TIER), "twist_costs": (twist_costs, TWIST_COSTS), "transitions": (transitions, TRANSITIONS), "paths": (paths, None), "point_paths": (point_paths, None), "directed_edges": (directed_edges, DIRECTED_EDGES), "alternates": (alternates, None),
     "travel_times": (travel_times, TRAVEL_TIMES), "slopes": (slopes, SLOPES), "raster_samples": (raster_samples, RASTER_SAMPLES), "raster_summary": (raster_summary, RASTER_SUMMARY), "contours": (contours, None),
-    "smoothed": (smoothed, None), "climb_profile": (climb_profile, None), "level_structures": (level_structures, None), "search_hits": (search_hits, SEARCH_HITS), "layer_round_trip": (layer_round_trip, LAYER_ROUND_TRIP),
+    "contour_lines": (contour_lines, None), "smoothed": (smoothed, None), "climb_profile": (climb_profile, None), "level_structures": (level_structures, None), "search_hits": (search_hits, SEARCH_HITS), "layer_round_trip": (layer_round_trip, LAYER_ROUND_TRIP),
     "file_manifest": (file_manifest, FILE_MANIFEST), "last_fixes": (last_fixes, LAST_FIXES), "hourly_events": (hourly_events, HOURLY_EVENTS),
 }
