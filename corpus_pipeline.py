@@ -9,6 +9,13 @@ the last return the columns of ``documents``:
    characters; a document of which nothing is left goes; n_chars follows the text;
 4. decontamination: documents that hold a ten-word window of the benchmark go;
 5. packing: what is left is tokenized and packed into sequences of 2048 ids.
+
+Defined cases: null, empty and blank texts are clean, unlike any other, hold nothing to cut and
+pass all stages as they are; texts of any length are read whole; rows repeated with their id
+and text are one document and are kept, dropped and cut alike; rows with a null id stay in
+stages 1, 2 and 4 and come first in the order of stage 3; of equal strings the one with the
+smallest id, then position, stays; an empty table gives no rows; other columns of documents
+pass through the first four stages.
 """
 
 from __future__ import annotations
@@ -26,6 +33,7 @@ REPEATED_BYTES = 200
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents whose score is under 0.5; trained on the labels of four fifths of the ids."""
     ship(spark)
     learnt = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(learnt)
@@ -33,11 +41,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that have no near duplicate, or are the smallest id of their group."""
     ship(spark)
     return near_dedup.keep_firsts(docs).select(docs.columns)
 
 
 def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without the strings found earlier; those of which nothing is left go."""
     ship(spark)
     cut = suffix_dedup.deduplicate(docs, length=REPEATED_BYTES, keep="first").filter("n_bytes = 0 or octet_length(kept_bytes) > 0")
     text = F.when(F.col("text").isNotNull(), F.col("kept_bytes").cast("string"))
@@ -45,11 +55,13 @@ def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that hold no window of the benchmark."""
     ship(spark)
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter(F.size("hit_spans") == 0).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces with their place in sequences."""
     ship(spark)
     packed = packing.pack_documents(docs.select("doc_id", "text"), keep_ids=False)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
