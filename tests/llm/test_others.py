@@ -7,7 +7,6 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-import corpus_pipeline
 from lanegraph.llm import decontamination as d
 from lanegraph.llm import host_reputation as h
 from lanegraph.llm import packing as p
@@ -278,22 +277,3 @@ def test_urls_odd_rows(spark):
     said = {x["host"]: x["verdict"] for x in h.filter_urls(many, bad).collect()}
     assert said["bad.net"] == "block" and said["ok.net"] == "allow"
     assert h.filter_urls(pages.limit(0), bad).count() == 0
-
-
-# the pipeline
-
-
-def test_pipeline_stages(spark):
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "suffix_dedup", "decontamination", "packing"]
-    kept, names = docs, docs.columns
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = corpus_pipeline.materialize(stage(spark, kept, SMALL), f"test-{name}")
-        assert after.columns == names and after.count() <= kept.count()
-        assert after.join(kept, "doc_id", "left_anti").count() == 0
-        kept = after
-    again = d.decontaminate(kept, spark.read.parquet(f"{SMALL}/benchmark.parquet"))
-    assert again.filter("size(hit_spans) > 0").count() == 0
-    out = corpus_pipeline.run(spark, SMALL)
-    assert {x["doc_id"] for x in out.collect()} == {x["doc_id"] for x in kept.collect()}
-    gapless(out.collect())
