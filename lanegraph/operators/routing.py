@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lanegraph.functions import geo
 from lanegraph.operators import audit
-from lanegraph.stage import discard, materialize
+from lanegraph.stage import discard, fresh_path, materialize
 
 #: Slider settings of the presets, and the changes each twist makes.
 PRESETS = {"athletic": {"s1": 0.2, "s2": 0.5, "s3": 0.2, "s4": 0.2, "s5": 0.2}, "comfort": {"s1": 0.7, "s2": 0.5, "s3": 0.7, "s4": 0.7, "s5": 0.7}}
@@ -171,30 +171,28 @@ def search(edges: DataFrame, steps: DataFrame, entries: DataFrame, exits: DataFr
     def least(rows: DataFrame) -> DataFrame:
         return rows.groupBy("pair_id", F.col(key).alias("_key")).agg(F.min(F.struct(*rest)).alias("m")).select("pair_id", "_key", "m.*")
 
-    def ends(rows: DataFrame) -> DataFrame:
-        out = exits.select("pair_id", F.col("node_id").alias("dst"), F.col("cost").alias("out_cost"), F.col("feet").alias("out_ft"))
-        return rows.join(out, ["pair_id", "dst"]).select("pair_id", (F.col("g") + F.col("out_cost")).alias("g"), (F.col("feet") + F.col("out_ft")).alias("feet"), "path")
-
-    first = entries.join(edges.select("edge_id", "dst", "dlon", "dlat"), "edge_id").join(goals, "pair_id").select("pair_id", *rest)
-    front = materialize(least(first), "front")
-    best = materialize(front.select("pair_id", "_key", "g"), "best")
-    arrived = materialize(ends(front), "arrived")
+    # Every round writes the states it improved to a folder of its own below one path; together they are all that is known.
+    base, spark = fresh_path(edges.sparkSession, "search"), edges.sparkSession
+    first = least(entries.join(edges.select("edge_id", "dst", "dlon", "dlat"), "edge_id").join(goals, "pair_id").select("pair_id", *rest))
+    asked = materialize(exits.select("pair_id", F.col("node_id").alias("dst"), F.col("cost").alias("out_cost"), F.col("feet").alias("out_ft")), "search-exits")
+    first.write.parquet(f"{base}/0")
+    reader, turn = spark.read.schema(first.schema), 0
     while True:
-        bound = arrived.groupBy("pair_id").agg(F.min("g").alias("bound"))
+        front, known = reader.parquet(f"{base}/{turn}"), reader.option("recursiveFileLookup", "true").parquet(base)
+        if front.isEmpty():
+            break
+        bound = known.select("pair_id", "dst", "g").join(asked, ["pair_id", "dst"]).groupBy("pair_id").agg(F.min(F.col("g") + F.col("out_cost")).alias("bound"))
         ahead = geo.haversine_ft(F.col("dlon"), F.col("dlat"), F.col("glon"), F.col("glat"))
         live = front.join(bound, "pair_id", "left").filter(F.col("bound").isNull() | (F.col("g") + ahead < F.col("bound")))
-        moved = live.drop("dst", "dlon", "dlat", "bound", "_key").join(table, live["edge_id"] == table["prev_edge"]).select(
-            "pair_id", "glon", "glat", "feet", F.col("next_edge").alias("edge_id"), "dst", "dlon", "dlat", (F.col("g") + F.col("step")).alias("g"), F.concat("path", F.array("next_edge")).alias("path")
+        moved = live.select("pair_id", "g", F.col("edge_id").alias("prev_edge"), "glon", "glat", "feet", "path").join(table, "prev_edge").select(
+            "pair_id", (F.col("g") + F.col("step")).alias("g"), F.col("next_edge").alias("edge_id"), "dst", "dlon", "dlat", "glon", "glat", "feet", F.concat("path", F.array("next_edge")).alias("path")
         )
-        known = best.groupBy("pair_id", "_key").agg(F.min("g").alias("old"))
-        fresh = materialize(least(moved).join(known, ["pair_id", "_key"], "left").filter("old is null or g < old").drop("old"), "front")
-        if fresh.isEmpty():
-            break
-        grown = materialize(known.withColumnRenamed("old", "g").union(fresh.select("pair_id", "_key", "g")), "best")
-        more = materialize(arrived.union(ends(fresh)).groupBy("pair_id").agg(F.min(F.struct("g", "path", "feet")).alias("m")).select("pair_id", "m.g", "m.feet", "m.path"), "arrived")
-        discard(best, arrived, front)
-        best, arrived, front = grown, more, fresh
-    found = arrived.groupBy("pair_id").agg(F.min(F.struct("g", "path", "feet")).alias("m")).select("pair_id", F.col("m.g").alias("cost"), "m.path", F.col("m.feet").alias("part_ft"))
+        best = known.groupBy("pair_id", "_key").agg(F.min("g").alias("old"))
+        least(moved).join(best, ["pair_id", "_key"], "left").filter("old is null or g < old").drop("old").write.parquet(f"{base}/{turn + 1}")
+        turn += 1
+    ends = known.join(asked, ["pair_id", "dst"]).select("pair_id", F.struct((F.col("g") + F.col("out_cost")).alias("g"), "path", (F.col("feet") + F.col("out_ft")).alias("feet")).alias("m"))
+    found = materialize(ends.groupBy("pair_id").agg(F.min("m").alias("m")).select("pair_id", F.col("m.g").alias("cost"), "m.path", F.col("m.feet").alias("part_ft")), "search-found")
+    discard(table, asked)
     between = found.select("pair_id", F.explode("path").alias("edge_id")).join(edges.select("edge_id", "len_ft"), "edge_id").groupBy("pair_id").agg(F.sum("len_ft").alias("whole_ft"))
     return found.join(between, "pair_id", "left").select("pair_id", "cost", "path", (F.col("part_ft") + F.coalesce("whole_ft", F.lit(0.0))).alias("feet"))
 

@@ -84,9 +84,9 @@ SELECT pe prev_edge, ne next_edge, round(cost, 2) cost FROM kk WHERE cost IS NOT
 
 
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Every node whose id is divisible by 50, to a goal one to eight rows further on."""
+    """Every node whose id is divisible by 50, to a goal one to four rows and up to three columns further on."""
     n = relation(spark, folder, "nodes").filter("node_id % 50 = 0")
-    return n.select(F.col("node_id").alias("pair_id"), F.col("node_id").alias("start"), (F.col("node_id") + 40 * (1 + F.floor(F.col("node_id") / 50) % 8) + F.floor(F.col("node_id") / 50) % 5).alias("goal"))
+    return n.select(F.col("node_id").alias("pair_id"), F.col("node_id").alias("start"), (F.col("node_id") + 40 * (1 + F.floor(F.col("node_id") / 50) % 4) + F.floor(F.col("node_id") / 50) % 4).alias("goal"))
 
 
 def _paths(spark: SparkSession, folder: str, runs: list[routing.Weights]) -> DataFrame:
@@ -114,7 +114,7 @@ def point_paths(spark: SparkSession, folder: str) -> DataFrame:
     e = _edges(spark, folder)
     d = relation(spark, folder, "dir")
     at = d.select(F.col("edge_id").alias("point_id"), "edge_id", (F.col("len_ft") * (1 + F.col("edge_id") % 9) / 10).alias("from_ft"), (F.col("len_ft") * (9 - F.col("edge_id") % 9) / 10).alias("to_ft"))
-    pairs = d.filter("edge_id % 50 = 0").select(F.col("edge_id").alias("pair_id"), F.col("edge_id").alias("start"), (F.col("edge_id") + 4 * (40 * (1 + F.floor(F.col("edge_id") / 50) % 4) + F.floor(F.col("edge_id") / 50) % 5)).alias("goal"))
+    pairs = d.filter("edge_id % 50 = 0").select(F.col("edge_id").alias("pair_id"), F.col("edge_id").alias("start"), (F.col("edge_id") + 4 * (40 * (1 + F.floor(F.col("edge_id") / 50) % 3) + F.floor(F.col("edge_id") / 50) % 4)).alias("goal"))
     w = routing.Weights.of(routing.PRESETS["comfort"], sidewalks=True)
     found = routing.paths_between(e, routing.transitions(e, _nodes(spark, folder), w), routing.with_reverse(at, d), pairs)
     return found.select("pair_id", F.round("cost", 3).alias("cost"), F.round("feet", 3).alias("feet"), F.size("path").alias("n_edges"))
