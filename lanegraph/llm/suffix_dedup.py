@@ -53,8 +53,6 @@ PARTS = 4
 BATCH = 300_000
 #: Texts are anchored in pieces of this many bytes, which overlap by a window.
 PIECE = 4_000_000
-#: Array elements up to this many (of at most 56 bytes) are broadcast to the documents; more are joined by a shuffle.
-SENT_ITEMS = 200_000
 
 _BYTE = np.random.default_rng(11).integers(0, 2**63, 256).astype(np.uint64)
 _BASE = np.uint64(0xD1342543DE82EF95)
@@ -311,12 +309,6 @@ def _deal(contexts: DataFrame, length: int, keep: str) -> DataFrame:
             return found.groupBy("anchor", "body").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
-def _sized(df: DataFrame, items: str) -> DataFrame:
-    """Broadcast only what is known to be small."""
-    n = df.agg(F.sum(F.size(items))).first()[0] or 0
-    return F.broadcast(df) if n <= SENT_ITEMS else df
-
-
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, keep: str = "first") -> DataFrame:
     """id, tid, spans: byte runs to remove of each text that has any (not yet merged).
 
@@ -347,14 +339,14 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     copied = F.col("n") > 1 if keep == "none" else ~F.struct("id", "start", "tid").eqNullSafe(F.col("first"))
     moved = F.transform("spans", lambda s: F.struct((s["start"] + F.col("start")).alias("start"), (s["end"] + F.col("start")).alias("end")))
     spans = rows.select("id", "tid", F.when(copied, F.array(span)).otherwise(moved).alias("spans")).filter("spans is not null")
-    out = materialize(spans.groupBy("id", "tid").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans")), "spans")
+    out = materialize(spans.groupBy("id", "tid").agg(F.flatten(F.collect_set("spans")).alias("spans")), "spans")
     discard(seen, distinct, several, per_text, bodies, found, known)
     return out
 
 
 def _cut(own: DataFrame, per_text: DataFrame) -> DataFrame:
     """The wanted contexts with their bytes; a row repeated in a task gives them once."""
-    wanted = _sized(per_text.toDF("id2", "tid2", "w"), "w")
+    wanted = per_text.toDF("id2", "tid2", "w")
     chosen = own.join(wanted, F.col("id").eqNullSafe(F.col("id2")) & (F.col("tid") == F.col("tid2"))).drop("id2", "tid2")
 
     def run(batches):
@@ -394,7 +386,7 @@ def _whole_characters(text: bytes, s: int, e: int) -> tuple[int, int]:
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, keep: str = "first", whole_characters: bool = True) -> DataFrame:
     """``docs`` with n_bytes, removed (merged byte runs) and kept_bytes, the text without them."""
     own, tid, found = spare_names(docs.columns, "id", "tid", "spans")
-    spans = _sized(repeated_spans(docs, key, text, length, keep).toDF(own, tid, found), found)
+    spans = repeated_spans(docs, key, text, length, keep).toDF(own, tid, found)
     placed = docs.join(spans, F.col(key).eqNullSafe(F.col(own)) & (F.xxhash64(whole_text(text)) == F.col(tid)), "left")
 
     def run(batches):
