@@ -104,7 +104,7 @@ def estimate_prior(pos: np.ndarray, web: np.ndarray, guess: float = 0.9, seed: i
     Each half is scored by a model of the other halves. Of the unlabelled above a score, as
     many as prior times the positives above it are positive, the rest negative; the least
     ratio of the two shares, over tops that hold 30 to 98 % of the positives, has fewest of
-    these (a mean of five neighbouring tops is taken). The guess only orders the scores; what
+    these (a mean of three neighbouring tops is taken). The guess only orders the scores; what
     is found with it is the guess of a second pass.
     """
     if min(len(pos), len(web)) < 4:
@@ -120,12 +120,12 @@ def estimate_prior(pos: np.ndarray, web: np.ndarray, guess: float = 0.9, seed: i
         tops = np.quantile(scores[0], 1 - np.arange(0.30, 0.99, 0.02))
         above = [1 - np.searchsorted(np.sort(s), tops, side="right") / len(s) for s in scores]
         ratios = above[1][above[0] > 0] / above[0][above[0] > 0]
-        guess = min(1.0, float(np.convolve(ratios, np.full(5, 0.2), "valid").min())) if len(ratios) >= 5 else 0.5
+        guess = min(1.0, float(np.convolve(ratios, np.full(3, 1 / 3), "valid").min())) if len(ratios) >= 3 else 0.5
     return guess
 
 
 def fit(pos: np.ndarray, web: np.ndarray, prior: float, epochs: int = 1000, rate: float = 0.05, decay: float = 1e-4, seed: int = 7) -> Model:
-    """Minimise the non-negative unbiased risk (logistic loss) by mini-batch Adam."""
+    """Minimise the non-negative unbiased risk (logistic loss) by mini-batch Adam; the model is the mean of the second half's."""
     prior = min(max(prior, 0.02), 0.98)
     if not len(pos) or not len(web):
         return Model(None, None, float(np.log(prior / (1 - prior))), prior)
@@ -137,6 +137,7 @@ def fit(pos: np.ndarray, web: np.ndarray, prior: float, epochs: int = 1000, rate
     f, b = edges.shape[0], edges.shape[1] + 1
     w, bias, rng = np.zeros((f, b)), 0.0, np.random.default_rng(seed)
     m, v, cols = np.zeros(f * b + 1), np.zeros(f * b + 1), np.arange(f)
+    mean_w, mean_bias, half = np.zeros((f, b)), 0.0, epochs // 2
     sigma = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, epochs + 1):
         p = place[0][rng.integers(0, len(pos), min(len(pos), 4096))]
@@ -155,7 +156,9 @@ def fit(pos: np.ndarray, web: np.ndarray, prior: float, epochs: int = 1000, rate
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, bias = w - step[:-1].reshape(f, b), bias - step[-1]
-    return Model(edges, w, float(bias), prior)
+        if t > half:
+            mean_w, mean_bias = mean_w + w / (epochs - half), mean_bias + bias / (epochs - half)
+    return Model(edges, mean_w, float(mean_bias), prior)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
