@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lanegraph.llm import decontamination, host_reputation, near_dedup, packing, pu_quality, quality_rules, sentence_dedup, suffix_dedup, toxicity, warc
+from lanegraph.llm import decontamination, exact_search, host_reputation, merkle, near_dedup, packing, phrases, pu_quality, quality_rules, sentence_dedup, suffix_dedup, toxicity, warc
+from lanegraph.llm.common import ascii_lower
 from lanegraph.stage import fresh_path
 from lanegraph.tables import table
 
@@ -265,6 +266,104 @@ SELECT page_id, coalesce(r.host, '') AS host, coalesce(path, '') AS path, rule,
 FROM r LEFT JOIN v ON r.host = v.host
 """
 
+_LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's leaf, proof, and the root that it gives after every third has been tampered with."""
+    docs = table(spark, folder, "documents").select(*_LEAF)
+    harmed = merkle.leaf_of(*[ascii_lower(F.col(f)) if f == "text" else F.col(f) for f in _LEAF])
+    docs = docs.withColumn("harmed", F.when(_remainder(3) == 0, F.unhex(harmed)))
+    rows = merkle.manifest(docs, _LEAF, carry=("harmed",))
+    given = F.coalesce(F.lower(F.hex("harmed")), F.col("leaf"))
+    proof = F.sha2(merkle.siblings(F.col("path")).cast("binary"), 256)
+    out = rows.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), merkle.folded(given, F.col("path")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _op11_sql(most: int = 7) -> str:
+    """Level by level up to 8**``most`` leaves a language, and as many languages."""
+    field = lambda f: f"CASE WHEN {f} IS NULL THEN '-' ELSE octet_length(encode({f}::VARCHAR)) || ':' || {f}::VARCHAR END"
+    leaf = lambda text: "sha256(" + " || ".join(field(f) if f != "text" else field("text").replace("|| text::", f"|| {text}::") for f in _LEAF) + ")"
+    crc = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 1, 2, 3, 4, 5, 6, 7]), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295::BIGINT)"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [
+        f"f AS (SELECT doc_id, lang, {leaf('text')} AS leaf, CASE WHEN {crc} % 3 = 0 THEN {leaf(lower)} ELSE {leaf('text')} END AS given FROM documents)",
+        "x AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM f)",
+        "t0 AS (SELECT lang AS g, pos, count(*) OVER (PARTITION BY lang) AS c, leaf AS d FROM x)",
+    ]
+
+    def levels(t: str, s: str) -> None:
+        for k in range(most + 1):
+            if k:
+                parts.append(f"{t}{k} AS (SELECT g, pos // 8 AS pos, (c + 7) // 8 AS c, sha256(string_agg(d, '' ORDER BY pos)) AS d FROM {t}{k - 1} WHERE c > 1 GROUP BY g, pos // 8, c)")
+            parts.append(f"{s}{k} AS (SELECT a.g, a.pos, coalesce(string_agg(b.d, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l, coalesce(string_agg(b.d, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r FROM {t}{k} a JOIN {t}{k} b ON a.g IS NOT DISTINCT FROM b.g AND a.pos // 8 = b.pos // 8 WHERE a.c > 1 GROUP BY a.g, a.pos)")
+
+    levels("t", "s")
+    ends = lambda t: " UNION ALL ".join(f"SELECT g, d FROM {t}{k} WHERE c = 1" for k in range(most + 1))
+    parts.append(f"subs AS ({ends('t')})")
+    parts.append("gs AS (SELECT g AS lang, d AS subroot, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS gpos FROM subs)")
+    parts.append("u0 AS (SELECT 0 AS g, gpos AS pos, count(*) OVER () AS c, subroot AS d FROM gs)")
+    levels("u", "v")
+    parts.append(f"root AS ({ends('u')})")
+    parts.append("w0 AS (SELECT doc_id, x.lang, pos, gpos, leaf, subroot, leaf AS a, given AS b, '' AS p FROM x JOIN gs ON x.lang IS NOT DISTINCT FROM gs.lang)")
+    for k in range(2 * most + 2):
+        name, j, at, g = ("s", k, "pos", "w.lang") if k <= most else ("v", k - most - 1, "gpos", "0")
+        fold = lambda c: f"CASE WHEN y.pos IS NULL THEN {c} ELSE sha256(l || {c} || r) END AS {c}"
+        parts.append(f"w{k + 1} AS (SELECT doc_id, lang, w.pos, gpos, leaf, subroot, {fold('a')}, {fold('b')}, p || coalesce(l || r, '') AS p FROM w{k} w LEFT JOIN {name}{j} y ON y.g IS NOT DISTINCT FROM {g} AND y.pos = w.{at} // {8**j})")
+    return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, leaf, subroot, root.d AS root, sha256(p) AS proof_sha256, b AS folded_root, b = root.d AS verified FROM w{2 * most + 2}, root"
+
+
+def op12_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 2000 collocations of every language."""
+    return phrases.collocations(table(spark, folder, "documents").select("text", "lang"))
+
+
+_OP12_SQL = r"""
+WITH p AS (
+  SELECT lang, regexp_extract_all(x, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS x FROM documents)),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+c AS (
+  SELECT lang, g, count(*)::BIGINT AS f
+  FROM (SELECT lang, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS g FROM p, range(1, 6) AS ks(k) WHERE len(w) >= k)
+  GROUP BY ALL HAVING count(*) >= 100),
+u AS (
+  SELECT lang, g, f AS a, k, g[1:k] AS x, g[k + 1:] AS y FROM (SELECT *, unnest(range(1, len(g))) AS k FROM c)),
+s AS (
+  SELECT u.lang, u.g, a, k, l.f AS l, r.f AS r, n, (1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f) AS score
+  FROM u JOIN c l ON l.lang = u.lang AND l.g = x JOIN c r ON r.lang = u.lang AND r.g = y JOIN n ON n.lang = u.lang),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS o FROM s) WHERE o = 1),
+i AS (
+  SELECT lang, g[x:x + k - 1] AS g, max(f) AS f
+  FROM (SELECT *, unnest(range(2, len(g) - x + 2)) AS k FROM (SELECT *, unnest(range(1, len(g))) AS x FROM c WHERE len(g) > 2)) WHERE k < len(g) GROUP BY ALL),
+k AS (SELECT b.* FROM b LEFT JOIN i ON i.lang = b.lang AND i.g = b.g WHERE i.f IS NULL OR i.f < a),
+o AS (
+  SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score::BIGINT AS score,
+    row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM k)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000
+"""
+
+
+def op13_exact_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The twenty vectors of highest inner product for every twentieth vector, against all."""
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    found = exact_search.search(rows, F.col("id") % 20 == 0)
+    return found.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
+
+
+_OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """All stages of corpus_pipeline over documents."""
     return corpus_pipeline.run(spark, folder)
@@ -281,10 +380,14 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_pu_quality": op9_pu_quality,
     "op10_url_filter": op10_url_filter,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_phrases": op12_phrases,
+    "op13_exact_search": op13_exact_search,
     "pipeline": pipeline,
 }
 
 _SQL = {"op2_near_dedup": _OP2_SQL, "op3_sentence_dedup": _OP3_SQL, "op4_warc": _OP4_SQL, "op7_quality_rules": _OP7_SQL, "op8_decontamination": _OP8_SQL, "op10_url_filter": _OP10_SQL}
+_SQL |= {"op11_merkle_manifest": _op11_sql(), "op12_phrases": _OP12_SQL, "op13_exact_search": _OP13_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
