@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanegraph.operators.components import connected_components
+from lanegraph.sources import tiles
 from lanegraph.stage import discard, materialize
 
 #: Grade that costs nothing, and feet between resampled points.
@@ -180,98 +180,12 @@ def _put_back(star: DataFrame, level: DataFrame) -> DataFrame:
     return star.join(sums, ["grp", "node"], "left").select("grp", "node", ((F.coalesce("in", F.lit(0.0)) + F.col("bf")) / F.col("s")).alias("elev_ft"))
 
 
-def contour_crossings(raster: DataFrame, levels: list[float]) -> DataFrame:
-    """Pieces of contour lines: level, and the two points (x0, y0, x1, y1) where it passes through a cell.
+def smooth_raster(raster: DataFrame, window: int = 5, sigma: float = 2.0, side: int = tiles.SIDE) -> DataFrame:
+    """Cells (row, col, v) after a median over window x window cells and a Gaussian of ``sigma`` cells; see tiles.smooth().
 
-    Marching squares over raster cells (row, col, v), corners joined by position; a saddle is
-    split by its mean.
+    Cells meet in tiles once; after that only the tiles' borders are shuffled.
     """
-    at = lambda name, dr, dc: raster.select((F.col("row") - dr).alias("row"), (F.col("col") - dc).alias("col"), F.col("v").alias(name))
-    cells = at("a", 0, 0).join(at("b", 0, 1), ["row", "col"]).join(at("c", 1, 1), ["row", "col"]).join(at("d", 1, 0), ["row", "col"])
-    c = cells.withColumn("level", F.explode(F.array(*[F.lit(float(x)) for x in levels]))).filter((F.least("a", "b", "c", "d") < F.col("level")) & (F.greatest("a", "b", "c", "d") >= F.col("level")))
-    x, y, lev = F.col("col").cast("double"), F.col("row").cast("double"), F.col("level")
-    cut = lambda p, q: (lev - F.col(p)) / (F.col(q) - F.col(p))
-    split = lambda p, q: (F.col(p) < lev) != (F.col(q) < lev)
-    point = lambda px, py: F.struct(px.alias("x"), py.alias("y"))
-    top, right, bottom, left = point(x + cut("a", "b"), y), point(x + 1, y + cut("b", "c")), point(x + cut("d", "c"), y + 1), point(x, y + cut("a", "d"))
-    hits = F.array_compact(F.array(F.when(split("a", "b"), top), F.when(split("b", "c"), right), F.when(split("d", "c"), bottom), F.when(split("a", "d"), left)))
-    same = ((F.col("a") + F.col("b") + F.col("c") + F.col("d")) / 4 < lev) == (F.col("a") < lev)
-    four = F.when(same, F.array(F.struct(top.alias("p"), right.alias("q")), F.struct(bottom.alias("p"), left.alias("q")))).otherwise(F.array(F.struct(top.alias("p"), left.alias("q")), F.struct(right.alias("p"), bottom.alias("q"))))
-    two = F.array(F.struct(F.get(hits, 0).alias("p"), F.get(hits, 1).alias("q")))
-    out = c.select("level", "row", "col", F.inline(F.when(F.size(hits) == 4, four).otherwise(two)))
-    return out.select("level", "row", "col", F.col("p.x").alias("x0"), F.col("p.y").alias("y0"), F.col("q.x").alias("x1"), F.col("q.y").alias("y1"))
-
-
-def contour_lines(pieces: DataFrame, tolerance: float = 0.0) -> DataFrame:
-    """Pieces (level, x0, y0, x1, y1) joined to lines: level, line, closed, points (x, y), simplified to ``tolerance``.
-
-    Pieces of neighbouring cells meet in equal coordinates, so a line is a component of their
-    ends, found by joins; the pieces of one line are put in order in one call, as the line is
-    one row of the result. A closed line begins and ends with its least point.
-    """
-    end = lambda x, y: F.xxhash64("level", x, y)
-    ends = materialize(pieces.select("level", "x0", "y0", "x1", "y1", end("x0", "y0").alias("a"), end("x1", "y1").alias("b")).filter("a <> b"), "contour-pieces")
-    lines = connected_components(ends, "a", "b").select(F.col("node").alias("a"), F.col("component").alias("line"))
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        at, near = {}, {}
-        for r in pdf.itertuples():
-            at[r.a], at[r.b] = (r.x0, r.y0), (r.x1, r.y1)
-            near.setdefault(r.a, []).append(r.b)
-            near.setdefault(r.b, []).append(r.a)
-        free = [k for k, v in near.items() if len(v) == 1]
-        start = min(free or near, key=at.get)
-        path, before, here = [at[start]], None, start
-        while True:
-            ahead = list(near[here])
-            if before in ahead:
-                ahead.remove(before)
-            if not ahead:
-                break
-            before, here = here, min(ahead, key=at.get)
-            path.append(at[here])
-            if here == start:
-                break
-        kept = _simplified(path, tolerance)
-        return pd.DataFrame({"level": [pdf.level.iloc[0]], "line": [pdf.line.iloc[0]], "closed": [not free], "points": [[{"x": x, "y": y} for x, y in kept]]})
-
-    return ends.join(lines, "a").groupBy("level", "line").applyInPandas(chain, "level double, line bigint, closed boolean, points array<struct<x:double,y:double>>")
-
-
-def _simplified(path: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
-    """The path without points closer than ``tolerance`` to the line between those that stay, farthest points first."""
-    p = np.array(path)
-    keep, todo = np.zeros(len(p), bool), [(0, len(p) - 1)]
-    keep[[0, -1]] = True
-    while todo:
-        i, j = todo.pop()
-        if j - i < 2:
-            continue
-        (x, y), d = p[i], p[j] - p[i]
-        inner, size = p[i + 1 : j], float(np.hypot(*d))
-        off = np.abs(d[0] * (inner[:, 1] - y) - d[1] * (inner[:, 0] - x)) / size if size else np.hypot(inner[:, 0] - x, inner[:, 1] - y)
-        k = int(off.argmax())
-        if off[k] > tolerance:
-            keep[i + 1 + k] = True
-            todo += [(i, i + 1 + k), (i + 1 + k, j)]
-    return [tuple(x) for x in p[keep].tolist()]
-
-
-def smooth_raster(raster: DataFrame, window: int = 5, sigma: float = 2.0) -> DataFrame:
-    """Median over window x window cells, then a Gaussian of ``sigma`` cells (4 sigma wide), edges cut off and reweighted.
-
-    Relational: every cell is sent to its neighbourhood and regathered, so rasters of any size
-    are dealt by cell. Empty cells take no part in either step.
-    """
-    r = window // 2
-    offsets = lambda n: F.explode(F.array(*[F.struct(F.lit(i).alias("dr"), F.lit(j).alias("dc")) for i in range(-n, n + 1) for j in range(-n, n + 1)]))
-    own = raster.filter("v is not null and not isnan(v)")
-    near = own.withColumn("o", offsets(r)).select((F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col"), "v")
-    median = near.join(raster.select("row", "col"), ["row", "col"], "left_semi").groupBy("row", "col").agg(F.median("v").alias("v"))
-    reach = int(4 * sigma + 0.5)
-    line = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
-    weight = F.exp(-F.col("o") * F.col("o") / (2 * sigma * sigma))
-    for axis in ("row", "col"):
-        spread = median.withColumn("o", line).select(*[(F.col(c) + F.col("o") if c == axis else F.col(c)).alias(c) for c in ("row", "col")], "v", weight.alias("w"))
-        median = spread.join(raster.select("row", "col"), ["row", "col"], "left_semi").groupBy("row", "col").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("v"))
-    return median
+    halo, compute = tiles.smooth(window, sigma)
+    with tiles.bucketed(tiles.tiles(raster, side), int(raster.sparkSession.conf.get("spark.sql.shuffle.partitions"))) as table:
+        done = materialize(tiles.stencil(table, halo, compute, side), "tiles-smoothed")
+    return tiles.cells(done, side).filter("v is not null")

@@ -8,10 +8,11 @@ the radius or wider. A pair meets in one cell only, so nothing is deduplicated.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanegraph.functions import geo
+from lanegraph.stage import materialize
 
 
 def _cell(c: Column, size: float) -> Column:
@@ -70,3 +71,58 @@ def nearest(pairs: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     rest = [c for c in pairs.columns if c not in by]
     best = F.min(F.struct(*[c.alias(f"_o{k}") for k, c in enumerate(order)], *[F.col(c) for c in rest])).alias("_best")
     return pairs.groupBy(*by).agg(best).select(*by, *[F.col(f"_best.{c}") for c in rest])
+
+
+#: Deepest level of a quadtree, and levels a round goes down.
+DEEPEST, DOWN = 24, 3
+
+
+def quad_cells(rows: DataFrame, x: str, y: str, most: int, name: str = "cell") -> DataFrame:
+    """``rows`` with ``name``, the largest cell of a quadtree around each place that holds at most ``most`` rows.
+
+    Cells are numbers that tell level and place; see quad_box(). Rounds go down three levels
+    at a time, only with the rows of cells that are still too full, which are counted as partial
+    sums. Cells of the deepest level may hold more: rows of one place stay together. Rows
+    without a place have a null cell.
+    """
+    known = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
+    box = quad_extent(known, x, y)
+    at = lambda c, lo: F.floor((F.col(c) - lo) / box[2] * (1 << DEEPEST)).cast("bigint")
+    todo, level = known.withColumn("_qx", at(x, box[0])).withColumn("_qy", at(y, box[1])), 0
+    done: list[DataFrame] = [rows.filter(F.col(x).isNull() | F.col(y).isNull() | F.isnan(x) | F.isnan(y)).withColumn(name, F.lit(None).cast("bigint"))]
+    while True:
+        down = min(DOWN, DEEPEST - level)
+        keys = [[F.shiftright(c, DEEPEST - level - k).alias(f"{c}{k}") for c in ("_qx", "_qy")] for k in range(down + 1)]
+        counts = todo.groupBy(*keys[down]).agg(F.count("*").alias("n"))
+        for k in range(down):
+            counts = counts.withColumns({f"{c}{k}": F.shiftright(f"{c}{down}", down - k) for c in ("_qx", "_qy")})
+        n = [F.sum("n").over(Window.partitionBy(f"_qx{k}", f"_qy{k}")) for k in range(down + 1)]
+        depth = F.lit(down)
+        for k in reversed(range(down)):
+            depth = F.when(n[k] <= most, k).otherwise(depth)
+        sized = counts.select(f"_qx{down}", f"_qy{down}", depth.alias("_depth"), ((n[down] > most) & F.lit(level + down < DEEPEST)).alias("_more"))
+        here = todo.select("*", *keys[down]).join(sized, [f"_qx{down}", f"_qy{down}"])
+        code = lambda k: quad_code(F.lit(level + k), F.shiftright(f"_qx{down}", down - k), F.shiftright(f"_qy{down}", down - k))  # noqa: B023, E731
+        cell = code(down)
+        for k in range(down):
+            cell = F.when(F.col("_depth") == k, code(k)).otherwise(cell)
+        placed_ = materialize(here.select(*rows.columns, "_qx", "_qy", "_more", cell.alias(name)), "quad-cells")
+        done.append(placed_.filter("not _more").select(*rows.columns, name))
+        todo, level = placed_.filter("_more").drop("_more", name), level + down
+        if level >= DEEPEST or todo.isEmpty():
+            break
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+def quad_extent(rows: DataFrame, x: str, y: str) -> tuple[float, float, float]:
+    """Least x and y, and the side of a square that holds all places inside its upper bounds."""
+    x0, y0, x1, y1 = rows.agg(F.min(x), F.min(y), F.max(x), F.max(y)).first()
+    return (0.0, 0.0, 1.0) if x0 is None else (x0, y0, (max(x1 - x0, y1 - y0) or 1.0) * 1.000001)
+
+
+def quad_code(level: Column, cx: Column, cy: Column) -> Column:
+    """The number of a cell."""
+    return F.shiftleft(level.cast("bigint"), 2 * DEEPEST) + F.shiftleft(cx, DEEPEST) + cy

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanegraph.functions import geo
-from lanegraph.operators import audit
+from lanegraph.operators import audit, overlay
 from lanegraph.stage import discard, fresh_path, materialize
 
 #: Slider settings of the presets, and the changes each twist makes.
@@ -124,20 +124,21 @@ def transitions(edges: DataFrame, nodes: DataFrame, w: Weights) -> DataFrame:
     return both.select("prev_edge", "next_edge", total.alias("cost")).filter("cost is not null")
 
 
-def shortest_paths(edges: DataFrame, steps: DataFrame, pairs: DataFrame, by: str = "edge") -> DataFrame:
+def shortest_paths(edges: DataFrame, steps: DataFrame, pairs: DataFrame, by: str = "edge", cells: overlay.Overlay | None = None) -> DataFrame:
     """Cheapest path of every pair (pair_id, start, goal: nodes): cost, feet, path (edge ids).
 
-    Pairs without a path, or from a node to itself, have no row. See search() for the rest.
+    Pairs without a path, or from a node to itself, have no row. With an overlay of the edges
+    (overlay.build) pairs may lie any way apart; without one, see search() for the rest.
     """
     place = edges.groupBy(F.col("dst").alias("node_id")).agg(F.min(F.struct(F.col("dlon").alias("lon"), F.col("dlat").alias("lat"))).alias("p"))
     asked = pairs.filter("start <> goal")
     exits = asked.select("pair_id", F.col("goal").alias("node_id"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("feet")).join(place, "node_id").select("pair_id", "node_id", "cost", "feet", "p.lon", "p.lat")
     out = edges.filter("cost is not null").select("edge_id", F.col("src").alias("start"), "cost")
     entries = asked.join(out, "start").select("pair_id", "edge_id", F.col("cost").alias("g"), F.lit(0.0).alias("feet"), F.array("edge_id").alias("path"))
-    return search(edges, steps, entries, exits, by)
+    return overlay.search(cells, edges, entries, exits) if cells else search(edges, steps, entries, exits, by)
 
 
-def paths_between(edges: DataFrame, steps: DataFrame, projections: DataFrame, pairs: DataFrame, by: str = "edge") -> DataFrame:
+def paths_between(edges: DataFrame, steps: DataFrame, projections: DataFrame, pairs: DataFrame, by: str = "edge", cells: overlay.Overlay | None = None) -> DataFrame:
     """Cheapest path of every pair (pair_id, start, goal: points on edges) by their projections (see with_reverse).
 
     Cost and feet hold the parts of the first and last edge; ``path`` the whole edges between,
@@ -149,7 +150,7 @@ def paths_between(edges: DataFrame, steps: DataFrame, projections: DataFrame, pa
     share = F.col("from_ft") / (F.col("from_ft") + F.col("to_ft"))
     place = projections.join(own, "edge_id").select(F.col("point_id").alias("goal"), (F.col("slon") + share * (F.col("dlon") - F.col("slon"))).alias("lon"), (F.col("slat") + share * (F.col("dlat") - F.col("slat"))).alias("lat"))
     exits = pairs.join(ways[False].withColumnRenamed("point_id", "goal"), "goal").join(place, "goal").select("pair_id", "node_id", "cost", "feet", "lon", "lat")
-    return search(edges, steps, entries, exits, by)
+    return overlay.search(cells, edges, entries, exits) if cells else search(edges, steps, entries, exits, by)
 
 
 def search(edges: DataFrame, steps: DataFrame, entries: DataFrame, exits: DataFrame, by: str = "edge") -> DataFrame:

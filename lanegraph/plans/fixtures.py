@@ -80,7 +80,7 @@ from {customer} join {nodes} n on n.node_id = c_custkey where c_custkey % 2 = 0"
     "pois": """
 select p_partkey poi_id, p_name name, concat('shop=', lower(replace(p_brand, '#', '_'))) category,
   n.lon + cast((p_partkey*71) % 1000 - 500 as double)/1e6 lon, n.lat + cast((p_partkey*113) % 1000 - 500 as double)/1e6 lat
-from {part} cross join (select max(c_custkey) top from {customer}) join {nodes} n on n.node_id = 1 + (p_partkey * 31) % (top - 1)""",
+from (select p.*, 1 + (p_partkey * 31) % (top - 1) home from {part} p cross join (select max(c_custkey) top from {customer})) q join {nodes} n on n.node_id = home""",
     # routes: consecutive nodes of a lattice row, climbing as the nodes do
     "route_points": """
 select cast((node_id - node_id % 40)/40 as bigint) route_id, node_id % 40 seq, node_id, lon, lat, elev_ft from {nodes}""",

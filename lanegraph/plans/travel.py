@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanegraph.functions import geo
-from lanegraph.operators import audit, elevation, ordered, routing, search
+from lanegraph.operators import audit, elevation, ordered, overlay, routing, search
+from lanegraph.operators import contours as contouring
 from lanegraph.operators.matching import nearest_address
 from lanegraph.plans.fixtures import ctes, relation
 from lanegraph.plans.graphs import _grouped
-from lanegraph.sources import layers, manifest
-from lanegraph.stage import fresh_path
+from lanegraph.sources import layers, manifest, tiles
+from lanegraph.stage import fresh_path, materialize
 from lanegraph.streaming import last_fix
 
 COMFORT = routing.Weights.of(routing.PRESETS["comfort"])
@@ -69,7 +70,7 @@ def transitions(spark: SparkSession, folder: str) -> DataFrame:
 _WALK = "CASE WHEN {l} <= 1 THEN 0e0 WHEN {l} <= 2 THEN ({l}-1)*400*1.4e0 WHEN {l} <= 3 THEN (400+({l}-2)*400)*1.4e0 WHEN {l} <= 4 THEN (800+({l}-3)*800)*1.4e0 WHEN {l} <= 5 THEN 1600*1.4e0 END"
 _FACE = "((stop_bits >> CAST(floor(({b} - 360*floor(({b})/360))/45+0.5) AS BIGINT) % 8) & 1 = 1 AND (stop_bits >> CAST(floor(({b}+180 - 360*floor(({b}+180)/360))/45+0.5) AS BIGINT) % 8) & 1 = 1)"
 _AXIS = "CASE WHEN abs({a}-{b}+540-360*floor(({a}-{b}+540)/360)-180) > 90 THEN 180-abs({a}-{b}+540-360*floor(({a}-{b}+540)/360)-180) ELSE abs({a}-{b}+540-360*floor(({a}-{b}+540)/360)-180) END"
-TRANSITIONS = ctes("dir") + f""",
+_STEPS = ctes("dir") + f""",
 bb AS (SELECT *, degrees(atan2(sin(radians(dlon)-radians(slon))*cos(radians(dlat)), cos(radians(slat))*sin(radians(dlat))-sin(radians(slat))*cos(radians(dlat))*cos(radians(dlon)-radians(slon)))) + 360 dd FROM dir),
 ed AS (SELECT *, round(dd - 360*floor(dd/360), 1) brg, CASE WHEN is_sidewalk THEN CAST(edge_id % 6 AS DOUBLE) END cw, {_COST.replace("CASE WHEN len_ft <= 50 THEN 3e0 END", "3e0")} cost FROM bb),
 pr AS (SELECT p.edge_id pe, n.edge_id ne, p.src ps, p.brg pb, n.brg nb, p.lanes pl, n.lanes nl, p.is_sidewalk AND n.is_sidewalk walk, n.cw, n.cost, p.dst node_id FROM ed p JOIN ed n ON n.src = p.dst),
@@ -79,14 +80,15 @@ jj AS (SELECT pr.*, xl, xc, xb, has_signal OR has_crosswalk OR has_beacon held,
   FROM pr JOIN nodes USING (node_id) LEFT JOIN xx ON xx.pe = pr.pe AND xx.ne = pr.ne AND r = 1),
 kk AS (SELECT pe, ne, cost + CASE WHEN turn <= 30 OR is_circle THEN 0 ELSE 250 END
   + CASE WHEN walk OR held OR xl IS NULL OR NOT xc OR xl <= greatest(pl, nl) OR {_FACE.format(b="xb")} THEN 0 ELSE {_WALK.format(l="xl")} END
-  + CASE WHEN cw IS NULL OR cw <= 0 OR held OR {_FACE.format(b="(nb+90)")} THEN 0 ELSE {_WALK.format(l="cw")} END cost FROM jj)
-SELECT pe prev_edge, ne next_edge, round(cost, 2) cost FROM kk WHERE cost IS NOT NULL"""
+  + CASE WHEN cw IS NULL OR cw <= 0 OR held OR {_FACE.format(b="(nb+90)")} THEN 0 ELSE {_WALK.format(l="cw")} END cost FROM jj)"""
+TRANSITIONS = _STEPS + " SELECT pe prev_edge, ne next_edge, round(cost, 2) cost FROM kk WHERE cost IS NOT NULL"
 
 
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Every node whose id is divisible by 50, to a goal one to four rows and up to three columns further on."""
-    n = relation(spark, folder, "nodes").filter("node_id % 50 = 0")
-    return n.select(F.col("node_id").alias("pair_id"), F.col("node_id").alias("start"), (F.col("node_id") + 40 * (1 + F.floor(F.col("node_id") / 50) % 4) + F.floor(F.col("node_id") / 50) % 4).alias("goal"))
+    """Every node whose id is divisible by 50, to a goal anywhere on the map."""
+    n = relation(spark, folder, "nodes")
+    top = n.agg(F.max("node_id")).first()[0] or 1
+    return n.filter("node_id % 50 = 0").select(F.col("node_id").alias("pair_id"), F.col("node_id").alias("start"), (1 + F.col("node_id") * 7919 % top).alias("goal"))
 
 
 def _paths(spark: SparkSession, folder: str, runs: list[routing.Weights]) -> DataFrame:
@@ -99,27 +101,64 @@ def _paths(spark: SparkSession, folder: str, runs: list[routing.Weights]) -> Dat
         e = routing.edge_costs(base, w)
         one = own(e, r, "edge_id", "src", "dst"), own(routing.transitions(e, nodes, w), r, "prev_edge", "next_edge"), own(_pairs(spark, folder), r, "pair_id", "start", "goal")
         edges, steps, pairs = one if edges is None else (edges.unionByName(one[0]), steps.unionByName(one[1]), pairs.unionByName(one[2]))
-    found = routing.shortest_paths(edges, steps, pairs)
+    edges = materialize(edges, "edges")
+    found = routing.shortest_paths(edges, steps, pairs, cells=overlay.build(edges, steps))
     return found.select(F.floor(F.col("pair_id") / n).alias("pair_id"), (F.col("pair_id") % n).alias("run"), "cost", "feet", F.transform("path", lambda e: F.floor(e / n)).alias("path"))
 
 
 def paths(spark: SparkSession, folder: str) -> DataFrame:
-    """Cheapest paths of pairs of nodes; tests hold them against Dijkstra over edge states."""
+    """Cheapest paths of pairs of nodes all over the map."""
     p = _paths(spark, folder, [routing.Weights.of(routing.PRESETS["comfort"], sidewalks=True)])
     return p.select("pair_id", F.round("cost", 3).alias("cost"), F.round("feet", 3).alias("feet"), F.size("path").alias("n_edges"))
 
 
+# Costs of all edge states a pair reaches, lowered until no transition lowers one.
+_REACHED = """,
+st AS MATERIALIZED (SELECT pe, ne, k.cost, e.len_ft, e.dst FROM kk k JOIN ed e ON e.edge_id = ne WHERE k.cost IS NOT NULL),
+{begun},
+re(pair_id, edge, g, feet, n) USING KEY (pair_id, edge) AS (SELECT pair_id, edge, g, feet, n FROM be UNION
+  (SELECT r.pair_id, s.ne, min(r.g + s.cost), arg_min(r.feet + s.len_ft, r.g + s.cost), arg_min(r.n + 1, r.g + s.cost) FROM re r JOIN st s ON s.pe = r.edge
+   LEFT JOIN recurring.re o ON o.pair_id = r.pair_id AND o.edge = s.ne GROUP BY r.pair_id, s.ne HAVING min(r.g + s.cost) < coalesce(min(o.g), 1e300)))"""
+PATHS = (
+    _STEPS
+    + _REACHED.format(
+        begun="""qp AS (SELECT node_id pair_id, node_id start, 1 + node_id*7919 % top goal FROM nodes, (SELECT max(node_id) top FROM nodes) WHERE node_id % 50 = 0),
+be AS (SELECT pair_id, edge_id edge, cost g, len_ft feet, 1 n FROM qp JOIN ed ON src = start WHERE cost IS NOT NULL AND start <> goal)"""
+    )
+    + """
+SELECT pair_id, round(min(g), 3) AS cost, round(arg_min(feet, g), 3) AS feet, CAST(arg_min(n, g) AS INT) n_edges FROM re JOIN ed ON edge_id = edge JOIN qp USING (pair_id) WHERE dst = goal GROUP BY pair_id"""
+)
+
+
 def point_paths(spark: SparkSession, folder: str) -> DataFrame:
-    """Cheapest paths between points inside edges, from every edge whose id is divisible by 50; tests hold them against Dijkstra."""
-    e = _edges(spark, folder)
+    """Cheapest paths between points inside edges all over the map, from every edge whose id is divisible by 50."""
+    e = materialize(_edges(spark, folder), "edges")
     d = relation(spark, folder, "dir")
+    top = d.agg(F.max("edge_id")).first()[0] or 1
     at = d.select(F.col("edge_id").alias("point_id"), "edge_id", (F.col("len_ft") * (1 + F.col("edge_id") % 9) / 10).alias("from_ft"), (F.col("len_ft") * (9 - F.col("edge_id") % 9) / 10).alias("to_ft"))
-    pairs = d.filter("edge_id % 50 = 0").select(F.col("edge_id").alias("pair_id"), F.col("edge_id").alias("start"), (F.col("edge_id") + 4 * (40 * (1 + F.floor(F.col("edge_id") / 50) % 3) + F.floor(F.col("edge_id") / 50) % 4)).alias("goal"))
+    pairs = d.filter("edge_id % 50 = 0").select(F.col("edge_id").alias("pair_id"), F.col("edge_id").alias("start"), (F.col("edge_id") * 7919 % top).alias("goal"))
     w = routing.Weights.of(routing.PRESETS["comfort"], sidewalks=True)
-    found = routing.paths_between(e, routing.transitions(e, _nodes(spark, folder), w), routing.with_reverse(at, d), pairs)
+    steps = routing.transitions(e, _nodes(spark, folder), w)
+    found = routing.paths_between(e, steps, routing.with_reverse(at, d), pairs, cells=overlay.build(e, steps))
     return found.select("pair_id", F.round("cost", 3).alias("cost"), F.round("feet", 3).alias("feet"), F.size("path").alias("n_edges"))
 
 
+POINT_PATHS = (
+    _STEPS
+    + _REACHED.format(
+        begun="""qp AS (SELECT edge_id pair_id, edge_id start, edge_id*7919 % top goal FROM dir, (SELECT max(edge_id) top FROM dir) WHERE edge_id % 50 = 0),
+pt AS MATERIALIZED (SELECT e.edge_id point, e.src, e.dst, e.edge_id way, e.cost/e.len_ft rate, b.edge_id back, b.cost/b.len_ft back_rate, e.len_ft*(1 + e.edge_id % 9)/10 f, e.len_ft*(9 - e.edge_id % 9)/10 t
+  FROM ed e LEFT JOIN ed b ON b.seg_id = e.seg_id AND b.src = e.dst AND b.dst = e.src),
+be AS (SELECT pair_id, way edge, t*rate g, t feet, 0 n FROM qp JOIN pt ON point = start WHERE rate IS NOT NULL AND t > 0
+  UNION ALL SELECT pair_id, back, f*back_rate, f, 0 FROM qp JOIN pt ON point = start WHERE back_rate IS NOT NULL AND f > 0),
+ex AS (SELECT pair_id, src node, f*rate c, f feet FROM qp JOIN pt ON point = goal WHERE rate IS NOT NULL AND f > 0
+  UNION ALL SELECT pair_id, dst, t*back_rate, t FROM qp JOIN pt ON point = goal WHERE back_rate IS NOT NULL AND t > 0)"""
+    )
+    + """
+SELECT pair_id, round(min(g + c), 3) AS cost, round(arg_min(re.feet + ex.feet, g + c), 3) AS feet, CAST(arg_min(n, g + c) AS INT) n_edges FROM re JOIN ed ON edge_id = edge JOIN ex USING (pair_id) WHERE ed.dst = node GROUP BY pair_id"""
+)
+
+
 def directed_edges(spark: SparkSession, folder: str) -> DataFrame:
     """Both directions of every street, bearings mirrored."""
     s = relation(spark, folder, "seg").withColumn("one_way", F.when(F.col("seg_id") % 5 == 1, 1).when(F.col("seg_id") % 5 == 2, -1).otherwise(0))
@@ -204,24 +243,90 @@ def raster_summary(spark: SparkSession, folder: str) -> DataFrame:
 RASTER_SUMMARY = f"WITH {_RASTER} SELECT round(min(v), 6) min_v, round(max(v), 6) max_v, round(stddev_pop(v), 6) std_v, round(quantile_cont(v, 0.99), 6) p99_v FROM ra"
 
 
+LEVELS = [50.0, 100.0, 150.0]
+
+
 def contours(spark: SparkSession, folder: str) -> DataFrame:
-    c = elevation.contour_crossings(_raster(spark, folder), [50.0, 100.0, 150.0])
+    """Pieces of every level and their size."""
+    c = contouring.pieces(_raster(spark, folder), LEVELS)
     return c.groupBy("level").agg(F.count("*").alias("n_pieces"), F.round(F.sum(F.abs(F.col("x1") - F.col("x0")) + F.abs(F.col("y1") - F.col("y0"))), 4).alias("size"))
 
 
+# Pieces as the plan has them: four sides of a cell, those that a level crosses, paired and turned.
+_PIECES = f"""WITH RECURSIVE {_RASTER},
+ce AS (SELECT a."row" r, a.col c, a.v a, b.v b, e.v c_, d.v d, lev FROM ra a JOIN ra b ON b."row" = a."row" AND b.col = a.col+1 JOIN ra e ON e."row" = a."row"+1 AND e.col = a.col+1 JOIN ra d ON d."row" = a."row"+1 AND d.col = a.col,
+  (SELECT unnest({LEVELS})::DOUBLE lev) WHERE least(a.v, b.v, e.v, d.v) < lev AND greatest(a.v, b.v, e.v, d.v) >= lev),
+si AS (SELECT lev, ((a+b+c_+d)/4 < lev) = (a < lev) same, (a < lev) <> (b < lev) ht, (b < lev) <> (c_ < lev) hr, (d < lev) <> (c_ < lev) hb, (a < lev) <> (d < lev) hl,
+  {{'e': (r << 32) + 2*c, 'x': c + (lev-a)/(b-a), 'y': r::DOUBLE, 'o': b >= lev}} t, {{'e': (r << 32) + 2*(c+1) + 1, 'x': c+1::DOUBLE, 'y': r + (lev-b)/(c_-b), 'o': c_ >= lev}} g,
+  {{'e': ((r+1) << 32) + 2*c, 'x': c + (lev-d)/(c_-d), 'y': r+1::DOUBLE, 'o': d >= lev}} m, {{'e': (r << 32) + 2*c + 1, 'x': c::DOUBLE, 'y': r + (lev-a)/(d-a), 'o': a >= lev}} l FROM ce),
+pa AS (SELECT lev, unnest(CASE WHEN ht AND hr AND hb AND hl THEN CASE WHEN same THEN [[t, g], [m, l]] ELSE [[t, l], [g, m]] END
+  ELSE [list_concat(CASE WHEN ht THEN [t] ELSE [] END, CASE WHEN hr THEN [g] ELSE [] END, CASE WHEN hb THEN [m] ELSE [] END, CASE WHEN hl THEN [l] ELSE [] END)] END) p FROM si),
+pc AS MATERIALIZED (SELECT lev "level", w[1].e tail, w[2].e head, w[1].x x0, w[1].y y0, w[2].x x1, w[2].y y1 FROM (SELECT lev, CASE WHEN p[1].o THEN [p[2], p[1]] ELSE p END w FROM pa))"""
+CONTOURS = _PIECES + ' SELECT "level", count(*) n_pieces, round(sum(abs(x1-x0) + abs(y1-y0)), 4) AS size FROM pc GROUP BY 1'
+
+
 def contour_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Contours as simplified lines, written as a layer and read back; tests hold the joining against the pieces."""
-    lines = elevation.contour_lines(elevation.contour_crossings(_raster(spark, folder), [50.0, 100.0, 150.0]), 0.05)
+    """Every line: its pieces, length and first point."""
+    rows = contouring.trails(contouring.pieces(_raster(spark, folder), LEVELS))
+    first = F.min_by(F.struct("x0", "y0"), "pos")
+    per = rows.groupBy("level", "line", "closed").agg(F.count("*").alias("n_pieces"), F.countDistinct("pos").alias("n_places"), F.sum(F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).alias("length"), first.alias("f"))
+    return per.select("level", "closed", "n_pieces", "n_places", F.round("length", 4).alias("length"), F.round("f.x0", 6).alias("x"), F.round("f.y0", 6).alias("y"))
+
+
+# The least tail of each line, carried along and against it until nothing changes.
+_LINES = _PIECES + """,
+nx AS MATERIALIZED (SELECT p."level", p.tail, q.tail nxt FROM pc p JOIN pc q ON q."level" = p."level" AND q.tail = p.head),
+ways AS MATERIALIZED (SELECT "level", tail a, nxt b FROM nx UNION ALL SELECT "level", nxt, tail FROM nx),
+lab("level", tail, line) USING KEY ("level", tail) AS (SELECT "level", tail, tail FROM pc UNION
+  (SELECT w."level", w.b, min(l.line) FROM lab l JOIN ways w ON w."level" = l."level" AND w.a = l.tail JOIN recurring.lab o ON o."level" = w."level" AND o.tail = w.b GROUP BY w."level", w.b HAVING min(l.line) < min(o.line))),
+li AS (SELECT pc.*, line, NOT EXISTS (SELECT 1 FROM nx WHERE nx."level" = pc."level" AND nx.nxt = pc.tail) is_first, NOT EXISTS (SELECT 1 FROM nx WHERE nx."level" = pc."level" AND nx.tail = pc.tail) is_last FROM pc JOIN lab USING ("level", tail)),
+ln AS (SELECT "level", line, NOT bool_or(is_first) closed, count(*) n, sum(sqrt((x1-x0)*(x1-x0) + (y1-y0)*(y1-y0))) length,
+  coalesce(max(CASE WHEN is_first THEN x0 END), max(CASE WHEN tail = line THEN x0 END)) x, coalesce(max(CASE WHEN is_first THEN y0 END), max(CASE WHEN tail = line THEN y0 END)) y,
+  coalesce(max(CASE WHEN is_last THEN x1 END), max(CASE WHEN tail = line THEN x0 END)) xe, coalesce(max(CASE WHEN is_last THEN y1 END), max(CASE WHEN tail = line THEN y0 END)) ye FROM li GROUP BY 1, 2)"""
+CONTOUR_LINES = _LINES + ' SELECT "level", closed, n n_pieces, n n_places, round(length, 4) AS length, round(x, 6) x, round(y, 6) y FROM ln'
+
+
+def contour_layer(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines simplified, written as a layer and read back: their ends and whether they are index lines."""
+    lines = contouring.lines(contouring.pieces(_raster(spark, folder), LEVELS), 0.05).filter(F.size("points") > 1)
     path = fresh_path(spark, "contours")
-    tags = F.create_map(F.lit("elev_ft"), F.col("level").cast("string"), F.lit("line"), F.col("line").cast("string"), F.lit("index"), (F.col("level") % 100 == 0).cast("int").cast("string"))
+    tags = F.create_map(F.lit("elev_ft"), F.col("level").cast("string"), F.lit("index"), (F.col("level") % 100 == 0).cast("int").cast("string"))
     layers.write_lines(lines.select(tags.alias("properties"), F.lit("LineString").alias("kind"), F.transform("points", lambda p: F.array(p["x"], p["y"])).alias("coordinates")), path)
     back = layers.line_parts(layers.read_lines(spark, path))
-    return back.select(F.col("properties")["elev_ft"].cast("double").alias("level"), F.col("properties")["line"].cast("long").alias("line"), F.col("properties")["index"].alias("is_index"), F.size("points").alias("n_points"))
+    ends = {"x": F.get("points", F.lit(0))["lon"], "y": F.get("points", F.lit(0))["lat"], "x_end": F.element_at("points", -1)["lon"], "y_end": F.element_at("points", -1)["lat"]}
+    return back.select(F.col("properties")["elev_ft"].cast("double").alias("level"), F.col("properties")["index"].alias("is_index"), *[F.round(c, 6).alias(n) for n, c in ends.items()])
+
+
+CONTOUR_LAYER = _LINES + """ SELECT "level", CASE WHEN "level" % 100 = 0 THEN '1' ELSE '0' END is_index, round(x, 6) x, round(y, 6) y, round(xe, 6) x_end, round(ye, 6) y_end FROM ln WHERE length > 0"""
 
 
 def smoothed(spark: SparkSession, folder: str) -> DataFrame:
-    """Raster after median and Gaussian; tests hold it against numpy."""
-    return elevation.smooth_raster(_raster(spark, folder)).withColumn("v", F.round("v", 6))
+    """Raster after median and Gaussian, in tiles of 64."""
+    return elevation.smooth_raster(_gappy(spark, folder), side=64).withColumn("v", F.round("v", 6))
+
+
+def _gappy(spark: SparkSession, folder: str) -> DataFrame:
+    """The raster without a value in every seventh cell and without every eleventh cell."""
+    k = F.col("row") * 40 + F.col("col")
+    return _raster(spark, folder).filter(k * 31 % 11 != 0).withColumn("v", F.when(k * 17 % 7 != 0, F.col("v")))
+
+
+_GAPPY = _RASTER + ',\nga AS (SELECT "row", col, CASE WHEN ("row"*40+col)*17 % 7 <> 0 THEN v END v FROM ra WHERE ("row"*40+col)*31 % 11 <> 0)'
+_BLUR = "sum(b.v * exp(-(b.{c}-a.{c})*(b.{c}-a.{c})/8e0)) / sum(exp(-(b.{c}-a.{c})*(b.{c}-a.{c})/8e0))"
+SMOOTHED = f"""WITH {_GAPPY},
+me AS (SELECT a."row", a.col, median(b.v) v FROM ga a JOIN ga b ON b."row" BETWEEN a."row"-2 AND a."row"+2 AND b.col BETWEEN a.col-2 AND a.col+2 WHERE b.v IS NOT NULL GROUP BY 1, 2),
+g1 AS (SELECT a."row", a.col, {_BLUR.format(c='"row"')} v FROM ga a JOIN me b ON b.col = a.col AND b."row" BETWEEN a."row"-8 AND a."row"+8 GROUP BY 1, 2)
+SELECT a."row", a.col, round({_BLUR.format(c="col")}, 6) v FROM ga a JOIN g1 b ON b."row" = a."row" AND b.col BETWEEN a.col-8 AND a.col+8 GROUP BY 1, 2"""
+
+
+def raster_window(spark: SparkSession, folder: str) -> DataFrame:
+    """A window read back from the raster's tiles, of which other bands are not opened."""
+    path = fresh_path(spark, "raster")
+    tiles.write_tiles(tiles.tiles(_gappy(spark, folder), 8), path)
+    return tiles.window_cells(spark, path, (30, 77), (5, 20), 8)
+
+
+RASTER_WINDOW = f'WITH {_GAPPY} SELECT "row", col, v FROM ga WHERE "row" BETWEEN 30 AND 77 AND col BETWEEN 5 AND 20'
 
 
 def climb_profile(spark: SparkSession, folder: str) -> DataFrame:
@@ -301,8 +406,8 @@ def hourly_events(spark: SparkSession, folder: str) -> DataFrame:
 HOURLY_EVENTS = "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, event_type, count(*) n, round(sum(value), 4) total FROM events GROUP BY 1, 2"
 
 PLANS = {
-    "cost_by_tier": (cost_by_tier, COST_BY_TIER), "twist_costs": (twist_costs, TWIST_COSTS), "transitions": (transitions, TRANSITIONS), "paths": (paths, None), "point_paths": (point_paths, None), "directed_edges": (directed_edges, DIRECTED_EDGES), "alternates": (alternates, None),
-    "travel_times": (travel_times, TRAVEL_TIMES), "slopes": (slopes, SLOPES), "raster_samples": (raster_samples, RASTER_SAMPLES), "raster_summary": (raster_summary, RASTER_SUMMARY), "contours": (contours, None),
-    "contour_lines": (contour_lines, None), "smoothed": (smoothed, None), "climb_profile": (climb_profile, None), "level_structures": (level_structures, None), "search_hits": (search_hits, SEARCH_HITS), "layer_round_trip": (layer_round_trip, LAYER_ROUND_TRIP),
+    "cost_by_tier": (cost_by_tier, COST_BY_TIER), "twist_costs": (twist_costs, TWIST_COSTS), "transitions": (transitions, TRANSITIONS), "paths": (paths, PATHS), "point_paths": (point_paths, POINT_PATHS), "directed_edges": (directed_edges, DIRECTED_EDGES), "alternates": (alternates, None),
+    "travel_times": (travel_times, TRAVEL_TIMES), "slopes": (slopes, SLOPES), "raster_samples": (raster_samples, RASTER_SAMPLES), "raster_summary": (raster_summary, RASTER_SUMMARY), "contours": (contours, CONTOURS),
+    "contour_lines": (contour_lines, CONTOUR_LINES), "contour_layer": (contour_layer, CONTOUR_LAYER), "smoothed": (smoothed, SMOOTHED), "raster_window": (raster_window, RASTER_WINDOW), "climb_profile": (climb_profile, None), "level_structures": (level_structures, None), "search_hits": (search_hits, SEARCH_HITS), "layer_round_trip": (layer_round_trip, LAYER_ROUND_TRIP),
     "file_manifest": (file_manifest, FILE_MANIFEST), "last_fixes": (last_fixes, LAST_FIXES), "hourly_events": (hourly_events, HOURLY_EVENTS),
 }

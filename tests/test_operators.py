@@ -196,59 +196,6 @@ def test_large_groups_are_solved_exactly(spark):
     assert np.allclose([got[x] for x in inner], np.linalg.solve(a, b), atol=1e-6)
 
 
-def test_smoothing_is_numpy(spark):
-    a = np.random.default_rng(3).integers(0, 50, (12, 9)).astype(float)
-    raster = spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i in range(12) for j in range(9)], "row long, col long, v double")
-    got = {(r["row"], r["col"]): r["v"] for r in elevation.smooth_raster(raster).collect()}
-    med = np.array([[np.median(a[max(i - 2, 0) : i + 3, max(j - 2, 0) : j + 3]) for j in range(9)] for i in range(12)])
-    k = np.exp(-np.arange(-8, 9) ** 2 / 8)
-
-    def blur(v):
-        out = []
-        for i in range(len(v)):
-            at = [(i + d, w) for d, w in zip(range(-8, 9), k, strict=True) if 0 <= i + d < len(v)]
-            out.append(sum(v[x] * w for x, w in at) / sum(w for _, w in at))
-        return np.array(out)
-
-    want = np.apply_along_axis(blur, 1, np.apply_along_axis(blur, 0, med))
-    assert all(got[i, j] == pytest.approx(want[i, j]) for i in range(12) for j in range(9))
-
-
-def test_contours_pass_between_corners(spark):
-    raster = spark.createDataFrame([(0, 0, 0.0), (0, 1, 10.0), (1, 0, 0.0), (1, 1, 10.0), (0, 2, 0.0), (1, 2, 20.0)], "row long, col long, v double")
-    got = sorted((r["col"], r["x0"], r["y0"], r["x1"], r["y1"]) for r in elevation.contour_crossings(raster, [5.0]).collect())
-    assert got == [(0, 0.5, 0.0, 0.5, 1.0), (1, 1.5, 0.0, 2.0, 0.25)]
-
-
-def test_contour_lines_hold_every_piece(spark):
-    """Lines together have the pieces' length, are closed unless they end at the edge, and keep to the tolerance."""
-    r = np.random.default_rng(7)
-    hill = 30 * np.exp(-((np.arange(14)[:, None] - 6) ** 2 + (np.arange(17)[None] - 8) ** 2) / 12) + r.random((14, 17))
-    raster = spark.createDataFrame([(i, j, float(hill[i, j])) for i in range(14) for j in range(17)], "row long, col long, v double")
-    pieces = elevation.contour_crossings(raster, [0.5, 10.0, 20.0])
-    rows = pieces.filter("x0 <> x1 or y0 <> y1").collect()
-    lines = elevation.contour_lines(pieces).collect()
-    feet = lambda p: sum(math.dist((a["x"], a["y"]), (b["x"], b["y"])) for a, b in zip(p, p[1:], strict=False))
-    for level in (0.5, 10.0, 20.0):
-        assert sum(feet(x["points"]) for x in lines if x["level"] == level) == pytest.approx(sum(math.dist((p["x0"], p["y0"]), (p["x1"], p["y1"])) for p in rows if p["level"] == level))
-    assert sum(len(x["points"]) - 1 for x in lines) == len(rows)
-    edge = lambda p: p["x"] in (0, 16) or p["y"] in (0, 13)
-    assert all((x["points"][0] == x["points"][-1]) if x["closed"] else edge(x["points"][0]) and edge(x["points"][-1]) for x in lines)
-    assert [x["closed"] for x in lines if x["level"] == 20.0] == [True]
-    few = {x["line"]: x["points"] for x in elevation.contour_lines(pieces, 0.3).collect()}
-    for x in lines:
-        q = [(p["x"], p["y"]) for p in few[x["line"]]]
-        assert len(q) <= len(x["points"])
-        for p in x["points"]:
-            assert min(_off((p["x"], p["y"]), a, b) for a, b in zip(q, q[1:], strict=False)) <= 0.3 + 1e-9
-
-
-def _off(p, a, b):
-    d = (b[0] - a[0], b[1] - a[1])
-    t = max(0, min(1, ((p[0] - a[0]) * d[0] + (p[1] - a[1]) * d[1]) / (d[0] ** 2 + d[1] ** 2))) if a != b else 0
-    return math.dist(p, (a[0] + t * d[0], a[1] + t * d[1]))
-
-
 def test_climb_of_an_even_profile(spark):
     p = F.array(*[F.struct(F.lit(float(d)).alias("along"), F.lit(float(z)).alias("elev")) for d, z in ((0, 0), (10, 1), (150, 15), (300, 0))])
     r = spark.range(1).select(elevation.resample(p, 75.0).alias("e")).select("e", elevation.climb_metrics(F.col("e"), F.lit(False)).alias("up"), elevation.climb_metrics(F.col("e"), F.lit(True)).alias("down")).first()
