@@ -1,13 +1,14 @@
 """Phrase collocations: the cut of a phrase that binds it least, over exact counts of a whole corpus.
 
 Texts are cut into pieces; equal pieces of a language become one row with a multiplicity, so
-what is repeated is read once. Weighted n-grams are counted in two steps by the same DuckDB
-sum, which spills to its task's own scratch folder beyond MEMORY: over the pieces of a map task, and then over a
-hash bucket of phrases. Phrases below ``least`` are dropped only there, where their counts are
-whole. A phrase is never more frequent than what it is made of, so pairs are counted only where
-both words are frequent enough, and longer phrases only where all their pairs are. What may be
-skipped is known from a bitmap of 2**BITS bits (8 MB, at every size) over hashes of the frequent
-words or pairs; two that share a bit cost needless counting, never a count.
+what is repeated is read once. Weighted n-grams are counted in two steps by the same DuckDB sum,
+which spills to its task's own scratch folder beyond MEMORY: over the pieces of a map task, and
+then over a hash bucket of phrases. What is below ``least`` is dropped only there, where counts
+are whole. A phrase is never more frequent than what it is made of, so there are three passes:
+words; sums by hash of the pairs whose words are frequent (of two pairs with one hash the sum
+is too high, never too low); and all phrases of several words whose pairs may be frequent,
+by their bytes. What may be skipped is known from a bitmap of 2**BITS bits (8 MB, at every size)
+over hashes of the frequent words or pairs; sharing a bit costs needless counting, never a count.
 
 The counts of a phrase's parts lie in other buckets: each cut sends a request to either part's
 bucket, and the answers meet at the phrase. No list of words or phrases is collected.
@@ -40,6 +41,7 @@ LONGEST, LEAST, FIRST = 5, 100, 2000
 BITS, MEMORY = 26, "256MB"
 
 _GRAMS = pa.schema([("lang", pa.binary()), ("phrase", pa.binary()), ("f", pa.int64())])
+_SUMS = pa.schema([("h", pa.int64()), ("f", pa.int64())])
 _COUNTS = "lang binary, phrase binary, f bigint"
 
 
@@ -53,14 +55,13 @@ def pieces(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, least: int = LEAST, first: int = FIRST) -> DataFrame:
-    """The ``first`` phrases (of 2 to ``longest`` words, three at least) of each language: lang, rank, phrase, a, l, r, n, score."""
-    longest = max(longest, 3)
+    """The ``first`` phrases (of 2 to ``longest`` words) of each language: lang, rank, phrase, a, l, r, n, score."""
     once = materialize(pieces(docs, text, lang), "phrase-pieces")
     total = once.groupBy("lang").agg(F.sum(F.size(F.split("piece", " ")) * F.col("m")).alias("n"))
     words = _counted(once, (1,), least, None)
-    pairs = _counted(once, (2,), least, _bitmap(words))
-    more = _counted(once, tuple(range(3, longest + 1)), least, _bitmap(pairs))
-    counts = materialize(words.unionByName(pairs).unionByName(more).select(F.col("lang").cast("string").alias("lang"), F.col("phrase").cast("string").alias("phrase"), "f"), "phrase-counts")
+    pairs = _pair_sums(once, least, _bitmap(words.select(F.xxhash64(F.col("lang").cast("string"), F.col("phrase").cast("string")).alias("h"))))
+    more = _counted(once, tuple(range(2, max(longest, 2) + 1)), least, _bitmap(pairs))
+    counts = materialize(words.unionByName(more).select(F.col("lang").cast("string").alias("lang"), F.col("phrase").cast("string").alias("phrase"), "f"), "phrase-counts")
     discard(words, pairs, more)
     found = best_cuts(counts, total)
     kept = found.join(absorbed(counts), ["lang", "phrase"], "left").filter(F.col("inside").isNull() | (F.col("inside") < F.col("a")))
@@ -98,48 +99,44 @@ def absorbed(counts: DataFrame) -> DataFrame:
     return ends.select("lang", F.array_join(F.slice("words", F.col("i"), F.col("k")), " ").alias("phrase"), "f").groupBy("lang", "phrase").agg(F.max("f").alias("inside"))
 
 
-def _hashes(phrase: str) -> Column:
-    """Hashes of the words, with the language."""
-    return F.transform(F.split(phrase, " "), lambda w: F.xxhash64("lang", w))
+def _rows(once: DataFrame, shortest: int, hashes: bool) -> DataFrame:
+    """Pieces of so many words at least, as bytes, with hashes ``h`` of their words and language where asked for."""
+    words = F.split("piece", " ")
+    h = [F.transform(words, lambda w: F.xxhash64("lang", w)).alias("h")] if hashes else []
+    return once.filter(F.size(words) >= shortest).select(F.col("lang").cast("binary").alias("lang"), "piece", "m", *h)
 
 
 def _counted(once: DataFrame, lengths: tuple[int, ...], least: int, admitted: Broadcast | None) -> DataFrame:
-    """lang, phrase, f of the phrases of these lengths that occur ``least`` times; a stage table."""
-    rows = once.select(F.col("lang").cast("binary").alias("lang"), F.col("piece"), "m", *([_hashes("piece").alias("h")] if admitted else []))
-    partial = rows.filter(F.size(F.split("piece", " ")) >= min(lengths)).mapInArrow(lambda batches: _summed(_grams(batches, lengths, admitted), 1), _COUNTS)
-    return materialize(partial.repartition("lang", "phrase").mapInArrow(lambda batches: _summed(batches, least), _COUNTS), "phrase-counts")
+    """lang, phrase, f of the phrases of these lengths that occur ``least`` times; a stage table. ``admitted``: pairs."""
+    rows = _rows(once, min(lengths), admitted is not None)
+    partial = rows.mapInArrow(lambda batches: _summed(_grams(batches, lengths, admitted), _GRAMS, 1), _COUNTS)
+    return materialize(partial.repartition("lang", "phrase").mapInArrow(lambda batches: _summed(batches, _GRAMS, least), _COUNTS), "phrase-counts")
 
 
-def _summed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Counts of equal phrases added up out of core; what the task has in its scratch folder goes with it."""
+def _pair_sums(once: DataFrame, least: int, admitted: Broadcast) -> DataFrame:
+    """h, f: sums by hash of the pairs of admitted words; a stage table."""
+    partial = _rows(once, 2, True).mapInArrow(lambda batches: _summed(_pairs(batches, admitted), _SUMS, 1), "h bigint, f bigint")
+    return materialize(partial.repartition("h").mapInArrow(lambda batches: _summed(batches, _SUMS, least), "h bigint, f bigint"), "phrase-pairs")
+
+
+def _summed(batches: Iterator[pa.RecordBatch], schema: pa.Schema, least: int) -> Iterator[pa.RecordBatch]:
+    """The column ``f`` added up by all others, out of core; what the task has in its scratch folder goes with it."""
+    by = ", ".join(n for n in schema.names if n != "f")
     with tempfile.TemporaryDirectory() as scratch:
         config = {"threads": 1, "memory_limit": MEMORY, "temp_directory": scratch, "preserve_insertion_order": False, "autoinstall_known_extensions": False}
         with duckdb.connect(config=config) as db:
-            db.register("grams", pa.RecordBatchReader.from_batches(_GRAMS, (b.cast(_GRAMS) for b in batches)))
-            yield from db.sql(f"SELECT lang, phrase, sum(f)::BIGINT AS f FROM grams GROUP BY lang, phrase HAVING sum(f) >= {least}").to_arrow_reader(50_000)
-
-
-def _bitmap(counts: DataFrame) -> Broadcast:
-    """Bits of the words or pairs counted."""
+            db.register("grams", pa.RecordBatchReader.from_batches(schema, (b.cast(schema) for b in batches)))
+            yield from db.sql(f"SELECT {by}, sum(f)::BIGINT AS f FROM grams GROUP BY {by} HAVING sum(f) >= {least}").to_arrow_reader(50_000)
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            flat, size = b.column(0).flatten().to_numpy().view(np.uint64), len(b)
-            at = _place(flat if len(flat) == size else _joined(flat[0::2], flat[1::2]))
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(at & 63)], names=["word", "bit"])
 
-    hashes = counts.select(F.col("lang").cast("string").alias("lang"), F.col("phrase").cast("string").alias("phrase")).select(_hashes("phrase").alias("h"))
-    bits = hashes.mapInArrow(places, "word bigint, bit bigint").distinct().groupBy("word").agg(F.collect_list("bit").alias("bits"))
-    out = np.zeros(1 << (BITS - 3), np.uint8)  # at most 2**(BITS - 6) rows of 64 bits come in
-    for row in bits.toLocalIterator():
-        for bit in row.bits:
-            at = (row.word << 6) + bit
-            out[at >> 3] |= 1 << (at & 7)
-    return counts.sparkSession.sparkContext.broadcast(out)
-
-
-def _place(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+def _bitmap(hashes: DataFrame) -> Broadcast:
+    """Bits of the hashes (h); at most 2**(BITS - 6) rows of 64 bits come to the driver."""
+    at = hashes.select(F.shiftrightunsigned("h", 64 - BITS).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 AS int))")).alias("bits"))
+    out = np.zeros(1 << max(BITS - 6, 0), np.int64)
+    for row in words.toLocalIterator():
+        out[row.word] = row.bits
+    return hashes.sparkSession.sparkContext.broadcast(out.view(np.uint8))
 
 
 def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -148,33 +145,49 @@ def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
 
 
+def _has(admitted: Broadcast, hashes: np.ndarray) -> np.ndarray:
+    bits = admitted.value
+    at = (hashes >> np.uint64(65 - (8 * len(bits)).bit_length())).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _word_hashes(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of a batch's words, the row of each, and the words from it to its piece's end."""
+    lists = b.column(b.schema.get_field_index("h"))
+    sizes = lists.value_lengths().to_numpy()
+    row = np.repeat(np.arange(len(b)), sizes)
+    return lists.flatten().to_numpy().view(np.uint64), row, np.cumsum(sizes)[row] - np.arange(len(row))
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], admitted: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Hashes of the pairs of admitted words with their piece's multiplicity."""
+    for b in batches:
+        h, row, left = _word_hashes(b)
+        good = _has(admitted, h)
+        at = np.flatnonzero(good[:-1] & good[1:] & (left[:-1] > 1))
+        yield pa.RecordBatch.from_arrays([pa.array(_joined(h[at], h[at + 1]).view(np.int64)), b.column(b.schema.get_field_index("m")).take(pa.array(row[at]))], schema=_SUMS)
+
+
 def _grams(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...], admitted: Broadcast | None) -> Iterator[pa.RecordBatch]:
-    """Phrases of these lengths with their piece's multiplicity, where their words (for pairs) or pairs (for longer ones) are admitted."""
-    bits = admitted.value if admitted else None
-    has = lambda at: (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    """Phrases of these lengths, all of whose pairs are admitted, with their piece's multiplicity."""
     for b in batches:
-        split = pc.split_pattern(b.column(b.schema.get_field_index("piece")), " ")
-        words, ends = split.flatten().cast(pa.binary()), split.offsets.to_numpy()
-        ends = ends - ends[0]
-        row = np.repeat(np.arange(len(b)), np.diff(ends))
-        left = ends[1:][row] - np.arange(len(row))  # words from here to the piece's end
-        good = np.ones(len(row), bool)
-        if bits is not None:
-            h = b.column(b.schema.get_field_index("h")).flatten().to_numpy().view(np.uint64)
-            if lengths == (2,):
-                one = has(_place(h))
-                good[:-1] = one[:-1] & one[1:]
-            else:
-                good[:-1] = has(_place(_joined(h[:-1], h[1:])))
-        run = good & (left >= max(min(lengths), 1))
+        words = pc.split_pattern(b.column(b.schema.get_field_index("piece")), " ").flatten().cast(pa.binary())
+        if admitted is None:
+            row = np.repeat(np.arange(len(b)), pc.add(pc.count_substring(b.column(b.schema.get_field_index("piece")), " "), 1).to_numpy())
+            run, left, pair = np.ones(len(row), bool), np.ones(len(row)), np.ones(len(row), bool)
+        else:
+            h, row, left = _word_hashes(b)
+            pair = np.zeros(len(row), bool)
+            pair[:-1] = _has(admitted, _joined(h[:-1], h[1:]))
+            run = np.ones(len(row), bool)
         for k in range(1, max(lengths) + 1):
-            # all pairs from here to the k-th word must be good; a single pair or word is
-            if k > 2:
-                run[: len(run) - k + 2] &= good[k - 2 :]
+            if k > 1:
+                run[: len(run) - k + 2] &= pair[k - 2 :]  # the pair of the words k - 1 and k from here
             if k not in lengths:
                 continue
             at = np.flatnonzero(run & (left >= k))
             if len(at):
-                phrase = pc.binary_join_element_wise(*[words.take(pa.array(at + j)) for j in range(k)], pa.scalar(b" ")) if k > 1 else words.take(pa.array(at))
+                own = [words.take(pa.array(at + j)) for j in range(k)]
+                phrase = pc.binary_join_element_wise(*own, pa.scalar(b" ")) if k > 1 else own[0]
                 owner = pa.array(row[at])
-                yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)).take(owner) for c in ("lang",)] + [phrase, b.column(b.schema.get_field_index("m")).take(owner)], schema=_GRAMS)
+                yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("lang")).take(owner), phrase, b.column(b.schema.get_field_index("m")).take(owner)], schema=_GRAMS)
