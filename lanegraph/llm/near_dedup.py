@@ -10,8 +10,8 @@ same are confirmed too unless they differ in more than ``far`` of all places. Th
 chunks, ``far`` and the bound on set sizes follow from ``percent`` (see Scheme): a pair at
 exactly that similarity is missed with a probability of about 1e-5, more alike ones less.
 
-Join. Documents with equal sets are one class and only its smallest id goes on. Keys are
-filed as (key, id) rows. First every bucket links its members to its smallest member (as many
+Join. Documents with equal sets are one node, and one text of each goes on. Keys are
+filed as (key, node) rows. First every bucket links its members to its smallest member (as many
 pairs as rows); these pairs are checked on full sets, and the confirmed links give components.
 Only buckets that still hold several components go on: small ones give their pairs across
 components as rows; larger ones are dealt in pairs of blocks of BLOCK_BYTES of sets, and tasks
@@ -21,7 +21,8 @@ Every link is confirmed on full shingle sets.
 
 Defined cases: null, empty or wordless text has an empty set, links with nothing and is its
 own component; fewer than five words are one shingle; texts of any length are read whole;
-repeated rows of one id share its component and are all judged alike; rows with a null id are
+rows of one id are one document: they share a component, which holds what is like any of their
+texts, and are all judged alike; rows with a null id are
 left unlinked, with a null component, and kept; ids are whole numbers; an empty table gives
 no rows; near_duplicates() returns its own columns alone, keep_firsts() those of ``docs``.
 """
@@ -38,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanegraph.llm.common import byte_texts, map_rows
+from lanegraph.llm.common import byte_texts, map_rows, whole_text
 from lanegraph.operators.components import connected_components
 from lanegraph.stage import discard, materialize
 
@@ -144,8 +145,13 @@ def keys_of(sig: np.ndarray, count: int) -> list[int]:
     return out
 
 
+def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """id, tid, text: a place is an id with a text."""
+    return docs.select(F.col(key).alias("id"), F.xxhash64(whole_text(text)).alias("tid"), F.col(text).alias("text"))
+
+
 def signatures(docs: DataFrame, key: str, text: str, plan: Scheme) -> DataFrame:
-    """id, n_shingles, set_id (a 128-bit hash of the set), sig, keys."""
+    """id, tid (text hash), n_shingles, set_id (a 128-bit hash of the set), sig, keys."""
 
     def run(batches):
         words = _Words()
@@ -160,13 +166,13 @@ def signatures(docs: DataFrame, key: str, text: str, plan: Scheme) -> DataFrame:
                 made["keys"].append(keys_of(sig, plan.chunks) if len(s) else [])
             yield made
 
-    return map_rows(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), run, "n_shingles long, set_id binary, sig binary, keys array<bigint>", drop=("text",))
+    return map_rows(_texts(docs, key, text), run, "n_shingles long, set_id binary, sig binary, keys array<bigint>", drop=("text",))
 
 
 def _near(pairs: DataFrame, sigs: DataFrame, plan: Scheme) -> DataFrame:
     """Of pairs (a, b), those near by signature and by the bound on set sizes."""
-    one = sigs.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"))
-    two = sigs.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"))
+    one = sigs.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"))
+    two = sigs.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"))
     both = pairs.join(one, "a").join(two, "b").filter(100 * F.least("na", "nb") >= plan.percent * F.greatest("na", "nb"))
 
     def run(batches):
@@ -179,8 +185,8 @@ def _near(pairs: DataFrame, sigs: DataFrame, plan: Scheme) -> DataFrame:
 
 def _confirm(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (src, dst): 100 * intersection >= percent * union on full sets."""
-    x = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     common = F.size(F.array_intersect("x", "y")).cast("long")
     return (
         near.join(x, "a")
@@ -192,9 +198,9 @@ def _confirm(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, needed: DataFrame, key: str, text: str) -> DataFrame:
-    ids = needed.select("id")
-    own = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("id is not null")
-    chosen = own.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "id", "left_semi")
+    """node, shingles of the places needed (node, id, tid)."""
+    own = _texts(docs, key, text).filter("id is not null")
+    chosen = own.join(F.broadcast(needed) if needed.count() <= SENT_IDS else needed, ["id", "tid"]).select("node", "text")
 
     def run(batches):
         words = _Words()
@@ -209,7 +215,7 @@ def _links(batch, plan: Scheme) -> list[tuple[int, int]]:
     one, two = batch[batch.side != 1], batch[batch.side != 0]
     same = len(batch) and batch.side.iloc[0] == 2
     x, y = (np.frombuffer(b"".join(t.sig), np.uint8).reshape(-1, plan.size) for t in (one, two))
-    n, m, ids = one.n_shingles.to_numpy(), two.n_shingles.to_numpy(), two.id.to_numpy()
+    n, m, ids = one.n_shingles.to_numpy(), two.n_shingles.to_numpy(), two.node.to_numpy()
     sets, others = ([np.asarray(v, np.int64).view(np.uint64) for v in t.shingles] for t in (one, two))
     codes = np.unique(batch.component.to_numpy(), return_inverse=True)[1]
     top, c, e = np.arange(codes.max(initial=0) + 1), codes[(batch.side != 1).to_numpy()], codes[(batch.side != 0).to_numpy()]
@@ -228,35 +234,34 @@ def _links(batch, plan: Scheme) -> list[tuple[int, int]]:
             for o in part[100 * common >= plan.percent * (n[k] + m[part] - common)]:
                 if top[c[k]] != top[e[o]]:
                     top[top == top[e[o]]] = top[c[k]]
-                    out.append((one.id.iloc[k], ids[o]))
+                    out.append((one.node.iloc[k], ids[o]))
     return out
 
 
 def _rest(buckets: DataFrame, sigs: DataFrame, sets: DataFrame, components: DataFrame, plan: Scheme) -> DataFrame:
-    """Links across components of the buckets (key, id, n) that hold several."""
-    own = components.select(F.col("node").alias("id"), "component")
-    placed = materialize(buckets.join(own, "id", "left").withColumn("component", F.coalesce("component", "id")), "near-placed")
+    """Links across components of the buckets (key, node, n) that hold several."""
+    placed = materialize(buckets.join(components, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-placed")
     mixed = materialize(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key"), "near-mixed")
     open_ = materialize(placed.join(mixed, "key", "left_semi"), "near-open")
     discard(placed, mixed)
-    groups = open_.filter(F.col("n") <= SMALL).groupBy("key").agg(F.collect_set(F.struct("id", "component")).alias("m"))
-    pair = lambda x: F.transform(F.filter("m", lambda y: (y["id"] > x["id"]) & (y["component"] != x["component"])), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))
+    groups = open_.filter(F.col("n") <= SMALL).groupBy("key").agg(F.collect_set(F.struct("node", "component")).alias("m"))
+    pair = lambda x: F.transform(F.filter("m", lambda y: (y["node"] > x["node"]) & (y["component"] != x["component"])), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))
     few = groups.select(F.inline(F.flatten(F.transform("m", pair))))
     hot = open_.filter(F.col("n") > SMALL)
     links = _confirm(_near(few.distinct(), sigs, plan), sets, plan.percent)
     if hot.isEmpty():
         return links
-    known = materialize(hot.join(sigs.select("id", "n_shingles", "sig"), "id"), "near-hot")
+    known = materialize(hot.join(sigs.select("node", "n_shingles", "sig"), "node"), "near-hot")
     blocks = materialize(known.groupBy("key").agg(F.ceil(8 * F.sum("n_shingles") / BLOCK_BYTES).cast("int").alias("blocks")), "near-blocks")
     spread = (
         known.join(blocks, "key")
-        .withColumn("mine", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+        .withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("i", F.least("mine", "other"))
         .withColumn("j", F.greatest("mine", "other"))
         .withColumn("side", F.when(F.col("i") == F.col("j"), 2).when(F.col("mine") == F.col("i"), 0).otherwise(1))
-        .select("key", "i", "j", "side", "id", "component", "n_shingles", "sig")
-        .join(sets, "id")
+        .select("key", "i", "j", "side", "node", "component", "n_shingles", "sig")
+        .join(sets, "node")
     )
 
     def run(batch):
@@ -272,25 +277,33 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     plan = scheme(percent)
     sigs = materialize(signatures(docs, key, text, plan), "near-signatures")
     filled = sigs.filter("n_shingles > 0 and id is not null")
-    classes = materialize(filled.groupBy("set_id").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "near-classes")
-    firsts = materialize(filled.join(classes.select("set_id", F.col("rep").alias("id")), ["set_id", "id"], "left_semi").dropDuplicates(["set_id"]).select("id", "n_shingles", "sig", "keys"), "near-firsts")
-    filed = firsts.select(F.explode("keys").alias("key"), "id")
+    # Equal sets are one node, numbered for the joins, with the first place that has it.
+    classes = filled.groupBy("set_id").agg(F.min(F.struct("id", "tid")).alias("rep")).select("set_id", "rep.*", F.monotonically_increasing_id().alias("node"))
+    classes = materialize(classes, "near-classes")
+    firsts = filled.join(classes, ["set_id", "id", "tid"]).dropDuplicates(["set_id"])
+    firsts = materialize(firsts.select("node", "id", "tid", "n_shingles", "sig", "keys"), "near-firsts")
+    filed = firsts.select(F.explode("keys").alias("key"), "node")
     # A stage table of its own, so that the join with it is of two plain shuffles and a hot key can be split.
-    shared = materialize(filed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("hub")).filter("n > 1"), "near-shared")
+    shared = materialize(filed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1"), "near-shared")
     buckets = materialize(filed.join(shared, "key"), "near-buckets")
-    needed = materialize(buckets.select("id").distinct(), "near-needed")
-    lone = materialize(firsts.select("id", "n_shingles", "sig").join(needed, "id", "left_semi"), "near-lone")
+    needed = buckets.select("node").distinct()
+    lone = materialize(firsts.select("node", "id", "tid", "n_shingles", "sig").join(needed, "node", "left_semi"), "near-lone")
     discard(shared, firsts)
-    sets = _sets(docs, needed, key, text).dropDuplicates(["id"])
-    stars = buckets.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    sets = _sets(docs, lone.select("node", "id", "tid"), key, text).dropDuplicates(["node"])
+    stars = buckets.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = materialize(_confirm(_near(stars, lone, plan), sets, percent), "near-links")
     components = connected_components(links)
-    more = materialize(_rest(buckets.select("key", "id", "n"), lone, sets, components, plan), "near-links")
-    # Classes and links together: a document joins its class's first, that its component.
-    same = filled.join(classes.filter("copies > 1"), "set_id").filter("id <> rep").select(F.col("id").alias("src"), F.col("rep").alias("dst"))
+    more = materialize(_rest(buckets.select("key", "node", "n"), lone, sets, components, plan), "near-links")
+    # Rows of one id are one document, so an id with several texts joins their nodes.
+    of = materialize(filled.select("id", "set_id").distinct().join(classes.select("set_id", "node"), "set_id").select("id", "node"), "near-of")
+    lowest = materialize(of.groupBy("id").agg(F.min("node").alias("src"), F.max("node").alias("last")).filter("src < last").select("id", "src"), "near-several")
+    same = of.join(lowest, "id").filter("node <> src").select("src", F.col("node").alias("dst"))
     final = connected_components(links.union(more).union(same))
-    out = sigs.select("id", "n_shingles").join(final.select(F.col("node").alias("id"), "component"), "id", "left")
-    discard(buckets, needed, lone, classes, links, more, components)
+    placed = materialize(of.join(final, "node", "left").select("id", F.coalesce("component", "node").alias("grp")), "near-placed")
+    least = materialize(placed.groupBy("grp").agg(F.min("id").alias("component")), "near-least")
+    owned = materialize(placed.join(least, "grp").select("id", "component").distinct(), "near-owned")
+    out = sigs.select("id", "n_shingles").join(owned, "id", "left")
+    discard(buckets, lone, classes, links, more, components, of, lowest, placed, least)
     component = F.coalesce("component", "id")
     return out.select("id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 

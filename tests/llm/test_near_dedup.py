@@ -110,3 +110,15 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert by[None]["component_id"] is None and by[None]["kept"]
     assert set(n.keep_firsts(odd_docs).columns) == set(odd_docs.columns)
     assert n.near_duplicates(no_docs).count() == 0
+
+
+def test_one_id_with_several_texts(spark):
+    """In any order of the rows: each of an id's texts is compared, and what is like either joins it."""
+    a, b = prose(1, 120), prose(2, 120)
+    near = lambda t: t + " and one more"
+    rows = [(1, a), (1, b), (2, near(b)), (3, near(a)), (7, prose(5, 90)), (9, prose(6, 90)), (9, prose(5, 90))]
+    want = {1: 1, 2: 1, 3: 1, 7: 7, 9: 7}
+    for order in (rows, rows[::-1], sorted(rows, key=lambda x: str(x[1]))):
+        assert found(spark, order) == want
+    many = [(5, prose(300 + k, 60)) for k in range(200)] + [(400 + k, near(prose(300 + 7 * k, 60))) for k in range(20)] + [(900, prose(900, 60))]
+    assert found(spark, many) == {5: 5, 900: 900} | {400 + k: 5 for k in range(20)}
