@@ -3,7 +3,8 @@
 Texts are cut into pieces; equal pieces of a language become one row with a multiplicity, so
 what is repeated is read once. Weighted n-grams are counted in two steps by the same DuckDB sum,
 which spills to its task's own scratch folder beyond MEMORY: over the pieces of a map task, and
-then over a hash bucket of phrases. What is below ``least`` is dropped only there, where counts
+then over a hash bucket of phrases. A map task sorts its sums by bucket and ships them as
+compressed parts of up to PART rows, which are a fraction of the rows' size. What is below ``least`` is dropped only there, where counts
 are whole. A phrase is never more frequent than what it is made of, so there are three passes:
 words; sums by hash of the pairs whose words are frequent (of two pairs with one hash the sum
 is too high, never too low); and all phrases of several words whose pairs may be frequent,
@@ -23,7 +24,8 @@ their id count again; an empty table gives no rows; other columns take no part.
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import duckdb
 import numpy as np
@@ -39,10 +41,11 @@ from lanegraph.stage import discard, materialize
 LONGEST, LEAST, FIRST = 5, 100, 2000
 #: Bits of the bitmap, as a power of two, and memory of a task's sums before they spill.
 BITS, MEMORY = 26, "256MB"
+#: Rows of a shipped part at most, and hash buckets for each shuffle partition.
+PART, BUCKETS = 100_000, 4
 
 _GRAMS = pa.schema([("lang", pa.binary()), ("phrase", pa.binary()), ("f", pa.int64())])
 _SUMS = pa.schema([("h", pa.int64()), ("f", pa.int64())])
-_COUNTS = "lang binary, phrase binary, f bigint"
 
 
 def pieces(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -108,25 +111,52 @@ def _rows(once: DataFrame, shortest: int, hashes: bool) -> DataFrame:
 
 def _counted(once: DataFrame, lengths: tuple[int, ...], least: int, admitted: Broadcast | None) -> DataFrame:
     """lang, phrase, f of the phrases of these lengths that occur ``least`` times; a stage table. ``admitted``: pairs."""
-    rows = _rows(once, min(lengths), admitted is not None)
-    partial = rows.mapInArrow(lambda batches: _summed(_grams(batches, lengths, admitted), _GRAMS, 1), _COUNTS)
-    return materialize(partial.repartition("lang", "phrase").mapInArrow(lambda batches: _summed(batches, _GRAMS, least), _COUNTS), "phrase-counts")
+    return _summed(_rows(once, min(lengths), admitted is not None), lambda batches: _grams(batches, lengths, admitted), _GRAMS, "lang binary, phrase binary, f bigint", least)
 
 
 def _pair_sums(once: DataFrame, least: int, admitted: Broadcast) -> DataFrame:
     """h, f: sums by hash of the pairs of admitted words; a stage table."""
-    partial = _rows(once, 2, True).mapInArrow(lambda batches: _summed(_pairs(batches, admitted), _SUMS, 1), "h bigint, f bigint")
-    return materialize(partial.repartition("h").mapInArrow(lambda batches: _summed(batches, _SUMS, least), "h bigint, f bigint"), "phrase-pairs")
+    return _summed(_rows(once, 2, True), lambda batches: _pairs(batches, admitted), _SUMS, "h bigint, f bigint", least)
 
 
-def _summed(batches: Iterator[pa.RecordBatch], schema: pa.Schema, least: int) -> Iterator[pa.RecordBatch]:
-    """The column ``f`` added up by all others, out of core; what the task has in its scratch folder goes with it."""
+def _summed(rows: DataFrame, make: Callable, schema: pa.Schema, fields: str, least: int) -> DataFrame:
+    """``f`` of what ``make`` yields added up by all other columns, from ``least`` on: first by map task, then by bucket."""
+    buckets = BUCKETS * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = rows.mapInArrow(lambda batches: _parted(make(batches), schema, buckets), "bucket int, part binary")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shipped = (b for batch in batches for part in batch.column(1) for b in pa.ipc.open_stream(part.as_buffer()))
+        with _sums(shipped, schema, f"HAVING sum(f) >= {least}") as found:
+            yield from found
+
+    return materialize(parts.repartition("bucket").mapInArrow(whole, fields), "phrase-sums")
+
+
+@contextmanager
+def _sums(batches: Iterable[pa.RecordBatch], schema: pa.Schema, rest: str, buckets: int = 0) -> Iterator[pa.RecordBatchReader]:
+    """Sums out of core; what the task has in its scratch folder goes with it."""
     by = ", ".join(n for n in schema.names if n != "f")
+    bucket = f"(hash({by}) % {buckets})::INT AS bucket, " if buckets else ""
     with tempfile.TemporaryDirectory() as scratch:
         config = {"threads": 1, "memory_limit": MEMORY, "temp_directory": scratch, "preserve_insertion_order": False, "autoinstall_known_extensions": False}
         with duckdb.connect(config=config) as db:
             db.register("grams", pa.RecordBatchReader.from_batches(schema, (b.cast(schema) for b in batches)))
-            yield from db.sql(f"SELECT {by}, sum(f)::BIGINT AS f FROM grams GROUP BY {by} HAVING sum(f) >= {least}").to_arrow_reader(50_000)
+            yield db.sql(f"SELECT {bucket}{by}, sum(f)::BIGINT AS f FROM grams GROUP BY {by} {rest}").to_arrow_reader(PART)
+
+
+def _parted(batches: Iterator[pa.RecordBatch], schema: pa.Schema, buckets: int) -> Iterator[pa.RecordBatch]:
+    """A map task's sums as parts (bucket, compressed rows), sorted."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    with _sums(batches, schema, "ORDER BY ALL", buckets) as found:
+        for b in found:
+            bucket, own = b.column(0).to_numpy(), b.select(schema.names)
+            edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(b)]
+            for start, end in zip(edges, edges[1:], strict=False):
+                if end > start:
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, schema, options=options) as out:
+                        out.write_batch(own.slice(start, end - start).cast(schema))
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket[start]], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["bucket", "part"])
 
 
 def _bitmap(hashes: DataFrame) -> Broadcast:
