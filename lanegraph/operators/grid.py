@@ -42,6 +42,30 @@ def points_near_points(a: DataFrame, b: DataFrame, radius: float, ax="ax", ay="a
     return left.join(right, ["_cx", "_cy"]).drop("_cx", "_cy").filter(near).withColumn("d2", dx * dx + dy * dy)
 
 
+def filed_lines(df: DataFrame, ends: tuple[str, str, str, str], size: float, pad: float) -> DataFrame:
+    """Rows in every cell that the segment comes within ``pad`` of (and a few at its sides), as _cx, _cy.
+
+    Column by column: the part of the segment over a column, and ``pad`` more on each side, gives the column's
+    cells, so a segment has as many rows as cells it passes, not as its bounding box holds.
+    """
+    x0, y0, x1, y1 = (F.col(c) for c in ends)
+    swap = x1 < x0
+    lx, ly = F.when(swap, x1).otherwise(x0), F.when(swap, y1).otherwise(y0)
+    hx, hy = F.when(swap, x0).otherwise(x1), F.when(swap, y0).otherwise(y1)
+    # rounding may move a cut by a part in 10^9 of a cell
+    reach = pad + size * 1e-9
+    slope = F.when(hx > lx, (hy - ly) / (hx - lx)).otherwise(F.lit(0.0))
+
+    def cells(cx: Column) -> Column:
+        left, right = F.greatest(lx, cx * size - reach), F.least(hx, (cx + 1) * size + reach)
+        a, b = ly + (left - lx) * slope, ly + (right - lx) * slope
+        a, b = F.when(hx > lx, a).otherwise(ly), F.when(hx > lx, b).otherwise(hy)
+        return F.struct(cx.alias("_cx"), F.sequence(_cell(F.least(a, b) - reach, size), _cell(F.greatest(a, b) + reach, size)).alias("_cys"))
+
+    columns = F.transform(F.sequence(_cell(lx - reach, size), _cell(hx + reach, size)), cells)
+    return df.select("*", F.inline(columns)).select(*df.columns, "_cx", F.explode("_cys").alias("_cy"))
+
+
 def points_near_segments(
     points: DataFrame, segs: DataFrame, radius: float, px="px", py="py", ends=("x0", "y0", "x1", "y1"), cell: float | None = None, sx: float = 1.0, sy: float = 1.0, limit: float | None = None
 ) -> DataFrame:
@@ -49,21 +73,21 @@ def points_near_segments(
     size = max(cell or radius, radius)
     x0, y0, x1, y1 = (F.col(c) for c in ends)
     left = placed(points, F.col(px), F.col(py), size)
-    right = filed(segs, (F.least(x0, x1), F.greatest(x0, x1)), (F.least(y0, y1), F.greatest(y0, y1)), size, radius)
+    right = filed_lines(segs, ends, size, radius)
     t, dist = geo.project(F.col(px), F.col(py), x0, y0, x1, y1, sx, sy)
     return left.join(right, ["_cx", "_cy"]).drop("_cx", "_cy").withColumn("t", t).withColumn("dist", dist).filter(F.col("dist") <= (radius if limit is None else limit))
 
 
-def segments_meeting(a: DataFrame, b: DataFrame, size: float, a_ends=("ax0", "ay0", "ax1", "ay1"), b_ends=("bx0", "by0", "bx1", "by1"), strict: bool = False) -> DataFrame:
-    """Pairs of segments that meet (or, strictly, cross); each pair is tested in the first cell both boxes share."""
+def segments_meeting(a: DataFrame, b: DataFrame, size: float, keys: tuple[list[str], list[str]], a_ends=("ax0", "ay0", "ax1", "ay1"), b_ends=("bx0", "by0", "bx1", "by1"), strict: bool = False) -> DataFrame:
+    """Pairs of segments that meet (or, strictly, cross), once each: by ``keys``, the columns that tell a row of ``a`` and of ``b``.
+
+    Segments that meet share the cell of a point they share; where they pass several cells together, the pair is
+    tested in each and kept once.
+    """
     p, q = [F.col(c) for c in a_ends], [F.col(c) for c in b_ends]
-    lo = lambda e, k: F.least(e[k], e[k + 2])
-    hi = lambda e, k: F.greatest(e[k], e[k + 2])
-    left = filed(a, (lo(p, 0), hi(p, 0)), (lo(p, 1), hi(p, 1)), size, 0.0)
-    right = filed(b, (lo(q, 0), hi(q, 0)), (lo(q, 1), hi(q, 1)), size, 0.0)
-    first = (F.col("_cx") == _cell(F.greatest(lo(p, 0), lo(q, 0)), size)) & (F.col("_cy") == _cell(F.greatest(lo(p, 1), lo(q, 1)), size))
     test = (geo.segments_cross if strict else geo.segments_meet)((p[0], p[1]), (p[2], p[3]), (q[0], q[1]), (q[2], q[3]))
-    return left.join(right, ["_cx", "_cy"]).filter(first & test).drop("_cx", "_cy")
+    both = filed_lines(a, a_ends, size, 0.0).join(filed_lines(b, b_ends, size, 0.0), ["_cx", "_cy"])
+    return both.drop("_cx", "_cy").filter(test).dropDuplicates([*keys[0], *keys[1]])
 
 
 def nearest(pairs: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
@@ -126,3 +150,75 @@ def quad_extent(rows: DataFrame, x: str, y: str) -> tuple[float, float, float]:
 def quad_code(level: Column, cx: Column, cy: Column) -> Column:
     """The number of a cell."""
     return F.shiftleft(level.cast("bigint"), 2 * DEEPEST) + F.shiftleft(cx, DEEPEST) + cy
+
+
+def quad_box(code: Column, box: tuple[float, float, float]) -> tuple[Column, Column, Column]:
+    """Least x and y of a cell, and its side; ``box``: the tree's extent."""
+    level, low = F.shiftright(code, 2 * DEEPEST), (1 << DEEPEST) - 1
+    side = F.lit(box[2]) / F.pow(F.lit(2.0), level)
+    return F.lit(box[0]) + F.shiftright(code, DEEPEST).bitwiseAND(low) * side, F.lit(box[1]) + code.bitwiseAND(F.lit(low)) * side, side
+
+
+def quad_parent(code: Column, up: Column) -> Column:
+    """The cell ``up`` levels above."""
+    low, level = (1 << DEEPEST) - 1, F.shiftright(code, 2 * DEEPEST)
+    above = lambda c: F.floor(c / F.pow(F.lit(2.0), up)).cast("bigint")
+    return quad_code(level - up, above(F.shiftright(code, DEEPEST).bitwiseAND(low)), above(code.bitwiseAND(F.lit(low))))
+
+
+def nearest_anywhere(points: DataFrame, targets: DataFrame, key: str, target: str, px="px", py="py", tx="tx", ty="ty", most: int = 64) -> DataFrame:
+    """Each point's nearest target at any distance: key, target, d2; of equals the lowest target. No row if there are no targets.
+
+    Targets (one to a place, the lowest) are dealt to the cells of a quadtree that hold at most
+    ``most``, so crowds lie in many small cells and empty land in few. A first round gives every
+    point a bound: the distance to the representative of the smallest cell above it that has
+    one. Further rounds go down the tree from the root, three levels at a time, to the cells
+    that lie within the bound and no others, and tighten it by the representatives they meet;
+    the targets of the last cells are compared. Points without a place have no row.
+    """
+    places = targets.filter(F.col(tx).isNotNull() & F.col(ty).isNotNull() & ~F.isnan(tx) & ~F.isnan(ty)).groupBy(F.col(tx).alias("tx"), F.col(ty).alias("ty")).agg(F.min(target).alias(target))
+    placed_ = materialize(quad_cells(places, "tx", "ty", most, "leaf"), "nearest-targets")
+    box = quad_extent(placed_, "tx", "ty")
+    level = lambda c: F.shiftright(c, 2 * DEEPEST)
+    leaves = placed_.groupBy("leaf").agg(F.min(F.struct(target, "tx", "ty")).alias("r")).select(F.col("leaf").alias("node"), "r", F.lit(True).alias("last"))
+    # The cells above a leaf that were too full, at every third level, up to the root.
+    ups = F.transform(F.filter(F.sequence(F.lit(0), F.lit(DEEPEST), F.lit(DOWN)), lambda k: k < level(F.col("node"))), lambda k: quad_parent(F.col("node"), (level(F.col("node")) - k).cast("int")))
+    inner = leaves.select("r", F.explode(ups).alias("node")).groupBy("node").agg(F.min("r").alias("r")).select("node", "r", F.lit(False).alias("last"))
+    step = F.when(level(F.col("node")) == 0, 0).otherwise(F.pmod(level(F.col("node")) - 1, F.lit(DOWN)) + 1).cast("int")
+    nodes = materialize(leaves.unionByName(inner).withColumn("parent", F.when(level(F.col("node")) > 0, quad_parent(F.col("node"), step))), "nearest-nodes")
+    asked = materialize(points.filter(F.col(px).isNotNull() & F.col(py).isNotNull() & ~F.isnan(px) & ~F.isnan(py)).select(key, F.col(px).cast("double").alias("px"), F.col(py).cast("double").alias("py")), "nearest-points")
+    d2 = lambda x, y: (F.col("px") - x) * (F.col("px") - x) + (F.col("py") - y) * (F.col("py") - y)
+    # The point's own way down the tree: a point outside goes by the nearest place inside.
+    at = lambda c, lo: F.least(F.greatest(F.floor((F.col(c) - lo) / box[2] * (1 << DEEPEST)), F.lit(0)), F.lit((1 << DEEPEST) - 1)).cast("bigint")
+    met = asked.select(key, "px", "py", F.explode(_ancestors(at("px", box[0]), at("py", box[1]))).alias("node")).join(nodes.select("node", "r"), "node")
+    bound = met.groupBy(key).agg(F.min(d2(F.col("r.tx"), F.col("r.ty"))).alias("bound"))
+    front = materialize(_rooted(asked.join(bound, key), nodes), "nearest-front")
+    done: list[DataFrame] = []
+    x, y, side = quad_box(F.col("node"), box)
+    away = lambda c, lo: F.greatest(lo - F.col(c), F.col(c) - lo - side, F.lit(0.0))
+    # cells are placed with rounding: a part in 10^9 of the extent is allowed for
+    off = lambda c, lo: F.greatest(away(c, lo) - box[2] * 1e-9, F.lit(0.0))
+    while True:
+        done.append(front.filter("last").select(key, "px", "py", "node", "bound"))
+        open_ = front.filter("not last")
+        if open_.isEmpty():
+            break
+        below = open_.select(key, "px", "py", "bound", F.col("node").alias("parent")).join(nodes.filter("parent is not null"), "parent")
+        seen = below.filter(off("px", x) * off("px", x) + off("py", y) * off("py", y) <= F.col("bound")).withColumn("near", d2(F.col("r.tx"), F.col("r.ty")))
+        tight = Window.partitionBy(key)
+        front = materialize(seen.withColumn("bound", F.least("bound", F.min("near").over(tight))).filter(off("px", x) * off("px", x) + off("py", y) * off("py", y) <= F.col("bound")).select(key, "px", "py", "bound", "node", "last"), "nearest-front")
+    last = done[0]
+    for d in done[1:]:
+        last = last.unionByName(d)
+    pairs = last.join(placed_.withColumnRenamed("leaf", "node"), "node").withColumn("d2", d2(F.col("tx"), F.col("ty")))
+    return pairs.groupBy(key).agg(F.min(F.struct("d2", target)).alias("m")).select(key, f"m.{target}", "m.d2")
+
+
+def _ancestors(qx: Column, qy: Column) -> Column:
+    """The cells of all levels that hold a place, given in units of the deepest level."""
+    return F.array(*[quad_code(F.lit(k), F.shiftright(qx, DEEPEST - k), F.shiftright(qy, DEEPEST - k)) for k in range(DEEPEST + 1)])
+
+
+def _rooted(points: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Points at the root, whose number is 0."""
+    return points.withColumn("node", F.lit(0).cast("bigint")).join(nodes.select("node", "last"), "node")

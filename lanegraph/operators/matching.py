@@ -116,7 +116,7 @@ def crossing_lanes(sidewalks: DataFrame, roads: DataFrame, key: str = "edge_id")
     """Most lanes among the roads each sidewalk crosses; null if none."""
     a = sidewalks.select(key, F.col("slon").alias("ax0"), F.col("slat").alias("ay0"), F.col("dlon").alias("ax1"), F.col("dlat").alias("ay1"))
     b = roads.select("lanes", F.col("x0").alias("bx0"), F.col("y0").alias("by0"), F.col("x1").alias("bx1"), F.col("y1").alias("by1"))
-    most = grid.segments_meeting(a, b, 0.001, strict=True).groupBy(key).agg(F.round(F.max("lanes"), 2).alias("crosswalk_lanes"))
+    most = grid.segments_meeting(a, b, 0.001, ([key], ["lanes", "bx0", "by0", "bx1", "by1"]), strict=True).groupBy(key).agg(F.round(F.max("lanes"), 2).alias("crosswalk_lanes"))
     return sidewalks.select(key).join(most, key, "left")
 
 
@@ -133,7 +133,7 @@ def untagged_crossings(segs: DataFrame, size: float) -> DataFrame:
     one = segs.select(F.col("seg_id").alias("i"), F.col("a").alias("ia"), F.col("b").alias("ib"), F.col("tagged").alias("it"), F.col("ax").alias("ax0"), F.col("ay").alias("ay0"), F.col("bx").alias("ax1"), F.col("by_").alias("ay1"))
     two = segs.select(F.col("seg_id").alias("j"), F.col("a").alias("ja"), F.col("b").alias("jb"), F.col("tagged").alias("jt"), F.col("ax").alias("bx0"), F.col("ay").alias("by0"), F.col("bx").alias("bx1"), F.col("by_").alias("by1"))
     apart = ~(F.col("ia").isin(F.col("ja"), F.col("jb")) | F.col("ib").isin(F.col("ja"), F.col("jb")))
-    return grid.segments_meeting(one, two, size).filter((F.col("i") < F.col("j")) & apart & ~(F.col("it") & F.col("jt"))).select("i", "j", "it", "jt")
+    return grid.segments_meeting(one, two, size, (["i"], ["j"])).filter((F.col("i") < F.col("j")) & apart & ~(F.col("it") & F.col("jt"))).select("i", "j", "it", "jt")
 
 
 def snap_to_edges(points: DataFrame, edges: DataFrame, radius_ft: float = 200.0, point: str = "point_id") -> DataFrame:
@@ -145,16 +145,21 @@ def snap_to_edges(points: DataFrame, edges: DataFrame, radius_ft: float = 200.0,
     return best.select(point, "edge_id", "src", "dst", "t", "dist", (F.col("t") * F.col("len_ft")).alias("from_ft"), ((1 - F.col("t")) * F.col("len_ft")).alias("to_ft"))
 
 
-def snap_to_nodes(points: DataFrame, nodes: DataFrame, radius: float, point: str = "point_id") -> DataFrame:
-    """Each point's nearest node within the radius in degrees."""
+def snap_to_nodes(points: DataFrame, nodes: DataFrame, radius: float | None, point: str = "point_id") -> DataFrame:
+    """Each point's nearest node within the radius in degrees, or at any distance where that is None."""
+    if radius is None:
+        return grid.nearest_anywhere(points, nodes, point, "node_id", tx="lon", ty="lat")
     a = points.select(point, F.col("px").alias("ax"), F.col("py").alias("ay"))
     b = nodes.select("node_id", F.col("lon").alias("bx"), F.col("lat").alias("by"))
     return grid.nearest(grid.points_near_points(a, b, radius), [point], [F.col("d2"), F.col("node_id")]).select(point, "node_id", "d2")
 
 
-def snap(points: DataFrame, edges: DataFrame, nodes: DataFrame, radius_ft: float = 200.0, node_radius: float = 0.0024, point: str = "point_id") -> DataFrame:
-    """Edge projection where one is in reach, else the nearest node, else nothing; only the main component counts."""
-    main = main_component(edges)
+def snap(points: DataFrame, edges: DataFrame, nodes: DataFrame, radius_ft: float = 200.0, node_radius: float | None = 0.0024, point: str = "point_id", main: DataFrame | None = None) -> DataFrame:
+    """Edge projection where one is in reach, else the nearest node (at any distance if ``node_radius`` is None), else nothing.
+
+    Only the main component counts: ``main`` (node), found here if it is not given.
+    """
+    main = main_component(edges) if main is None else main
     edges = edges.join(main.withColumnRenamed("node", "src"), "src", "left_semi")
     nodes = nodes.join(main.withColumnRenamed("node", "node_id"), "node_id", "left_semi")
     e = snap_to_edges(points, edges, radius_ft, point).select(point, "edge_id", "t", "from_ft", "to_ft")

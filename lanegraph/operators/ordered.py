@@ -124,6 +124,28 @@ def split_ways(ways: DataFrame) -> DataFrame:
     return both.groupBy("way_id", "part").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "node"))), lambda x: x["node"]).alias("nodes")).filter(F.size("nodes") > 1)
 
 
+def split_known_ways(ways: DataFrame, nodes: DataFrame, inside=None) -> DataFrame:
+    """split_ways() with coordinates: way_id, part, points (node, lon, lat), by ``nodes`` (node, lon, lat).
+
+    A part that holds a node without coordinates is not emitted and the next one begins where it
+    began, so it holds that node too: of a way, the parts before the first such node are left.
+    With ``inside`` (a condition over columns lon and lat) a part whose middle point is outside is not emitted.
+    """
+    at = ways.select("way_id", F.posexplode("nodes").alias("pos", "node")).join(nodes.select("node", "lon", "lat"), "node", "left")
+    gap = at.groupBy("way_id").agg(F.min(F.when(F.col("lon").isNull() | F.col("lat").isNull(), F.col("pos"))).alias("gap"))
+    places = at.groupBy("way_id").agg(F.sort_array(F.collect_list(F.struct("pos", "node", "lon", "lat"))).alias("at"))
+    # a part begins where the one before ended: lengths less one add up to places
+    w = Window.partitionBy("way_id").orderBy("part")
+    parts = split_ways(ways).select("way_id", "part", F.size("nodes").alias("n")).withColumn("to", F.sum(F.col("n") - 1).over(w))
+    known = parts.join(gap, "way_id").filter(F.col("gap").isNull() | (F.col("to") < F.col("gap"))).join(places, "way_id")
+    point = lambda p: F.struct(p["node"].alias("node"), p["lon"].alias("lon"), p["lat"].alias("lat"))
+    out = known.select("way_id", "part", F.transform(F.slice("at", F.col("to") - F.col("n") + 2, F.col("n")), point).alias("points"))
+    if inside is None:
+        return out
+    middle = F.get("points", F.floor(F.size("points") / 2).cast("int"))
+    return out.select("*", middle["lon"].alias("lon"), middle["lat"].alias("lat")).filter(inside).drop("lon", "lat")
+
+
 def without_repeats(values: Column) -> Column:
     """The array without elements equal to the one before."""
     return F.filter(values, lambda x, i: (i == 0) | ~x.eqNullSafe(F.get(values, i - 1)))

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanegraph.plans import audits, graphs, more, routes, scalars, spatial, travel
+from lanegraph.plans import audits, feeds, graphs, more, routes, scalars, spatial, travel
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
 #: name: (plan, SQL or None where SQL cannot express it)
-_PLANS: dict[str, tuple[Plan, str | None]] = scalars.PLANS | spatial.PLANS | routes.PLANS | graphs.PLANS | travel.PLANS | more.PLANS | audits.PLANS
+_PLANS: dict[str, tuple[Plan, str | None]] = scalars.PLANS | spatial.PLANS | routes.PLANS | graphs.PLANS | travel.PLANS | more.PLANS | audits.PLANS | feeds.PLANS
 
 
 def queries() -> dict[str, Plan]:
