@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanegraph.operators.chains import rank_chains
-from lanegraph.stage import discard, materialize
+from lanegraph.stage import discard, materialize, scoped
 
 
 def pieces(raster: DataFrame, levels: list[float]) -> DataFrame:
@@ -47,6 +47,7 @@ def pieces(raster: DataFrame, levels: list[float]) -> DataFrame:
     return way.select("level", "row", "col", F.col("w.q.e").alias("tail"), F.col("w.p.e").alias("head"), F.col("w.q.x").alias("x0"), F.col("w.q.y").alias("y0"), F.col("w.p.x").alias("x1"), F.col("w.p.y").alias("y1"))
 
 
+@scoped("contour-trails")
 def trails(found: DataFrame) -> DataFrame:
     """The pieces with line, pos (from 0 along it) and closed; every piece lies in one line, at one place."""
     before = found.select("level", F.col("head").alias("tail"), F.col("tail").alias("prev"))

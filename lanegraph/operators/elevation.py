@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanegraph.sources import tiles
-from lanegraph.stage import discard, materialize
+from lanegraph.stage import discard, materialize, scoped
 
 #: Grade that costs nothing, and feet between resampled points.
 STEEP, SPACING_FT = 0.02, 75.0
@@ -31,6 +31,7 @@ def sample_raster(points: DataFrame, raster: DataFrame, width: int, height: int,
     return points.select(key).join(sums.filter("n = 4 and not isnan(v)"), key, "left").select(key, F.round(F.coalesce("v", F.lit(0.0)), 1).alias("elev_ft"))
 
 
+@scoped("raster-stats")
 def raster_stats(raster: DataFrame) -> DataFrame:
     """Range, spread and 99th percentile (interpolated, exact) of the values.
 
@@ -87,6 +88,7 @@ def even_metrics(rise: Column, feet: Column) -> tuple[Column, Column, Column]:
 MOST, MEETING = 2000, 6
 
 
+@scoped("level")
 def level_groups(segs: DataFrame, nodes: DataFrame, most: int = MOST) -> DataFrame:
     """Elevation of the inner nodes of every group of segments (grp, u, v, len_ft): the weighted mean of their neighbours'.
 

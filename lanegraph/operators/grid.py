@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanegraph.functions import geo
-from lanegraph.stage import materialize
+from lanegraph.stage import materialize, scoped
 
 
 def _cell(c: Column, size: float) -> Column:
@@ -166,6 +166,7 @@ def quad_parent(code: Column, up: Column) -> Column:
     return quad_code(level - up, above(F.shiftright(code, DEEPEST).bitwiseAND(low)), above(code.bitwiseAND(F.lit(low))))
 
 
+@scoped("nearest")
 def nearest_anywhere(points: DataFrame, targets: DataFrame, key: str, target: str, px="px", py="py", tx="tx", ty="ty", most: int = 64) -> DataFrame:
     """Each point's nearest target at any distance: key, target, d2; of equals the lowest target. No row if there are no targets.
 

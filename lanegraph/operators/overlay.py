@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lanegraph.functions import geo
 from lanegraph.operators import grid
-from lanegraph.stage import discard, materialize
+from lanegraph.stage import discard, materialize, scoped
 
 #: States of a cell at most, and pairs that meet one cell in one group on average.
 CELL_STATES, LOT = 512, 1024
@@ -66,6 +66,7 @@ def build(edges: DataFrame, steps: DataFrame, most: int = CELL_STATES) -> Overla
     return Overlay(places, cells)
 
 
+@scoped("overlay-found")
 def search(overlay: Overlay, edges: DataFrame, entries: DataFrame, exits: DataFrame) -> DataFrame:
     """Cheapest way from any entry to any exit of every pair: pair_id, cost, feet, path (edge ids). Pairs without a way have no row.
 
@@ -91,9 +92,8 @@ def search(overlay: Overlay, edges: DataFrame, entries: DataFrame, exits: DataFr
     found = best.join(origin, "pair_id").join(first, ["pair_id", "start"]).join(whole, "pair_id").join(out_ft, ["pair_id", "last"])
     paths = materialize(found.select("pair_id", F.col("g").alias("cost"), F.concat("before", "after").alias("path"), (F.col("feet") + F.col("out_ft")).alias("part_ft")), "overlay-paths")
     between = paths.select("pair_id", F.explode("path").alias("edge_id")).join(edges.select("edge_id", "len_ft"), "edge_id").groupBy("pair_id").agg(F.sum("len_ft").alias("whole_ft"))
-    out = materialize(paths.join(between, "pair_id", "left").select("pair_id", "cost", (F.col("part_ft") + F.coalesce("whole_ft", F.lit(0.0))).alias("feet"), "path"), "overlay-found")
-    discard(begun, goals, aims, quick, bound, known, best, legs, paths)
-    return out
+    discard(known, legs)
+    return paths.join(between, "pair_id", "left").select("pair_id", "cost", (F.col("part_ft") + F.coalesce("whole_ft", F.lit(0.0))).alias("feet"), "path")
 
 
 def _rounds(overlay: Overlay, begun: DataFrame, goals: DataFrame, aims: DataFrame, keys: list[str], bound: DataFrame | None) -> DataFrame:

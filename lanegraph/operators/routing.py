@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lanegraph.functions import geo
 from lanegraph.operators import audit, overlay
-from lanegraph.stage import discard, fresh_path, materialize
+from lanegraph.stage import discard, fresh_path, materialize, scoped
 
 #: Slider settings of the presets, and the changes each twist makes.
 PRESETS = {"athletic": {"s1": 0.2, "s2": 0.5, "s3": 0.2, "s4": 0.2, "s5": 0.2}, "comfort": {"s1": 0.7, "s2": 0.5, "s3": 0.7, "s4": 0.7, "s5": 0.7}}
@@ -153,6 +153,7 @@ def paths_between(edges: DataFrame, steps: DataFrame, projections: DataFrame, pa
     return overlay.search(cells, edges, entries, exits) if cells else search(edges, steps, entries, exits, by)
 
 
+@scoped("search")
 def search(edges: DataFrame, steps: DataFrame, entries: DataFrame, exits: DataFrame, by: str = "edge") -> DataFrame:
     """Cheapest way from any entry to any exit of every pair: cost, feet, path (edge ids).
 

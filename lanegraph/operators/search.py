@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lanegraph.functions import text
 from lanegraph.operators.grid import quad_extent
 from lanegraph.operators.ordered import dense_ids
-from lanegraph.stage import discard, fresh_path, materialize
+from lanegraph.stage import discard, fresh_path, materialize, scoped
 
 #: Shortest query, and how much a degree of longitude counts.
 LEAST, LON_SHARE = 2, 0.7
@@ -62,6 +62,7 @@ def _cell_at(place: Column, low: float, side: float) -> Column:
     return F.greatest(F.lit(0), F.least(F.floor((place - low) / side * (1 << DEEP)), F.lit((1 << DEEP) - 1))).cast("bigint")
 
 
+@scoped("search-found")
 def find(spark: SparkSession, path: str, queries: DataFrame, limit: int = 6) -> DataFrame:
     """Hits of each query (query_id, q, lon, lat) in a written index: every query word begins a label's word.
 
@@ -112,6 +113,7 @@ def find(spark: SparkSession, path: str, queries: DataFrame, limit: int = 6) ->
     return out.select("query_id", "rank", "id", "kind", "label", F.coalesce("address", F.when(F.col("kind") == "a", F.col("label"))).alias("address"), F.coalesce("addr_lon", "lon").alias("lon"), F.coalesce("addr_lat", "lat").alias("lat"))
 
 
+@scoped("search-found")
 def search(index: DataFrame, queries: DataFrame, limit: int = 6) -> DataFrame:
     """find() in an index written for these queries."""
     path = fresh_path(index.sparkSession, "search")

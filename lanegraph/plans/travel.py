@@ -181,6 +181,36 @@ def alternates(spark: SparkSession, folder: str) -> DataFrame:
     return routing.distinct_alternates(segs.filter("run = 0").drop("run"), segs.filter("run > 0").withColumn("twist", twist).drop("run"))
 
 
+# The transitions of _STEPS under the weights of every run, paths with their streets, and the choice unrolled over at most three twists.
+_WEIGHTED = """CASE WHEN is_sidewalk THEN 3e0 WHEN facility = 'BKF-PBL' THEN 1e0 WHEN facility = 'BKF-BBL' THEN 1e0+s1+0.5e0*s4*greatest(0, lanes-3) WHEN facility = 'BKF-BL' THEN 1e0+1.5e0*s1+s4*greatest(0, lanes-3)
+  WHEN facility = 'BKF-SHW' THEN 1e0+2.5e0*s1+s4*greatest(0, lanes-3) WHEN NOT has_centerline THEN 1e0+s1 ELSE 1.5e0+2.5e0*s1+1.5e0*s4*greatest(0, lanes-3) END * len_ft"""
+_ALIKE = "len(list_intersect({a}, {b}))::DOUBLE / least(len(list_distinct({a})), len(list_distinct({b})))"
+ALTERNATES = ctes("dir") + f""",
+rn(run, twist, s1, s2, s3, s4) AS (VALUES (0, '', 0.7e0, 0.5e0, 0.7e0, 0.7e0), (1, 'quieter', 1e0, 0.5e0, 1e0, 1e0), (2, 'direct', 0.5e0, 1e0, 0.5e0, 0.5e0), (3, 'flatter', 0.7e0, 0.5e0, 0.7e0, 0.7e0)),
+bb AS (SELECT *, degrees(atan2(sin(radians(dlon)-radians(slon))*cos(radians(dlat)), cos(radians(slat))*sin(radians(dlat))-sin(radians(slat))*cos(radians(dlat))*cos(radians(dlon)-radians(slon)))) + 360 dd FROM dir),
+ed AS MATERIALIZED (SELECT *, round(dd - 360*floor(dd/360), 1) brg, CASE WHEN is_sidewalk THEN CAST(edge_id % 6 AS DOUBLE) END cw, {_WEIGHTED} cost FROM bb, rn),
+pr AS (SELECT p.run, p.edge_id pe, n.edge_id ne, p.src ps, p.brg pb, n.brg nb, p.lanes pl, n.lanes nl, p.is_sidewalk AND n.is_sidewalk walk, n.cw, n.cost, n.s2, n.s3, n.len_ft, n.dst nd, p.dst node_id FROM ed p JOIN ed n ON n.src = p.dst AND n.run = p.run),
+xx AS (SELECT pe, ne, x.lanes xl, x.has_centerline xc, x.brg xb, row_number() OVER (PARTITION BY pe, ne ORDER BY x.lanes DESC, x.edge_id) r FROM pr JOIN ed x ON pr.run = 0 AND x.run = 0 AND x.src = pr.node_id AND x.edge_id <> ne AND x.dst <> ps
+  AND {_AXIS.format(a="x.brg", b="nb")} >= 60 AND {_AXIS.format(a="x.brg", b="pb")} >= 60),
+jj AS (SELECT pr.*, xl, xc, xb, has_signal OR has_crosswalk OR has_beacon held, is_circle, stop_bits, abs(nb-pb+540-360*floor((nb-pb+540)/360)-180) turn
+  FROM pr JOIN nodes USING (node_id) LEFT JOIN xx ON xx.pe = pr.pe AND xx.ne = pr.ne AND r = 1),
+st AS MATERIALIZED (SELECT * FROM (SELECT run, pe, ne, nd, cost + CASE WHEN turn <= 30 OR is_circle THEN 0 ELSE 500*s2 END
+  + CASE WHEN walk OR held OR xl IS NULL OR NOT xc OR xl <= greatest(pl, nl) OR {_FACE.format(b="xb")} THEN 0 ELSE {_WALK.format(l="xl").replace("1.4e0", "(2*s3)")} END
+  + CASE WHEN cw IS NULL OR cw <= 0 OR held OR {_FACE.format(b="(nb+90)")} THEN 0 ELSE {_WALK.format(l="cw").replace("1.4e0", "(2*s3)")} END cost FROM jj) WHERE cost IS NOT NULL),
+qp AS (SELECT node_id pair_id, node_id start, 1 + node_id*7919 % top goal FROM nodes, (SELECT max(node_id) top FROM nodes) WHERE node_id % 50 = 0),
+re(pair_id, run, edge, g, p) USING KEY (pair_id, run, edge) AS (SELECT pair_id, run, edge_id, cost, [edge_id] FROM qp JOIN ed ON src = start WHERE start <> goal UNION
+  (SELECT r.pair_id, r.run, s.ne, min(r.g + s.cost), arg_min(list_append(r.p, s.ne), r.g + s.cost) FROM re r JOIN st s ON s.run = r.run AND s.pe = r.edge
+   LEFT JOIN recurring.re o ON o.pair_id = r.pair_id AND o.run = r.run AND o.edge = s.ne GROUP BY r.pair_id, r.run, s.ne HAVING min(r.g + s.cost) < coalesce(min(o.g), 1e300))),
+fo AS (SELECT pair_id, re.run, list_transform(arg_min(p, g), lambda e: CAST(floor(e/2) AS BIGINT)) gs FROM re JOIN ed ON ed.edge_id = re.edge AND ed.run = re.run JOIN qp USING (pair_id) WHERE dst = goal GROUP BY pair_id, re.run),
+al AS (SELECT f.pair_id, twist, f.gs, {_ALIKE.format(a="f.gs", b="o.gs")} lk FROM fo f JOIN fo o ON o.pair_id = f.pair_id AND o.run = 0 JOIN rn ON rn.run = f.run WHERE f.run > 0 AND {_ALIKE.format(a="f.gs", b="o.gs")} <= 0.8e0),
+ra AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY lk, twist) k FROM al),
+k2 AS (SELECT a.pair_id FROM ra a JOIN ra b ON b.pair_id = a.pair_id AND a.k = 1 AND b.k = 2 WHERE {_ALIKE.format(a="a.gs", b="b.gs")} <= 0.8e0),
+k3 AS (SELECT c.pair_id FROM ra c JOIN ra a ON a.pair_id = c.pair_id AND a.k = 1 LEFT JOIN (SELECT ra.* FROM ra JOIN k2 USING (pair_id) WHERE k = 2) b ON b.pair_id = c.pair_id
+  WHERE c.k = 3 AND {_ALIKE.format(a="a.gs", b="c.gs")} <= 0.8e0 AND (b.gs IS NULL OR {_ALIKE.format(a="b.gs", b="c.gs")} <= 0.8e0)),
+ke AS (SELECT ra.* FROM ra WHERE k = 1 OR (k = 2 AND pair_id IN (SELECT pair_id FROM k2)) OR (k = 3 AND pair_id IN (SELECT pair_id FROM k3)))
+SELECT pair_id, twist, round(lk, 6) "like" FROM (SELECT *, count(*) OVER (PARTITION BY pair_id) n FROM ke) WHERE n < 3 OR twist <> 'flatter'"""
+
+
 def travel_times(spark: SparkSession, folder: str) -> DataFrame:
     """Minutes along every lattice row."""
     d = relation(spark, folder, "dir").filter("not is_reverse and dst = src + 1")
@@ -406,7 +436,7 @@ def hourly_events(spark: SparkSession, folder: str) -> DataFrame:
 HOURLY_EVENTS = "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, event_type, count(*) n, round(sum(value), 4) total FROM events GROUP BY 1, 2"
 
 PLANS = {
-    "cost_by_tier": (cost_by_tier, COST_BY_TIER), "twist_costs": (twist_costs, TWIST_COSTS), "transitions": (transitions, TRANSITIONS), "paths": (paths, PATHS), "point_paths": (point_paths, POINT_PATHS), "directed_edges": (directed_edges, DIRECTED_EDGES), "alternates": (alternates, None),
+    "cost_by_tier": (cost_by_tier, COST_BY_TIER), "twist_costs": (twist_costs, TWIST_COSTS), "transitions": (transitions, TRANSITIONS), "paths": (paths, PATHS), "point_paths": (point_paths, POINT_PATHS), "directed_edges": (directed_edges, DIRECTED_EDGES), "alternates": (alternates, ALTERNATES),
     "travel_times": (travel_times, TRAVEL_TIMES), "slopes": (slopes, SLOPES), "raster_samples": (raster_samples, RASTER_SAMPLES), "raster_summary": (raster_summary, RASTER_SUMMARY), "contours": (contours, CONTOURS),
     "contour_lines": (contour_lines, CONTOUR_LINES), "contour_layer": (contour_layer, CONTOUR_LAYER), "smoothed": (smoothed, SMOOTHED), "raster_window": (raster_window, RASTER_WINDOW), "climb_profile": (climb_profile, None), "level_structures": (level_structures, None), "search_hits": (search_hits, SEARCH_HITS), "layer_round_trip": (layer_round_trip, LAYER_ROUND_TRIP),
     "file_manifest": (file_manifest, FILE_MANIFEST), "last_fixes": (last_fixes, LAST_FIXES), "hourly_events": (hourly_events, HOURLY_EVENTS),

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: The folders named inside the scopes that are open, innermost last.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,7 +33,50 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder; the scope that is open deletes it when it ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes.get():
+        _scopes.get()[-1].append(path)
+    return path
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, all folders that fresh_path() named inside it (stage tables, indexes, buckets).
+
+    Plans that read them must have been run by then: write results inside the scope, to a path
+    that is not one of its own. Scopes nest; without one, stage tables stay.
+    """
+    mine: list[str] = []
+    token = _scopes.set((*_scopes.get(), mine))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        for path in mine:
+            remove(spark, path)
+
+
+def scoped(name: str) -> Callable:
+    """Decorator of operators with narrow results: the result is a stage table, what it took to make it is deleted."""
+
+    def wrap(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(operator)
+        def run(*args, **kwargs) -> DataFrame:
+            spark = next(x for x in (*args, *kwargs.values()) if isinstance(x, (DataFrame, SparkSession)))
+            spark = spark if isinstance(spark, SparkSession) else spark.sparkSession
+            path = fresh_path(spark, name)
+            with scope(spark):
+                out = operator(*args, **kwargs)
+                out.write.option("compression", "zstd").parquet(path)
+                schema = out.schema
+            stage = spark.read.schema(schema).parquet(path)
+            stage._lanegraph_path = path
+            return stage
+
+        return run
+
+    return wrap
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
