@@ -10,7 +10,7 @@ from lanegraph.operators import audit, elevation, ordered, overlay, routing, sea
 from lanegraph.operators import contours as contouring
 from lanegraph.operators.matching import nearest_address
 from lanegraph.plans.fixtures import ctes, relation
-from lanegraph.plans.graphs import _grouped
+from lanegraph.plans.graphs import _GROUPS, _grouped
 from lanegraph.sources import layers, manifest, tiles
 from lanegraph.stage import fresh_path, materialize
 from lanegraph.streaming import last_fix
@@ -367,6 +367,20 @@ def climb_profile(spark: SparkSession, folder: str) -> DataFrame:
     return both.select("route_id", "backwards", F.size("even.elevs").alias("n"), F.round("even.step", 4).alias("step"), elevation.climb_metrics(F.col("even"), F.col("backwards")).alias("m")).select("route_id", "backwards", "n", "step", F.round("m.uphill_ft", 1).alias("uphill_ft"), F.round("m.max_uphill", 3).alias("max_uphill"), F.round("m.steep_ft2", 1).alias("steep_ft2"))
 
 
+CLIMB_PROFILE = ctes("route_points") + """,
+st AS (SELECT route_id, seq, elev_ft, coalesce(20902231e0 * 2*asin(sqrt(pow(sin((radians(lat)-radians(pla))/2), 2) + cos(radians(pla))*cos(radians(lat))*pow(sin((radians(lon)-radians(plo))/2), 2))), 0) step
+  FROM (SELECT *, lag(lon) OVER w plo, lag(lat) OVER w pla FROM route_points WINDOW w AS (PARTITION BY route_id ORDER BY seq))),
+al AS (SELECT route_id, elev_ft, sum(step) OVER w along, row_number() OVER w k, count(*) OVER (PARTITION BY route_id) m FROM st WINDOW w AS (PARTITION BY route_id ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+tt AS (SELECT route_id, max(along) total, greatest(1, CAST(round_even(max(along)/800e0, 0) AS INT)) n, any_value(m) m FROM al GROUP BY route_id HAVING any_value(m) > 1),
+tg AS (SELECT route_id, n, m, total/n step, i, CASE WHEN i < n THEN i*total/n ELSE total END t FROM tt, LATERAL (SELECT unnest(range(0, n+1)) i)),
+kk AS (SELECT tg.*, greatest(least((SELECT count(*) FROM al WHERE al.route_id = tg.route_id AND al.along < tg.t), m-1), 1) k FROM tg),
+ev AS (SELECT kk.route_id, n, step, i, CASE WHEN b.along > a.along THEN a.elev_ft + (t-a.along)/(b.along-a.along)*(b.elev_ft-a.elev_ft) ELSE a.elev_ft END e
+  FROM kk JOIN al a ON a.route_id = kk.route_id AND a.k = kk.k JOIN al b ON b.route_id = kk.route_id AND b.k = kk.k+1),
+ri AS (SELECT x.route_id, x.n, x.step, d.backwards, greatest(CASE WHEN d.backwards THEN x.e-y.e ELSE y.e-x.e END, 0) r FROM ev x JOIN ev y ON y.route_id = x.route_id AND y.i = x.i+1, (VALUES (false), (true)) d(backwards)),
+sm AS (SELECT route_id, backwards, n, step, sum(r) up, max(r/step) mx, sum(step*pow(greatest(r/step-0.02e0, 0), 2)) sq FROM ri GROUP BY ALL)
+SELECT route_id, backwards, n+1 n, round(step, 4) step, round(round(up, 2), 1) uphill_ft, round(round(mx, 4), 3) max_uphill, round(round(sq, 3), 1) steep_ft2 FROM sm"""
+
+
 def level_structures(spark: SparkSession, folder: str) -> DataFrame:
     """Elevations across flagged groups; tests check every inner node is its neighbours' weighted mean."""
     segs = _grouped(spark, folder)
@@ -375,6 +389,25 @@ def level_structures(spark: SparkSession, folder: str) -> DataFrame:
     return elevation.level_groups(segs.select("grp", "u", "v", "len_ft"), nodes).select("grp", "node", F.round("elev_ft", 6).alias("elev_ft"))
 
 
+def level_residuals(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether every inner node of level_structures lies at the weighted mean of its neighbours."""
+    segs = _grouped(spark, folder).select("grp", "u", "v", (1 / F.greatest("len_ft", F.lit(1e-6))).alias("w"))
+    nodes = audit.boundary_nodes(_all_segments(spark, folder)).join(relation(spark, folder, "nodes").select(F.col("node_id").alias("node"), "elev_ft"), "node")
+    level = elevation.level_groups(_grouped(spark, folder).select("grp", "u", "v", "len_ft"), nodes).select("node", "elev_ft")
+    known = level.unionByName(nodes.filter("boundary").select("node", "elev_ft"))
+    arms = segs.select("grp", F.col("u").alias("node"), F.col("v").alias("other"), "w").union(segs.select("grp", "v", "u", "w")).filter("node <> other")
+    mean = arms.join(known.select(F.col("node").alias("other"), F.col("elev_ft").alias("e")), "other").groupBy("grp", "node").agg((F.sum(F.col("w") * F.col("e")) / F.sum("w")).alias("mean"), F.count("*").alias("n_arms"))
+    return mean.join(level, "node").select("grp", "node", "n_arms", (F.abs(F.col("mean") - F.col("elev_ft")) < 1e-6).alias("balanced"))
+
+
+# Every arm of an inner node leads to a node with an elevation, so its arms are all counted.
+LEVEL_RESIDUALS = _GROUPS + """,
+bn AS (SELECT node, bool_or(NOT flagged) boundary FROM (SELECT u node, flagged FROM fs UNION ALL SELECT v, flagged FROM fs) GROUP BY node HAVING bool_or(flagged)),
+ar AS (SELECT grp, u node FROM gs WHERE u <> v UNION ALL SELECT grp, v FROM gs WHERE u <> v),
+ok AS (SELECT DISTINCT grp FROM ar JOIN bn USING (node) WHERE boundary)
+SELECT grp, node, count(*) n_arms, true balanced FROM ar JOIN bn USING (node) JOIN ok USING (grp) WHERE NOT boundary GROUP BY grp, node"""
+
+
 def _all_segments(spark: SparkSession, folder: str) -> DataFrame:
     from lanegraph.plans.graphs import _flagged
 
@@ -438,6 +471,6 @@ HOURLY_EVENTS = "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, event_type, count(*
 PLANS = {
     "cost_by_tier": (cost_by_tier, COST_BY_TIER), "twist_costs": (twist_costs, TWIST_COSTS), "transitions": (transitions, TRANSITIONS), "paths": (paths, PATHS), "point_paths": (point_paths, POINT_PATHS), "directed_edges": (directed_edges, DIRECTED_EDGES), "alternates": (alternates, ALTERNATES),
     "travel_times": (travel_times, TRAVEL_TIMES), "slopes": (slopes, SLOPES), "raster_samples": (raster_samples, RASTER_SAMPLES), "raster_summary": (raster_summary, RASTER_SUMMARY), "contours": (contours, CONTOURS),
-    "contour_lines": (contour_lines, CONTOUR_LINES), "contour_layer": (contour_layer, CONTOUR_LAYER), "smoothed": (smoothed, SMOOTHED), "raster_window": (raster_window, RASTER_WINDOW), "climb_profile": (climb_profile, None), "level_structures": (level_structures, None), "search_hits": (search_hits, SEARCH_HITS), "layer_round_trip": (layer_round_trip, LAYER_ROUND_TRIP),
+    "contour_lines": (contour_lines, CONTOUR_LINES), "contour_layer": (contour_layer, CONTOUR_LAYER), "smoothed": (smoothed, SMOOTHED), "raster_window": (raster_window, RASTER_WINDOW), "climb_profile": (climb_profile, CLIMB_PROFILE), "level_structures": (level_structures, None), "level_residuals": (level_residuals, LEVEL_RESIDUALS), "search_hits": (search_hits, SEARCH_HITS), "layer_round_trip": (layer_round_trip, LAYER_ROUND_TRIP),
     "file_manifest": (file_manifest, FILE_MANIFEST), "last_fixes": (last_fixes, LAST_FIXES), "hourly_events": (hourly_events, HOURLY_EVENTS),
 }

@@ -1,5 +1,8 @@
 """Plans with SQL give DuckDB's rows on the small tables."""
 
+import re
+import threading
+
 import duckdb
 import pytest
 
@@ -30,5 +33,32 @@ def test_same_rows(spark, name):
     assert rows_of(df.columns, df.collect()) == rows_of(names, cur.fetchall())
 
 
+@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
+def test_the_others_end(spark, name):
+    """Plans without SQL run to their end in a bounded time and give rows of a stable schema."""
+    ended = threading.Timer(240, spark.sparkContext.cancelAllJobs)
+    ended.start()
+    try:
+        df = catalog.queries()[name](spark, FOLDER)
+        assert len(df.collect()) > 0 and df.schema == catalog.queries()[name](spark, FOLDER).schema
+    finally:
+        ended.cancel()
+
+
+@pytest.mark.parametrize("name", ["poi_addresses", "racks", "edge_snap", "nearest_nodes"])
+def test_no_table_is_multiplied_with_another(spark, name):
+    """Nested loops only meet one-row tables: the greatest node id, and the two directions of a street."""
+    plan = catalog.queries()[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    for k, line in enumerate(plan):
+        if re.search(r"Join (Cross|Inner)\s*$|Join Cross", line):
+            depth = line.index("Join")
+            below = []
+            for under in plan[k + 1 :]:
+                if len(under) - len(under.lstrip(" :+-")) <= depth:
+                    break
+                below.append(under)
+            assert any(re.search(r"Aggregate \[max|LocalRelation|OneRowRelation|Range \(", x) for x in below), line
+
+
 def test_every_plan_is_named_once():
     assert len(catalog.queries()) > 50 and set(catalog.oracle_sql()) <= set(catalog.queries())
