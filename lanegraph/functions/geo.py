@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Feet in a metre, Earth radii, and feet in a degree of the planar model.
@@ -188,3 +188,26 @@ def inside_parts(x0: Column, y0: Column, x1: Column, y1: Column, rings: Column)
     spans = F.zip_with(F.slice(cuts, 1, F.size(cuts) - 1), F.slice(cuts, 2, F.size(cuts)), lambda a, b: F.struct(a.alias("t0"), b.alias("t1")))
     middle = lambda s, a, b: a + (s["t0"] + s["t1"]) / 2 * (b - a)
     return F.filter(spans, lambda s: (s["t1"] > s["t0"]) & in_rings(middle(s, x0, x1), middle(s, y0, y1), rings))
+
+
+def clip_lines(lines: DataFrame, rings: Column, key: str, points: str = "points") -> DataFrame:
+    """The parts of lines inside a polygon with holes: key, part (from 0 along the line), points.
+
+    ``points``: array of struct(lon, lat). Every leg is cut where it crosses an edge, and pieces
+    that follow one another are joined again, so a line that only touches the polygon from inside,
+    or meets a corner, stays whole. What runs along an edge counts by the rule of in_rings(). Lines of
+    fewer than two points, and null ones, have no part; ``key`` is one line each, so lines of a
+    feature of several need keys of their own.
+    """
+    n = F.size(points)
+    pair = F.zip_with(F.slice(points, 1, n - 1), F.slice(points, 2, n - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    legs = lines.filter(n > 1).select(key, F.posexplode(pair).alias("leg", "s")).select(key, "leg", F.col("s.p").alias("p"), F.col("s.q").alias("q"))
+    spans = legs.select(key, "leg", "p", "q", F.inline(inside_parts(F.col("p.lon"), F.col("p.lat"), F.col("q.lon"), F.col("q.lat"), rings)))
+    w = Window.partitionBy(key).orderBy("leg", "t0")
+    before, end = F.lag("leg").over(w), F.lag("t1").over(w)
+    follows = ((before == F.col("leg")) & (end == F.col("t0"))) | ((before == F.col("leg") - 1) & (end == 1) & (F.col("t0") == 0))
+    at = lambda t: F.when(t == 0, F.col("p")).when(t == 1, F.col("q")).otherwise(F.struct(*[(F.col(f"p.{c}") + t * (F.col(f"q.{c}") - F.col(f"p.{c}"))).alias(c) for c in ("lon", "lat")]))
+    placed = spans.withColumn("new", F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1)).withColumn("part", F.sum("new").over(w) - 1)
+    rows = placed.select(key, "part", F.struct("leg", "t0", at(F.col("t0")).alias("a"), at(F.col("t1")).alias("b")).alias("x"))
+    parts = rows.groupBy(key, "part").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    return parts.select(key, "part", F.concat(F.array(F.get("xs", F.lit(0))["a"]), F.transform("xs", lambda x: x["b"])).alias("points"))

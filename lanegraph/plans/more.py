@@ -55,6 +55,29 @@ i AS (SELECT seg_id, t0, t1 FROM m, g GROUP BY ALL HAVING count(CASE WHEN (y0 >
 SELECT seg_id, round(t0, 4) t0, round(t1, 4) t1 FROM i"""
 
 
+def clipped_routes(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts of whole routes inside an area with a hole."""
+    rings = F.array(*[F.array(*[F.struct(F.lit(float(x)).alias("lon"), F.lit(float(y)).alias("lat")) for x, y in ring]) for ring in AREA])
+    lines = relation(spark, folder, "route_points").groupBy("route_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "lon", "lat"))), lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"))).alias("points"))
+    parts = geo.clip_lines(lines, rings, "route_id")
+    ends = {"x0": F.get("points", F.lit(0))["lon"], "y0": F.get("points", F.lit(0))["lat"], "x1": F.element_at("points", -1)["lon"], "y1": F.element_at("points", -1)["lat"]}
+    return parts.select("route_id", F.col("part").cast("bigint").alias("part"), F.size("points").alias("n_points"), *[F.round(c, 6).alias(n) for n, c in ends.items()])
+
+
+CLIPPED_ROUTES = ctes("route_points") + f""",
+g AS (SELECT x0::DOUBLE x0, y0::DOUBLE y0, x1::DOUBLE x1, y1::DOUBLE y1 FROM ({_SIDES})),
+le AS (SELECT route_id, row_number() OVER w leg, lon alon, lat alat, lead(lon) OVER w blon, lead(lat) OVER w blat FROM route_points WINDOW w AS (PARTITION BY route_id ORDER BY seq) QUALIFY blon IS NOT NULL),
+d AS (SELECT route_id, leg, ((x0-alon)*(y1-y0)-(y0-alat)*(x1-x0))/den t, ((x0-alon)*(blat-alat)-(y0-alat)*(blon-alon))/den u FROM (SELECT *, (blon-alon)*(y1-y0)-(blat-alat)*(x1-x0) den FROM le, g) WHERE den <> 0),
+c AS (SELECT route_id, leg, t FROM d WHERE t > 0 AND t < 1 AND u >= 0 AND u <= 1 UNION ALL SELECT route_id, leg, 0e0 FROM le UNION ALL SELECT route_id, leg, 1e0 FROM le),
+s AS (SELECT route_id, leg, t t0, lead(t) OVER (PARTITION BY route_id, leg ORDER BY t) t1 FROM c),
+m AS (SELECT s.*, alon, alat, blon, blat, alon+(t0+t1)/2*(blon-alon) px, alat+(t0+t1)/2*(blat-alat) py FROM s JOIN le USING (route_id, leg) WHERE t1 > t0),
+i AS (SELECT route_id, leg, t0, t1, alon, alat, blon, blat FROM m, g GROUP BY ALL HAVING count(CASE WHEN (m.py < g.y0) <> (m.py < g.y1) AND px < x0 + (py-y0)*(x1-x0)/(y1-y0) THEN 1 END) % 2 = 1),
+n AS (SELECT *, CASE WHEN (lag(leg) OVER w = leg AND lag(t1) OVER w = t0) OR (lag(leg) OVER w = leg-1 AND lag(t1) OVER w = 1 AND t0 = 0) THEN 0 ELSE 1 END fresh FROM i WINDOW w AS (PARTITION BY route_id ORDER BY leg, t0)),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY route_id ORDER BY leg, t0 ROWS UNBOUNDED PRECEDING) - 1 part FROM n)
+SELECT route_id, CAST(part AS BIGINT) part, CAST(count(*) + 1 AS INT) n_points, round(arg_min(alon + t0*(blon-alon), (leg, t0)), 6) x0, round(arg_min(alat + t0*(blat-alat), (leg, t0)), 6) y0,
+  round(arg_max(alon + t1*(blon-alon), (leg, t0)), 6) x1, round(arg_max(alat + t1*(blat-alat), (leg, t0)), 6) y1 FROM r GROUP BY route_id, part"""
+
+
 def _projections(spark: SparkSession, folder: str) -> DataFrame:
     d = relation(spark, folder, "dir")
     p = d.select(F.col("edge_id").alias("point_id"), "edge_id", (F.col("len_ft") * (F.col("edge_id") % 11) / 10).alias("from_ft"), (F.col("len_ft") * (10 - F.col("edge_id") % 11) / 10).alias("to_ft"))
@@ -125,6 +148,6 @@ WITH p AS (SELECT substr(sha256(CAST(doc_id AS VARCHAR)), 1, 3) part, sha256(str
 SELECT substr(sha256(string_agg(part || chr(0) || h, chr(10) ORDER BY part)), 1, 16) hash FROM p"""
 
 PLANS = {
-    "tagged_features": (tagged_features, TAGGED_FEATURES), "clipped_streets": (clipped_streets, CLIPPED_STREETS), "route_ends": (route_ends, ROUTE_ENDS), "flat_ended_profiles": (flat_ended_profiles, FLAT_ENDED_PROFILES),
+    "tagged_features": (tagged_features, TAGGED_FEATURES), "clipped_streets": (clipped_streets, CLIPPED_STREETS), "clipped_routes": (clipped_routes, CLIPPED_ROUTES), "route_ends": (route_ends, ROUTE_ENDS), "flat_ended_profiles": (flat_ended_profiles, FLAT_ENDED_PROFILES),
     "approach_overshoot": (approach_overshoot, APPROACH_OVERSHOOT), "crossing_order": (crossing_order, CROSSING_ORDER), "bundle_hash": (bundle_hash, BUNDLE_HASH),
 }
