@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lanegraph.functions import geo, style
 from lanegraph.operators import matching, ordered
 from lanegraph.plans.fixtures import ctes, relation
-from lanegraph.sources import paged
+from lanegraph.sources import paged, places
 from lanegraph.stage import fresh_path
 
 
@@ -123,6 +123,19 @@ nn AS (SELECT point_id, arg_min(node_id, ((px-lon)*(px-lon) + (py-lat)*(py-lat),
 SELECT fp.point_id, CASE WHEN edge_id IS NOT NULL THEN 'edge' ELSE 'node' END kind, edge_id, CASE WHEN edge_id IS NULL THEN node_id END node_id, round(t*300, 2) from_ft
 FROM fp LEFT JOIN hh ON hh.point_id = fp.point_id AND r = 1 LEFT JOIN nn ON nn.point_id = fp.point_id"""
 
+BOX = (-122.43, 47.502, -122.411, 47.517)
+
+
+def box_places(spark: SparkSession, folder: str) -> DataFrame:
+    """Points of interest of a box, read from a table in the order of a space-filling curve."""
+    path = fresh_path(spark, "places")
+    places.write_places(relation(spark, folder, "pois"), path)
+    return places.read_box(spark, path, BOX).select("poi_id", "name", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+
+
+BOX_PLACES = ctes("pois") + f" SELECT poi_id, name, round(lon, 6) lon, round(lat, 6) lat FROM pois WHERE lon BETWEEN {BOX[0]}::DOUBLE AND {BOX[2]}::DOUBLE AND lat BETWEEN {BOX[1]}::DOUBLE AND {BOX[3]}::DOUBLE"
+
 PLANS = {
+    "box_places": (box_places, BOX_PLACES),
     "paged_signs": (paged_signs, PAGED_SIGNS), "map_layers": (map_layers, MAP_LAYERS), "known_parts": (known_parts, KNOWN_PARTS), "nearest_nodes": (nearest_nodes, NEAREST_NODES), "island_snap": (island_snap, ISLAND_SNAP),
 }
