@@ -9,8 +9,9 @@ payloads. Every piece is a candidate record; its header gives the offset of its
 Successors that are the next candidate form runs (a running sum per file); runs are then
 linked by pointer jumping from offset 0 of each file, in at most log2(runs) rounds, and only
 reached candidates are records. A record whose payload holds the magic is put together again
-from its pieces. Pieces are located by running sums of their lengths, per split and then per
-file, so a file may be read by many tasks.
+from its pieces; whose piece is which record's is decided by offsets alone, and only such
+records' texts are moved. Pieces are located by running sums of their lengths, per split as
+they stream by and then per file, so a file may be read by many tasks.
 
 Defined cases: null payload is empty; payloads of any length up to what one row can hold are
 written and read whole; null keys and urls are written empty or left out; payloads under ``least`` bytes are always responses; rows repeated with the same key and
@@ -21,8 +22,13 @@ key, url and payload are not archived.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lanegraph.stage import discard, materialize
 
@@ -54,8 +60,8 @@ def _line(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
 
 
-def write(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", compression: str = "gzip", records_per_file: int = 200_000) -> None:
-    """Write plan_records() rows as WARC/1.1 files below ``path``."""
+def write(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", compression: str = "gzip", records_per_file: int = 20_000) -> None:
+    """Write plan_records() rows as WARC/1.1 files below ``path``, of so many records each: what a file holds is read as one row of offsets."""
     text = F.coalesce(F.col("key").cast("string"), F.lit(""))
     url = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     again = F.col("record_type") == "revisit"
@@ -122,28 +128,48 @@ def _parsed(value: Column, payload: bool) -> list[Column]:
 
 
 def _located(raw: DataFrame, columns: list[Column]) -> DataFrame:
-    """Pieces with ``start``: the offset of the magic before them (the first piece, before any, left out)."""
-    pieces = raw.select("file", "split", "row", (F.octet_length("value") + len(MAGIC)).cast("long").alias("len"), *columns)
-    totals = pieces.groupBy("file", "split").agg(F.sum("len").alias("total"))
+    """Pieces with ``start``: the offset of the magic before them (the first piece, before any, left out).
+
+    Rows of a split come in order, so offsets inside it are running sums as the rows stream by;
+    nothing is sorted, and texts among ``columns`` stay where they are.
+    """
+    length = (F.octet_length("value") + len(MAGIC)).cast("long")
+    pieces = raw.select("file", "split", length.alias("len"), *columns)
+    totals = raw.groupBy("file", "split").agg(F.sum(length).alias("total"))
     before = F.coalesce(F.sum("total").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = totals.select("file", "split", before.alias("base"))
-    inside = F.sum("len").over(Window.partitionBy("file", "split").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)) - F.col("len")
+    rest = [c for c in pieces.columns if c not in ("split", "len")]
     return (
-        pieces.withColumn("inside", inside)
+        pieces.mapInArrow(_running, StructType([*pieces.schema.fields, StructField("inside", LongType())]))
         .join(base, ["file", "split"])
         .withColumn("start", F.col("base") + F.col("inside") - len(MAGIC))
         .filter("start >= 0")
-        .drop("split", "row", "base", "inside", "len")
+        .select(*rest, "start")
     )
 
 
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds ``inside``, the bytes before a piece in its split; a task reads its splits one after the other."""
+    last, carried = None, 0
+    for b in batches:
+        if not len(b):
+            continue
+        col = lambda name: b.column(b.schema.get_field_index(name))  # noqa: B023, E731
+        files, splits, sizes = col("file").dictionary_encode(), col("split").to_numpy(), col("len").to_numpy()
+        codes = files.indices.to_numpy()
+        fresh = np.concatenate(([True], (codes[1:] != codes[:-1]) | (splits[1:] != splits[:-1])))
+        upto = np.cumsum(sizes)
+        begun = np.flatnonzero(fresh)
+        lost = (upto - sizes)[begun]
+        if last == (files.dictionary[int(codes[0])].as_py(), int(splits[0])):
+            lost[0] = -carried
+        inside = upto - sizes - lost[np.cumsum(fresh) - 1]
+        last, carried = (files.dictionary[int(codes[-1])].as_py(), int(splits[-1])), int(inside[-1] + sizes[-1])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(inside)], names=[*b.schema.names, "inside"])
+
+
 def _raw(spark: SparkSession, path: str) -> DataFrame:
-    return (
-        spark.read.option("lineSep", MAGIC)
-        .text(path)
-        .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
-        .withColumn("row", F.monotonically_increasing_id())
-    )
+    return spark.read.option("lineSep", MAGIC).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
 
 
 def reachable(candidates: DataFrame) -> DataFrame:
@@ -186,12 +212,18 @@ def read(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
     raw = _raw(spark, path).join(torn.select("file").distinct(), "file", "left_semi")
     true = chain.select("file", "start", F.col("start").alias("_true"), (~F.col("whole")).alias("_torn"))
     by_file = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
-    pieces = (
-        _located(raw, [F.col("value")])
+    # which record each piece belongs to, by offsets alone; texts are only fetched for the torn records
+    owned = (
+        _located(raw, [])
         .join(true, ["file", "start"], "left")
         .withColumn("owner", F.last("_true", ignorenulls=True).over(by_file))
         .withColumn("_torn", F.last("_torn", ignorenulls=True).over(by_file))
         .filter("_torn")
+        .select("file", "start", "owner")
+    )
+    pieces = (
+        _located(raw, [F.col("value")])
+        .join(owned, ["file", "start"])
         .groupBy("file", "owner")
         .agg(F.sort_array(F.collect_list(F.struct("start", "value"))).alias("p"))
         .select("file", F.col("owner").alias("start"), F.array_join(F.col("p.value"), MAGIC).alias("value"))
