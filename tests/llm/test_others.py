@@ -83,6 +83,14 @@ def test_models_take_odd_rows(spark, odd_docs, no_docs):
         for out in (t.toxicity(docs, known), q.quality(docs, known)):
             rows = out.collect()
             assert len(rows) == docs.count() and all(0 <= x["score"] <= 1 for x in rows)
+            again = {}
+            for x in rows:  # equal texts are scored alike, null as empty
+                assert again.setdefault(x["text"] or "", x["score"]) == x["score"]
+    assert {x["score"] for x in q.quality(odd_docs, none).collect()} == {0.5}
+    assert all(x["score"] < 0.5 for x in t.toxicity(odd_docs, none).collect())
+    for toxic in (0, 1):  # of one label alone, every score lies on its side
+        one = spark.createDataFrame([(k, toxic, 1) for k in range(3, 10)], labels.schema)
+        assert {x["score"] >= 0.5 for x in t.toxicity(odd_docs, one).collect()} == {bool(toxic)}
 
 
 # packing

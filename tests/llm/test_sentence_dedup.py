@@ -80,5 +80,12 @@ def test_short_passage_is_cut_and_first_stays(spark):
 
 def test_odd_rows(spark, odd_docs, no_docs):
     out = s.deduplicate(odd_docs)
-    assert out.count() == odd_docs.count() and {"score", "n_words"} <= set(out.columns)
+    rows = out.collect()
+    assert len(rows) == odd_docs.count() and {"score", "n_words"} <= set(out.columns)
+    by = {r["doc_id"]: r for r in rows}
+    # null, empty, white space, and texts of one sentence keep everything
+    assert [(by[k]["kept_text"], by[k]["n_cut"]) for k in range(5)] == [("", 0), ("", 0), (" \n\t ", 0), ("one", 0), ("one two three", 0)]
+    assert [by[k]["n_sentences"] for k in range(4)] == [0, 0, 0, 1]
+    two = s.deduplicate(spark.createDataFrame([(1, "A b. C d."), (2, "A b. C d."), (3, "A b. C d. E f."), (4, "A b. C d. E f.")], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_sentences"], r["n_cut"], r["kept_text"]) for r in two} == {1: (2, 0, "A b. C d."), 2: (2, 0, "A b. C d."), 3: (3, 0, "A b. C d. E f."), 4: (3, 3, "")}
     assert s.deduplicate(no_docs).count() == 0

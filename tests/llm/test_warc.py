@@ -60,3 +60,12 @@ def test_repeated_rows_and_nulls(spark):
     df = spark.createDataFrame([(1, "a", "q" * 300), (1, "a", "q" * 300), (None, "b", "q" * 300), (2, "c", "q" * 300)], "page_id long, url string, html string")
     kinds = sorted((r["key"] or 0, r["record_type"], r["refers_to"]) for r in warc.plan_records(df).collect())
     assert kinds == [(0, "response", None), (1, "response", None), (1, "response", None), (2, "revisit", 1)]
+
+
+def test_other_columns_are_not_archived(spark):
+    """Columns named as those of a plan or of a piece do no harm."""
+    df = spark.createDataFrame([(1, "a", "q" * 300, "x", 7, None), (2, "b", "q" * 300, "y", 8, 1.5)], "page_id long, url string, html string, payload string, key long, refers_to double")
+    path = fresh_path(spark, "warc-extra")
+    warc.write(warc.plan_records(df.select("page_id", "url", "html", "payload", "key", "refers_to")), path)
+    got = sorted((r["record_type"], r["payload_bytes"], r["url"]) for r in warc.read(spark, path).collect())
+    assert got == [("response", 300, "a"), ("revisit", 300, "b")]
