@@ -198,10 +198,13 @@ st AS MATERIALIZED (SELECT * FROM (SELECT run, pe, ne, nd, cost + CASE WHEN turn
   + CASE WHEN walk OR held OR xl IS NULL OR NOT xc OR xl <= greatest(pl, nl) OR {_FACE.format(b="xb")} THEN 0 ELSE {_WALK.format(l="xl").replace("1.4e0", "(2*s3)")} END
   + CASE WHEN cw IS NULL OR cw <= 0 OR held OR {_FACE.format(b="(nb+90)")} THEN 0 ELSE {_WALK.format(l="cw").replace("1.4e0", "(2*s3)")} END cost FROM jj) WHERE cost IS NOT NULL),
 qp AS (SELECT node_id pair_id, node_id start, 1 + node_id*7919 % top goal FROM nodes, (SELECT max(node_id) top FROM nodes) WHERE node_id % 50 = 0),
-re(pair_id, run, edge, g, p) USING KEY (pair_id, run, edge) AS (SELECT pair_id, run, edge_id, cost, [edge_id] FROM qp JOIN ed ON src = start WHERE start <> goal UNION
-  (SELECT r.pair_id, r.run, s.ne, min(r.g + s.cost), arg_min(list_append(r.p, s.ne), r.g + s.cost) FROM re r JOIN st s ON s.run = r.run AND s.pe = r.edge
+re(pair_id, run, edge, g, prev) USING KEY (pair_id, run, edge) AS (SELECT pair_id, run, edge_id, cost, NULL::BIGINT FROM qp JOIN ed ON src = start WHERE start <> goal UNION
+  (SELECT r.pair_id, r.run, s.ne, min(r.g + s.cost), arg_min(r.edge, r.g + s.cost) FROM re r JOIN st s ON s.run = r.run AND s.pe = r.edge
    LEFT JOIN recurring.re o ON o.pair_id = r.pair_id AND o.run = r.run AND o.edge = s.ne GROUP BY r.pair_id, r.run, s.ne HAVING min(r.g + s.cost) < coalesce(min(o.g), 1e300))),
-fo AS (SELECT pair_id, re.run, list_transform(arg_min(p, g), lambda e: CAST(floor(e/2) AS BIGINT)) gs FROM re JOIN ed ON ed.edge_id = re.edge AND ed.run = re.run JOIN qp USING (pair_id) WHERE dst = goal GROUP BY pair_id, re.run),
+rm AS MATERIALIZED (SELECT * FROM re),
+wk(pair_id, run, edge) AS (SELECT pair_id, rm.run, arg_min(edge, g) FROM rm JOIN ed ON ed.edge_id = rm.edge AND ed.run = rm.run JOIN qp USING (pair_id) WHERE dst = goal GROUP BY pair_id, rm.run
+  UNION ALL SELECT pair_id, run, prev FROM wk JOIN rm USING (pair_id, run, edge) WHERE prev IS NOT NULL),
+fo AS (SELECT pair_id, run, list(CAST(floor(edge/2) AS BIGINT)) gs FROM wk GROUP BY pair_id, run),
 al AS (SELECT f.pair_id, twist, f.gs, {_ALIKE.format(a="f.gs", b="o.gs")} lk FROM fo f JOIN fo o ON o.pair_id = f.pair_id AND o.run = 0 JOIN rn ON rn.run = f.run WHERE f.run > 0 AND {_ALIKE.format(a="f.gs", b="o.gs")} <= 0.8e0),
 ra AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY lk, twist) k FROM al),
 k2 AS (SELECT a.pair_id FROM ra a JOIN ra b ON b.pair_id = a.pair_id AND a.k = 1 AND b.k = 2 WHERE {_ALIKE.format(a="a.gs", b="b.gs")} <= 0.8e0),
