@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lanegraph.functions import geo, style
 from lanegraph.operators import matching, ordered
 from lanegraph.plans.fixtures import ctes, relation
-from lanegraph.sources import paged, places
+from lanegraph.sources import manifest, paged, places, versions
 from lanegraph.stage import fresh_path
 
 
@@ -135,7 +135,48 @@ def box_places(spark: SparkSession, folder: str) -> DataFrame:
 
 BOX_PLACES = ctes("pois") + f" SELECT poi_id, name, round(lon, 6) lon, round(lat, 6) lat FROM pois WHERE lon BETWEEN {BOX[0]}::DOUBLE AND {BOX[2]}::DOUBLE AND lat BETWEEN {BOX[1]}::DOUBLE AND {BOX[3]}::DOUBLE"
 
+
+
+def rewritten_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes rewritten in place from their own table, beside a reader that stays with the version before."""
+    path = fresh_path(spark, "nodes")
+    first = versions.publish(relation(spark, folder, "nodes").select("node_id", "elev_ft"), path)
+    before = versions.read(spark, path)
+    raised = F.when(F.col("node_id") % 3 == 0, F.col("elev_ft") + 5).otherwise(F.col("elev_ft"))
+    versions.publish(versions.read(spark, path).withColumn("elev_ft", raised), path, expected=first)
+    return versions.read(spark, path).join(before.withColumnRenamed("elev_ft", "was_ft"), "node_id")
+
+
+REWRITTEN_NODES = ctes("nodes") + " SELECT node_id, CASE WHEN node_id % 3 = 0 THEN elev_ft + 5 ELSE elev_ft END elev_ft, elev_ft was_ft FROM nodes"
+
+
+def manifest_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals of a manifest of one file per document: files, bytes, and that zipping helps in all."""
+    d = relation(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("url"), F.col("text").cast("binary").alias("content"))
+    m = d.select("url", F.octet_length("content").cast("long").alias("size"), manifest.zipped_size("content").alias("zipped"), manifest.short_hash(F.col("content")).alias("hash"))
+    return manifest.totals(m).select("n_files", "size", (F.col("fetched") < F.col("size")).alias("shrinks"))
+
+
+MANIFEST_TOTALS = "SELECT count(*) n_files, CAST(sum(octet_length(encode(text))) AS BIGINT) size, true shrinks FROM documents"
+
+
+def sliced_ends(spark: SparkSession, folder: str) -> DataFrame:
+    """Every route from the middle of its fourth leg on, and back from there."""
+    lines = relation(spark, folder, "route_points").groupBy("route_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "lon", "lat"))), lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"))).alias("points")).filter(F.size("points") > 4)
+    a, b = F.get("points", F.lit(3)), F.get("points", F.lit(4))
+    place = F.struct(*[((a[c] + b[c]) / 2).alias(c) for c in ("lon", "lat")])
+    rows = lines.select("route_id", F.explode(F.array(*[F.struct(F.lit(ahead).alias("ahead"), geo.slice_to_end(F.col("points"), place, F.lit(4), ahead).alias("p")) for ahead in (True, False)])).alias("s"))
+    end = F.element_at("s.p", -1)
+    return rows.select("route_id", F.col("s.ahead").alias("ahead"), F.size("s.p").alias("n_points"), F.round(F.get("s.p", F.lit(0))["lon"], 7).alias("lon"), F.round(end["lon"], 6).alias("end_lon"), F.round(end["lat"], 6).alias("end_lat"))
+
+
+SLICED_ENDS = ctes("route_points") + """,
+pt AS (SELECT route_id, list(lon ORDER BY seq) x, list(lat ORDER BY seq) y FROM route_points GROUP BY route_id HAVING count(*) > 4)
+SELECT route_id, ahead, CAST(CASE WHEN ahead THEN len(x) - 3 ELSE 5 END AS INT) n_points, round((x[4]+x[5])/2, 7) lon, round(CASE WHEN ahead THEN x[len(x)] ELSE x[1] END, 6) end_lon, round(CASE WHEN ahead THEN y[len(x)] ELSE y[1] END, 6) end_lat
+FROM pt, (VALUES (true), (false)) w(ahead)"""
+
 PLANS = {
+    "rewritten_nodes": (rewritten_nodes, REWRITTEN_NODES), "manifest_totals": (manifest_totals, MANIFEST_TOTALS), "sliced_ends": (sliced_ends, SLICED_ENDS),
     "box_places": (box_places, BOX_PLACES),
     "paged_signs": (paged_signs, PAGED_SIGNS), "map_layers": (map_layers, MAP_LAYERS), "known_parts": (known_parts, KNOWN_PARTS), "nearest_nodes": (nearest_nodes, NEAREST_NODES), "island_snap": (island_snap, ISLAND_SNAP),
 }
