@@ -188,7 +188,7 @@ def _seeded(ids: np.ndarray, v: np.ndarray, known_ids: np.ndarray, known: np.nda
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    first = np.lexsort((ids, -scores.astype(float), np.negative(scores, dtype=object) if scores.size and np.abs(scores).max() > 2**53 else -scores))[:k]
+    first = np.lexsort((ids, ~scores))[:k]  # the complement falls as the score rises, and never overflows
     return ids[first], scores[first]
 
 
