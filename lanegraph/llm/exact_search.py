@@ -128,7 +128,7 @@ def _unpacked_lists(column: pa.Array, dim: int) -> np.ndarray:
     sizes = column.value_lengths().to_numpy()
     flat = column.flatten().to_numpy()
     if (sizes == dim).all():
-        return flat.reshape(-1, dim)
+        return flat.reshape(len(column), dim)
     return _padded(np.split(flat, np.cumsum(sizes)[:-1]), dim)
 
 
