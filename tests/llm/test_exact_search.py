@@ -51,7 +51,7 @@ def test_search(spark, name):
 
 def test_small_blocks(spark, monkeypatch):
     """Many blocks and short groups: what the bounds leave out is never among the best."""
-    for name, size in (("BLOCK", 64), ("QUERIES", 16), ("GROUP", 8), ("SAMPLE", 600)):
+    for name, size in (("BLOCK", 64), ("QUERIES", 3), ("GROUP", 8), ("SAMPLE", 600)):
         monkeypatch.setattr(exact_search, name, size)
     rows = CASES["clusters"][:1500]
     pairs, seen = exact_search._meeting, []
