@@ -63,7 +63,7 @@ def test_a_search_opens_its_stems_only(spark):
     search.write_index(index, path)
     every = spark.read.parquet(f"{path}/postings").select("bucket").distinct().count()
     asked = spark.createDataFrame([(1, "museum", 0.0, 0.0)], "query_id long, q string, lon double, lat double")
-    plan = search.find(spark, path, asked)._jdf.queryExecution().optimizedPlan().toString()
+    plan = search.find.__wrapped__(spark, path, asked)._jdf.queryExecution().optimizedPlan().toString()
     assert every > 20 and re.search(r"bucket#\d+ (=|IN) ", plan)
 
 
