@@ -71,3 +71,14 @@ def test_lengths_are_those_inside(spark, seed):
             for p, q in zip(part, part[1:], strict=False):
                 assert inside(np.array([(p[0] + q[0]) / 2]), np.array([(p[1] + q[1]) / 2])).all()
     assert many > 5
+
+
+def test_segments_beside_a_polygon_are_told_by_its_box(spark):
+    square = rings_of([(0, 0), (4, 0), (4, 4), (0, 4)])
+    rows = [(1, -3.0, 1.0, -1.0, 1.0), (2, 1.0, 9.0, 1.0, 5.0), (3, -1.0, 2.0, 5.0, 2.0), (4, -2.0, -2.0, 6.0, -1.0), (5, 4.0, 1.0, 9.0, 1.0), (6, 1.0, 1.0, 2.0, 2.0), (7, None, 1.0, 2.0, 2.0), (8, -1.0, 3.0, 1.0, 5.0)]
+    df = spark.createDataFrame(rows, "id long, x0 double, y0 double, x1 double, y1 double").select("id", geo.inside_parts(*[F.col(c) for c in ("x0", "y0", "x1", "y1")], square).alias("p"))
+    got = {r["id"]: [(round(s["t0"], 6), round(s["t1"], 6)) for s in r["p"]] for r in df.collect()}
+    assert got == {1: [], 2: [], 3: [(0.166667, 0.833333)], 4: [], 5: [], 6: [(0.0, 1.0)], 7: [], 8: []}
+    # the cuts are computed in one place of the plan, behind the box
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_sort(") == 1 and plan.index("CASE WHEN") < plan.index("array_sort(")
