@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lanegraph.functions import geo
 from lanegraph.sources import tiles
 from lanegraph.stage import discard, materialize, scoped
 
@@ -72,7 +73,7 @@ def climb_metrics(even: Column, reverse: Column) -> Column:
     add = lambda f: F.aggregate(rises, F.lit(0.0), lambda acc, x: f(acc, x))
     over = lambda x: F.greatest(x / step - STEEP, F.lit(0.0))
     return F.struct(
-        F.round(add(lambda acc, x: acc + x), 2).alias("uphill_ft"), F.round(add(lambda acc, x: F.greatest(acc, x / step)), 4).alias("max_uphill"), F.round(add(lambda acc, x: acc + step * over(x) * over(x)), 3).alias("steep_ft2")
+        geo.rounded(add(lambda acc, x: acc + x), 2).alias("uphill_ft"), geo.rounded(add(lambda acc, x: F.greatest(acc, x / step)), 4).alias("max_uphill"), geo.rounded(add(lambda acc, x: acc + step * over(x) * over(x)), 3).alias("steep_ft2")
     )
 
 
@@ -81,7 +82,7 @@ def even_metrics(rise: Column, feet: Column) -> tuple[Column, Column, Column]:
     up = (feet > 0) & (rise > 0)
     over = F.greatest(rise / feet - STEEP, F.lit(0.0))
     zero = F.lit(0.0)
-    return F.when(up, F.round(rise, 2)).otherwise(zero), F.when(up, F.round(rise / feet, 4)).otherwise(zero), F.when(up, F.round(feet * over * over, 2)).otherwise(zero)
+    return F.when(up, geo.rounded(rise, 2)).otherwise(zero), F.when(up, geo.rounded(rise / feet, 4)).otherwise(zero), F.when(up, geo.rounded(feet * over * over, 2)).otherwise(zero)
 
 
 #: Inner nodes of a group that one task solves; MEETING: neighbours of a node that is eliminated, at first.

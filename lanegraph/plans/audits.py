@@ -123,9 +123,9 @@ def straight_profiles(spark: SparkSession, folder: str) -> DataFrame:
     """Climb of every edge as a straight slope between its ends."""
     n = relation(spark, folder, "nodes")
     d = relation(spark, folder, "dir").join(n.select(F.col("node_id").alias("src"), F.col("elev_ft").alias("e0")), "src").join(n.select(F.col("node_id").alias("dst"), F.col("elev_ft").alias("e1")), "dst")
-    feet = F.round("len_ft", 1)
+    feet = geo.rounded(F.col("len_ft"), 1)
     up, grade, steep = elevation.even_metrics(F.col("e1") - F.col("e0"), feet)
-    return d.select("edge_id", up.alias("uphill_ft"), F.round(grade, 3).alias("max_uphill"), F.round(steep, 1).alias("steep_ft2"))
+    return d.select("edge_id", up.alias("uphill_ft"), geo.rounded(grade, 3).alias("max_uphill"), geo.rounded(steep, 1).alias("steep_ft2"))
 
 
 STRAIGHT_PROFILES = ctes("dir") + """,

@@ -307,3 +307,15 @@ def test_stages_ask_for_a_shared_folder_on_a_cluster():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         stage.shared_folder(Session)
+
+
+def test_rounding_goes_by_the_scaled_double(spark):
+    import duckdb
+
+    values = [0.5045, 1.15, 0.125, -0.125, 4.35, 8.15, 0.0, 16.45, 1.005] + [k / 10000 for k in range(5, 20000, 370)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", geo.rounded(F.col("v"), 3).alias("got"), F.round("v", 3).alias("other")).collect()
+    want = [duckdb.execute("SELECT round(?::DOUBLE, 3)", [r["v"]]).fetchone()[0] for r in rows]
+    assert [r["got"] for r in rows] == want and [r["other"] for r in rows] != want
+    up, grade, steep = elevation.even_metrics(F.lit(130.0), F.lit(257.7))
+    r = spark.range(1).select(geo.rounded(grade, 3).alias("g")).first()
+    assert r["g"] == duckdb.execute("SELECT round(round(130e0/257.7e0, 4), 3)").fetchone()[0] == 0.504
