@@ -319,3 +319,22 @@ def test_rounding_goes_by_the_scaled_double(spark):
     up, grade, steep = elevation.even_metrics(F.lit(130.0), F.lit(257.7))
     r = spark.range(1).select(geo.rounded(grade, 3).alias("g")).first()
     assert r["g"] == duckdb.execute("SELECT round(round(130e0/257.7e0, 4), 3)").fetchone()[0] == 0.504
+
+
+def test_manifest_streams_files_of_any_bytes(spark, tmp_path):
+    r = np.random.default_rng(5)
+    data = {"empty": b"", "feed": b"\n", "feeds": b"\n\n", "mark": b"\xef\xbb\xbfa\n", "marked": b"\xef\xbb\xbf", "open": b"a\r\nb", "a b%20.bin": r.bytes(700_000), "flat": b"x" * 300_000, "own.gz": gzip.compress(b"abc")}
+    for name, b in data.items():
+        (tmp_path / name).write_bytes(b)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        found = manifest.files(spark, f"{tmp_path}/*")
+        got = {x["url"]: (x["size"], x["zipped"], x["hash"]) for x in found.collect()}
+        content = manifest.files(spark, f"{FOLDER}/*.parquet").filter("url = 'lineitem.parquet'")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    # Spark does not list files of no bytes
+    assert got == {n: (len(b), len(gzip.compress(b, 6)), hashlib.sha256(b).hexdigest()[:16]) for n, b in data.items() if b}
+    # no file's content is a value of a row, but for packed ones
+    assert "MapInArrow" in content
