@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lanegraph.operators import grid, overlay, routing
+from lanegraph.operators import grid, overlay, routing, tree
 
 STATE = "edge_id long, src long, dst long, cost double, len_ft double, dlon double, dlat double"
 
@@ -138,3 +138,32 @@ def test_quad_cells(spark):
     deep = {c for c in sizes if c is not None and c >> (2 * grid.DEEPEST) == grid.DEEPEST}
     assert all(n <= 50 or c in deep for c, n in sizes.items() if c is not None)
     assert grid.quad_cells(df.limit(0), "x", "y", 50).count() == 0 and grid.quad_cells(df.filter("id between 5000 and 5300"), "x", "y", 50).select("cell").distinct().count() == 1
+
+
+def test_rounds_follow_the_tree_and_not_the_cells(spark, monkeypatch):
+    """A road of 600 edges in some 50 cells: as many stage tables as the tree is deep, not as cells are passed; ``layer`` is a street's own."""
+    edges = [(k, k, k + 1, 300.0, 250.0, -122.0 + 0.001 * (k + 1), 47.0, None) for k in range(600)]
+    df, tr = spark.createDataFrame(edges, STATE + ", layer int"), spark.createDataFrame([(k, k + 1, 300.0) for k in range(599)], "prev_edge long, next_edge long, cost double")
+    cells = overlay.build(df, tr, 16)
+    stages = []
+    for module in (overlay, tree):
+        monkeypatch.setattr(module, "materialize", lambda d, name, cross=module.materialize: stages.append(name) or cross(d, name))
+    row = routing.shortest_paths(df, tr, spark.createDataFrame([(1, 0, 600)], "pair_id long, start long, goal long"), cells=cells).first()
+    assert row["cost"] == 600 * 300.0 and row["path"] == list(range(600)) and cells.cells.count() > 35
+    assert len(stages) < 20 and "overlay-front" not in stages
+
+
+def test_wide_cuts_are_searched_by_rounds(spark, monkeypatch):
+    """Where a cell's matrix is too large for a task there is no tree, and costs are the same; graphs over the same places stay apart."""
+    edges, steps = town(5, 7, 9)
+    both = [(2 * e[0] + r, 2 * e[1] + r, 2 * e[2] + r, None if e[3] is None else e[3] * (1 + r), *e[4:], r) for r in range(2) for e in edges]
+    df = spark.createDataFrame(both, STATE + ", graph int")
+    tr = spark.createDataFrame([(2 * a + r, 2 * b + r, c * (1 + r)) for r in range(2) for a, b, c in steps], "prev_edge long, next_edge long, cost double")
+    asked = spark.createDataFrame([(2 * k + r, 2 * a + r, 2 * b + r) for r in range(2) for k, (a, b) in enumerate([(0, 62), (40, 3), (8, 9)])], "pair_id long, start long, goal long")
+    cost = lambda cells: {x["pair_id"]: round(x["cost"], 6) for x in routing.shortest_paths(df, tr, asked, cells=cells).collect()}
+    joined = overlay.build(df, tr, 40)
+    monkeypatch.setattr(tree, "WIDEST", 3)
+    apart = overlay.build(df, tr, 40)
+    assert joined.above is not None and apart.above is None
+    got = cost(joined)
+    assert got == cost(apart) and got and all(got[2 * k + 1] == pytest.approx(2 * got[2 * k]) for k in range(3) if 2 * k in got)
