@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lanegraph import stage
 from lanegraph.functions import geo, tags, text
-from lanegraph.operators import audit, elevation, matching, ordered, propagation, routing
+from lanegraph.operators import audit, elevation, grid, matching, ordered, propagation, routing
 from lanegraph.operators.components import connected_components
 from lanegraph.plans import travel
 from lanegraph.sources import manifest
@@ -338,3 +338,22 @@ def test_manifest_streams_files_of_any_bytes(spark, tmp_path):
     assert got == {n: (len(b), len(gzip.compress(b, 6)), hashlib.sha256(b).hexdigest()[:16]) for n, b in data.items() if b}
     # no file's content is a value of a row, but for packed ones
     assert "MapInArrow" in content
+
+
+def test_cell_joins_are_shuffled_and_equals_take_the_lowest(spark):
+    """A filed side is never broadcast, however small its table looks; only the nearest pairs are sorted."""
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 5.0, 5.0), (3, 0.4, 0.0)], "id long, ax double, ay double")
+    others = spark.createDataFrame([(9, 0.5, 0.0), (4, -0.5, 0.0), (7, 0.0, 0.9), (8, 0.4, 0.05)], "n long, bx double, by double")
+    sizes = []
+
+    def near(p):
+        sizes.append("_bound" in p.columns)
+        return grid.points_near_points(p, others, 1.0)
+
+    got = grid.nearest_of(points, near, "id", "d2", ["n"])
+    assert sorted((x["id"], x["n"]) for x in got.collect()) == [(1, 8), (3, 8)] and sizes == [False, True]
+    one = grid.nearest_of(points, lambda p: grid.points_near_points(p, others.filter("n <> 8"), 1.0), "id", "d2", ["n"])
+    assert {x["id"]: x["n"] for x in one.collect()} == {1: 4, 3: 9}
+    segs = others.select("n", F.col("bx").alias("x0"), F.col("by").alias("y0"), (F.col("bx") + 0.1).alias("x1"), F.col("by").alias("y1"))
+    for df in (near(points), grid.points_near_segments(points, segs, 1.0, px="ax", py="ay")):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
