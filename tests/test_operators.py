@@ -1,5 +1,6 @@
 """Operators without SQL, and small cases worked by hand."""
 
+import functools
 import gzip
 import hashlib
 import heapq
@@ -13,9 +14,9 @@ from pyspark.sql import functions as F
 
 from lanegraph import stage
 from lanegraph.functions import geo, tags, text
-from lanegraph.operators import audit, elevation, grid, matching, ordered, propagation, routing
+from lanegraph.operators import audit, components, elevation, grid, matching, ordered, propagation, routing
 from lanegraph.operators.components import connected_components
-from lanegraph.plans import travel
+from lanegraph.plans import fixtures, travel
 from lanegraph.sources import manifest
 from lanegraph.streaming import last_fix
 
@@ -357,3 +358,42 @@ def test_cell_joins_are_shuffled_and_equals_take_the_lowest(spark):
     segs = others.select("n", F.col("bx").alias("x0"), F.col("by").alias("y0"), (F.col("bx") + 0.1).alias("x1"), F.col("by").alias("y1"))
     for df in (near(points), grid.points_near_segments(points, segs, 1.0, px="ax", py="ay")):
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def shuffled_only(monkeypatch, module):
+    """Plans of the stage tables that ``module`` writes, by name."""
+    plans = []
+
+    def kept(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return stage.materialize(df, name)
+
+    monkeypatch.setattr(module, "materialize", kept)
+    return plans
+
+
+def test_contraction_and_the_map_join_by_shuffles(spark, monkeypatch):
+    """What grows with the tables is not sent through the driver, however few bytes its table takes."""
+    plans = shuffled_only(monkeypatch, components)
+    edges = spark.range(300).select(F.col("id").alias("src"), (F.col("id") + F.when(F.col("id") % 10 < 9, 1).otherwise(0)).alias("dst"))
+    got = connected_components(edges, last_edges=0)
+    assert {(x["node"], x["component"]) for x in got.collect()} == {(n, n - n % 10) for n in range(300)}
+    plans.append(("result", got._jdf.queryExecution().executedPlan().toString()))
+    plans += [(n, fixtures.relation(spark, "/root/testdata/sf0.001", n)._jdf.queryExecution().executedPlan().toString()) for n in ("islands", "dir", "addresses")]
+    assert sum("SortMergeJoin" in p for _, p in plans) > 5 and [n for n, p in plans if "BroadcastHashJoin" in p] == []
+
+
+def test_crowded_keys_are_dealt(spark, monkeypatch):
+    """Points that crowd at one cell are dealt over tasks by their key, and meet all of its targets once."""
+    left = spark.range(1000).select("id", F.when(F.col("id") < 900, 7).otherwise(F.col("id")).alias("cell"))
+    right = spark.createDataFrame([(7, "a"), (7, "b"), (950, "c"), (2000, "d")], "cell long, what string")
+    got = grid.dealt_join(left, right, "cell", "id", dealt=100)
+    assert got.columns == ["cell", "id", "what"]
+    assert sorted((x["id"], x["what"]) for x in got.collect()) == sorted([(i, w) for i in range(900) for w in "ab"] + [(950, "c")])
+    monkeypatch.setattr(grid, "dealt_join", functools.partial(grid.dealt_join, dealt=8))
+    targets = [(k, (k * 37 % 101) / 10, (k * 53 % 97) / 10) for k in range(400)]
+    points = [(k, 30.0 + k % 3, -20.0) if k < 60 else (k, (k * 29 % 103) / 10, (k * 31 % 89) / 10) for k in range(120)]
+    near = grid.nearest_anywhere(spark.createDataFrame(points, "p long, px double, py double"), spark.createDataFrame(targets, "t long, tx double, ty double"), "p", "t", most=2)
+    best = {k: min(((x - a) * (x - a) + (y - b) * (y - b), t) for t, a, b in targets) for k, x, y in points}
+    assert {x["p"]: (x["d2"], x["t"]) for x in near.collect()} == best
+    assert grid.nearest_anywhere(spark.createDataFrame(points, "p long, px double, py double"), spark.createDataFrame([], "t long, tx double, ty double"), "p", "t").count() == 0
