@@ -25,7 +25,7 @@ def distinct_segments(edges: DataFrame, key: str = "edge_id") -> DataFrame:
 def segment_groups(segs: DataFrame) -> DataFrame:
     """Flagged segments (edge_id, u, v, ...) with ``grp``, the smallest node they are connected to."""
     labels = connected_components(segs, "u", "v").select(F.col("node").alias("u"), F.col("component").alias("grp"))
-    return segs.join(labels, "u")
+    return segs.join(labels.hint("merge"), "u")
 
 
 def mode_first(rows: DataFrame, by: str, value: str, order: str) -> DataFrame:

@@ -100,19 +100,20 @@ def level_groups(segs: DataFrame, nodes: DataFrame, most: int = MOST) -> DataFra
     becomes the mesh of its ends), round by round, until the rest fits; then they are put back
     in reverse order. A street graph shrinks by a factor per round. One that does not, because
     all its nodes meet hundreds of others, raises an error; nothing unfinished is returned.
+    Joins are shuffled but for the list of the large groups, a row for ``most`` inner nodes or more.
     """
     fixed = nodes.filter("boundary").select(F.col("node").alias("other"), "elev_ft")
     links = segs.filter("u <> v").select("grp", F.col("u").alias("node"), F.col("v").alias("other"), (1 / F.greatest("len_ft", F.lit(1e-6))).alias("w"))
     links = links.unionByName(links.select("grp", F.col("other").alias("node"), F.col("node").alias("other"), "w"))
-    rows = links.join(nodes.filter("not boundary").select("node"), "node", "left_semi").join(fixed, "other", "left")
+    rows = links.join(nodes.filter("not boundary").select("node").hint("merge"), "node", "left_semi").join(fixed.hint("merge"), "other", "left")
     # A node's ties to the boundary are one conductance ``wf`` and its current ``bf``; the rest are links between inner nodes.
     held = F.col("elev_ft").isNotNull()
     ground = materialize(rows.groupBy("grp", "node").agg(F.sum(F.when(held, F.col("w")).otherwise(0.0)).alias("wf"), F.sum(F.when(held, F.col("w") * F.col("elev_ft")).otherwise(0.0)).alias("bf")), "level-ground")
     inner = materialize(rows.filter(~held).groupBy("grp", "node", "other").agg(F.sum("w").alias("w")), "level-links")
     sizes = ground.groupBy("grp").agg(F.count("*").alias("n"), F.max("wf").alias("tied"))
     good = materialize(sizes.filter("tied > 0").select("grp", "n"), "level-sizes")
-    ground, inner = ground.join(good.select("grp"), "grp", "left_semi"), inner.join(good.select("grp"), "grp", "left_semi")
-    large = good.filter(F.col("n") > most).select("grp")
+    ground, inner = (x.join(good.select("grp").hint("merge"), "grp", "left_semi") for x in (ground, inner))
+    large = F.broadcast(good.filter(F.col("n") > most).select("grp"))
     stars, meeting, n_before = [], MEETING, None
     if not large.isEmpty():
         todo_g, todo_l = (materialize(x.join(large, "grp", "left_semi"), "level-todo") for x in (ground, inner))
@@ -139,20 +140,21 @@ def level_groups(segs: DataFrame, nodes: DataFrame, most: int = MOST) -> DataFra
 def _eliminate(ground: DataFrame, links: DataFrame, meeting: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One round: the eliminated nodes as stars (grp, node, arms, wf, bf, s), and what is left of ground and links."""
     ends = links.groupBy("grp", "node").agg(F.count("*").alias("deg"))
-    few = ground.select("grp", "node").join(ends, ["grp", "node"], "left").filter(F.coalesce("deg", F.lit(0)) <= meeting).select("grp", "node", F.xxhash64("node").alias("h"))
+    few = ground.select("grp", "node").join(ends.hint("merge"), ["grp", "node"], "left").filter(F.coalesce("deg", F.lit(0)) <= meeting).select("grp", "node", F.xxhash64("node").alias("h"))
     few = materialize(few, "level-few")
-    rival = links.join(few, ["grp", "node"]).join(few.select("grp", F.col("node").alias("other"), F.struct("h", F.col("node").alias("n")).alias("o")), ["grp", "other"]).groupBy("grp", "node").agg(F.min("o").alias("o"))
-    chosen = materialize(few.join(rival, ["grp", "node"], "left").filter(F.col("o").isNull() | (F.struct("h", F.col("node").alias("n")) < F.col("o"))).select("grp", "node"), "level-chosen")
-    arms = links.join(chosen, ["grp", "node"], "left_semi").groupBy("grp", "node").agg(F.collect_list(F.struct("other", "w")).alias("arms"))
+    rival = links.join(few.hint("merge"), ["grp", "node"]).join(few.select("grp", F.col("node").alias("other"), F.struct("h", F.col("node").alias("n")).alias("o")).hint("merge"), ["grp", "other"]).groupBy("grp", "node").agg(F.min("o").alias("o"))
+    chosen = materialize(few.join(rival.hint("merge"), ["grp", "node"], "left").filter(F.col("o").isNull() | (F.struct("h", F.col("node").alias("n")) < F.col("o"))).select("grp", "node"), "level-chosen")
+    picked = chosen.hint("merge")
+    arms = links.join(picked, ["grp", "node"], "left_semi").groupBy("grp", "node").agg(F.collect_list(F.struct("other", "w")).alias("arms"))
     total = F.aggregate("arms", F.col("wf"), lambda acc, x: acc + x["w"])
-    star = ground.join(chosen, ["grp", "node"], "left_semi").join(arms, ["grp", "node"], "left").withColumn("arms", F.coalesce("arms", F.array().cast("array<struct<other:bigint,w:double>>")))
+    star = ground.join(picked, ["grp", "node"], "left_semi").join(arms.hint("merge"), ["grp", "node"], "left").withColumn("arms", F.coalesce("arms", F.array().cast("array<struct<other:bigint,w:double>>")))
     star = materialize(star.withColumn("s", total), "level-stars")
     spread = star.select("grp", "s", "wf", "bf", "arms", F.inline("arms"))
     share = F.col("w") / F.col("s")
-    g = ground.join(chosen, ["grp", "node"], "left_anti").unionByName(spread.select("grp", F.col("other").alias("node"), (share * F.col("wf")).alias("wf"), (share * F.col("bf")).alias("bf")))
+    g = ground.join(picked, ["grp", "node"], "left_anti").unionByName(spread.select("grp", F.col("other").alias("node"), (share * F.col("wf")).alias("wf"), (share * F.col("bf")).alias("bf")))
     mesh = spread.select("grp", F.col("other").alias("node"), share.alias("share"), F.explode("arms").alias("arm")).select("grp", "node", F.col("arm.other").alias("other"), (F.col("share") * F.col("arm.w")).alias("w")).filter("node <> other")
-    gone = chosen.withColumnRenamed("node", "other")
-    kept = links.join(chosen, ["grp", "node"], "left_anti").join(gone, ["grp", "other"], "left_anti").unionByName(mesh)
+    gone = chosen.withColumnRenamed("node", "other").hint("merge")
+    kept = links.join(picked, ["grp", "node"], "left_anti").join(gone, ["grp", "other"], "left_anti").unionByName(mesh)
     left_g = materialize(g.groupBy("grp", "node").agg(F.sum("wf").alias("wf"), F.sum("bf").alias("bf")), "level-todo")
     left_l = materialize(kept.groupBy("grp", "node", "other").agg(F.sum("w").alias("w")), "level-todo")
     discard(few, chosen, ground, links)
@@ -162,7 +164,7 @@ def _eliminate(ground: DataFrame, links: DataFrame, meeting: int) -> tuple[DataF
 def _solved(ground: DataFrame, links: DataFrame) -> DataFrame:
     """grp, node, elev_ft of groups small enough for one call each."""
     out = links.groupBy("grp", "node").agg(F.sum("w").alias("ws"), F.collect_list(F.struct("other", "w")).alias("arms"))
-    rows = ground.join(out, ["grp", "node"], "left")
+    rows = ground.join(out.hint("merge"), ["grp", "node"], "left")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node")
@@ -178,9 +180,9 @@ def _solved(ground: DataFrame, links: DataFrame) -> DataFrame:
 
 def _put_back(star: DataFrame, level: DataFrame) -> DataFrame:
     """The eliminated nodes at the weighted mean of their arms' ends."""
-    ends = star.select("grp", "node", F.inline("arms")).join(level.select("grp", F.col("node").alias("other"), "elev_ft"), ["grp", "other"])
+    ends = star.select("grp", "node", F.inline("arms")).join(level.select("grp", F.col("node").alias("other"), "elev_ft").hint("merge"), ["grp", "other"])
     sums = ends.groupBy("grp", "node").agg(F.sum(F.col("w") * F.col("elev_ft")).alias("in"))
-    return star.join(sums, ["grp", "node"], "left").select("grp", "node", ((F.coalesce("in", F.lit(0.0)) + F.col("bf")) / F.col("s")).alias("elev_ft"))
+    return star.join(sums.hint("merge"), ["grp", "node"], "left").select("grp", "node", ((F.coalesce("in", F.lit(0.0)) + F.col("bf")) / F.col("s")).alias("elev_ft"))
 
 
 def smooth_raster(raster: DataFrame, window: int = 5, sigma: float = 2.0, side: int = tiles.SIDE) -> DataFrame:

@@ -6,6 +6,7 @@ import hashlib
 import heapq
 import math
 import os
+import re
 from pathlib import Path
 
 import numpy as np
@@ -397,3 +398,15 @@ def test_crowded_keys_are_dealt(spark, monkeypatch):
     best = {k: min(((x - a) * (x - a) + (y - b) * (y - b), t) for t, a, b in targets) for k, x, y in points}
     assert {x["p"]: (x["d2"], x["t"]) for x in near.collect()} == best
     assert grid.nearest_anywhere(spark.createDataFrame(points, "p long, px double, py double"), spark.createDataFrame([], "t long, tx double, ty double"), "p", "t").count() == 0
+
+
+def test_levels_join_by_shuffles(spark, monkeypatch):
+    """Only the list of the large groups is broadcast, while nodes are eliminated and put back too."""
+    plans = shuffled_only(monkeypatch, elevation)
+    segs = spark.range(29).select(F.lit(0).cast("bigint").alias("grp"), F.col("id").alias("u"), (F.col("id") + 1).alias("v"), F.lit(1.0).alias("len_ft"))
+    segs = segs.union(spark.createDataFrame([(50, 50, 51, 2.0), (50, 51, 52, 2.0)], segs.schema))
+    nodes = spark.range(53).select(F.col("id").alias("node"), F.col("id").cast("double").alias("elev_ft"), F.col("id").isin(0, 29, 50, 52).alias("boundary"))
+    got = elevation.level_groups(segs, nodes, most=4)
+    assert {x["node"]: round(x["elev_ft"], 9) for x in got.collect()} == {n: n for n in [*range(1, 29), 51]}
+    joins = [line for _, p in plans for line in p.split("\n") if "BroadcastHashJoin" in line]
+    assert len([n for n, _ in plans if n == "level-stars"]) > 1 and [x for x in joins if not re.search(r"Join \[grp#\d+L\], \[grp#\d+L\], Left(Semi|Anti)", x)] == []
