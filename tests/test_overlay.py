@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lanegraph.operators import grid, overlay, routing, tree
+from lanegraph.operators.cell import Cell
 
 STATE = "edge_id long, src long, dst long, cost double, len_ft double, dlon double, dlat double"
 
@@ -167,3 +168,46 @@ def test_wide_cuts_are_searched_by_rounds(spark, monkeypatch):
     assert joined.above is not None and apart.above is None
     got = cost(joined)
     assert got == cost(apart) and got and all(got[2 * k + 1] == pytest.approx(2 * got[2 * k]) for k in range(3) if 2 * k in got)
+
+
+@pytest.mark.parametrize("widest", [1 << 24, 3])
+def test_totals_and_shared_streets_are_those_of_the_paths(spark, monkeypatch, widest):
+    """Sums and common streets, told cell by cell, against the paths spelled out; streets with ends in two cells count once, with a tree and without."""
+    monkeypatch.setattr(tree, "WIDEST", widest)
+    monkeypatch.setattr(overlay, "LOT", 4)
+    edges, steps = town(6, 8, 9)
+    at, runs = {}, 3
+    for e in edges:
+        at.setdefault((min(e[1:3]), max(e[1:3])), len(at))
+    every = [(runs * e[0] + r, runs * e[1] + r, runs * e[2] + r, None if e[3] is None else e[4] * (1 + (e[0] * (r + 2)) % 7), *e[4:], r, at[min(e[1:3]), max(e[1:3])]) for r in range(runs) for e in edges]
+    price = {e[0]: e[3] for e in every}
+    df = spark.createDataFrame(every, STATE + ", graph int, geom long")
+    tr = spark.createDataFrame([(runs * a + r, runs * b + r, price[runs * b + r] + 100.0 * r) for r in range(runs) for a, b, _ in steps], "prev_edge long, next_edge long, cost double")
+    asked = spark.createDataFrame([(runs * k + r, runs * a + r, runs * b + r) for r in range(runs) for k, (a, b) in enumerate([(0, 71), (0, 70), (64, 7), (8, 9), (30, 31)])], "pair_id long, start long, goal long")
+    cells = overlay.build(df, tr, 24 if widest > 3 else 120)
+    assert (cells.above is None) == (widest == 3)
+    spelled = {x["pair_id"]: x for x in routing.shortest_paths(df, tr, asked, cells=cells).collect()}
+    summed = {x["pair_id"]: x for x in routing.shortest_paths(df, tr, asked, cells=cells, spelled=False).collect()}
+    assert set(spelled) == set(summed) and len(spelled) > 8
+    for k, x in spelled.items():
+        assert summed[k]["cost"] == x["cost"] and summed[k]["feet"] == pytest.approx(x["feet"]) and summed[k]["n_edges"] == len(x["path"])
+    geom, want = {e[0]: e[-1] for e in every}, {}
+    for k, x in spelled.items():
+        for g in {geom[e] for e in x["path"]}:
+            want[k // runs, g] = want.get((k // runs, g), 0) | 1 << k % runs
+    counts = {}
+    for (base, _), mask in want.items():
+        counts[base, mask] = counts.get((base, mask), 0) + 1
+    common = overlay.shared(cells, df, *routing.node_ends(df, asked), runs)
+    assert {(x["base"], x["mask"]): x["n"] for x in common.collect()} == counts
+    lists = spark.createDataFrame([(k // runs, k % runs, [geom[e] for e in x["path"]]) for k, x in spelled.items()], "pair_id long, run int, geoms array<long>")
+    twist = F.element_at(F.array(F.lit("direct"), F.lit("quieter")), F.col("run"))
+    by_lists = routing.distinct_alternates(lists.filter("run = 0").drop("run"), lists.filter("run > 0").withColumn("twist", twist).drop("run"))
+    assert sorted(routing.distinct_by_counts(common, ["direct", "quieter"]).collect()) == sorted(by_lists.collect())
+
+
+def test_a_way_does_not_go_in_rings():
+    """States 0 and 1 lie in one place: a step between them costs nothing, either way."""
+    none = {n: [] for n in ("entries", "outs", "out_cost", "out_state", "out_cell")}
+    cell = Cell({"states": [10, 11, 12], "lon": [0.0] * 3, "lat": [0.0] * 3, "feet": [0.0, 0.0, 5.0], "geom": [0, 1, 2], "split": [False] * 3, "a": [1, 0, 1], "b": [0, 1, 2], "c": [0.0, 0.0, 5.0], **none})
+    assert cell.path(0, 2) == [11, 12] and cell.path(1, 2) == [12] and cell.way(2, 2) == []

@@ -2,6 +2,7 @@
 
 import os
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,3 +48,13 @@ def test_operators_leave_their_result_alone(spark):
     with scope(spark):
         assert grid.nearest_anywhere(points, targets, "k", "id", most=16).count() == 50
     assert folders(spark) == before
+
+
+def test_wide_rows_are_kept_in_small_row_groups(spark):
+    """Twelve rows of 4 MB: a writer holds some 16 MB of them, not all (by default it looks at what it holds after 100 rows)."""
+    rows = spark.range(0, 12, 1, 1).select("id", F.unhex(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1 << 17)), lambda k: F.sha2(F.concat_ws("-", "id", k), 256)), "")).alias("ways"))
+    made = materialize(rows, "wide", wide=True)
+    (file,) = made.inputFiles()
+    meta = pq.ParquetFile(file.removeprefix("file://")).metadata
+    assert meta.num_rows == 12 and max(meta.row_group(k).num_rows for k in range(meta.num_row_groups)) <= 5
+    assert made.filter(F.octet_length("ways") == 32 << 17).count() == 12
